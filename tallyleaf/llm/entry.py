@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import pii, quality_model, quality_rules, toxicity
+from tallyleaf.llm import decontaminate, licences, pii, quality_model, quality_rules, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(toxicity.score(docs, model), 5, 0)
 
 
+def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), fold=(4, 2))
@@ -39,8 +43,15 @@ def op7_rules(spark: SparkSession, sf_dir: str, threshold: float = -0.35) -> Dat
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op6_quality": op6_quality, "op7_rules": op7_rules}
+    return {
+        "op1_pii": op1_pii,
+        "op2_toxicity": op2_toxicity,
+        "op3_licences": licences.op3_licences,
+        "op5_leaks": op5_leaks,
+        "op6_quality": op6_quality,
+        "op7_rules": op7_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licences": licences.oracle()}
