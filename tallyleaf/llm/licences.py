@@ -151,7 +151,7 @@ def oracle() -> str:
     steps = [
         f"""s AS (SELECT doc_id, row_number() OVER () AS row_no,
           list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n\\f]+', '\\1' || chr(10), 'g'), chr(10)),
-            lambda x: element_at({known}, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))), lambda x: x IS NOT NULL) AS ids
+            lambda x: map_extract_value({known}, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))), lambda x: x IS NOT NULL) AS ids
           FROM documents)""",
         "r0 AS (SELECT doc_id, ids, '<' || array_to_string(ids, '><') || '>' AS rest, CAST([] AS VARCHAR[]) AS found FROM s)",
     ]
