@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, licences, pii, quality_model, quality_rules, toxicity
+from tallyleaf.llm import decontaminate, licences, ngram_join, pii, quality_model, quality_rules, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -42,6 +42,10 @@ def op7_rules(spark: SparkSession, sf_dir: str, threshold: float = -0.35) -> Dat
     return quality_rules.apply(docs, ratio, threshold)
 
 
+def op9_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_leaks": op5_leaks,
         "op6_quality": op6_quality,
         "op7_rules": op7_rules,
+        "op9_join": op9_join,
     }
 
 
