@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, licences, ngram_join, pii, quality_model, quality_rules, toxicity
+from tallyleaf.llm import decontaminate, licences, ngram_join, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(toxicity.score(docs, model), 5, 0)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
         "op3_licences": licences.op3_licences,
+        "op4_suffix": op4_suffix,
         "op5_leaks": op5_leaks,
         "op6_quality": op6_quality,
         "op7_rules": op7_rules,
