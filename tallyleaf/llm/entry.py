@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, licences, ngram_join, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from tallyleaf.llm import decontaminate, licences, line_dedup, ngram_join, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -50,6 +50,11 @@ def op9_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("n_removed_lines").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_rules": op7_rules,
         "op9_join": op9_join,
+        "op10_lines": op10_lines,
     }
 
 
