@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, licences, line_dedup, ngram_join, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from tallyleaf.llm import decontaminate, licences, line_dedup, ngram_join, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -46,6 +46,11 @@ def op7_rules(spark: SparkSession, sf_dir: str, threshold: float = -0.35) -> Dat
     return quality_rules.apply(docs, ratio, threshold)
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    model_file = model_file or pieces.model_path()
+    return pieces.digest(pieces.decode(pieces.encode(documents(spark, sf_dir), model_file), model_file))
+
+
 def op9_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_leaks": op5_leaks,
         "op6_quality": op6_quality,
         "op7_rules": op7_rules,
+        "op8_pieces": op8_pieces,
         "op9_join": op9_join,
         "op10_lines": op10_lines,
     }
