@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Units never span these cuts, and no piece does: a space run begins a unit, a line feed is one.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-JAVA_UNIT = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 UNKNOWN_PENALTY = 10.0
 LEXICON_WORDS = 50_000
 LEXICON_CHARS = 24
@@ -96,15 +96,19 @@ def merged(word: str, pieces: Pieces) -> tuple[int, ...]:
     normal = pieces.normal
     parts: list[str | None] = list(word)
     if len(parts) <= 24:
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                found = normal.get(parts[k] + parts[k + 1])
-                if found and (best is None or found[1] > best):
-                    best, at = found[1], k
-            if best is None:
+        low = (0, -1e30)
+        ranks = [normal.get(x + y, low)[1] for x, y in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = max(ranks)
+            if best == -1e30:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = normal.get(parts[at - 1] + parts[at], low)[1]
+            if at < len(ranks):
+                ranks[at] = normal.get(parts[at] + parts[at + 1], low)[1]
     else:
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -199,10 +203,11 @@ def fold_merges(grouped: DataFrame, first_byte: int) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
-    """The ``most`` most frequent words of at most LEXICON_CHARS characters over all texts."""
-    marked = F.concat(F.lit(SPACE), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " ", SPACE))
-    words = docs.select(F.explode(F.regexp_extract_all(marked, F.lit(JAVA_UNIT), 0)).alias("word")).where(F.char_length("word") <= LEXICON_CHARS)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word")
+    """The ``most`` most frequent words of at most LEXICON_CHARS characters over all texts, with their space."""
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", " ")
+    words = docs.select(F.explode(F.split(text, " ")).alias("word")).where(f"word <> '' and char_length(word) < {LEXICON_CHARS} and not contains(word, '{SPACE}')")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counted.orderBy(F.desc("n"), "word").limit(most).select(F.concat(F.lit(SPACE), "word").alias("word"))
 
 
 class Memory(dict):
@@ -250,70 +255,97 @@ def broadcast_lexicon(docs: DataFrame, pieces: Pieces, most: int) -> dict[str, t
     return {r.word: tuple(r.ids) for r in found.toLocalIterator()}
 
 
+def _mapped(docs: DataFrame, extra: list, work) -> DataFrame:
+    """All columns of ``docs`` and those of ``extra`` that ``work`` makes of texts, a few hundred rows at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    names = {f.name for f in extra}
+    docs = docs.select(*[c for c in docs.columns if c not in names])
+    schema = StructType([*docs.schema.fields, *extra])
+    source, width = (docs.columns.index("text") if "text" in docs.columns else -1), len(docs.columns)
+    ids_at = docs.columns.index("ids") if "ids" in docs.columns else -1
+
+    def run(batches):
+        target = to_arrow_schema(schema)
+        rows = work()
+        for whole in batches:
+            for lo in range(0, max(whole.num_rows, 1), 500):
+                batch = whole.slice(lo, 500)
+                made = rows(batch.column(source).to_pylist() if source >= 0 else None, batch.column(ids_at).to_pylist() if ids_at >= 0 else None)
+                kept = [batch.column(k).cast(target.field(k).type) for k in range(width)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, type=target.field(width + k).type) for k, c in enumerate(made))], names=target.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, model_file: str, most: int = LEXICON_WORDS) -> DataFrame:
     """All columns of ``docs`` and ``ids`` (array<int>); null and empty texts have no ids.
 
     Clashes: an own column named ids is replaced.  The model file's path must
     be readable on the driver; tasks get the table.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, StructField
 
     pieces = Pieces(model_file)
     words = broadcast_lexicon(docs, pieces, most)
-    docs = docs.drop("ids")
-    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
-    text_at, width = docs.columns.index("text"), len(docs.columns)
 
-    def run(batches):
+    def work():
         memory = Memory(words, pieces)
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            flat, ends = [], [0]
-            for text in batch.column(text_at).to_pylist():
-                flat += [i for ids in map(memory.__getitem__, units_of(text or "")) for i in ids]
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
-            kept = [batch.column(k).cast(target.field(k).type) for k in range(width)]
-            yield pa.RecordBatch.from_arrays([*kept, ids.cast(target.field("ids").type)], names=target.names)
+        return lambda texts, _: ([encoded(t, memory) for t in texts],)
+
+    return _mapped(docs.drop("ids"), [StructField("ids", ArrayType(IntegerType()))], work)
 
-    return docs.mapInArrow(run, schema)
 
+def encoded(text: str | None, memory: Memory) -> list[int]:
+    return list(chain.from_iterable(map(memory.__getitem__, units_of(text or ""))))
 
-def decode(encoded: DataFrame, model_file: str) -> DataFrame:
+
+def decode(coded: DataFrame, model_file: str) -> DataFrame:
     """All columns and ``decoded``, the text of ``ids`` (null ids: empty).
 
     It equals the encoded text but where that holds U+2581 itself, which
     comes back as a space.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StringType, StructField, StructType
+    from pyspark.sql.types import StringType, StructField
 
     pieces = Pieces(model_file)
     texts, byte_of = pieces.texts, {i: b for b, i in pieces.bytes.items()}
-    encoded = encoded.drop("decoded")
-    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
-    at, width = encoded.columns.index("ids"), len(encoded.columns)
 
-    def run(batches):
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            made = [decode_ids(ids or [], texts, byte_of) for ids in batch.column(at).to_pylist()]
-            kept = [batch.column(k).cast(target.field(k).type) for k in range(width)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, type=pa.string())], names=target.names)
+    def work():
+        return lambda _, ids: ([decode_ids(x or [], texts, byte_of) for x in ids],)
+
+    return _mapped(coded, [StructField("decoded", StringType())], work)
+
+
+def encode_digest(docs: DataFrame, model_file: str, most: int = LEXICON_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, round_trip): encodes, decodes and compares in one task.
+
+    The digest is of the ids as little-endian 32-bit integers; the round trip
+    takes U+2581 for a space, as the decoder must.
+    """
+    from pyspark.sql.types import BooleanType, LongType, StringType, StructField
+
+    pieces = Pieces(model_file)
+    words = broadcast_lexicon(docs, pieces, most)
+    byte_of = {i: b for b, i in pieces.bytes.items()}
+
+    def work():
+        memory = Memory(words, pieces)
 
-    return encoded.mapInArrow(run, schema)
+        def rows(texts, _):
+            sizes, shas, trips = [], [], []
+            for text in texts:
+                ids = encoded(text, memory)
+                sizes.append(len(ids))
+                shas.append(sha_of(ids))
+                trips.append(decode_ids(ids, pieces.texts, byte_of) == (text or "").replace(SPACE, " "))
+            return sizes, shas, trips
 
+        return rows
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, round_trip) of documents with text, ids and decoded."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        (F.translate(text, SPACE, " ") == F.col("decoded")).alias("round_trip"),
-    )
+    extra = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("round_trip", BooleanType())]
+    return _mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), extra, work).drop("text")
 
 
 def model_path() -> str:
@@ -323,4 +355,4 @@ def model_path() -> str:
 
 
 def sha_of(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
