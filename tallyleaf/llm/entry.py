@@ -41,14 +41,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_rules(spark: SparkSession, sf_dir: str, threshold: float = -0.35) -> DataFrame:
     docs = documents(spark, sf_dir)
-    trusted = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    ratio = quality_rules.ratios(quality_rules.counts(docs.join(trusted, "doc_id", "left")))
-    return quality_rules.apply(docs, ratio, threshold)
+    return quality_rules.apply(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")), threshold)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
-    model_file = model_file or pieces.model_path()
-    return pieces.digest(pieces.decode(pieces.encode(documents(spark, sf_dir), model_file), model_file))
+    return pieces.encode_digest(documents(spark, sf_dir), model_file or pieces.model_path())
 
 
 def op9_join(spark: SparkSession, sf_dir: str) -> DataFrame:
