@@ -2,8 +2,8 @@
 
 The tokens of a line are its distinct 5-word shingles (a shorter line has its
 whole word sequence as its one token); words are folded to lower case.  Lines
-with equal token sets are one class.  Tokens are put in order of rarity by
-their counts over all lines; each class is indexed under its prefix only, and
+of the same words are one class.  Tokens are put in order of rarity (how
+common the leading word is over all texts); each class is indexed under its prefix only, and
 pairs pass a length and a positional filter before their Jaccard similarity
 is verified.  A line goes if a line before it (by doc_id, then place) has a
 similarity of at least 0.75; lines without words stay.
@@ -11,61 +11,63 @@ similarity of at least 0.75; lines without words stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import JAVA_WORD_GAP
 from tallyleaf.llm.state import Scratch
 
 WIDTH = 5
 PERCENT = 75
-#: Counts are held for this many token slots, whatever the input.
+#: How common words are is held for this many slots, whatever the input.
 SLOT_BITS = 16
 FILTER_BITS = 22
-HASH_BITS = 48
+TOKEN_BITS = 24
 
 
-def tokens(line: Column) -> Column:
-    """Distinct token hashes of a line, 48 bits each."""
-    words = F.filter(F.split(F.lower(line), JAVA_WORD_GAP), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def word_hashes(line: Column) -> Column:
+    """Hashes of the words of a line, in order."""
+    words = F.filter(F.split(F.translate(F.lower(line), "\t\r\v\f", "    "), " "), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def windows(h: Column) -> Column:
-        n = F.size(h)
-        five = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
-        return F.when(n >= WIDTH, five).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    # the hashes are bound once, as the argument of a lambda
-    made = F.flatten(F.transform(F.array(hashed), windows))
-    return F.array_distinct(F.transform(made, lambda x: F.shiftrightunsigned(x, 64 - HASH_BITS)))
+def shingles(hashes: Column, lead: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Hashes of the 5-word shingles of a line's word hashes; ``lead`` makes a key of the first word and the hash."""
+    lead = lead or (lambda first, shingle: shingle)
+    n = F.size(hashes)
+    five = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: lead(F.get(hashes, i), F.xxhash64(*[F.get(hashes, i + k if k else i) for k in range(WIDTH)])))
+    one = F.array(lead(F.get(hashes, F.lit(0)), F.xxhash64(hashes)))
+    return F.when(n >= WIDTH, five).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, part, place, line): part tells rows of one doc_id with different texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("part"), text.alias("text"))
+    named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("part"), text.alias("text"))
     return named.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("place", "line"))
 
 
 def rarity(docs: DataFrame) -> bytearray:
-    """How common the tokens of each slot are over all lines: a byte a slot, on a log scale."""
-    slot = F.shiftright("token", HASH_BITS - SLOT_BITS).cast("int").alias("slot")
-    counts = lines_of(docs).select(F.explode(tokens(F.col("line"))).alias("token")).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
+    """How common the words of each slot are over all texts: a byte a slot, on a log scale."""
+    text = F.translate(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n\t\r\v\f", "     ")
+    words = docs.select(F.explode(F.split(text, " ")).alias("word"))
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     out = bytearray(1 << SLOT_BITS)
     for r in counts.select("slot", F.least(F.lit(127), (4 * F.log2(F.col("n") + 1)).cast("int")).alias("n")).toLocalIterator():
         out[r.slot] = r.n
     return out
 
 
-def by_rarity(found: Column, common: bytearray) -> Column:
-    """Tokens in order of rarity: how common the slot is above the hash."""
+def by_rarity(hashes: Column, common: bytearray) -> Column:
+    """The distinct shingles in order: how common the leading word is, then the hash."""
     table = F.lit(common)
 
-    def ordered(t: Column) -> Column:
-        n = F.ascii(F.substring(table, F.shiftright(t, HASH_BITS - SLOT_BITS).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(n.cast("bigint"), HASH_BITS).bitwiseOR(t)
+    def place(first: Column, shingle: Column) -> Column:
+        n = F.ascii(F.substring(table, F.shiftrightunsigned(first, 64 - SLOT_BITS).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(n.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(shingle, 8))
 
-    return F.array_sort(F.transform(found, ordered))
+    return F.sort_array(F.array_distinct(shingles(hashes, place)))
 
 
 def prefix_size(n: Column) -> Column:
@@ -92,23 +94,22 @@ def in_marked(bits: Column, key: Column) -> Column:
 def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, part, place) of every line that goes."""
     common = rarity(docs)
-    lines = lines_of(docs).withColumn("tokens", by_rarity(tokens(F.col("line")), common)).where(F.size("tokens") > 0)
+    at = F.struct("doc", "part", "place").alias("at")
+    lines = lines_of(docs).select(at, word_hashes(F.col("line")).alias("words")).where(F.size("words") > 0)
+    ordered = lines.select("at", F.xxhash64("words").alias("a"), F.xxhash64("words", F.lit(1)).alias("b"), by_rarity(F.col("words"), common).alias("tokens"))
     n = F.size("tokens")
-    described = scratch.keep(
-        lines.select(
-            F.xxhash64("tokens").alias("a"),
-            F.xxhash64("tokens", F.lit(1)).alias("b"),
-            F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "part", "place").alias("at"),
-            n.alias("n"),
-            F.slice("tokens", 1, prefix_size(n)).alias("prefix"),
-        )
-    )
+    # tokens of the index are cut to 32 bits: what that brings together in vain fails the verification
+    prefix = F.transform(F.slice("tokens", F.lit(1), prefix_size(n)), lambda t: (F.shiftrightunsigned(F.shiftleft(t, TOKEN_BITS), 32) - F.lit(1 << 31)).cast("int"))
+    described = scratch.keep(ordered.select("at", "a", "b", n.alias("n"), prefix.alias("prefix")))
     firsts = described.groupBy("a", "b").agg(F.min("at").alias("first"))
-    # the line that leads its class speaks for it
-    lead = scratch.keep(described.join(firsts, ["a", "b"]).where("at = first").select("a", "b", "first", "n", "prefix"))
-    posting = lead.select("a", "first", "n", F.posexplode("prefix").alias("i", "token"))
-    twice = posting.groupBy("token").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("token")
-    posting = scratch.keep(posting.join(twice, "token", "left_semi"))
+    # equal lines are one class, and its first line speaks for it
+    lead = described.join(firsts, ["a", "b"]).where("at = first").select("a", "b", "first", "n", "prefix")
+    lead = scratch.keep(lead)
+    twice = lead.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    twice = scratch.keep(twice)
+    repeated = scratch.keep(marked(twice, F.xxhash64("token")))
+    posting = lead.select("first", "n", F.posexplode("prefix").alias("i", "token")).where(in_marked(repeated.scalar(), F.xxhash64("token")))
+    posting = scratch.keep(posting)
     left = posting.select("token", F.col("first").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     right = posting.select("token", F.col("first").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"))
     near = left.join(right, "token").where("x < y").where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
@@ -119,8 +120,8 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     key = lambda at: F.xxhash64(F.col(f"{at}.doc"), F.col(f"{at}.part"), F.col(f"{at}.place"))
     wanted = scratch.keep(pairs.select(F.col("x").alias("at")).union(pairs.select("y")).distinct())
     bits = scratch.keep(marked(wanted, key("at")))
-    located = lines_of(docs).select(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "part", "place").alias("at"), "line")
-    sets = located.where(in_marked(bits.scalar(), key("at"))).join(wanted, "at", "left_semi").dropDuplicates(["at"]).select("at", F.array_sort(tokens(F.col("line"))).alias("set"))
+    located = lines_of(docs).select(F.struct("doc", "part", "place").alias("at"), "line")
+    sets = located.where(in_marked(bits.scalar(), key("at"))).join(wanted, "at", "left_semi").select("at", word_hashes(F.col("line")).alias("words")).dropDuplicates(["at"]).select("at", F.array_distinct(shingles(F.col("words"))).alias("set"))
     sets = scratch.keep(sets)
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("at").alias("y"), F.col("set").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
