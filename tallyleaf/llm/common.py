@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,22 @@ def map_texts(
 def fold_of(doc_id: str, parts: int):
     """crc32 of doc_id as text, modulo ``parts``; null ids fall in no fold (null)."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(parts)
+
+
+STEP = 0x9E3779B97F4A7C15
+STEP_INVERSE = pow(STEP, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, for hashes of substrings by prefix sums."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 17)
+            up, down = np.full(size, STEP, dtype=np.uint64), np.full(size, STEP_INVERSE, dtype=np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return self.up[:n], self.down[:n]

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyleaf.llm.common import Powers
 from tallyleaf.llm.state import Scratch, components
 
 WIDTH = 5
@@ -33,39 +34,76 @@ PERCENT = 75
 EXTRA = 0.15
 SKETCH = 8
 CHUNK = 4_000_000
-#: Long lists: the table of their keys never exceeds this many entries.
-LONG_KEYS = 1 << 20
+#: Lists of this many nodes and more are long: probed, not merged, as far as possible.
+LONG = 24
+#: Which lists are long, and which have more than one entry, is kept in bitmaps of fixed size.
+KEY_BITS = 27
 BITMAP_BITS = 26
 PER_BUCKET = 4_000_000
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+class Shingler:
+    """Sorted 48-bit ids of texts' distinct 5-word shingles (ASCII capitals folded).
 
+    A text with fewer words has one, of its whole sequence; without words,
+    none.  Texts are hashed by the group, all words of a group at once.
+    """
 
-def shingles(text: str, memo: WordHash) -> np.ndarray:
-    """Sorted 48-bit ids of a text's distinct 5-word shingles (ASCII capitals folded).
+    GROUP = 1 << 19
 
-    A text with fewer words has one, of its whole sequence; without words, none.
-    """
-    words = text.encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=n)
-    width = min(n, WIDTH)
-    key = np.full(n - width + 1, width, dtype=np.uint64)
+    def __init__(self):
+        self.powers = Powers()
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[32, *range(9, 14)]] = True
+
+    def __call__(self, texts: list[str]):
+        held, size = [], 0
+        for text in texts:
+            held.append((text or "").encode().lower())
+            size += len(held[-1]) + 1
+            if size >= self.GROUP:
+                yield from self.group(held)
+                held, size = [], 0
+        if held:
+            yield from self.group(held)
+
+    def words(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start, and their hashes."""
+        gap = np.ones(len(b) + 2, dtype=bool)
+        gap[1:-1] = self.space[b]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        up, down = self.powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * down[:-1], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * up[starts]
+        h ^= h >> np.uint64(31)
+        h *= P2
+        h ^= h >> np.uint64(33)
+        return starts, h
+
+    def group(self, data: list[bytes]):
+        starts, h = self.words(np.frombuffer(b"\n".join(data), dtype=np.uint8))
+        begin = np.cumsum([0, *(len(d) + 1 for d in data)])
+        at = np.searchsorted(starts, begin).tolist()
+        five = mixed(h, WIDTH) if len(h) >= WIDTH else None
+        for lo, hi in zip(at, at[1:], strict=False):
+            n = hi - lo
+            if n >= WIDTH:
+                yield np.unique(five[lo : hi - WIDTH + 1])
+            else:
+                yield mixed(h[lo:hi], n) if n else np.empty(0, dtype=np.uint64)
+
+
+def mixed(h: np.ndarray, width: int) -> np.ndarray:
+    key = np.full(len(h) - width + 1, width, dtype=np.uint64)
     for k in range(width):
-        key = key * P1 + h[k : n - width + 1 + k]
+        key = key * P1 + h[k : len(h) - width + 1 + k]
     key ^= key >> np.uint64(32)
     key *= P2
     key ^= key >> np.uint64(29)
-    return np.unique(key >> np.uint64(16))
+    return key >> np.uint64(16)
 
 
 def signature(ids: np.ndarray) -> int:
@@ -98,79 +136,131 @@ def text_batches(batches, at: int):
         yield batch, [t or "" for t in batch.column(at).to_pylist()]
 
 
-def repeats(batches):
-    """(shingle, n) of shingles that repeat within a chunk, and the total under -1.
+def keys_by_range(ranges: int):
+    """All shingles of a chunk of nodes by range of their leading 36 bits.
 
-    A shingle in d nodes is missed at most once a chunk, so its sum is at
-    least d less the number of chunks.
+    A range holds the last 16 bits of each key in order, and how many keys
+    there are under each of the leading 20 bits: a little over two bytes a key.
     """
-    memo, held, size, total, seen = WordHash(), [], 0, 0, set()
 
-    def flush():
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["key", "n"])
+    def pack_chunk(held):
+        keys = np.sort(np.concatenate(held) >> np.uint64(12))
+        counts = np.bincount((keys >> np.uint64(16)).astype(np.int64), minlength=1 << 20)
+        low = (keys & np.uint64(0xFFFF)).astype("<u2")
+        ends = np.append(0, np.cumsum(counts.reshape(ranges, -1).sum(axis=1)))
+        counts = counts.astype("<u2").reshape(ranges, -1)
+        rows = [(r, counts[r].tobytes(), low[ends[r] : ends[r + 1]].tobytes()) for r in range(ranges) if ends[r] < ends[r + 1]]
+        r, c, k = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(r, type=pa.int32()), pa.array(c, type=pa.binary()), pa.array(k, type=pa.binary())], names=["range", "counts", "low"])
+
+    def run(batches):
+        shingles, held, size, seen = Shingler(), [], 0, set()
+        for _, texts in text_batches(batches, 0):
+            for ids in shingles(texts):
+                node = signature(ids)
+                if not len(ids) or node in seen:
+                    continue
+                seen.add(node)
+                held.append(ids)
+                size += len(ids)
+                if size >= CHUNK:
+                    yield pack_chunk(held)
+                    held, size = [], 0
+                    seen.clear()
+        if held:
+            yield pack_chunk(held)
+
+    return run
 
-    for _, texts in text_batches(batches, 0):
-        for text in texts:
-            ids = shingles(text, memo)
-            node = signature(ids)
-            if not len(ids) or node in seen:
-                continue
-            seen.add(node)
-            held.append(ids)
-            size += len(ids)
-            if size >= CHUNK:
-                yield flush()
-                total, held, size = total + size, [], 0
-                seen.clear()
-    if held:
-        yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([total + size])], names=["key", "n"])
 
+def measure_lists(ranges: int):
+    """Bitmaps of a range: lists with more than one entry, and long lists."""
+    width = (1 << KEY_BITS) // ranges
+
+    def run(table: pa.Table) -> pa.Table:
+        r = table.column("range")[0].as_py()
+        keys = []
+        for c, k in zip(table.column("counts").to_pylist(), table.column("low").to_pylist(), strict=True):
+            lead = np.repeat(np.arange(1 << 20 >> ranges.bit_length() - 1, dtype=np.uint32), np.frombuffer(c, dtype="<u2"))
+            keys.append((lead << np.uint32(16)) | np.frombuffer(k, dtype="<u2")) if len(lead) else None
+        keys = np.sort(np.concatenate(keys))
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.diff(np.append(start, len(keys)))
+        slot = (keys[start] >> np.uint32(36 - KEY_BITS)).astype(np.int64)
+        out = []
+        for least in (2, LONG):
+            bits = np.zeros(width, dtype=np.uint8)
+            bits[slot[n >= least]] = 1
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        return pa.table({"range": pa.array([r], type=pa.int32()), "repeated": pa.array([out[0]], type=pa.binary()), "long": pa.array([out[1]], type=pa.binary())})
 
-def describer(long_keys: np.ndarray):
-    """Rows (doc_id, node, n, mins, extra, merged); lists and sketch once for each node of a task."""
+    return run
+
+
+def list_bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, long) over all shingles of all documents, by their leading bits."""
+    ranges = 16
+    while ranges < min(1 << 16, 2 * docs.rdd.getNumPartitions()):
+        ranges *= 2
+    made = docs.select("text").mapInArrow(keys_by_range(ranges), "range int, counts binary, low binary").groupBy("range").applyInArrow(measure_lists(ranges), "range int, repeated binary, long binary")
+    both = np.zeros((2, (1 << KEY_BITS) // 8), dtype=np.uint8)
+    step = both.shape[1] // ranges
+    for row in made.toLocalIterator():
+        for k, part in enumerate((row["repeated"], row["long"])):
+            both[k, row["range"] * step : (row["range"] + 1) * step] = np.frombuffer(part, dtype=np.uint8)
+    return both[0], both[1]
+
+
+def held_by(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = (ids >> np.uint64(48 - KEY_BITS)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def describer(repeated: np.ndarray, long: np.ndarray):
+    """Rows (doc_id, node, n, odd, mins, extra, longs, merged); all but the first three once for each node of a task.
+
+    ``odd`` is the thousandths of a set that are not in long lists: in a large
+    group of near copies the text they were made from has the least.
+    """
 
     def run(batches):
-        memo, seen = WordHash(), set()
+        shingles, seen = Shingler(), set()
         for batch, texts in text_batches(batches, 1):
             rows = []
-            for text in texts:
-                ids = shingles(text, memo)
+            for ids in shingles(texts):
                 n = len(ids)
                 if not n:
-                    rows.append((None, 0, None, None, None))
+                    rows.append((None, 0, None, None, None, None, None))
                     continue
                 node = signature(ids)
                 if node in seen:
-                    rows.append((node, n, None, None, None))
+                    rows.append((node, n, None, None, None, None, None))
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                lists, extra = divide(ids, long_keys)
-                rows.append((node, n, lists[:SKETCH].astype(np.int64).tolist(), extra, pack(lists)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "node", "n", "mins", "extra", "merged"])
+                is_long, again = held_by(long, ids), held_by(repeated, ids)
+                lists, extra = divide(ids, is_long, again)
+                rows.append((node, n, 1000 * (n - int(is_long.sum())) // n, ids[again][:SKETCH].astype(np.int64).tolist(), extra, int(is_long.sum()), pack(lists)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "node", "n", "odd", "mins", "extra", "longs", "merged"])
 
     return run
 
 
-def divide(ids: np.ndarray, long_keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """The lists to merge, and how often beyond once a partner shows up in them."""
+def divide(ids: np.ndarray, is_long: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, int]:
+    """The lists to merge, and how often beyond once a partner shows up in them.
+
+    Lists with a single entry are among the merged but hold no partner.
+    """
     n = len(ids)
     need = n - required(n) + 1
-    if len(long_keys):
-        at = np.minimum(np.searchsorted(long_keys, ids), len(long_keys) - 1)
-        is_long = long_keys[at] == ids
-        short = ids[~is_long]
-        ordered = short if len(short) >= need else np.concatenate([short, ids[is_long]])
-    else:
-        short = ordered = ids
+    short = np.flatnonzero(~is_long)
+    order = short if len(short) >= need else np.concatenate([short, np.flatnonzero(is_long)])
     take = max(need, min(len(short), need + int(EXTRA * n)))
-    return ordered[:take], take - need
+    order = order[:take]
+    return ids[order[again[order]]], take - need
 
 
 def spread(buckets: int):
@@ -178,8 +268,8 @@ def spread(buckets: int):
 
     def run(batches):
         for batch in batches:
-            nodes, groups, sizes, extras = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            found = batch.column(4).to_pylist()
+            nodes, groups, sizes, extras, longs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            found = batch.column(5).to_pylist()
             if not found:
                 continue
             keys = unpack(b"".join(found))
@@ -192,7 +282,7 @@ def spread(buckets: int):
                 pick = order[ends[b] : ends[b + 1]]
                 if len(pick):
                     own, local = np.unique(ref[pick], return_inverse=True)
-                    rows.append((b, pack(keys[pick]), local.astype(np.uint32 if len(own) > 65_535 else np.uint16).tobytes(), np.stack([nodes[own], groups[own]]).tobytes(), np.stack([sizes[own].astype(np.int32), extras[own].astype(np.int32)]).tobytes()))
+                    rows.append((b, pack(keys[pick]), local.astype(np.uint32 if len(own) > 65_535 else np.uint16).tobytes(), np.stack([nodes[own], groups[own]]).tobytes(), np.stack([x[own].astype(np.int32) for x in (sizes, extras, longs)]).tobytes()))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int32()), *(pa.array(c, type=pa.binary()) for c in columns[1:])], names=["bucket", "keys", "refs", "nodes", "facts"])
 
@@ -202,18 +292,26 @@ def spread(buckets: int):
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("extra", pa.int32()), ("n", pa.int64())])
 
 
-def merge(table: pa.Table) -> pa.Table:
-    """Pairs of nodes from different groups that share lists of a bucket, with counts."""
+def merger(long: np.ndarray):
+    return lambda table: merge(table, long)
+
+
+def merge(table: pa.Table, long: np.ndarray) -> pa.Table:
+    """Pairs of nodes from different groups that share lists of a bucket, with counts.
+
+    Nodes that merge long lists have merged all their short ones; if they
+    share none of these, their overlap is at most that of their long lists.
+    """
     keys, refs, nodes, facts, base = [], [], [], [], 0
     for k, r, d, f in zip(*(table.column(c).to_pylist() for c in ("keys", "refs", "nodes", "facts")), strict=True):
         keys.append(unpack(k))
         refs.append(np.frombuffer(r, dtype=np.uint16 if len(r) == 2 * len(keys[-1]) else np.uint32).astype(np.int64) + base)
         nodes.append(np.frombuffer(d, dtype=np.int64).reshape(2, -1))
-        facts.append(np.frombuffer(f, dtype=np.int32).reshape(2, -1))
+        facts.append(np.frombuffer(f, dtype=np.int32).reshape(3, -1))
         base += nodes[-1].shape[1]
     key, ref = np.concatenate(keys), np.concatenate(refs)
     node, group = np.concatenate(nodes, axis=1)
-    size, extra = np.concatenate(facts, axis=1)
+    size, extra, longs = np.concatenate(facts, axis=1)
     del keys, refs, nodes, facts
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -228,6 +326,7 @@ def merge(table: pa.Table) -> pa.Table:
     first[1:] = (key[1:] != key[:-1]) | (node[ref[1:]] != node[ref[:-1]])
     key, ref = key[first], ref[first]
     key, ref = across(key, ref, group)
+    is_long = held_by(long, key)
     out = []
     live, step = np.arange(len(key)), 1
     held: list[np.ndarray] = []
@@ -238,7 +337,8 @@ def merge(table: pa.Table) -> pa.Table:
         ok = (key[i] == key[j]) & (100 * size[ref[i]].astype(np.int64) >= PERCENT * size[ref[j]].astype(np.int64))
         live = live[ok]
         i, j = ref[live], ref[live + step]
-        differ = group[i] != group[j]
+        most = np.minimum(longs[i], longs[j]).astype(np.int64)
+        differ = (group[i] != group[j]) & (~is_long[live] | ((100 + PERCENT) * most >= PERCENT * (size[i].astype(np.int64) + size[j])))
         if differ.any():
             held.append(np.stack([i[differ], j[differ]]))
             count += int(differ.sum())
@@ -278,11 +378,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     small = bits_of_nodes(wanted)
 
     def run(batches):
-        memo, seen = WordHash(), set()
+        shingles, seen = Shingler(), set()
         for _, texts in text_batches(batches, 0):
             nodes, found = [], []
-            for text in texts:
-                ids = shingles(text, memo)
+            for ids in shingles(texts):
                 if not len(ids):
                     continue
                 node = signature(ids)
@@ -312,13 +411,12 @@ def bits_of_nodes(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link: the smaller set is probed into the larger."""
-    sets = sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    wanted = pairs.select(F.col("b").alias("node")).distinct()
-    once = lambda side: sets.join(side, "node", "left_semi").groupBy("node").agg(F.first("ids").alias("ids"))
-    right = once(wanted).select(F.col("node").alias("b"), F.col("ids").alias("ids_b"))
-    left = once(pairs.select(F.col("a").alias("node")).distinct()).select(F.col("node").alias("a"), F.col("ids").alias("ids_a"))
+    wanted = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = scratch.keep(sets_of(docs, wanted).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("ids").alias("ids")))
+    right = sets.select(F.col("node").alias("b"), F.col("ids").alias("ids_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("ids").alias("ids_a"))
 
     def run(batches):
         for batch in batches:
@@ -329,7 +427,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(linked(int((y[at] == x).sum()), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ids_a", "ids_b").mapInArrow(run, "a long, b long")
+    found = scratch.keep(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ids_a", "ids_b").mapInArrow(run, "a long, b long"))
+    scratch.drop(wanted, sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -342,41 +442,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngram-join")
-    repeated = scratch.keep(docs.select("text").mapInArrow(repeats, "key long, n long"))
-    total = repeated.where("key = -1").agg(F.sum("n")).first()[0] or 0
-    bound = max(64, math.ceil(2 * total / LONG_KEYS))
-    long_keys = np.sort(np.array([r.key for r in repeated.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).toLocalIterator()], dtype=np.uint64))
-    scratch.drop(repeated)
-
-    known = scratch.keep(docs.mapInArrow(describer(long_keys), "doc_id long, node long, n long, mins array<long>, extra int, merged binary"))
-    nodes = known.where("merged is not null").select("node", "n", "mins", "extra", "merged")
-
-    # first round: each node against the least node of its sketch's lists
-    listed = nodes.select("node", "n", F.explode("mins").alias("key"))
-    least = listed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("most")).where("least.node < most")
+    repeated, long = list_bitmaps(docs)
+    known = scratch.keep(docs.mapInArrow(describer(repeated, long), "doc_id long, node long, n long, odd int, mins array<long>, extra int, longs int, merged binary"))
+    nodes = known.where("merged is not null").select("node", "n", "odd", "mins", "extra", "longs", "merged")
+
+    # first round: each node against the most typical nodes of its sketch's lists
+    listed = nodes.select("node", "n", "odd", F.explode("mins").alias("key"))
+    hubs = listed.groupBy("key").agg(F.min(F.struct("odd", "node", "n")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "hub")
     stars = (
-        listed.join(least, "key")
-        .where("node > least.node")
-        .where(f"100 * least(n, least.n) >= {PERCENT} * greatest(n, least.n)")
-        .groupBy(F.col("node").alias("b"))
-        .agg(F.slice(F.array_sort(F.collect_set("least.node")), 1, 2).alias("a"))
-        .select(F.explode("a").alias("a"), "b")
+        listed.join(hubs, "key")
+        .where("node <> hub.node")
+        .where(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)")
+        .groupBy("node")
+        .agg(F.slice(F.array_sort(F.collect_set("hub")), 1, 3).alias("hubs"))
+        .select("node", F.explode("hubs.node").alias("hub"))
+        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .distinct()
     )
     stars = scratch.keep(stars)
-    first = scratch.keep(verify(stars, docs))
+    first = verify(stars, docs, scratch)
     groups = components(first, scratch)
 
     # second round: count shared lists across groups
-    postings = nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "n", "extra", "merged")
-    buckets = max(8, math.ceil(0.42 * total / PER_BUCKET))
-    merged = postings.mapInArrow(spread(buckets), "bucket int, keys binary, refs binary, nodes binary, facts binary").groupBy("bucket").applyInArrow(merge, "a long, b long, extra int, n long")
+    postings = nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "n", "extra", "longs", "merged")
+    total = nodes.agg(F.sum(F.octet_length("merged"))).first()[0] or 0
+    buckets = max(2, math.ceil(total / 6 / PER_BUCKET))
+    merged = postings.mapInArrow(spread(buckets), "bucket int, keys binary, refs binary, nodes binary, facts binary").groupBy("bucket").applyInArrow(merger(long), "a long, b long, extra int, n long")
     pairs = merged.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("extra").alias("extra")).where("n > extra").select("a", "b")
     pairs = scratch.keep(pairs.join(stars, ["a", "b"], "left_anti"))
-    second = scratch.keep(verify(pairs, docs))
+    second = verify(pairs, docs, scratch)
     labels = components(first.unionByName(second), scratch)
 
     ids = known.where("node is not null").select("doc_id", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = ids.join(lowest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = known.where("node is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty)
+    result = scratch.keep(out.unionByName(empty))
+    scratch.drop(known, stars, pairs, first, second)
+    return result

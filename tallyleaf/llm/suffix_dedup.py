@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyleaf.llm.common import STEP, Powers
 from tallyleaf.llm.state import Scratch
 
 LENGTH = 200
@@ -36,21 +37,6 @@ BUCKET_BYTES = 4_000_000
 HOT = 20_000
 FLUSH = 2_000_000
 LOW24 = np.uint64((1 << 24) - 1)
-STEP = 0x9E3779B97F4A7C15
-STEP_INVERSE = pow(STEP, -1, 1 << 64)
-
-
-class Powers:
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 17)
-            up, down = np.full(size, STEP, dtype=np.uint64), np.full(size, STEP_INVERSE, dtype=np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        return self.up[:n], self.down[:n]
 
 
 def gram_hashes(b: np.ndarray, powers: Powers) -> np.ndarray:
