@@ -105,3 +105,19 @@ def scorer(model: dict, threshold: float):
 def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     """A score in [0, 1] for every row; an empty or null text has its shape features only."""
     return map_texts(docs, scorer(model, threshold), "score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold; texts do not move."""
+    import pyarrow as pa
+
+    start = scorer(model, threshold)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        rows = start()
+        for batch in batches:
+            keep = [bool(p) for _, p in rows([t or "" for t in batch.column(at).to_pylist()])]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
