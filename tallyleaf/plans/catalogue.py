@@ -4,12 +4,529 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tallyleaf.functions import extract as X
+from tallyleaf.functions import text as T
+from tallyleaf.functions import values as V
+from tallyleaf.operators import dataset, detections, fusion, layout, raster, validate
+from tallyleaf.plans import render
+from tallyleaf.plans.render import BASE_SQL, MONEY_SQL, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def cents_sql(c: str) -> str:
+    return MONEY_SQL.format(c)
+
+
+TOTAL_SQL = cents_sql("CASE WHEN r = 5 THEN total_c + 3 ELSE total_c END")
+NO_TAX = "r = 2 AND tax_c = 0"
+TAX_SQL = f"CASE WHEN {NO_TAX} THEN '' ELSE {cents_sql('tax_c')} END"
+RECORD_SQL = f"""SELECT k AS doc_id, CASE WHEN r = 1 THEN '增值税专用发票' ELSE '增值税普通发票' END AS invoice_type, invoice_code, invoice_no, invoice_date,
+  buyer_name, CASE WHEN r = 4 THEN '' ELSE buyer_tax_id END AS buyer_tax_id, seller_name, seller_tax_id,
+  {TOTAL_SQL} AS total, {cents_sql("amount_c")} AS amount, {TAX_SQL} AS tax, lpad(invoice_no, 20, '7') AS checksum, drawer FROM base"""
+CHECK_SQL = f"CASE WHEN {NO_TAX} THEN 'ok' WHEN r = 5 THEN 'warning' ELSE 'ok' END"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.parse(render.texts(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+# ---- invoices: text to record to checks ----
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT k AS doc_id, invoice_no, invoice_date, buyer_name, {cents_sql('amount_c')} AS amount, {cents_sql('tax_c')} AS tax, {TOTAL_SQL} AS total, "
+    "CAST(CASE WHEN r = 2 THEN 4 ELSE 6 END AS BIGINT) AS n_filled, CASE WHEN r = 5 THEN 'warning' WHEN r = 2 THEN 'ok' ELSE 'ok' END AS amount_check FROM base WHERE r <> 2"
+)
+def invoice_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = render.texts(spark, sf_dir).where("r <> 2").withColumn("norm", T.normalize(F.col("text")))
+    names = ("invoice_no", "invoice_date", "buyer_name", "amount", "tax", "total")
+    df = df.withColumns({f: X.first_match(F.col("norm"), V.PRIMARY[f]) for f in names})
+    filled = sum((F.when(F.col(f) != "", 1).otherwise(0) for f in names), F.lit(0)).cast("bigint")
+    gap = F.abs(T.cents(F.col("amount")) + T.cents(F.col("tax")) - T.cents(F.col("total")))
+    return df.select("doc_id", *names, filled.alias("n_filled"), F.when(gap <= 2, "ok").otherwise("warning").alias("amount_check"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, invoice_code, invoice_no, invoice_date, buyer_name, {TOTAL_SQL} AS total, drawer FROM base")
+def field_primary_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fusion.primary(render.texts(spark, sf_dir))
+    return df.select("doc_id", "invoice_code", "invoice_no", "invoice_date", "buyer_name", "total", "drawer")
+
+
+@query(f"WITH {BASE_SQL} {RECORD_SQL}")
+def field_fusion_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir)
+
+
+@query(
+    f"""WITH {BASE_SQL}, rec AS ({RECORD_SQL}) SELECT doc_id, CAST(sum(CASE WHEN v <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_filled FROM (
+  SELECT doc_id, unnest([invoice_type, invoice_code, invoice_no, invoice_date, buyer_name, buyer_tax_id, seller_name, seller_tax_id, total, amount, tax, checksum, drawer]) AS v FROM rec) GROUP BY doc_id"""
+)
+def completion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("doc_id", F.round(fusion.completion() * 13, 0).cast("bigint").alias("n_filled"))
+
+
+@query(
+    f"""WITH {BASE_SQL} SELECT k AS doc_id, 'ok' AS invoice_no, 'ok' AS seller_tax_id,
+  CASE WHEN r = 4 THEN 'optional' ELSE 'ok' END AS buyer_tax_id, CASE WHEN d < DATE '2000-01-01' THEN 'warning' ELSE 'ok' END AS invoice_date, {CHECK_SQL} AS total,
+  CASE WHEN {NO_TAX} THEN 'optional' WHEN r = 5 THEN 'warning' ELSE 'ok' END AS tax FROM base"""
+)
+def validate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = validate.validate(records(spark, sf_dir))
+    return v.select("doc_id", *[F.col(f"checks.{f}.level").alias(f) for f in ("invoice_no", "seller_tax_id", "buyer_tax_id", "invoice_date", "total", "tax")])
+
+
+@query(
+    f"""WITH {BASE_SQL}, lv AS (SELECT unnest([{{'field': 'buyer_tax_id', 'level': CASE WHEN r = 4 THEN 'optional' ELSE 'ok' END}},
+  {{'field': 'invoice_date', 'level': CASE WHEN d < DATE '2000-01-01' THEN 'warning' ELSE 'ok' END}}, {{'field': 'total', 'level': {CHECK_SQL}}},
+  {{'field': 'amount', 'level': {CHECK_SQL}}}, {{'field': 'tax', 'level': CASE WHEN {NO_TAX} THEN 'optional' WHEN r = 5 THEN 'warning' ELSE 'ok' END}}]) AS x FROM base
+  UNION ALL SELECT {{'field': f, 'level': 'ok'}} FROM base, (SELECT unnest(['invoice_type', 'invoice_code', 'invoice_no', 'buyer_name', 'seller_name', 'seller_tax_id', 'checksum', 'drawer']) AS f))
+  SELECT x.field AS field, x.level AS level, count(*) AS n FROM lv GROUP BY ALL"""
+)
+def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.long_checks(records(spark, sf_dir), "doc_id").groupBy("field", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT k AS doc_id, CASE k % 5 WHEN 0 THEN '增值税电子普通发票' WHEN 1 THEN '电子发票' WHEN 2 THEN '增值税专用发票' WHEN 3 THEN '增值税普通发票' ELSE '' END AS invoice_type FROM base"
+)
+def invoice_type_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ("上海增值税电子普通发票", "电子普通发票", "北京增值税专用发票", "增值税普通发票", "收据")
+    f = render.facts(spark, sf_dir)
+    norm = T.normalize(F.get(F.array(*map(F.lit, heads)), (F.col("doc_id") % 5).cast("int")))
+    return f.select("doc_id", X.invoice_type(F.lit(""), norm).alias("invoice_type"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN invoice_no WHEN k % 3 = 1 THEN invoice_no ELSE '3' || lpad(CAST(k AS VARCHAR), 9, '0') END AS invoice_no FROM base")
+def number_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    k = F.col("doc_id")
+    long = F.concat(F.lit("3"), F.lpad(k.cast("string"), 9, "0"))
+    text = F.when(k % 3 == 0, F.concat(F.lit("No"), F.col("f_no"))).when(k % 3 == 1, F.concat(F.lit("20230101 "), F.lit("x\n"), F.col("f_no"))).otherwise(F.concat(F.lit("20230101\n"), long))
+    return f.select("doc_id", X.fallback_number(T.normalize(text)).alias("invoice_no"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN k % 2 = 0 THEN invoice_code ELSE substr(invoice_code, 1, 11) || CAST((CAST(substr(invoice_code, 12, 1) AS INT) + 1) % 10 AS VARCHAR) END AS invoice_code FROM base")
+def code_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    code = F.col("f_code")
+    twin = F.concat(F.substring(code, 1, 11), ((F.substring(code, 12, 1).cast("int") + 1) % 10).cast("string"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2000123456\n"), code, F.lit("\n12345678"))).otherwise(F.concat_ws("\n", code, F.lit("9876543210"), twin))
+    return f.select("doc_id", X.fallback_code(T.normalize(text)).alias("invoice_code"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN d < DATE '2000-01-01' THEN '' WHEN k % 4 = 3 THEN '' ELSE invoice_date END AS invoice_date FROM base")
+def date_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    parts = F.split(F.col("f_date"), "[年月日]")
+    y, m, d = (F.get(parts, F.lit(k)) for k in range(3))
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("开票日期:"), y, F.lit(" 年 "), m, F.lit(" 月 "), d)).when(k == 1, F.concat_ws("-", y, m, d)).when(k == 2, F.concat(F.lit("x "), y, m, d)).otherwise(F.concat(y, F.lit("-13-"), d))
+    return f.select("doc_id", X.fallback_date(T.normalize(text)).alias("invoice_date"))
+
+
+@query("""SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS run FROM documents) WHERE regexp_full_match(run, '[0-9]{6,20}') GROUP BY ALL""")
+def digit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.number_candidates(F.col("text"))).alias("run"))
+    return docs.groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, {cents_sql('amount_c')} AS amount, {cents_sql('tax_c')} AS tax FROM base WHERE tax_c > 0")
+def amount_tax_two_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir).where("tax_c > 0")
+    a, x, t = (T.money(F.col(c)) for c in ("amount_c", "tax_c", "total_c"))
+    norm = T.normalize(F.concat_ws("\n", x, F.lit("单号 20230101"), a, t))
+    df = f.withColumn("s", X.infer_amount_tax(norm, t))
+    return df.select("doc_id", T.money(F.col("s.amount")).alias("amount"), T.money(F.col("s.tax")).alias("tax"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, (amount_c * 200 + 100 + (k % 17 + 1)) // (2 * (100 + k % 17 + 1)) AS amount_c, amount_c - (amount_c * 200 + 100 + (k % 17 + 1)) // (2 * (100 + k % 17 + 1)) AS tax_c FROM base")
+def tax_rate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    norm = F.concat(F.lit("税率"), (F.col("doc_id") % 17 + 1).cast("string"), F.lit("%"))
+    s = f.withColumn("s", X.infer_amount_tax(norm, T.money(F.col("amount_c"))))
+    return s.select("doc_id", F.col("s.amount").alias("amount_c"), F.col("s.tax").alias("tax_c"))
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT k AS doc_id, '9' || lpad(CAST(k AS VARCHAR), 19, '0') AS invoice_no, buyer_tax_id, buyer_name, seller_tax_id, seller_name, {cents_sql('amount_c')} AS amount, {cents_sql('tax_c')} AS tax, {cents_sql('total_c')} AS total, drawer FROM base WHERE tax_c > 0"
+)
+def pdf_tail_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir).where("tax_c > 0")
+    long = F.concat(F.lit("9"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
+    parts = [F.lit("购买方信息"), F.lit("开票人:"), long, F.col("f_buyer_id"), F.col("f_buyer"), F.col("f_seller_id"), F.col("f_seller"), T.money(F.col("amount_c")), T.money(F.col("tax_c")), F.lit("壹佰圆整"), F.concat(F.lit("¥"), T.money(F.col("total_c"))), F.col("f_drawer")]
+    blank = f.select("doc_id", F.concat_ws("\n", *parts).alias("text")).withColumns({c: F.lit("") for c in V.FIELDS})
+    out = fusion.tail_values(blank)
+    return out.select("doc_id", "invoice_no", "buyer_tax_id", "buyer_name", "seller_tax_id", "seller_name", "amount", "tax", "total", "drawer")
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, seller_tax_id, seller_name FROM base WHERE r = 3")
+def agent_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = render.texts(spark, sf_dir).where("r = 3")
+    return t.select("doc_id", X.agent_tax(T.normalize(F.col("text"))).alias("seller_tax_id"), X.agent_name(F.col("text")).alias("seller_name"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN r = 4 THEN '' ELSE buyer_tax_id END AS buyer_tax_id, seller_tax_id FROM base")
+def buyer_seller_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = render.texts(spark, sf_dir).withColumn("buyer_tax_id", X.buyer_tax(F.col("text")))
+    return t.select("doc_id", "buyer_tax_id", X.seller_tax(F.col("text"), F.col("buyer_tax_id")).alias("seller_tax_id"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, buyer_name, seller_name FROM base WHERE r <> 3")
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = render.texts(spark, sf_dir).where("r <> 3").withColumn("buyer_name", X.buyer_name(F.col("text")))
+    # the block before 货物 holds the buyer alone
+    return t.select("doc_id", "buyer_name", X.seller_name(F.col("text"), F.col("buyer_name")).alias("seller_name"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, drawer FROM base")
+def drawer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.texts(spark, sf_dir).select("doc_id", X.drawer_near_label(F.col("text")).alias("drawer"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) >= 30 THEN 'text' ELSE 'ocr' END AS route, CAST(length(text) AS BIGINT) AS n_chars FROM documents"""
+)
+def routing_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    long = F.char_length(F.regexp_replace("text", "\\s+", "")) >= 30
+    out = docs.where(long).withColumn("route", F.lit("text")).unionByName(docs.where(~long).withColumn("route", F.lit("ocr")))
+    return out.select("doc_id", "route", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, r <> 1 AS suitable FROM base")
+def detector_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.texts(spark, sf_dir).select("doc_id", T.is_detector_suitable(F.col("text")).alias("suitable"))
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) WHERE trim(line) <> ''")
+def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.where(F.trim("line") != "").select("doc_id", F.col("line_no").cast("bigint"), "line")
+
+
+# ---- lines with boxes ----
+
+POINTS_SQL = """pts AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1 AS line_no,
+  l_quantity * 20 AS x1, l_quantity * 20 + 60 AS x2, CAST(datediff('day', DATE '1995-01-01', l_shipdate) % 800 AS DOUBLE) AS y1, CAST(datediff('day', DATE '1995-01-01', l_shipdate) % 800 AS DOUBLE) + 20 AS y2,
+  l_returnflag AS flag, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
+  p AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM pts)"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as lines with boxes: quantity gives x, the ship date gives y."""
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    y = (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) % 800).cast("double")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    text = F.concat(F.when(F.col("l_returnflag") == "R", "税额 ").otherwise(""), T.money(cents))
+    return li.select(
+        F.col("l_orderkey").alias("doc_id"),
+        (F.row_number().over(w) - 1).alias("line_no"),
+        text.alias("text"),
+        (90 + F.col("l_orderkey") % 10).cast("double").alias("score"),
+        (F.col("l_quantity") * 20).alias("x1"),
+        y.alias("y1"),
+        (F.col("l_quantity") * 20 + 60).alias("x2"),
+        (y + 20).alias("y2"),
+        F.col("l_returnflag").alias("flag"),
+        cents.alias("cents"),
+    )
+
+
+@query(f"WITH {POINTS_SQL} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, line_no) - 1 AS place FROM p")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.reading_order(points(spark, sf_dir)).select("doc_id", F.col("line_no").cast("bigint"), F.col("place").cast("bigint"))
+
+
+@query(
+    f"""WITH {POINTS_SQL}, m AS (SELECT v.doc_id, v.line_no, l.line_no AS l_no, abs(v.cy - l.cy) + greatest(0, v.cx - l.cx) + CASE WHEN abs(v.cy - l.cy) <= 80 AND v.cx >= l.cx - 40 THEN 0 ELSE 120 END AS distance
+  FROM p l JOIN p v ON l.doc_id = v.doc_id AND l.line_no <> v.line_no AND l.flag = 'R' AND v.flag <> 'R'
+  AND ((abs(v.cy - l.cy) <= 80 AND v.cx >= l.cx - 40) OR (v.cy - l.cy > 0 AND v.cy - l.cy <= 160 AND abs(v.cx - l.cx) <= 320)))
+  SELECT doc_id, line_no, CAST(distance AS BIGINT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, l_no, line_no) AS n FROM m) WHERE n = 1"""
+)
+def nearest_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_label = lambda c: F.contains(c, F.lit("税额"))
+    best = layout.nearest_value(points(spark, sf_dir), is_label(F.col("l_text")), ~is_label(F.col("v_text")))
+    return best.select("doc_id", F.col("line_no").cast("bigint"), F.col("distance").cast("bigint"))
+
+
+@query(
+    f"""WITH {POINTS_SQL}, m AS (SELECT v.doc_id, v.line_no, l.line_no AS l_no, 2 * abs(v.cx - l.cx) + abs(v.cy - l.cy) AS distance
+  FROM p l JOIN p v ON l.doc_id = v.doc_id AND l.flag = 'R' AND v.cy > l.cy AND v.cy - l.cy <= 420 AND abs(v.cx - l.cx) <= 150)
+  SELECT doc_id, line_no, CAST(distance AS BIGINT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, l_no, line_no) AS n FROM m) WHERE n = 1"""
+)
+def below_column_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = layout.column_value(points(spark, sf_dir), F.contains("l_text", F.lit("税额")), F.lit(True), 1000.0)
+    return best.select("doc_id", F.col("line_no").cast("bigint"), F.col("distance").cast("bigint"))
+
+
+def boxed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered texts as lines, forty pixels apart, amount and tax on one row."""
+    t = render.texts(spark, sf_dir).where("r <> 5").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    tax_row = F.contains("text", F.lit("税额"))
+    y = (F.when(tax_row, F.col("line_no") - 1).otherwise(F.col("line_no")) * 40).cast("double")
+    x = F.when(tax_row, 500.0).otherwise(100.0)
+    return t.select("doc_id", "line_no", "text", (90 + F.col("doc_id") % 10).cast("double").alias("score"), x.alias("x1"), y.alias("y1"), (x + 200).alias("x2"), (y + 20).alias("y2"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, amount_c AS amount, tax_c AS tax, total_c AS total FROM base WHERE r NOT IN (2, 5) AND tax_c > 0")
+def amount_tax_total_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = boxed_lines(spark, sf_dir)
+    full = render.facts(spark, sf_dir).where("r not in (2, 5) and tax_c > 0").select("doc_id")
+    return layout.amount_tax_total(lines.join(full, "doc_id", "left_semi"), 640.0, 800.0)
+
+
+@query(
+    f"""WITH {BASE_SQL}, g AS (SELECT k AS doc_id, 200.0 AS buyer, CASE WHEN r = 4 THEN 240.0 ELSE 280.0 END AS stop, CASE WHEN r = 4 THEN 360.0 ELSE 400.0 END AS total FROM base WHERE r <> 5)
+  SELECT doc_id, CAST(buyer - 12.8 AS VARCHAR) AS buyer_start, CAST(CAST(stop AS BIGINT) AS VARCHAR) AS buyer_end, CAST(CAST(least(371.2, total) * 10 AS BIGINT) AS VARCHAR) AS seller_start FROM g"""
+)
+def region_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = layout.regions(boxed_lines(spark, sf_dir), 640.0)
+    return r.select("doc_id", F.round("buyer_start", 1).cast("string").alias("buyer_start"), F.col("buyer_end").cast("bigint").cast("string").alias("buyer_end"), F.round(F.col("seller_start") * 10).cast("bigint").cast("string").alias("seller_start"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, buyer_name, seller_name, drawer, {cents_sql('total_c')} AS total FROM base WHERE r IN (0, 2, 4)")
+def layout_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = render.facts(spark, sf_dir).where("r in (0, 2, 4)").select("doc_id")
+    rec = records(spark, sf_dir).join(keep, "doc_id", "left_semi")
+    out = layout.refine(rec, boxed_lines(spark, sf_dir).join(keep, "doc_id", "left_semi"), 640.0, 800.0)
+    return out.select("doc_id", "buyer_name", "seller_name", "drawer", "total")
+
+
+# ---- detections ----
+
+CROPS_SQL = """crops AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1 AS det_no,
+  CASE l_returnflag WHEN 'A' THEN 'amount' WHEN 'N' THEN 'tax' ELSE 'total' END AS field, l_quantity AS confidence, CAST(l_partkey % 700 AS INT) AS x1, CAST(l_suppkey % 900 AS INT) AS y1,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)"""
+
+
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    flag = F.col("l_returnflag")
+    x, y = (F.col("l_partkey") % 700).cast("int"), (F.col("l_suppkey") % 900).cast("int")
+    return li.select(
+        F.col("l_orderkey").alias("doc_id"),
+        (F.row_number().over(w) - 1).alias("det_no"),
+        F.when(flag == "A", "amount").when(flag == "N", "tax").otherwise("total").alias("field"),
+        F.col("l_quantity").alias("confidence"),
+        x.alias("x1"),
+        y.alias("y1"),
+        (x + 80).alias("x2"),
+        (y + 30).alias("y2"),
+        T.money(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("text"),
+        F.lit(90.0).alias("ocr_confidence"),
+    )
+
+
+@query(f"WITH {CROPS_SQL} SELECT doc_id, field, CAST(det_no AS BIGINT) AS det_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, det_no) AS n FROM crops) WHERE n = 1")
+def detector_best_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections.best_per_field(crops(spark, sf_dir)).select("doc_id", "field", F.col("det_no").cast("bigint"))
+
+
+@query(
+    f"""WITH {CROPS_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence + 15 + 4.5 + (y1 + 15) / 1000.0 * 35 + 25 DESC, det_no) AS n FROM crops WHERE field = 'total') WHERE n = 1)
+  SELECT doc_id, CAST(det_no AS BIGINT) AS det_no FROM t"""
+)
+def crop_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detections.resolve(crops(spark, sf_dir), 1000.0)
+    return out.where("field = 'total'").select("doc_id", F.col("det_no").cast("bigint"))
+
+
+@query()
+def crop_resolve_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections.resolve(crops(spark, sf_dir), 1000.0).select("doc_id", "field", F.col("det_no").cast("bigint"), "text")
+
+
+@query(
+    """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'invoice_no' ELSE 'total' END AS field, CAST(CASE WHEN p_size <= 1 THEN p_size * 100 ELSE p_size END AS BIGINT) AS confidence,
+  CAST(least(799, p_size * 10) AS BIGINT) AS x1, CAST(least(800, CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 + 50 ELSE p_size * 20 END) AS BIGINT) AS x2 FROM part"""
+)
+def detections_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    label = F.when(k % 2 == 0, "invoice_number").otherwise("价税合计")
+    near, far = F.array(s * 10, s, s * 20, s + 40).cast("array<double>"), F.array(s * 10, s, F.lit(50), F.lit(40)).cast("array<double>")
+    a = F.to_json(F.struct(F.array(F.struct(label.alias("label"), s.cast("double").alias("confidence"), near.alias("box"))).alias("detections")))
+    b = F.to_json(F.array(F.struct(label.alias("name"), s.cast("double").alias("score"), far.alias("bbox"), F.lit("xywh").alias("bbox_format"))))
+    payload = p.select(k.alias("doc_id"), F.when(k % 3 == 0, b).otherwise(a).alias("payload"))
+    out = detections.from_json(payload, "payload", 800, 600)
+    return out.select("doc_id", "field", F.col("confidence").cast("bigint"), F.col("x1").cast("bigint"), F.col("x2").cast("bigint"))
+
+
+@query("SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) FILTER (l_quantity = best) AS BIGINT) AS variant_no, CAST(any_value(best) AS BIGINT) AS score, count(*) AS n_candidates FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM lineitem) GROUP BY l_orderkey")
+def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("variant_no"), F.col("l_quantity").alias("score"))
+    b = detections.best_variant(r)
+    return b.select("doc_id", F.col("variant_no").cast("bigint"), F.col("score").cast("bigint"), F.size("candidates").cast("bigint").alias("n_candidates"))
+
+
+@query("SELECT event_type, CAST(round(coalesce(avg(v) FILTER (v >= 0), 0) * 100) AS BIGINT) AS mean_cents FROM (SELECT event_type, CAST(value AS DOUBLE) - 50 AS v FROM events) GROUP BY event_type")
+def avg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("value") - 50).alias("v"))
+    m = detections.mean_confidence(e, "v", "event_type")
+    return m.select("event_type", F.round(F.col("average_confidence") * 100).cast("bigint").alias("mean_cents"))
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS bucket, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.from_json("props", "k bigint").alias("p"))
+    return e.groupBy((F.col("p.k") % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- dataset building ----
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice_date' ELSE 'total' END AS class, CAST(o_custkey AS VARCHAR) AS text FROM orders WHERE o_orderkey % 3 <> 0"""
+)
+def kie_link_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    k = F.col("o_orderkey")
+    pts = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((10, 10), (60, 10), (60, 30), (10, 30))])
+    no_links = F.array().cast("array<array<int>>")
+    node = lambda i, text, label, link: F.struct(F.lit(i).alias("id"), text.alias("transcription"), F.lit(label).alias("label"), link.alias("linking"), pts.alias("points"))
+    q = node(1, F.when(k % 2 == 0, "开叠日期：").otherwise("价税合计"), "question", F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), F.lit(3))))
+    a = node(2, F.col("o_custkey").cast("string"), "answer", no_links)
+    h = node(3, F.lit("other"), "header", no_links)
+    lines = o.select(F.concat(k.cast("string"), F.lit("\t"), F.to_json(F.array(q, a, h))).alias("value"))
+    out = dataset.convert(dataset.parse_annotations(lines), F.lit(800.0), F.lit(600.0))
+    return out.select(F.col("image").cast("bigint").alias("doc_id"), "class", "text")
+
+
+@query("""SELECT p_partkey AS doc_id, CAST(p_partkey % 13 AS BIGINT) AS cls, CAST(p_size AS BIGINT) AS x1, CAST(p_size + 40 AS BIGINT) AS x2 FROM part""")
+def yolo_label_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    s = F.col("p_size").cast("double")
+    line = dataset.clipped_line((F.col("p_partkey") % 13).cast("int"), s, s + 5, s + 40, s + 35, F.lit(800.0), F.lit(600.0))
+    parsed = dataset.corners(dataset.parse_labels(p.select(F.col("p_partkey").alias("doc_id"), line.alias("value"))), F.lit(800.0), F.lit(600.0))
+    return parsed.select("doc_id", F.col("cls").cast("bigint"), F.round("x1").cast("bigint").alias("x1"), F.round("x2").cast("bigint").alias("x2"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id")
+def incremental_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.without_existing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 >= floor((SELECT count(*) FROM documents) * 0.8) THEN 'val' ELSE 'train' END AS split FROM documents")
+def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.split_by_place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.2).select("doc_id", "split")
+
+
+@query("SELECT i AS sample, p_partkey FROM range(5000) t(i) JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) ON n = i % (SELECT count(*) FROM part)")
+def cyclic_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.replicate(spark, table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 5000).select("sample", "p_partkey")
+
+
+@query(
+    """SELECT c.class, CAST(c.class_id AS BIGINT) AS class_id, coalesce(n, 0) AS images FROM (SELECT unnest(['invoice_type', 'invoice_code', 'invoice_no', 'invoice_date', 'checksum', 'buyer_name', 'buyer_tax_id', 'seller_name', 'seller_tax_id', 'amount', 'tax', 'total', 'drawer']) AS class, unnest(range(13)) AS class_id) c
+  LEFT JOIN (SELECT CASE l_returnflag WHEN 'A' THEN 'amount' WHEN 'N' THEN 'tax' ELSE 'total' END AS class, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) f ON f.class = c.class"""
+)
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dataset.class_counts(crops(spark, sf_dir), "doc_id", "field")
+    return out.select("class", F.col("class_id").cast("bigint"), "images")
+
+
+@query("SELECT event_type AS run, CAST(max(m) AS BIGINT) AS metric, min(event_id) FILTER (m = best) AS epoch FROM (SELECT event_type, event_id, floor(value) AS m, max(floor(value)) OVER (PARTITION BY event_type) AS best FROM events) GROUP BY event_type")
+def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("epoch"), F.floor("value").alias("metrics/mAP50-95(B)"))
+    best = dataset.best_epochs(e.withColumnRenamed(dataset.metric_column(e.columns), "metric"), "run", "epoch", "metric", "epoch")
+    return best.select("run", F.col("metric").cast("bigint"), "epoch")
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text whole: joined on hashes of its first words, then compared."""
+    lead = lambda ws: F.xxhash64(F.array_join(ws, " "))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    b = b.withColumn("key", lead(F.slice(F.split("item", "[ \n]+"), 2, 5)))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", F.split("text", "[ \n]+"))
+    spots = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: lead(F.slice("w", i, 5)))).alias("key"))
+    found = spots.join(F.broadcast(b.select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
+    return found.join(d, "doc_id").join(F.broadcast(b.select("item_id", "item")), "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+
+
+# ---- 8x8 images ----
+
+PX_SQL = "px AS (SELECT vec_id AS img, CAST(i // 8 AS INT) AS r, CAST(i % 8 AS INT) AS c, CAST(greatest(0, least(255, floor((CAST(x AS DOUBLE) + 1) * 127.5))) AS INT) AS v FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"
+NEAR_SQL = "nb AS (SELECT a.img, a.r, a.c, dr, dc, b.v FROM px a, range(-1, 2) t1(dr), range(-1, 2) t2(dc), px b WHERE b.img = a.img AND b.r = CASE WHEN a.r + dr < 0 THEN 1 WHEN a.r + dr > 7 THEN 6 ELSE a.r + dr END AND b.c = CASE WHEN a.c + dc < 0 THEN 1 WHEN a.c + dc > 7 THEN 6 ELSE a.c + dc END)"
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.grid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+
+
+def pixel_query(name: str, sql: str | None, make: Callable[[DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return make(pixels(spark, sf_dir)).select("img", "r", "c", F.col("v").cast("int").alias("v"))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+HIST_SQL = "h AS (SELECT img, v, count(*) AS n FROM px GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY img ORDER BY v) AS upto, sum(n) OVER (PARTITION BY img) AS total, sum(v * n) OVER (PARTITION BY img ORDER BY v) AS s, sum(v * n) OVER (PARTITION BY img) AS every FROM h)"
+OTSU_SQL = HIST_SQL + ", q AS (SELECT *, CASE WHEN total > upto THEN CAST(s * (total - upto) - (every - s) * upto AS DOUBLE) * CAST(s * (total - upto) - (every - s) * upto AS DOUBLE) / CAST(upto * (total - upto) AS DOUBLE) ELSE -1 END AS var FROM k), t AS (SELECT img, v AS t FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY var DESC, v) AS n1 FROM q) WHERE n1 = 1), bin AS (SELECT px.img, r, c, CASE WHEN v > t THEN 255 ELSE 0 END AS v FROM px JOIN t ON t.img = px.img)"
+
+
+def morph_sql(steps: tuple[str, str]) -> str:
+    one = lambda src, f: f"SELECT a.img, a.r, a.c, {f}(b.v) AS v FROM {src} a JOIN {src} b ON b.img = a.img AND abs(b.r - a.r) <= 2 AND abs(b.c - a.c) <= 2 GROUP BY ALL"
+    return f"WITH {PX_SQL}, {OTSU_SQL}, m1 AS ({one('bin', steps[0])}) {one('m1', steps[1])}"
+
+
+pixel_query("invert_8x8", f"WITH {PX_SQL} SELECT img, r, c, 255 - v AS v FROM px", raster.invert)
+pixel_query("linear_stretch_8x8", f"WITH {PX_SQL} SELECT img, r, c, CAST(CASE WHEN hi = lo THEN v ELSE ((v - lo) * 255) // (hi - lo) END AS INT) AS v FROM (SELECT *, min(v) OVER (PARTITION BY img) AS lo, max(v) OVER (PARTITION BY img) AS hi FROM px)", raster.stretch)
+pixel_query(
+    "hist_equalize_8x8",
+    f"WITH {PX_SQL}, {HIST_SQL}, e AS (SELECT *, min(upto) OVER (PARTITION BY img) AS first FROM k) SELECT px.img, r, c, CAST(CASE WHEN total = first THEN px.v ELSE ((upto - first) * 510 + (total - first)) // (2 * (total - first)) END AS INT) AS v FROM px JOIN e ON e.img = px.img AND e.v = px.v",
+    raster.equalize,
+)
+pixel_query("otsu_8x8", f"WITH {PX_SQL}, {OTSU_SQL} SELECT img, r, c, v FROM bin", raster.binarize)
+pixel_query("box_mean_8x8", f"WITH {PX_SQL}, {NEAR_SQL} SELECT img, r, c, CAST((2 * sum(v) + 9) // 18 AS INT) AS v FROM nb GROUP BY ALL", lambda px: raster.box_mean(px, 8))
+pixel_query(
+    "sobel_8x8",
+    f"WITH {PX_SQL}, {NEAR_SQL} SELECT img, r, c, CAST(least(255, (least(255, abs(sum(dc * (2 - abs(dr)) * v))) + least(255, abs(sum(dr * (2 - abs(dc)) * v)))) // 2) AS INT) AS v FROM nb GROUP BY ALL",
+    lambda px: raster.sobel(px, 8),
+)
+pixel_query(
+    "laplacian_8x8",
+    f"WITH {PX_SQL}, {NEAR_SQL} SELECT img, r, c, CAST(greatest(0, least(255, sum(v * CASE WHEN dr = 0 AND dc = 0 THEN 5 WHEN abs(dr) + abs(dc) = 1 THEN -1 ELSE 0 END))) AS INT) AS v FROM nb GROUP BY ALL",
+    lambda px: raster.laplacian(px, 8),
+)
+pixel_query(
+    "median_8x8",
+    f"WITH {PX_SQL}, e AS (SELECT a.img, a.r, a.c, b.v FROM px a, range(-1, 2) t1(dr), range(-1, 2) t2(dc), px b WHERE b.img = a.img AND b.r = greatest(0, least(7, a.r + dr)) AND b.c = greatest(0, least(7, a.c + dc))) SELECT img, r, c, list_sort(list(v))[5] AS v FROM e GROUP BY ALL",
+    lambda px: raster.median(px, 8),
+)
+pixel_query("morph_open_8x8", morph_sql(("min", "max")), lambda px: raster.morph_open(px, 8))
+pixel_query("morph_close_8x8", morph_sql(("max", "min")), lambda px: raster.morph_close(px, 8))
+pixel_query("morph_gradient_8x8", None, lambda px: raster.morph_gradient(px, 8))
+
+
+@query()
+def iterative_threshold_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.iterative_threshold(pixels(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
