@@ -36,18 +36,21 @@ def window(ls: Column, k: Column, n: int) -> Column:
 
 
 def tax_candidates_from_lines(raw: Column) -> Column:
-    ls = F.transform(T.lines(raw), T.normalize)
-    near = F.flatten(
-        F.transform(
-            ls,
-            lambda x, k: F.when(T.contains_any(x, ("纳税人识别号", "税号")), T.find_all(window(ls, k, 3), "[0-9A-Z]{12,20}")).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    return F.array_distinct(F.concat(near, tax_candidates(T.normalize(raw))))
+    none = F.array().cast("array<string>")
 
+    def near(ls: Column) -> Column:
+        found = lambda x, k: F.when(T.contains_any(x, ("纳税人识别号", "税号")), T.find_all(window(ls, k, 3), "[0-9A-Z]{12,20}")).otherwise(none)
+        return F.flatten(F.transform(ls, found))
 
-def tax_in(scope: Column) -> Column:
+    return F.array_distinct(F.concat(T.let(F.transform(T.lines(raw), T.normalize), near), T.let(T.normalize(raw), tax_candidates)))
+
+
+def tax_in(block: Column) -> Column:
     """First acceptable tax number of a block of lines: near a label, else bounded and alone."""
+    return T.let(block, _tax_in)
+
+
+def _tax_in(scope: Column) -> Column:
     none = F.array().cast("array<string>")
     near = F.flatten(F.transform(scope, lambda x, k: F.when(T.contains_any(x, V.TAX_LABELS), T.find_all(window(scope, k, 4), "[0-9A-Z]{12,20}")).otherwise(none)))
     alone = F.flatten(F.transform(scope, lambda x: F.when(T.contains_any(x, V.TAX_NOISE), none).otherwise(T.find_all(x, "(?<![0-9A-Z])[0-9A-Z]{15,20}(?![0-9A-Z])"))))
@@ -60,22 +63,24 @@ def kept_lines(raw: Column) -> Column:
 
 
 def buyer_tax(raw: Column) -> Column:
-    ls = kept_lines(raw)
+    def body(ls: Column) -> Column:
+        def block(x: Column, k: Column) -> Column:
+            ahead = F.slice(ls, k + 2, F.lit(29))
+            stop = F.array_min(F.filter(F.transform(ahead, lambda y, i: F.when(T.contains_any(y, V.BUYER_STOPS), i + 1)), lambda i: i.isNotNull()))
+            return F.when(x.rlike("购买方|买方"), tax_in(F.slice(ls, k + 1, F.coalesce(stop, F.lit(16))))).otherwise("")
 
-    def block(x: Column, k: Column) -> Column:
-        ahead = F.slice(ls, k + 2, F.lit(29))
-        stop = F.array_min(F.filter(F.transform(ahead, lambda y, i: F.when(T.contains_any(y, V.BUYER_STOPS), i + 1)), lambda i: i.isNotNull()))
-        size = F.coalesce(stop, F.lit(16))
-        return F.when(x.rlike("购买方|买方"), tax_in(F.slice(ls, k + 1, size))).otherwise("")
+        return T.first(F.filter(F.transform(ls, block), lambda v: v != ""))
 
-    return T.first(F.filter(F.transform(ls, block), lambda v: v != ""))
+    return T.let(kept_lines(raw), body)
 
 
 def seller_tax(raw: Column, buyer: Column) -> Column:
-    ls = kept_lines(raw)
-    start = F.coalesce(F.array_min(F.filter(F.transform(ls, lambda x, k: F.when(T.contains_any(x, V.TOTAL_MARKS), k)), lambda k: k.isNotNull())), F.lit(0))
-    below = F.filter(F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1))), lambda x: ~T.contains_any(x, V.TAX_NOISE))
-    return T.first(F.filter(F.flatten(F.transform(below, lambda x: T.find_all(x, V.ID_FIND))), lambda v: v != buyer))
+    def body(ls: Column) -> Column:
+        start = F.coalesce(F.array_min(F.filter(F.transform(ls, lambda x, k: F.when(T.contains_any(x, V.TOTAL_MARKS), k)), lambda k: k.isNotNull())), F.lit(0))
+        below = F.filter(F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1))), lambda x: ~T.contains_any(x, V.TAX_NOISE))
+        return T.first(F.filter(F.flatten(F.transform(below, lambda x: T.find_all(x, V.ID_FIND))), lambda v: v != buyer))
+
+    return T.let(kept_lines(raw), body)
 
 
 def checksum(norm: Column) -> Column:
@@ -92,7 +97,11 @@ def labelled_seller_tax(norm: Column) -> Column:
 
 def agent_name(raw: Column) -> Column:
     """Name after 代开企业名称, pieced together over up to seven later lines."""
-    ls = T.nonempty(raw)
+    # texts without the label, nearly all, are done at once
+    return F.when(F.contains(raw, F.lit("代开企业名称")), T.let(T.nonempty(raw), _agent_name)).otherwise("")
+
+
+def _agent_name(ls: Column) -> Column:
     keep = f"[^{V.CJK}A-Za-z0-9（）()]"
     start_state = lambda piece: F.struct(piece.alias("name"), F.char_length(piece).alias("size"), F.lit(False).alias("done"))
 
@@ -121,8 +130,12 @@ NAMED_COMPANY = "(?:名称|名(?U:\\s)*称|称)[:：]?(?U:\\s)*" + COMPANY
 
 def company(c: Column) -> Column:
     """A company name in a line: the labelled one, else any."""
-    named, bare = T.clean(F.regexp_extract(c, NAMED_COMPANY, 1)), T.clean(F.regexp_extract(c, COMPANY, 1))
-    return F.when(c.rlike(NAMED_COMPANY) & T.is_company(named), named).when(T.is_company(bare), bare).otherwise("")
+
+    def checked(pattern: str, other: Column) -> Column:
+        return T.let(T.clean(F.regexp_extract(c, pattern, 1)), lambda v: F.when(T.is_company(v), v).otherwise(other))
+
+    # most lines hold no organisation suffix at all
+    return F.when(c.rlike(V.ORG_SUFFIX), F.when(c.rlike(NAMED_COMPANY), checked(NAMED_COMPANY, checked(COMPANY, F.lit("")))).otherwise(checked(COMPANY, F.lit("")))).otherwise("")
 
 
 def companies(raw: Column) -> Column:
@@ -134,39 +147,50 @@ def nonblank(arr: Column) -> Column:
     return F.filter(arr, lambda v: v != "")
 
 
+def with_companies(raw: Column, body) -> Column:
+    """``body`` of the cleaned lines and of the company in each, both computed once."""
+    return T.let(T.nonempty(raw), lambda ls: T.let(F.struct(ls.alias("ls"), F.transform(ls, company).alias("firms")), lambda s: body(s["ls"], s["firms"])))
+
+
 def buyer_name(raw: Column) -> Column:
-    ls = T.nonempty(raw)
+    def body(ls: Column, firms: Column) -> Column:
+        def at(x: Column, k: Column) -> Column:
+            lo = F.greatest(F.lit(0), k - 6)
+            scope = F.slice(ls, lo + 1, k + 12 - lo)
+            stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(y.rlike("销售方|货物或应税劳务|价税合计"), i)), lambda i: i.isNotNull()))
+            size = F.coalesce(stop, F.size(scope))
+            win = F.slice(ls, lo + 1, size)
+            return F.when(F.contains(x, F.lit("购买方")), T.first(nonblank(F.concat(F.array(company(F.array_join(win, ""))), F.slice(firms, lo + 1, size))))).otherwise("")
 
-    def at(x: Column, k: Column) -> Column:
-        lo = F.greatest(F.lit(0), k - 6)
-        scope = F.slice(ls, lo + 1, k + 12 - lo)
-        stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(y.rlike("销售方|货物或应税劳务|价税合计"), i)), lambda i: i.isNotNull()))
-        win = F.slice(scope, F.lit(1), F.coalesce(stop, F.size(scope)))
-        return F.when(F.contains(x, F.lit("购买方")), T.first(nonblank(F.concat(F.array(company(F.array_join(win, ""))), F.transform(win, company))))).otherwise("")
+        return T.first(nonblank(F.transform(ls, at)))
 
-    return T.first(nonblank(F.transform(ls, at)))
+    return with_companies(raw, body)
 
 
 def seller_name(raw: Column, buyer: Column) -> Column:
-    ls = T.nonempty(raw)
+    def body(ls: Column, firms: Column) -> Column:
+        def near_total(x: Column, k: Column) -> Column:
+            found = F.filter(F.slice(firms, k + 1, F.lit(35)), lambda v: (v != "") & (v != buyer) & ~T.contains_any(v, V.BANK_NOISE))
+            return F.when(T.contains_any(x, V.TOTAL_MARKS), T.first(found)).otherwise("")
 
-    def near_total(x: Column, k: Column) -> Column:
-        found = F.filter(F.transform(F.slice(ls, k + 1, F.lit(35)), company), lambda v: (v != "") & (v != buyer) & ~T.contains_any(v, V.BANK_NOISE))
-        return F.when(T.contains_any(x, V.TOTAL_MARKS), T.first(found)).otherwise("")
+        def near_label(x: Column, k: Column) -> Column:
+            lo = F.greatest(F.lit(0), k - 5)
+            named = T.let(T.clean(F.regexp_extract(F.array_join(F.slice(ls, lo + 1, k + 8 - lo), ""), NAMED_COMPANY, 1)), lambda v: F.when(T.is_company(v), v).otherwise(""))
+            found = F.filter(F.concat(F.array(named), F.slice(firms, lo + 1, k + 8 - lo)), lambda v: (v != "") & (v != buyer))
+            return F.when(F.contains(x, F.lit("销售方")), T.first(found)).otherwise("")
 
-    def near_label(x: Column, k: Column) -> Column:
-        lo = F.greatest(F.lit(0), k - 5)
-        win = F.slice(ls, lo + 1, k + 8 - lo)
-        named = T.clean(F.regexp_extract(F.array_join(win, ""), NAMED_COMPANY, 1))
-        named = F.when(T.is_company(named), named).otherwise("")
-        found = F.filter(F.concat(F.array(named), F.transform(win, company)), lambda v: (v != "") & (v != buyer))
-        return F.when(F.contains(x, F.lit("销售方")), T.first(found)).otherwise("")
+        by_total = T.first(nonblank(F.transform(ls, near_total)))
+        return T.let(by_total, lambda v: F.when(v != "", v).otherwise(T.first(nonblank(F.transform(ls, near_label)))))
 
-    return T.first(nonblank(F.concat(F.transform(ls, near_total), F.transform(ls, near_label))))
+    return with_companies(raw, body)
 
 
 def fallback_code(norm: Column) -> Column:
-    c = F.filter(number_candidates(norm), lambda v: F.char_length(v).between(10, 12) & ~v.startswith("20"))
+    return T.let(number_candidates(norm), _code_of)
+
+
+def _code_of(numbers: Column) -> Column:
+    c = F.filter(numbers, lambda v: F.char_length(v).between(10, 12) & ~v.startswith("20"))
     stem = lambda v: F.substring(v, F.lit(1), F.char_length(v) - 1)
     twins = F.flatten(F.transform(c, lambda v, k: F.filter(F.slice(c, k + 2, F.size(c)), lambda w: (F.char_length(w) == F.char_length(v)) & (stem(w) == stem(v)))))
     return F.when(F.size(twins) > 0, F.get(twins, F.lit(0))).otherwise(T.first(c))
@@ -213,7 +237,11 @@ def fallback_total(norm: Column) -> Column:
 def infer_amount_tax(norm: Column, total: Column) -> Column:
     """Struct (amount, tax) in cents: the first pair that adds up, else by the first rate in percent."""
     t = T.cents(total)
-    vals = F.filter(F.transform(money_candidates(norm), T.cents), lambda v: v != t)
+    return T.let(F.transform(money_candidates(norm), T.cents), lambda all_cents: _split_of(norm, t, all_cents))
+
+
+def _split_of(norm: Column, t: Column, all_cents: Column) -> Column:
+    vals = F.filter(all_cents, lambda v: v != t)
     pairs = F.flatten(F.transform(vals, lambda a, k: F.transform(F.filter(F.slice(vals, k + 2, F.greatest(F.size(vals), F.lit(1))), lambda b: F.abs(a + b - t) <= 1), lambda b: F.struct(F.greatest(a, b).alias("amount"), F.least(a, b).alias("tax")))))
     rates = F.filter(F.transform(T.find_all(norm, "([0-9]{1,2})%", 1), lambda r: r.cast("int")), lambda r: r.between(1, 17))
     rate = F.get(rates, F.lit(0))
@@ -222,12 +250,16 @@ def infer_amount_tax(norm: Column, total: Column) -> Column:
 
 
 def drawer_near_label(raw: Column) -> Column:
-    ls = T.nonempty(raw)
-    last = F.array_max(F.filter(F.transform(ls, lambda x, k: F.when(F.contains(x, F.lit("开票人")), k)), lambda k: k.isNotNull()))
-    win = F.slice(ls, last + 1, F.lit(5))
-    inline = F.regexp_extract(T.normalize(F.get(win, F.lit(0))), f"开票人[:：]?(?U:\\s)*([{V.CJK}]{{2,4}})", 1)
-    short = F.filter(F.transform(F.slice(win, F.lit(2), F.lit(4)), T.cjk_only), lambda x: (F.char_length(x) <= 4) & T.is_person(x))
-    return F.when(last.isNull(), "").when((inline != "") & T.is_person(inline), inline).otherwise(T.first(short))
+    def body(ls: Column) -> Column:
+        last = F.array_max(F.filter(F.transform(ls, lambda x, k: F.when(F.contains(x, F.lit("开票人")), k)), lambda k: k.isNotNull()))
+        return F.when(last.isNull(), "").otherwise(T.let(F.slice(ls, F.coalesce(last, F.lit(0)) + 1, F.lit(5)), named))
+
+    def named(win: Column) -> Column:
+        inline = F.regexp_extract(T.normalize(F.get(win, F.lit(0))), f"开票人[:：]?(?U:\\s)*([{V.CJK}]{{2,4}})", 1)
+        short = F.filter(F.transform(F.slice(win, F.lit(2), F.lit(4)), T.cjk_only), lambda x: (F.char_length(x) <= 4) & T.is_person(x))
+        return T.let(inline, lambda v: F.when((v != "") & T.is_person(v), v).otherwise(T.first(short)))
+
+    return T.let(T.nonempty(raw), body)
 
 
 def is_day(c: Column) -> Column:

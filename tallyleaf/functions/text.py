@@ -15,6 +15,11 @@ def alternatives(words) -> str:
     return "|".join(words)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(c: Column, words) -> Column:
     return c.rlike(alternatives(words))
 
@@ -56,7 +61,10 @@ def cjk_only(c: Column) -> Column:
 
 
 def is_person(c: Column) -> Column:
-    name = cjk_only(clean(c))
+    return let(cjk_only(clean(c)), is_name)
+
+
+def is_name(name: Column) -> Column:
     return (
         F.when(contains_any(name, V.NAME_NOISE) | name.rlike(V.ORG_SUFFIX), False)
         .when(name.isin(*V.ACCOUNT_NAMES), True)

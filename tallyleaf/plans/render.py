@@ -82,4 +82,6 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     text = F.concat_ws("\n", *rows)
     wide = F.translate(F.replace(text, F.lit(":"), F.lit(": ")), ":¥", "：￥")
-    return f.select("doc_id", "r", F.when(r == 1, wide).otherwise(text).alias("text"))
+    # parsing costs far more than reading: the texts are dealt out evenly
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return f.repartition(parts, "doc_id").select("doc_id", "r", F.when(r == 1, wide).otherwise(text).alias("text"))
