@@ -213,7 +213,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
 class Memory(dict):
     """Words to ids: the lexicon, then what was met lately (two generations)."""
 
-    ROOM = 250_000
+    ROOM = 400_000
 
     def __init__(self, lexicon: dict[str, tuple[int, ...]], pieces: Pieces):
         super().__init__()
@@ -233,6 +233,11 @@ class Memory(dict):
 
 def decode_ids(ids: list[int], texts: list[str], byte_of: dict[int, int]) -> str:
     """Text of a sequence of ids; runs of byte pieces are read as UTF-8."""
+    odd = byte_of.keys() & set(ids)
+    if all(byte_of[i] < 128 for i in odd):  # each byte piece is a character
+        own = {i: chr(byte_of[i]) for i in odd}
+        text = "".join([texts[i] for i in ids] if not own else [own.get(i) or texts[i] for i in ids]).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
     out, held = [], bytearray()
     for i in ids:
         b = byte_of.get(i)
