@@ -108,31 +108,41 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     twice = lead.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     twice = scratch.keep(twice)
     repeated = scratch.keep(marked(twice, F.xxhash64("token")))
-    posting = lead.select("first", "n", F.posexplode("prefix").alias("i", "token")).where(in_marked(repeated.scalar(), F.xxhash64("token")))
+    posting = lead.select("a", "first", "n", F.posexplode("prefix").alias("i", "token")).where(in_marked(repeated.scalar(), F.xxhash64("token")))
     posting = scratch.keep(posting)
-    left = posting.select("token", F.col("first").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    right = posting.select("token", F.col("first").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    near = left.join(right, "token").where("x < y").where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
+    left = posting.select("token", F.col("a").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    right = posting.select("token", F.col("a").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    near = left.join(right, "token").where("fx < fy").where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
     need = f"ceil({PERCENT} * (nx + ny) / {100 + PERCENT}.0)"
     near = near.where(f"least(ix, iy) + 1 + least(nx - ix - 1, ny - iy - 1) >= {need}")
     pairs = scratch.keep(near.select("x", "y").distinct())
+    scratch.drop(posting, twice, repeated)
 
+    ids = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
+    wanted = scratch.keep(lead.select("a", F.col("first").alias("at")).join(ids, "a", "left_semi"))
     key = lambda at: F.xxhash64(F.col(f"{at}.doc"), F.col(f"{at}.part"), F.col(f"{at}.place"))
-    wanted = scratch.keep(pairs.select(F.col("x").alias("at")).union(pairs.select("y")).distinct())
     bits = scratch.keep(marked(wanted, key("at")))
     located = lines_of(docs).select(F.struct("doc", "part", "place").alias("at"), "line")
-    sets = located.where(in_marked(bits.scalar(), key("at"))).join(wanted, "at", "left_semi").select("at", word_hashes(F.col("line")).alias("words")).dropDuplicates(["at"]).select("at", F.array_distinct(shingles(F.col("words"))).alias("set"))
-    sets = scratch.keep(sets)
-    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("at").alias("y"), F.col("set").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    hits = both.where(100 * common >= PERCENT * (F.size("sx") + F.size("sy") - common)).select(F.col("y").alias("first")).distinct()
+    sets = located.where(in_marked(bits.scalar(), key("at"))).join(wanted, "at").select("a", word_hashes(F.col("line")).alias("words")).dropDuplicates(["a"])
+    sets = scratch.keep(sets.select("a", F.array_distinct(shingles(F.col("words"))).alias("set")))
+    # hashes cut to 32 bits, with one token of slack, leave few pairs for the whole sets
+    small = lambda c: F.transform(c, lambda t: (F.shiftrightunsigned(t, 32) - F.lit(1 << 31)).cast("int"))
+    likely = similar(pairs, sets.select("a", small(F.col("set")).alias("set")), 1)
+    hits = similar(likely, sets, 0).select(F.col("y").alias("a")).distinct()
 
     # a class goes whole if its first line has a match before it, else but for that line
-    gone = lead.join(hits.withColumn("hit", F.lit(True)), "first", "left").select("a", "b", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = lead.join(hits.withColumn("hit", F.lit(True)), "a", "left").select("a", "b", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
     out = described.join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct()
     return scratch.keep(out)
 
 
+def similar(pairs: DataFrame, sets: DataFrame, slack: int) -> DataFrame:
+    """The pairs (x, y) whose sets reach the similarity, or would with ``slack`` more common tokens."""
+    both = pairs.join(sets.select(F.col("a").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("a").alias("y"), F.col("set").alias("sy")), "y")
+    common = F.size(F.array_intersect("sx", "sy")) + slack
+    return both.where(100 * common >= PERCENT * (F.size("sx") + F.size("sy") - common)).select("x", "y")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) with ``text`` rid of the lines that go, and ``n_removed_lines``.
 
