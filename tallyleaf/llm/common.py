@@ -28,6 +28,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, to hold few texts as Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(lo, rows)
+
+
 def map_texts(
     docs: DataFrame,
     rows: Callable[[], Callable[[list[str]], Iterable[tuple]]],
@@ -49,7 +56,7 @@ def map_texts(
 
         types = [f.type for f in to_arrow_schema(out)]
         fn = rows()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             made = list(zip(*fn(texts), strict=True)) if texts else [()] * (len(names) - len(keep))
             kept = [batch.column(i).cast(types[i]) for i in range(len(keep))]

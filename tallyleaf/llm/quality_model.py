@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import fold_of, map_texts
+from tallyleaf.llm.common import fold_of, map_texts, sliced
 from tallyleaf.llm.ftrl import Ftrl
 
 BITS = 18
@@ -21,7 +21,7 @@ class Ids(dict):
     """Token to a 32-bit hash, remembered; forgotten when large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = h = crc32(token.encode())
         return h
@@ -55,7 +55,7 @@ def featurise():
     return lambda texts: ((features_of(t, ids).astype(np.int32).tobytes(),) for t in texts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 3, fold: tuple[int, int] = (4, 2)) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int = 3, fold: tuple[int, int] = (4, 2)) -> dict:
     """Fits on at most about ``max_rows`` labelled documents outside the held-out fold.
 
     Rows are picked by a hash of doc_id below a share set from their count.
@@ -116,7 +116,7 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame
 
     def run(batches):
         rows = start()
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [bool(p) for _, p in rows([t or "" for t in batch.column(at).to_pylist()])]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 

@@ -88,7 +88,7 @@ def featurise():
     return rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 6, pull: float = 4.0, fold: tuple[int, int] = (5, 0)) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int = 6, pull: float = 4.0, fold: tuple[int, int] = (5, 0)) -> dict:
     """Fits on at most about ``max_rows`` labelled documents outside the held-out fold.
 
     The bound is met by keeping the rows whose hash lies below a share set
@@ -131,7 +131,7 @@ def scorer(model: dict):
 
         class Memo(dict):
             def __missing__(self, word):
-                if len(self) > 400_000:
+                if len(self) > 200_000:
                     self.clear()
                 self[word] = out = tuple(f for f in features_of(word) if dense[f])
                 return out
