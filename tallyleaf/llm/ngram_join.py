@@ -283,6 +283,8 @@ def spread(buckets: int):
                 if len(pick):
                     own, local = np.unique(ref[pick], return_inverse=True)
                     rows.append((b, pack(keys[pick]), local.astype(np.uint32 if len(own) > 65_535 else np.uint16).tobytes(), np.stack([nodes[own], groups[own]]).tobytes(), np.stack([x[own].astype(np.int32) for x in (sizes, extras, longs)]).tobytes()))
+            if not rows:
+                continue
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int32()), *(pa.array(c, type=pa.binary()) for c in columns[1:])], names=["bucket", "keys", "refs", "nodes", "facts"])
 
