@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyleaf.llm.common import Powers
-from tallyleaf.llm.state import Scratch, components
+from tallyleaf.llm.state import Packed, Scratch, components
 
 WIDTH = 5
 PERCENT = 75
@@ -216,7 +216,7 @@ def held_by(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def describer(repeated: np.ndarray, long: np.ndarray):
+def describer(packed_repeated: Packed, packed_long: Packed):
     """Rows (doc_id, node, n, odd, mins, extra, longs, merged); all but the first three once for each node of a task.
 
     ``odd`` is the thousandths of a set that are not in long lists: in a large
@@ -225,6 +225,7 @@ def describer(repeated: np.ndarray, long: np.ndarray):
 
     def run(batches):
         shingles, seen = Shingler(), set()
+        repeated, long = packed_repeated.bits(), packed_long.bits()
         for batch, texts in text_batches(batches, 1):
             rows = []
             for ids in shingles(texts):
@@ -294,8 +295,8 @@ def spread(buckets: int):
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("extra", pa.int32()), ("n", pa.int64())])
 
 
-def merger(long: np.ndarray):
-    return lambda table: merge(table, long)
+def merger(packed_long: Packed):
+    return lambda table: merge(table, packed_long.bits())
 
 
 def merge(table: pa.Table, long: np.ndarray) -> pa.Table:
@@ -377,10 +378,10 @@ def across(key: np.ndarray, ref: np.ndarray, group: np.ndarray) -> tuple[np.ndar
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, ids) of the wanted nodes and of few others, each once a task."""
-    small = bits_of_nodes(wanted)
+    packed = Packed(bits_of_nodes(wanted))
 
     def run(batches):
-        shingles, seen = Shingler(), set()
+        shingles, seen, small = Shingler(), set(), packed.bits()
         for _, texts in text_batches(batches, 0):
             nodes, found = [], []
             for ids in shingles(texts):
@@ -444,7 +445,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngram-join")
-    repeated, long = list_bitmaps(docs)
+    repeated, long = map(Packed, list_bitmaps(docs))
     known = scratch.keep(docs.mapInArrow(describer(repeated, long), "doc_id long, node long, n long, odd int, mins array<long>, extra int, longs int, merged binary"))
     nodes = known.where("merged is not null").select("node", "n", "odd", "mins", "extra", "longs", "merged")
 

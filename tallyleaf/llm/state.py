@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Packed:
+    """A bitmap as it travels to tasks: compressed, so a sparse one costs little."""
+
+    def __init__(self, bits: np.ndarray):
+        self.data = zlib.compress(bits.tobytes(), 1)
+
+    def bits(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.data), dtype=np.uint8)
+
+
 class Scratch:
     """Writes tables to the shared folder, which cuts their lineage, and drops them."""
 
@@ -29,6 +41,8 @@ class Scratch:
         self.made += 1
         path = f"{self.at}/{self.made}"
         df.write.parquet(path)
+        # shuffle files of what was just written are removed once the driver's garbage is collected
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

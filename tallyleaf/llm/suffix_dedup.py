@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import STEP, Powers
-from tallyleaf.llm.state import Scratch
+from tallyleaf.llm.common import STEP, Powers, sliced
+from tallyleaf.llm.state import Packed, Scratch
 
 LENGTH = 200
 GRAM = 32
@@ -122,11 +122,11 @@ def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 PIECES = "bucket int, key long, hot boolean, sig binary, first long, copies long, piece binary"
 
 
-def cut(bits: np.ndarray, hot_keys: np.ndarray, hot_parts: np.ndarray, buckets: int):
+def cut(packed: Packed, hot_keys: np.ndarray, hot_parts: np.ndarray, buckets: int):
     """Pieces of the texts of a batch; equal texts of a batch are cut once."""
 
     def run(batches):
-        powers = Powers()
+        powers, bits = Powers(), packed.bits()
         for batch in batches:
             copies: dict[bytes, int] = {}
             texts: dict[bytes, bytes] = {}
@@ -325,11 +325,12 @@ def open_cases(t, sa, group, n, hot, owner, begin, of, sigs, firsts):
                 yield sigs[k], np.array([a, a + LENGTH]).tobytes(), digest, 1
 
 
-def finish(bits: np.ndarray):
+def finish(packed: Packed):
     """Rows (doc_id, sig, n_bytes, digest, data): data only where a span may be."""
 
     def run(batches):
-        for batch in batches:
+        bits = packed.bits()
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 data = (text or "").encode()
@@ -385,7 +386,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     order = np.argsort(hot_keys)
     parts = (1 + hot["n"].to_numpy(dtype=np.int64) // limit).astype(np.uint64)
     buckets = max(8, -(-(total or 0) * (LENGTH + SPAN // 2) // BUCKET_BYTES))
-    pieces = texts.mapInArrow(cut(bitmap(counts), hot_keys[order], parts[order], buckets), PIECES)
+    pieces = texts.mapInArrow(cut(Packed(bitmap(counts)), hot_keys[order], parts[order], buckets), PIECES)
     found = scratch.keep(pieces.groupBy("bucket").applyInArrow(resolve, "sig binary, spans binary, digest binary, n long"))
     twice = found.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
     late = found.where("digest is not null and sig is not null").join(twice, "digest").select("sig", "spans")
@@ -402,6 +403,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     spans = repeated_spans(docs, scratch)
     leading = spans.select(F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long").alias("key"))
-    read = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(finish(bitmap(leading)), "doc_id long, sig binary, n_bytes long, whole string, data binary")
+    read = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(finish(Packed(bitmap(leading))), "doc_id long, sig binary, n_bytes long, whole string, data binary")
     joined = read.join(spans, "sig", "left").select("doc_id", "n_bytes", "whole", "data", "spans")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
