@@ -9,12 +9,11 @@ from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
 
 #: A lines table has doc_id, line_no, text, score, x1, y1, x2, y2.
-CX, CY = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-HEIGHT = F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
 
 
 def with_geometry(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"cx": CX, "cy": CY, "height": HEIGHT})
+    centre = lambda a, b: (F.col(a) + F.col(b)) / 2
+    return lines.withColumns({"cx": centre("x1", "x2"), "cy": centre("y1", "y2"), "height": F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))})
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
