@@ -110,6 +110,10 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = scratch.keep(marked(twice, F.xxhash64("token")))
     posting = lead.select("a", "first", "n", F.posexplode("prefix").alias("i", "token")).where(in_marked(repeated.scalar(), F.xxhash64("token")))
     posting = scratch.keep(posting)
+    # the prefixes have served; what stays is narrow
+    lead, wide = scratch.keep(lead.select("a", "b", "first")), lead
+    described, all_lines = scratch.keep(described.select("at", "a", "b")), described
+    scratch.drop(wide, all_lines)
     left = posting.select("token", F.col("a").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     right = posting.select("token", F.col("a").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
     near = left.join(right, "token").where("fx < fy").where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
@@ -127,13 +131,15 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.keep(sets.select("a", F.array_distinct(shingles(F.col("words"))).alias("set")))
     # hashes cut to 32 bits, with one token of slack, leave few pairs for the whole sets
     small = lambda c: F.transform(c, lambda t: (F.shiftrightunsigned(t, 32) - F.lit(1 << 31)).cast("int"))
-    likely = similar(pairs, sets.select("a", small(F.col("set")).alias("set")), 1)
-    hits = similar(likely, sets, 0).select(F.col("y").alias("a")).distinct()
+    likely = scratch.keep(similar(pairs, sets.select("a", small(F.col("set")).alias("set")), 1))
+    hits = scratch.keep(similar(likely, sets, 0).select(F.col("y").alias("a")).distinct())
+    scratch.drop(pairs, wanted, bits, sets, likely)
 
     # a class goes whole if its first line has a match before it, else but for that line
     gone = lead.join(hits.withColumn("hit", F.lit(True)), "a", "left").select("a", "b", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
-    out = described.join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct()
-    return scratch.keep(out)
+    out = scratch.keep(described.join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct())
+    scratch.drop(described, lead, hits)
+    return out
 
 
 def similar(pairs: DataFrame, sets: DataFrame, slack: int) -> DataFrame:
