@@ -458,8 +458,8 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.withColumn("key", lead(F.slice(F.split("item", "[ \n]+"), 2, 5)))
     d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", F.split("text", "[ \n]+"))
     spots = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: lead(F.slice("w", i, 5)))).alias("key"))
-    found = spots.join(F.broadcast(b.select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
-    return found.join(d, "doc_id").join(F.broadcast(b.select("item_id", "item")), "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    found = spots.join(b.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    return found.join(d, "doc_id").join(b.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
 
 
 # ---- 8x8 images ----
