@@ -119,7 +119,10 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     near = left.join(right, "token").where("fx < fy").where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
     need = f"ceil({PERCENT} * (nx + ny) / {100 + PERCENT}.0)"
     near = near.where(f"least(ix, iy) + 1 + least(nx - ix - 1, ny - iy - 1) >= {need}")
-    pairs = scratch.keep(near.select("x", "y").distinct())
+    # beyond the shorter reach of two prefixes, at most the rest of one line is common
+    shared = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min("nx").alias("nx"), F.min("ny").alias("ny"))
+    rest = f"greatest(ceil(nx * {PERCENT} / 100.0), ceil(ny * {PERCENT} / 100.0)) - 1"
+    pairs = scratch.keep(shared.where(f"c + {rest} >= {need}").select("x", "y"))
     scratch.drop(posting, twice, repeated)
 
     ids = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
