@@ -213,7 +213,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
 class Memory(dict):
     """Words to ids: the lexicon, then what was met lately (two generations)."""
 
-    ROOM = 400_000
+    ROOM = 280_000
 
     def __init__(self, lexicon: dict[str, tuple[int, ...]], pieces: Pieces):
         super().__init__()
