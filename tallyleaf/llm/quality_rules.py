@@ -3,62 +3,107 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import WORD, map_texts
+from tallyleaf.llm.common import WORD, map_texts, sliced
 from tallyleaf.llm.quality_model import TOKEN, Ids, ngrams
 
 BITS = 16
+#: Good doc_ids that a task holds at a time: 32 MB.
+BLOCK_IDS = 1 << 22
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """Counts of hashed n-grams over all rows: (target, gram, n).
+def counts(docs: DataFrame, good: np.ndarray, raw: bool = True) -> DataFrame:
+    """Counts of hashed n-grams: (target, gram, n); the target's are of rows whose doc_id is in ``good``, sorted.
 
-    ``docs`` has text and a boolean ``trusted``.  Each task adds up a dense
-    table of fixed size and sends its non-zero cells only.
+    ``docs`` has doc_id and text.  The raw corpus is every row, and left out
+    without ``raw``.  Each task adds up a dense table of fixed size and sends
+    its non-zero cells only.
     """
 
     def run(batches):
         ids = Ids()
         cells = np.zeros((2, 2 << BITS), dtype=np.int64)
-        for batch in batches:
-            for text, trusted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        held: tuple[list, list] = ([], [])
+        size = 0
+
+        def add():
+            for own, parts in zip(cells, held, strict=True):
+                if parts:
+                    own += np.bincount(np.concatenate(parts), minlength=2 << BITS)
+                    parts.clear()
+
+        for batch in sliced(batches):
+            trusted = member(batch.column(0), good)
+            for text, t in zip(batch.column(1).to_pylist(), trusted.tolist(), strict=True):
+                if not (raw or t):
+                    continue
                 one, two = grams(text or "", ids)
-                for part, base in ((one, 0), (two, 1 << BITS)):
-                    if len(part):
-                        c = np.bincount(part, minlength=1 << BITS) if len(part) > 4096 else None
-                        if c is not None:
-                            cells[0, base : base + (1 << BITS)] += c
-                            if trusted:
-                                cells[1, base : base + (1 << BITS)] += c
-                        else:
-                            np.add.at(cells[0], part + base, 1)
-                            if trusted:
-                                np.add.at(cells[1], part + base, 1)
+                held[t].extend([one, two + (1 << BITS)])
+                size += len(one) + len(two)
+                if size > 1 << 20:
+                    add()
+                    size = 0
+        add()
+        if raw:
+            cells[0] += cells[1]
         for target in (0, 1):
             at = np.flatnonzero(cells[target])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), target, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(cells[target, at])], names=["target", "gram", "n"])
 
-    made = docs.select(F.col("text").cast("string"), F.coalesce("trusted", F.lit(False))).mapInArrow(run, "target int, gram int, n long")
-    return made.groupBy("target", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "target int, gram int, n long")
+
+
+def member(doc_ids: pa.Array, good: np.ndarray) -> np.ndarray:
+    """Which ids are among the sorted ones; null is not."""
+    if not len(good):
+        return np.zeros(len(doc_ids), dtype=bool)
+    found = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(good, found), len(good) - 1)
+    return (good[at] == found) & doc_ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> np.ndarray:
-    """Ratios of the target, documents labelled good, to the raw corpus, all documents.
+def blocks(ids: DataFrame) -> Iterator[np.ndarray]:
+    """The distinct doc_ids of a table in sorted blocks of at most BLOCK_IDS, each id in one."""
 
-    The target's multinomial is fitted on at most about ``max_rows`` good
-    documents, those whose hash lies below a share set from their count; the
-    raw corpus is counted whole.
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<i8").tobytes()], type=pa.binary())], names=["ids"])
+
+    held, size = [], 0
+    for r in ids.select(F.col("doc_id").cast("long")).distinct().mapInArrow(run, "ids binary").toLocalIterator():
+        part = np.frombuffer(r.ids, dtype="<i8")
+        while len(part):
+            take = part[: BLOCK_IDS - size]
+            held.append(take)
+            size, part = size + len(take), part[len(take) :]
+            if size == BLOCK_IDS:
+                yield np.sort(np.concatenate(held))
+                held, size = [], 0
+    if held:
+        yield np.sort(np.concatenate(held))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Ratios of the target, all documents labelled good, to the raw corpus, all documents.
+
+    No text moves: the good doc_ids go out in blocks of BLOCK_IDS, and each
+    block is a pass over the texts, the first of which counts the raw corpus too.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    share = min(1.0, max_rows / max(good.count(), 1))
-    picked = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("trusted", F.lit(True))
-    return ratios(counts(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left")))
+    made = None
+    for good in blocks(labels.where("quality = 1 and doc_id is not null")):
+        part = counts(docs, good, raw=made is None)
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        return np.zeros(2 << BITS)
+    return ratios(made.groupBy("target", "gram").agg(F.sum("n").alias("n")))
 
 
 def grams(text: str, ids: Ids) -> tuple[np.ndarray, np.ndarray]:

@@ -87,3 +87,29 @@ def test_nulls_empty_tables_and_clashes(spark):
         assert module.score(docs.limit(0), model).count() == 0
     ratio = quality_rules.fit(docs, none)
     assert not ratio.any() and quality_rules.apply(docs, ratio, 0.0).count() == 3
+
+
+def ratio_of_all(rows, good):
+    """Ratios from counts of every row, good ones as the target."""
+    cells, ids = np.zeros((2, 2 << quality_rules.BITS)), quality_rules.Ids()
+    for k, t in rows:
+        one, two = quality_rules.grams(t or "", ids)
+        for target in (0, 1) if k in good else (0,):
+            np.add.at(cells[target], one, 1)
+            np.add.at(cells[target], two + (1 << quality_rules.BITS), 1)
+    out = []
+    for c in np.split(cells, 2, axis=1):
+        part = c[1].sum() / c[0].sum()
+        out.append(np.log((c[1] + 20 * part) / (c[0] + 20)) - np.log(part))
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize(("n", "block"), [(25_000, None), (60, 7)])
+def test_target_is_counted_over_all_good_documents(spark, monkeypatch, n, block):
+    if block:
+        monkeypatch.setattr(quality_rules, "BLOCK_IDS", block)
+    rows = [(k, f"word{k % 97} and part{k % 31} of {k}") for k in range(n)] + [(3, "a second row"), (None, "no id at all"), (5, None)]
+    good = set(range(0, n - n // 8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in good)) for k in range(n)] + [(0, 1), (None, 1), (n + 9, 1)], "doc_id long, quality int")
+    assert np.allclose(quality_rules.fit(docs, labels), ratio_of_all(rows, good), atol=1e-12)
