@@ -141,15 +141,19 @@ def keys_by_range(ranges: int):
 
     A range holds the last 16 bits of each key in order, and how many keys
     there are under each of the leading 20 bits: a little over two bytes a key.
+    Counts take two bytes each, or four in a range where one is too large.
     """
 
+    def packed(c):
+        return c.astype("<u2" if c.max() < 1 << 16 else "<u4").tobytes()
+
     def pack_chunk(held):
         keys = np.sort(np.concatenate(held) >> np.uint64(12))
         counts = np.bincount((keys >> np.uint64(16)).astype(np.int64), minlength=1 << 20)
         low = (keys & np.uint64(0xFFFF)).astype("<u2")
         ends = np.append(0, np.cumsum(counts.reshape(ranges, -1).sum(axis=1)))
-        counts = counts.astype("<u2").reshape(ranges, -1)
-        rows = [(r, counts[r].tobytes(), low[ends[r] : ends[r + 1]].tobytes()) for r in range(ranges) if ends[r] < ends[r + 1]]
+        counts = counts.reshape(ranges, -1)
+        rows = [(r, packed(counts[r]), low[ends[r] : ends[r + 1]].tobytes()) for r in range(ranges) if ends[r] < ends[r + 1]]
         r, c, k = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(r, type=pa.int32()), pa.array(c, type=pa.binary()), pa.array(k, type=pa.binary())], names=["range", "counts", "low"])
 
@@ -176,12 +180,13 @@ def keys_by_range(ranges: int):
 def measure_lists(ranges: int):
     """Bitmaps of a range: lists with more than one entry, and long lists."""
     width = (1 << KEY_BITS) // ranges
+    leads = (1 << 20) // ranges
 
     def run(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
         keys = []
         for c, k in zip(table.column("counts").to_pylist(), table.column("low").to_pylist(), strict=True):
-            lead = np.repeat(np.arange(1 << 20 >> ranges.bit_length() - 1, dtype=np.uint32), np.frombuffer(c, dtype="<u2"))
+            lead = np.repeat(np.arange(leads, dtype=np.uint32), np.frombuffer(c, dtype="<u2" if len(c) == 2 * leads else "<u4"))
             keys.append((lead << np.uint32(16)) | np.frombuffer(k, dtype="<u2")) if len(lead) else None
         keys = np.sort(np.concatenate(keys))
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyleaf.llm import ngram_join as N
@@ -75,3 +77,17 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in components(links, Scratch(spark, "t")).collect()}
     assert all(got[k] == 0 for k in range(41)) and got[101] == 100
+
+
+def test_a_shingle_in_very_many_short_texts_of_a_chunk():
+    batch = pa.RecordBatch.from_arrays([pa.array([f"this notice is in all {k}" for k in range(70_000)])], names=["text"])
+    common = next(N.Shingler()(["this notice is in all"]))
+    lone = next(N.Shingler()(["a text of its own"]))
+    made = pa.Table.from_batches(N.keys_by_range(16)(iter([batch])))
+    assert sum(len(k) // 2 for k in made.column("low").to_pylist()) == 140_000
+    bits = {}
+    for r in sorted(set(made.column("range").to_pylist())):
+        own = N.measure_lists(16)(made.filter(pa.array([x == r for x in made.column("range").to_pylist()])))
+        bits[r] = [np.frombuffer(own.column(c)[0].as_py(), dtype=np.uint8) for c in ("repeated", "long")]
+    repeated, long = (np.concatenate([bits[r][k] for r in range(16)]) for k in (0, 1))
+    assert N.held_by(repeated, common).all() and N.held_by(long, common).all() and not N.held_by(long, lone).any()
