@@ -17,10 +17,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import map_texts
+from tallyleaf.llm.common import map_texts, sliced
 
 WORDS = re.compile(r"\w+")
 N = 3
@@ -182,16 +183,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
     and items under three words, match nothing; repeated items each count.
     """
     out = None
-    for block in blocks(benchmark):
-        index = Index(block)
-        if not index.exact and len(block) > 1:
-            raise ValueError("a block's vocabulary exceeds two million words; lower BLOCK_ITEMS")
+    for index in indexes(benchmark):
         found = map_texts(docs, searcher(index, threshold, overlap), "leaks array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,passage:int>>")
         found = found.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    for block in blocks(benchmark):
+        index = Index(block)
+        if not index.exact and len(block) > 1:
+            raise ValueError("a block's vocabulary exceeds two million words; lower BLOCK_ITEMS")
+        yield index
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
@@ -202,7 +208,24 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-def remove_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any leak; rows whose doc_id is null are matched by text alone and stay if clean."""
-    leaky = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaky, "doc_id", "left_anti")
+def remove_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no leak.
+
+    Each row is judged by its own text, whatever its doc_id, null and repeated
+    ones included; a pass for each block of items, and texts do not move.
+    """
+    at = docs.columns.index("text")
+
+    def without(start):
+        def run(batches):
+            rows = start()
+            for batch in sliced(batches):
+                keep = [not found for (found,) in rows([t or "" for t in batch.column(at).to_pylist()])]
+                yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+        return run
+
+    schema = docs.schema
+    for index in indexes(benchmark):
+        docs = docs.mapInArrow(without(searcher(index, threshold, overlap)), schema)
+    return docs

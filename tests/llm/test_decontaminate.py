@@ -52,3 +52,11 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.find_leaks(docs, items).count() == 0 and D.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
+    items = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}") for k in range(5)]
+    docs = [(None, "x " + items[3][1]), (None, "clean without an id"), (7, items[0][1]), (7, "clean but its id is repeated"), (8, None)]
+    got = D.remove_leaking(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "clean without an id"), (7, "clean but its id is repeated"), (8, "")]
