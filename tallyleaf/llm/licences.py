@@ -98,11 +98,20 @@ def normalised(sentence: str) -> str:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    A sentence begins and ends at a line's edge, a blank line or one of .!?;
+    before white space, and may be wrapped over lines.  Of several that begin
+    at one place the longest counts.
+    """
     known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    cut = F.split(F.regexp_replace(text, "([.!?;])[ \\t\\r\\n\\f]+", "$1\n"), "\n")
-    norm = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(norm, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
+    # | stands for the end of a sentence or a blank line, / for a line feed
+    norm = F.concat(F.lit("|"), F.translate(F.lower(text), "|/", ",,"), F.lit("|"))
+    for pattern, put in (("[.!?;][ \\t\\r\\n\\f]+", "|"), ("\\n(?:[ \\t\\r\\f]*\\n)+", "|"), ("\\n", "/"), ("[^a-z0-9|/]+", " "), (" ?([|/]) ?", "$1")):
+        norm = F.regexp_replace(norm, pattern, put)
+    longest_first = sorted(SENTENCES.values(), key=len, reverse=True)
+    found = F.regexp_extract_all(norm, F.lit("(?<=[|/])(?:" + "|".join(longest_first).replace(" ", "[ /]") + ")(?=[|/])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "/", " ")))
 
 
 def licences_of(ids: Column) -> Column:

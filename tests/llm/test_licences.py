@@ -53,3 +53,42 @@ def test_empty_table_and_clashes(spark):
 def test_no_python_in_the_plan(spark, name):
     plan = licences.op3_licences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+MIT = """MIT License
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+BSD = """# Copyright (c) 2020, Someone
+# All rights reserved.
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_texts(spark):
+    rows = [(1, MIT), (2, BSD), (3, MIT.replace("\n", "\r\n")), (4, "mit | license\nreleased under\n\nthe mit license\nmit\nlicense")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].ids == got[3].ids == ["mit_title2", "mit_grant", "mit_notice", "as_is"] and got[1].licences == got[3].licences == ["MIT"]
+    assert got[2].ids == ["rights", "bsd_grant", "bsd_source", "bsd_binary"] and got[2].licences == ["BSD-3-Clause", "proprietary"]
+    assert got[4].ids == ["mit_title2", "mit_title"]
