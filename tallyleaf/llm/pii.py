@@ -32,7 +32,7 @@ SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 URL_REST = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ACCOUNT_VALUE = re.compile(r"(?:\s(?:number|no|nr))?\.?\s?[:=#]?\s?[\"']?((?=[A-Z0-9 -]*[0-9])[A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-SECRET_VALUE = re.compile(r"\s?[:=]\s?[\"']?([A-Za-z0-9_+/=.-]{8,200})")
+SECRET_VALUE = re.compile(r"\s?[:=]\s?[\"']?([A-Za-z0-9_+/=.-]{8,})")
 HOUSE_BEFORE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]?,?\x20(?:[^\W\d_]+\x20){0,3}\Z")
 HOUSE_AFTER = re.compile(r"(?:\x20[^\W\d_]+){0,4},?\x20[0-9]{1,5}[A-Za-z]?(?![0-9A-Za-z])")
 REACH = 80

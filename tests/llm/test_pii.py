@@ -45,3 +45,10 @@ def test_rows(spark):
     assert len(got) == 5 and sum(r.n_email for r in got) == 3
     assert {r.base_sha256 for r in got if r.doc_id in (1, 2)} == {hashlib.sha256(b"").hexdigest()}
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_secrets_are_taken_whole():
+    token = "eyJhbGciOi." + "aB3_-x" * 100 + ".c2ln" + "Z" * 40
+    text = f"say token: {token} and go on"
+    assert pii.find(text, pii.automaton())["secret"] == [(11, 11 + len(token))]
+    assert pii.redact(text) == "say token: [secret] and go on"
