@@ -60,3 +60,26 @@ def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
     docs = [(None, "x " + items[3][1]), (None, "clean without an id"), (7, items[0][1]), (7, "clean but its id is repeated"), (8, None)]
     got = D.remove_leaking(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "clean without an id"), (7, "clean but its id is repeated"), (8, "")]
+
+
+@pytest.mark.parametrize("exact", [1 << 21, 5])
+def test_an_item_depends_on_no_other(spark, monkeypatch, exact):
+    monkeypatch.setattr(D, "EXACT", exact)
+    rng, _ = corpus(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    para = lambda n: " ".join(word() for _ in range(n))
+    head = para(4)
+    items = [(k, f"{head} {para(6 + k)}. {para(7)}") for k in range(12)] + [(77, para(3000))]
+    w = items[5][1].split()
+    scattered = " ".join(" ".join(w[k : k + 4]) + " " + para(150) for k in range(0, len(w) - 3, 2))
+    docs = [(k, para(60) + " " + t) for k, t in items] + [(500, scattered), (501, " ".join(w[:12] + w[14:]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in D.find_leaks(df, bench).collect())
+    whole = found()
+    assert {(k, k) for k, _ in items} <= {x[:2] for x in whole} and 500 not in {x[0] for x in whole}
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
+    assert found() == whole
+
+
+def test_length_classes():
+    assert all(n <= D.room(n) <= max(4, 1.5 * n) for n in range(3, 5000))
