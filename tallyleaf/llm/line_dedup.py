@@ -2,16 +2,31 @@
 
 The tokens of a line are its distinct 5-word shingles (a shorter line has its
 whole word sequence as its one token); words are folded to lower case.  Lines
-of the same words are one class.  Tokens are put in order of rarity (how
-common the leading word is over all texts); each class is indexed under its prefix only, and
-pairs pass a length and a positional filter before their Jaccard similarity
-is verified.  A line goes if a line before it (by doc_id, then place) has a
-similarity of at least 0.75; lines without words stay.
+of the same words are one class, for which its first line speaks.  Tokens are
+put in order of rarity: how common the slot of the leading word is over all
+texts, then a hash of the first two words.  Each class is indexed under its
+prefix only, and pairs pass a length and a positional filter before their
+Jaccard similarity is verified.  A line goes if a line before it (by doc_id,
+then place) has a similarity of at least 0.75; lines without words stay.
+
+Tokens of the same first two words share a place in the order, so a prefix
+takes in all of its last place; it counts places instead of tokens, which
+makes it complete where tokens repeat in a line.  The number of tokens is
+known by bounds: word positions above, distinct places below.
+
+Long lists would yield pairs by the square, so they yield none at first.
+Lines of short lists only meet others in these.  Lines with a long list are
+taken up with all their tokens, and those of long lists go to the end of the
+order: the rest then meets in short lists again.  What is left are lines made
+of long lists for the most part, near copies of each other as a rule.  A line
+needs one match only, so each is held against two lines of its lists, the
+earliest and the one with most copies; only lines without a match then meet
+all earlier lines of their lists.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,137 +36,219 @@ from tallyleaf.llm.state import Scratch
 WIDTH = 5
 PERCENT = 75
 #: How common words are is held for this many slots, whatever the input.
-SLOT_BITS = 16
-FILTER_BITS = 22
-TOKEN_BITS = 24
+SLOT_BITS = 15
+#: Bitmaps have 32 bits a key up to this size; beyond it they let more keys through.
+MOST_BITS = 26
+#: So many longs of a bitmap (two to this power) are put together at a time.
+PART_BITS = 12
+#: Lists of this many lines and more are long.
+LONG = 24
+LAST_DOC = (1 << 63) - 1
 
 
-def word_hashes(line: Column) -> Column:
-    """Hashes of the words of a line, in order."""
-    words = F.filter(F.split(F.translate(F.lower(line), "\t\r\v\f", "    "), " "), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def words_of(line: Column) -> Column:
+    """The words of a line in order, folded to lower case."""
+    text = F.lower(line)
+    for gap in "\t\r\v\f":
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
-def shingles(hashes: Column, lead: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Hashes of the 5-word shingles of a line's word hashes; ``lead`` makes a key of the first word and the hash."""
-    lead = lead or (lambda first, shingle: shingle)
-    n = F.size(hashes)
-    five = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: lead(F.get(hashes, i), F.xxhash64(*[F.get(hashes, i + k if k else i) for k in range(WIDTH)])))
-    one = F.array(lead(F.get(hashes, F.lit(0)), F.xxhash64(hashes)))
-    return F.when(n >= WIDTH, five).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
+def shingle(words: Column, at: Column) -> Column:
+    return F.xxhash64(*[F.get(words, at + k if k else at) for k in range(WIDTH)])
+
+
+def token_set(words: Column) -> Column:
+    """Hashes of the distinct 5-word shingles; of the whole sequence if it is shorter."""
+    n = F.size(words)
+    five = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: shingle(words, i))
+    return F.array_distinct(F.when(n >= WIDTH, five).otherwise(F.array(F.xxhash64(words))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, part, place, line): part tells rows of one doc_id with different texts apart."""
+    """(at, line): at is the doc_id, a hash that tells rows of one doc_id with different texts apart, and the place."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("part"), text.alias("text"))
-    return named.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-
-
-def rarity(docs: DataFrame) -> bytearray:
-    """How common the words of each slot are over all texts: a byte a slot, on a log scale."""
-    text = F.translate(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n\t\r\v\f", "     ")
-    words = docs.select(F.explode(F.split(text, " ")).alias("word"))
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    out = bytearray(1 << SLOT_BITS)
-    for r in counts.select("slot", F.least(F.lit(127), (4 * F.log2(F.col("n") + 1)).cast("int")).alias("n")).toLocalIterator():
-        out[r.slot] = r.n
-    return out
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)).alias("doc"), F.xxhash64(text).alias("part"), text.alias("text"))
+    placed = named.select("doc", "part", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return placed.select(F.struct("doc", "part", "place").alias("at"), "line")
+
+
+def slot(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - SLOT_BITS).cast("int")
+
+
+def rarity(docs: DataFrame) -> Column:
+    """A constant array: the rank of each slot by how common its words are over all texts."""
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    for gap in "\n\t\r\v\f":
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    counts = docs.select(F.explode(F.split(text, " ")).alias("word")).groupBy(slot(F.col("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    n = dict.fromkeys(range(1 << SLOT_BITS), 0) | {r.slot: r.n for r in counts.toLocalIterator()}
+    rank = {s: k for k, s in enumerate(sorted(n, key=n.__getitem__))}
+    return F.split(F.lit(",".join(str(rank[s]) for s in sorted(rank))), ",").cast("array<int>")
+
+
+def prefixes(lines: DataFrame, ranks: Column) -> DataFrame:
+    """(at, a, b, most, least, reach, prefix): class, bounds of the number of tokens, the last place of the prefix and its tokens (32 bits of their hashes)."""
+    worded = lines.select("at", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    # a place: the rank of the leading word's slot, then a hash of the first two words
+    place = lambda w, i: F.shiftleft(F.get(ranks, slot(w)).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w, F.get("words", i + 1)), 32))
+    led = worded.select("at", "words", F.transform("words", place).alias("places"))
+    m = F.greatest(F.size("words") - (WIDTH - 1), F.lit(1))
+    ordered = led.select("at", "words", "places", m.alias("most"), F.sort_array(F.array_distinct(F.slice("places", F.lit(1), m))).alias("order"))
+    size = F.col("most") - F.ceil(F.col("most") * PERCENT / 100).cast("int") + 1
+    reach = F.get("order", F.least(size, F.size("order")) - 1)
+    reached = ordered.select("at", "words", "places", "most", F.size("order").alias("least"), reach.alias("reach"))
+    near = F.filter(F.sequence(F.lit(0), F.col("most") - 1), lambda i: F.get("places", i) <= F.col("reach"))
+    # what 32 bits bring together in vain fails the verification
+    tokens = F.transform(near, lambda i: F.shiftright(shingle(F.col("words"), i), 32).cast("int"))
+    # a line of one token is similar to those of its class only
+    prefix = F.when(F.col("reach").isNotNull() & (F.col("most") > 1), F.array_distinct(tokens)).otherwise(F.array().cast("array<int>"))
+    return reached.select("at", F.xxhash64("places").alias("a"), F.hash("places").alias("b"), "most", "least", "reach", prefix.alias("prefix"))
+
+
+class Marks:
+    """A bitmap over hashed keys (a table of one column ``key``), of bounded size."""
+
+    def __init__(self, keys: DataFrame, scratch: Scratch):
+        n = max(keys.count(), 1)
+        self.bits = min(MOST_BITS, max(18, math.ceil(math.log2(32 * n))))
+        at = F.shiftrightunsigned("key", 64 - self.bits)
+        longs = 1 << self.bits - 6
+        own = keys.select(F.shiftright(at, 6).alias("long"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+        every = keys.sparkSession.range(longs).select(F.col("id").alias("long"), F.lit(0).cast("long").alias("bits"))
+        joined = own.unionByName(every).groupBy("long").agg(F.bit_or("bits").alias("bits"))
+        parts = joined.groupBy(F.shiftright("long", PART_BITS).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("long", "bits"))), lambda x: x["bits"]).alias("bits"))
+        whole = parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"])).alias("bits"))
+        self.table = scratch.keep(whole)
+
+    def hold(self, key: Column) -> Column:
+        at = F.shiftrightunsigned(key, 64 - self.bits)
+        return F.getbit(F.get(self.table.scalar(), F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sets reach the similarity."""
+    x, y = (sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}")) for k in "xy")
+    both = pairs.select("x", "y").join(x, "x").join(y, "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    return both.where(100 * common >= PERCENT * (F.size("sx") + F.size("sy") - common)).select("x", "y")
+
+
+def met(left: DataFrame, right: DataFrame, fits: str) -> DataFrame:
+    """(x, y): lines, as structs, with the same token, x before y, that the length filter lets through."""
+    both = left.select("token", F.col("line").alias("x")).join(right.select("token", F.col("line").alias("y")), "token")
+    return both.where("x.first < y.first").where(fits).select("x", "y")
+
+
+#: Length filter where sizes are known by bounds, and where both size and number of repeated tokens are known.
+BOUNDS_FIT = f"100 * x.most >= {PERCENT} * y.least and 100 * y.most >= {PERCENT} * x.least"
+SIZES_FIT = f"{100 + PERCENT} * least(x.again, y.again) >= {PERCENT} * (x.n + y.n)"
 
 
-def by_rarity(hashes: Column, common: bytearray) -> Column:
-    """The distinct shingles in order: how common the leading word is, then the hash."""
-    table = F.lit(common)
+def counted(both: DataFrame) -> DataFrame:
+    """(x, y, c, own, apart): pairs of lines whose common tokens can be enough.
+
+    Of two prefixes the one that ends first holds all common tokens up to its
+    end; beyond it lies at most the rest of its line.
+    """
+    shared = both.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"), *[F.min(f"{k}.{f}").alias(f"{k}_{f}") for k in "xy" for f in ("most", "least", "reach", "own")])
+    early = F.col("x_reach") <= F.col("y_reach")
+    ends = shared.select("x", "y", "c", early.alias("early"), *[F.when(early, F.col(f"{k}_{f}")).otherwise(F.col(f"{o}_{f}")).alias(name) for k, o, f, name in (("x", "y", "own", "own"), ("x", "y", "most", "most"), ("y", "x", "least", "least"))])
+    return ends.where(f"{100 + PERCENT} * (c - own) + 100 * most - {PERCENT} * least >= 0").select("x", "y", "c", "early", "own")
 
-    def place(first: Column, shingle: Column) -> Column:
-        n = F.ascii(F.substring(table, F.shiftrightunsigned(first, 64 - SLOT_BITS).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(n.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(shingle, 8))
 
-    return F.sort_array(F.array_distinct(shingles(hashes, place)))
+def stars(posting: DataFrame) -> DataFrame:
+    """(x, y): for each line y the earliest, and the most copied, of the lines before it in its lists that it shares most tokens with."""
+    hubs = posting.groupBy("token").agg(F.min("line").alias("early"), F.min(F.struct((-F.col("copies")).alias("copies"), "line")).alias("copied"))
+    found = []
+    for hub in ("early", "copied.line"):
+        best = met(hubs.select("token", F.col(hub).alias("line")), posting, SIZES_FIT).groupBy(F.col("y.id").alias("y"), F.col("x.id").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+        found.append(best.groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y"))
+    return found[0].unionByName(found[1]).distinct()
 
 
-def prefix_size(n: Column) -> Column:
-    return n - F.ceil(n * PERCENT / 100).cast("int") + 1
+def line_id(at: str) -> Column:
+    return F.xxhash64(F.col(f"{at}.doc"), F.col(f"{at}.part"), F.col(f"{at}.place"))
 
 
-def marked(df: DataFrame, key: Column) -> DataFrame:
-    """One row: bitmap parts of the keys' hashes, of fixed size."""
-    slot = F.shiftrightunsigned(key, 64 - FILTER_BITS)
-    bits = df.select(slot.alias("slot")).groupBy((F.col("slot") / 32768).cast("int").alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
-    every = df.sparkSession.range(1 << FILTER_BITS - 15).select(F.col("id").cast("int").alias("part"))
-    full = every.join(bits, "part", "left").select("part", F.coalesce("bits", F.lit(b"").cast("binary")).alias("bits"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("bits"))
+def sets_of(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, set) of the given lines (first) and of few others; texts without one of them are not split."""
+    doc = F.xxhash64("first.doc", "first.part")
+    marks = Marks(lines.select(F.explode(F.array(doc, line_id("first"))).alias("key")), scratch)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    some = docs.select("doc_id", "text").where(marks.hold(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)), F.xxhash64(text))))
+    found = lines_of(some).select(line_id("at").alias("id"), "line").where(marks.hold(F.col("id"))).select("id", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    sets = scratch.keep(found.select("id", token_set(F.col("words")).alias("set")))
+    scratch.drop(marks.table)
+    return sets
+
 
+def short_lists(sets: DataFrame, lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(x, y) that share enough tokens of short lists, over whole sets; and facts of each line.
 
-def in_marked(bits: Column, key: Column) -> Column:
-    slot = F.shiftrightunsigned(key, 64 - FILTER_BITS)
-    at = slot.bitwiseAND(F.lit(32767))
-    byte = F.substring(F.get(bits, F.shiftright(slot, 15).cast("int")), F.shiftright(at, 3).cast("int") + 1, F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.coalesce(F.getbit(value, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    Facts: n, how many tokens are in long lists, how many are in any list of
+    two lines or more (``again``).
+    """
+    every = sets.select("id", F.explode("set").alias("t")).select("id", F.shiftright("t", 32).cast("int").alias("token"))
+    key = F.xxhash64("token")
+    counts = scratch.keep(every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    long, short = (Marks(counts.where(c).select(key.alias("key")), scratch) for c in (F.col("n") >= LONG, F.col("n") < LONG))
+    of_long, of_short = long.hold(key), short.hold(key)
+    facts = scratch.keep(every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(of_long).alias("long"), F.count_if(of_long | of_short).alias("again")))
+    posting = every.where(of_short & ~of_long).join(lines.select(line_id("first").alias("id"), "first"), "id").select("token", F.struct("first", "id").alias("line"))
+    near = met(posting, posting, "true").groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    for k in "xy":
+        near = near.join(facts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("long").alias(f"l{k}")), k)
+    pairs = scratch.keep(near.where(f"c + least(lx, ly) >= ceil({PERCENT} * (nx + ny) / {100 + PERCENT}.0) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)").select("x", "y"))
+    scratch.drop(counts, long.table, short.table)
+    return pairs, facts
 
 
 def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, part, place) of every line that goes."""
-    common = rarity(docs)
-    at = F.struct("doc", "part", "place").alias("at")
-    lines = lines_of(docs).select(at, word_hashes(F.col("line")).alias("words")).where(F.size("words") > 0)
-    ordered = lines.select("at", F.xxhash64("words").alias("a"), F.xxhash64("words", F.lit(1)).alias("b"), by_rarity(F.col("words"), common).alias("tokens"))
-    n = F.size("tokens")
-    # tokens of the index are cut to 32 bits: what that brings together in vain fails the verification
-    prefix = F.transform(F.slice("tokens", F.lit(1), prefix_size(n)), lambda t: (F.shiftrightunsigned(F.shiftleft(t, TOKEN_BITS), 32) - F.lit(1 << 31)).cast("int"))
-    described = scratch.keep(ordered.select("at", "a", "b", n.alias("n"), prefix.alias("prefix")))
-    firsts = described.groupBy("a", "b").agg(F.min("at").alias("first"))
-    # equal lines are one class, and its first line speaks for it
-    lead = described.join(firsts, ["a", "b"]).where("at = first").select("a", "b", "first", "n", "prefix")
-    lead = scratch.keep(lead)
-    twice = lead.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    twice = scratch.keep(twice)
-    repeated = scratch.keep(marked(twice, F.xxhash64("token")))
-    posting = lead.select("a", "first", "n", F.posexplode("prefix").alias("i", "token")).where(in_marked(repeated.scalar(), F.xxhash64("token")))
-    posting = scratch.keep(posting)
-    # the prefixes have served; what stays is narrow
-    lead, wide = scratch.keep(lead.select("a", "b", "first")), lead
-    described, all_lines = scratch.keep(described.select("at", "a", "b")), described
-    scratch.drop(wide, all_lines)
-    left = posting.select("token", F.col("a").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    right = posting.select("token", F.col("a").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    near = left.join(right, "token").where("fx < fy").where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
-    need = f"ceil({PERCENT} * (nx + ny) / {100 + PERCENT}.0)"
-    near = near.where(f"least(ix, iy) + 1 + least(nx - ix - 1, ny - iy - 1) >= {need}")
-    # beyond the shorter reach of two prefixes, at most the rest of one line is common
-    shared = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min("nx").alias("nx"), F.min("ny").alias("ny"))
-    rest = f"greatest(ceil(nx * {PERCENT} / 100.0), ceil(ny * {PERCENT} / 100.0)) - 1"
-    pairs = scratch.keep(shared.where(f"c + {rest} >= {need}").select("x", "y"))
-    scratch.drop(posting, twice, repeated)
-
-    ids = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
-    wanted = scratch.keep(lead.select("a", F.col("first").alias("at")).join(ids, "a", "left_semi"))
-    key = lambda at: F.xxhash64(F.col(f"{at}.doc"), F.col(f"{at}.part"), F.col(f"{at}.place"))
-    bits = scratch.keep(marked(wanted, key("at")))
-    located = lines_of(docs).select(F.struct("doc", "part", "place").alias("at"), "line")
-    sets = located.where(in_marked(bits.scalar(), key("at"))).join(wanted, "at").select("a", word_hashes(F.col("line")).alias("words")).dropDuplicates(["a"])
-    sets = scratch.keep(sets.select("a", F.array_distinct(shingles(F.col("words"))).alias("set")))
-    # hashes cut to 32 bits, with one token of slack, leave few pairs for the whole sets
-    small = lambda c: F.transform(c, lambda t: (F.shiftrightunsigned(t, 32) - F.lit(1 << 31)).cast("int"))
-    likely = scratch.keep(similar(pairs, sets.select("a", small(F.col("set")).alias("set")), 1))
-    hits = scratch.keep(similar(likely, sets, 0).select(F.col("y").alias("a")).distinct())
-    scratch.drop(pairs, wanted, bits, sets, likely)
+    described = scratch.keep(prefixes(lines_of(docs), rarity(docs)))
+    speaker = F.min(F.struct("at", "most", "least", "reach", "prefix")).alias("s")
+    lead = described.groupBy("a", "b").agg(speaker, F.count(F.lit(1)).cast("int").alias("copies"))
+    lead = scratch.keep(lead.select("a", "b", "copies", F.col("s.at").alias("first"), "s.most", "s.least", "s.reach", "s.prefix"))
+    twice = scratch.keep(lead.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    repeated = Marks(twice.select(F.xxhash64("token").alias("key")), scratch)
+    line = F.struct("first", line_id("first").alias("id"), "most", "least", "reach", F.size("prefix").alias("own")).alias("line")
+    posting = lead.select(line, "copies", F.explode("prefix").alias("token")).where(repeated.hold(F.xxhash64("token")))
+    posting = scratch.keep(posting.join(twice, "token"))
+    scratch.drop(twice, repeated.table)
+
+    # pairs of which one line at least has short lists only
+    short = posting.where(F.col("n") < LONG)
+    pairs = scratch.keep(counted(met(short, short, BOUNDS_FIT)))
+    # lines with a long list: all their tokens are looked at
+    busy = scratch.keep(posting.where(F.col("n") >= LONG).select("line.id", "line.first").distinct())
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    lines = scratch.keep(posting.select("line.id", "line.first").distinct().join(ids, "id", "left_semi").union(busy).distinct())
+    sets = sets_of(docs, lines, scratch)
+    more, facts = short_lists(sets.join(busy.select("id"), "id", "left_semi"), busy, scratch)
+    # lines that consist of long lists: first against a few lines, then, without a match, against all
+    heavy = facts.where(f"n - long < n - ceil(n * {PERCENT} / 100.0) + 1").select("id", "n", "again")
+    among = posting.drop("n").join(heavy, F.col("line.id") == heavy.id).select("token", "copies", F.struct("line.first", "line.id", "n", "again", *[f"line.{f}" for f in ("most", "least", "reach", "own")]).alias("line"))
+    among = scratch.keep(among)
+    sized = pairs
+    for k in "xy":
+        sized = sized.join(sets.select(F.col("id").alias(k), F.size("set").alias(f"n{k}")), k)
+    sized = sized.where(f"c + if(early, nx, ny) - own >= ceil({PERCENT} * (nx + ny) / {100 + PERCENT}.0) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)").select("x", "y")
+    every = scratch.keep(sized.union(more).union(stars(among)).distinct())
+    hits = scratch.keep(similar(every, sets).select(F.col("y").alias("id")).distinct())
+    opened = among.join(hits.select(F.col("id").alias("hit")), F.col("line.id") == F.col("hit"), "left_anti")
+    rest = scratch.keep(counted(met(among, opened, SIZES_FIT)).select("x", "y").join(every, ["x", "y"], "left_anti"))
+    hits = scratch.keep(similar(rest, sets).select(F.col("y").alias("id")).union(hits).distinct().withColumn("hit", F.lit(True)))
+    scratch.drop(posting, pairs, busy, lines, sets, more, facts, among, every, rest)
 
     # a class goes whole if its first line has a match before it, else but for that line
-    gone = lead.join(hits.withColumn("hit", F.lit(True)), "a", "left").select("a", "b", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
-    out = scratch.keep(described.join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct())
+    gone = lead.select("a", "b", "first", "copies", line_id("first").alias("id")).join(hits, "id", "left").where("hit or copies > 1")
+    out = scratch.keep(described.select("a", "b", "at").join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct())
     scratch.drop(described, lead, hits)
     return out
 
 
-def similar(pairs: DataFrame, sets: DataFrame, slack: int) -> DataFrame:
-    """The pairs (x, y) whose sets reach the similarity, or would with ``slack`` more common tokens."""
-    both = pairs.join(sets.select(F.col("a").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("a").alias("y"), F.col("set").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy")) + slack
-    return both.where(100 * common >= PERCENT * (F.size("sx") + F.size("sy") - common)).select("x", "y")
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) with ``text`` rid of the lines that go, and ``n_removed_lines``.
 
@@ -160,11 +257,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     stays even if no line does.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    gone = similar_lines(docs, scratch).groupBy("doc", "part").agg(F.sort_array(F.collect_list("place")).alias("__gone"))
+    gone = similar_lines(docs, scratch).groupBy(F.col("doc").alias("__doc"), F.col("part").alias("__part")).agg(F.sort_array(F.collect_list("place")).alias("__gone"))
+    gone = scratch.keep(gone)
+    changed = Marks(gone.select(F.xxhash64("__doc", "__part").alias("key")), scratch)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "__part": F.xxhash64(text)})
-    joined = keyed.join(gone.select(F.col("doc").alias("__doc"), F.col("part").alias("__part"), "__gone"), ["__doc", "__part"], "left")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.transform(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__gone"), s["i"])), lambda s: s["x"]), "\n")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    return out.withColumn("n_removed_lines", F.coalesce(F.size("__gone"), F.lit(0))).drop("__doc", "__part", "__gone")
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)), "__part": F.xxhash64(text)})
+    marked = changed.hold(F.xxhash64("__doc", "__part"))
+    joined = keyed.where(marked).join(gone, ["__doc", "__part"], "left")
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains(F.col("__gone"), s["i"])), lambda s: s["x"]), "\n")
+    cut = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).withColumn("n_removed_lines", F.coalesce(F.size("__gone"), F.lit(0)))
+    # texts that lose no line do not move
+    whole = keyed.where(~marked).withColumn("n_removed_lines", F.lit(0))
+    return whole.drop("__doc", "__part").unionByName(cut.drop("__doc", "__part", "__gone"))

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyleaf-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,10 +32,16 @@ class Packed:
         return np.frombuffer(zlib.decompress(self.data), dtype=np.uint8)
 
 
+#: Plans as text, which the driver keeps for each query, are cut at this length unless the session says otherwise.
+PLAN_TEXT = 20_000
+
+
 class Scratch:
     """Writes tables to the shared folder, which cuts their lineage, and drops them."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):
+            spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
         self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
