@@ -2,8 +2,9 @@
 
 Every 200-byte string of a text belongs to one anchor, the least hash of the
 32-byte strings in it, so equal strings have equal anchors.  Only strings
-whose anchor occurs twice are looked at: they travel in pieces (the strings
-of one anchor occurrence overlap) to a bucket of their anchor.  A bucket
+whose anchor occurs twice with the same 84 bytes before or after it are looked
+at: they travel in pieces (the strings of one anchor occurrence overlap) to a
+bucket of their anchor.  A bucket
 joins its distinct pieces and sorts their suffixes in two stages: suffixes
 smaller than their successors are sorted directly, the rest are induced by
 scanning the buckets of the first byte in order.  Neighbours in that order
@@ -30,6 +31,8 @@ from tallyleaf.llm.state import Packed, Scratch
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
+#: Bytes on one side of an anchor that any string around it has at least.
+SIDE = (LENGTH - GRAM) // 2
 SEGMENT = 1 << 23
 BITMAP_BITS = 27
 BUCKET_BYTES = 4_000_000
@@ -39,16 +42,26 @@ FLUSH = 2_000_000
 LOW24 = np.uint64((1 << 24) - 1)
 
 
-def gram_hashes(b: np.ndarray, powers: Powers) -> np.ndarray:
-    n = len(b)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(b * down[:n], out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * up[: n - GRAM + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h
+class Hashes:
+    """Hashes of substrings of a text, by prefix sums."""
+
+    def __init__(self, b: np.ndarray, powers: Powers):
+        self.up, down = powers(len(b) + 1)
+        self.sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(b * down[: len(b)], out=self.sums[1:])
+
+    def mixed(self, h: np.ndarray) -> np.ndarray:
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return h
+
+    def grams(self, first: int, last: int) -> np.ndarray:
+        """Of the grams that start from ``first`` and end by ``last``."""
+        return self.mixed((self.sums[first + GRAM : last + 1] - self.sums[first : last + 1 - GRAM]) * self.up[first : last + 1 - GRAM])
+
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return self.mixed((self.sums[starts + length] - self.sums[starts]) * self.up[starts])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,22 +75,34 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(b: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, last): the anchors of a text and the string starts that belong to each."""
-    keys, firsts, lasts = [], [], []
+def anchors(b: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(key, first, last, left, right) of the anchors of a text.
+
+    ``first`` and ``last`` are the string starts that belong to an anchor,
+    ``left`` and ``right`` hash it with the SIDE bytes before or after it (0
+    where the text ends).  Of a string, SIDE bytes at least lie on one side of
+    its anchor, so equal strings have equal ``left`` or equal ``right``.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
     for base in range(0, max(len(b) - LENGTH + 1, 0), SEGMENT):
-        part = b[base : base + SEGMENT + LENGTH - 1]
-        h = gram_hashes(part, powers)
+        lo, end = max(0, base - SIDE), min(len(b), base + SEGMENT + LENGTH - 1)
+        part = b[lo : end + SIDE]
+        hashes = Hashes(part, powers)
+        h = hashes.grams(base - lo, end - lo)
         packed = (h & ~LOW24) | np.arange(len(h), dtype=np.uint64)
         at = (sliding_least(packed, SPAN) & LOW24).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        keys.append(h[at[first]])
-        firsts.append(first + base)
-        lasts.append(np.append(first[1:], len(at)) - 1 + base)
-    if not keys:
+        own = at[first] + base - lo
+        left, right = np.zeros(len(own), dtype=np.uint64), np.zeros(len(own), dtype=np.uint64)
+        some = own >= SIDE
+        left[some] = hashes.at(own[some] - SIDE, SIDE + GRAM) | np.uint64(1)
+        some = own + GRAM + SIDE <= len(part)
+        right[some] = (hashes.at(own[some], GRAM + SIDE) | np.uint64(1)) ^ np.uint64(1 << 63)
+        found.append((h[at[first]], first + base, np.append(first[1:], len(at)) - 1 + base, left, right))
+    if not found:
         none = np.empty(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
-    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def signed(keys: np.ndarray) -> np.ndarray:
@@ -85,12 +110,14 @@ def signed(keys: np.ndarray) -> np.ndarray:
 
 
 def count_anchors(batches):
+    """Rows (side, key, n): how often an anchor with what stands on one side of it occurs in a part of a task."""
     powers, held, size = Powers(), [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            key, _, _ = anchors(np.frombuffer((text or "").encode(), dtype=np.uint8), powers)
-            held.append(key)
-            size += len(key)
+            key, _, _, left, right = anchors(np.frombuffer((text or "").encode(), dtype=np.uint8), powers)
+            sides = np.concatenate([left, right])
+            held.append(np.stack([sides, np.concatenate([key, key])])[:, sides != 0])
+            size += len(sides)
             if size >= FLUSH:
                 yield from counted(held)
                 held, size = [], 0
@@ -99,9 +126,12 @@ def count_anchors(batches):
 
 
 def counted(held):
-    key, n = np.unique(np.concatenate(held), return_counts=True)
-    for lo in range(0, len(key), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key[lo : lo + 100_000])), pa.array(n[lo : lo + 100_000].astype(np.int64))], names=["key", "n"])
+    side, key = np.concatenate(held, axis=1)
+    side, first, n = np.unique(side, return_index=True, return_counts=True)
+    key = key[first]
+    for lo in range(0, len(side), 100_000):
+        cut = slice(lo, lo + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(side[cut])), pa.array(signed(key[cut])), pa.array(n[cut].astype(np.int32))], names=["side", "key", "n"])
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -138,8 +168,8 @@ def cut(packed: Packed, hot_keys: np.ndarray, hot_parts: np.ndarray, buckets: in
                     texts[sig] = data
             rows: list[tuple] = []
             for sig, data in texts.items():
-                key, first, last = anchors(np.frombuffer(data, dtype=np.uint8), powers)
-                pick = holds(bits, key) if len(key) else key.astype(bool)
+                key, first, last, left, right = anchors(np.frombuffer(data, dtype=np.uint8), powers)
+                pick = ((left != 0) & holds(bits, left)) | ((right != 0) & holds(bits, right))
                 if not pick.any():
                     continue
                 key, first, last = key[pick], first[pick], last[pick]
@@ -377,20 +407,24 @@ def remove(batches):
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(sig, spans): for each distinct text its spans of repeated strings, as int64 pairs."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = texts.mapInArrow(count_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = scratch.keep(counts)
-    total, kinds = counts.agg(F.sum("n"), F.count("key")).first()
-    limit = max(HOT, (total or 0) >> 20)
+    sides = texts.mapInArrow(count_anchors, "side long, key long, n int").groupBy("side").agg(F.sum("n").alias("n"), F.min("key").alias("key")).where("n > 1")
+    sides = scratch.keep(sides)
+    # an occurrence counts for one side at least and for two at most
+    counts = scratch.keep(sides.groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT, total >> 20)
     hot = counts.where(F.col("n") > limit).toPandas()
     hot_keys = hot["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
     parts = (1 + hot["n"].to_numpy(dtype=np.int64) // limit).astype(np.uint64)
-    buckets = max(8, -(-(total or 0) * (LENGTH + SPAN // 2) // BUCKET_BYTES))
-    pieces = texts.mapInArrow(cut(Packed(bitmap(counts)), hot_keys[order], parts[order], buckets), PIECES)
+    buckets = max(8, -(-total * (LENGTH + SPAN // 2) // (2 * BUCKET_BYTES)))
+    pieces = texts.mapInArrow(cut(Packed(bitmap(sides.select(F.col("side").alias("key")))), hot_keys[order], parts[order], buckets), PIECES)
     found = scratch.keep(pieces.groupBy("bucket").applyInArrow(resolve, "sig binary, spans binary, digest binary, n long"))
     twice = found.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
     late = found.where("digest is not null and sig is not null").join(twice, "digest").select("sig", "spans")
-    return scratch.keep(found.where("digest is null").select("sig", "spans").unionByName(late).groupBy("sig").agg(F.collect_list("spans").alias("spans")))
+    spans = scratch.keep(found.where("digest is null").select("sig", "spans").unionByName(late).groupBy("sig").agg(F.collect_list("spans").alias("spans")))
+    scratch.drop(sides, counts, found)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
