@@ -48,6 +48,12 @@ def nonempty(c: Column) -> Column:
     return F.filter(F.transform(lines(c), clean), lambda x: x != "")
 
 
+def clean_crop(c: Column) -> Column:
+    """Text of a crop: lines cut at signs and blanks, those without text left out; null reads as empty."""
+    cut = F.transform(lines(F.coalesce(c, F.lit(""))), lambda x: F.btrim(x, F.lit(" :：,，;；|")))
+    return F.array_join(F.filter(cut, lambda x: x != ""), "\n")
+
+
 def first(arr: Column, default: str = "") -> Column:
     return F.coalesce(F.get(arr, F.lit(0)), F.lit(default))
 

@@ -128,6 +128,29 @@ def class_counts(df: DataFrame, image: str, cls: str) -> DataFrame:
     return every.join(found, "class", "left").select("class", "class_id", F.coalesce("n", F.lit(0)).alias("images"))
 
 
+def totals(df: DataFrame, image: str, cls: str) -> DataFrame:
+    """One row: images, boxes, and the class names that occur, sorted."""
+    return df.agg(F.countDistinct(image).alias("images"), F.count(F.lit(1)).alias("boxes"), F.sort_array(F.collect_set(cls)).alias("classes"))
+
+
+def gate(paths: DataFrame, path: str) -> DataFrame:
+    """One row: images, label files, stray files among the labels, and whether each image has its label and nothing is astray."""
+    p = F.col(path)
+    image = p.rlike("(?i)(?:^|/)images/.*\\.(?:jpg|jpeg|png)$")
+    stray = p.rlike("(?:^|/)labels/(?:.*/)?(?:label|classes)\\.txt$")
+    label = p.rlike("(?:^|/)labels/(?:train|val)/.*\\.txt$") & ~stray
+    n = paths.agg(F.count_if(image).alias("images"), F.count_if(label).alias("labels"), F.count_if(stray).alias("bad_files"))
+    return n.withColumn("ok", F.expr("images = labels and bad_files = 0"))
+
+
+def choose_samples(files: DataFrame, there: DataFrame, prefer: str, limit: int, offset: int = 0) -> DataFrame:
+    """(name, place): new file names, those of the preferred prefix first, then by name, ``limit`` after ``offset``."""
+    new = without_existing(files.select("name").distinct(), there, "name")
+    ordered = new.orderBy(F.when(F.col("name").startswith(f"{prefer}_"), 0).otherwise(1), "name").offset(offset).limit(limit)
+    w = Window.orderBy(F.when(F.col("name").startswith(f"{prefer}_"), 0).otherwise(1), "name")
+    return ordered.withColumn("place", F.row_number().over(w).cast("bigint") + offset)
+
+
 def missing_classes(present: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, V.CLASSES)), present)
 

@@ -48,3 +48,14 @@ def long_checks(df: DataFrame, key: str) -> DataFrame:
     """(key, field, level, message), thirteen rows a record."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"checks.{f}.level").alias("level"), F.col(f"checks.{f}.message").alias("message")) for f in V.FIELDS])
     return validate(df).select(key, F.inline(each))
+
+
+LEVELS = ("ok", "warning", "optional", "missing")
+
+
+def level_counts(df: DataFrame) -> DataFrame:
+    """(field, level, n): how many records have which level, in one pass without a row for each check."""
+    levels = validate(df).select(*[F.col(f"checks.{f}.level").alias(f) for f in V.FIELDS])
+    one = levels.agg(*[F.count_if(F.col(f) == v).alias(f"{f}_{v}") for f in V.FIELDS for v in LEVELS])
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("level"), F.col(f"{f}_{v}").alias("n")) for f in V.FIELDS for v in LEVELS])
+    return one.select(F.inline(rows)).where("n > 0")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import extract as X
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
-from tallyleaf.operators import dataset, detections, fusion, layout, raster, validate
+from tallyleaf.operators import autolabel, dataset, detections, engines, fusion, layout, raster, validate
 from tallyleaf.plans import render
 from tallyleaf.plans.render import BASE_SQL, MONEY_SQL, table
 
@@ -50,11 +51,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {BASE_SQL} SELECT k AS doc_id, invoice_no, invoice_date, buyer_name, {cents_sql('amount_c')} AS amount, {cents_sql('tax_c')} AS tax, {TOTAL_SQL} AS total, "
-    "CAST(CASE WHEN r = 2 THEN 4 ELSE 6 END AS BIGINT) AS n_filled, CASE WHEN r = 5 THEN 'warning' WHEN r = 2 THEN 'ok' ELSE 'ok' END AS amount_check FROM base WHERE r <> 2"
+    f"WITH {BASE_SQL} SELECT k AS doc_id, invoice_no, invoice_date, buyer_name, CASE WHEN r = 2 THEN '' ELSE {cents_sql('amount_c')} END AS amount, CASE WHEN r = 2 THEN '' ELSE {cents_sql('tax_c')} END AS tax, {TOTAL_SQL} AS total, "
+    "CAST(CASE WHEN r = 2 THEN 4 ELSE 6 END AS BIGINT) AS n_filled, CASE WHEN r IN (2, 5) THEN 'warning' ELSE 'ok' END AS amount_check FROM base"
 )
 def invoice_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = render.texts(spark, sf_dir).where("r <> 2").withColumn("norm", T.normalize(F.col("text")))
+    df = render.texts(spark, sf_dir).withColumn("norm", T.normalize(F.col("text")))
     names = ("invoice_no", "invoice_date", "buyer_name", "amount", "tax", "total")
     df = df.withColumns({f: X.first_match(F.col("norm"), V.PRIMARY[f]) for f in names})
     filled = sum((F.when(F.col(f) != "", 1).otherwise(0) for f in names), F.lit(0)).cast("bigint")
@@ -99,7 +100,7 @@ def validate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT x.field AS field, x.level AS level, count(*) AS n FROM lv GROUP BY ALL"""
 )
 def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.long_checks(records(spark, sf_dir), "doc_id").groupBy("field", "level").agg(F.count(F.lit(1)).alias("n"))
+    return validate.level_counts(records(spark, sf_dir))
 
 
 @query(
@@ -146,9 +147,9 @@ def digit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {BASE_SQL} SELECT k AS doc_id, {cents_sql('amount_c')} AS amount, {cents_sql('tax_c')} AS tax FROM base WHERE tax_c > 0")
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN tax_c > 0 THEN {cents_sql('amount_c')} END AS amount, CASE WHEN tax_c > 0 THEN {cents_sql('tax_c')} END AS tax FROM base")
 def amount_tax_two_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = render.facts(spark, sf_dir).where("tax_c > 0")
+    f = render.facts(spark, sf_dir)
     a, x, t = (T.money(F.col(c)) for c in ("amount_c", "tax_c", "total_c"))
     norm = T.normalize(F.concat_ws("\n", x, F.lit("单号 20230101"), a, t))
     df = f.withColumn("s", X.infer_amount_tax(norm, t))
@@ -164,10 +165,10 @@ def tax_rate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {BASE_SQL} SELECT k AS doc_id, '9' || lpad(CAST(k AS VARCHAR), 19, '0') AS invoice_no, buyer_tax_id, buyer_name, seller_tax_id, seller_name, {cents_sql('amount_c')} AS amount, {cents_sql('tax_c')} AS tax, {cents_sql('total_c')} AS total, drawer FROM base WHERE tax_c > 0"
+    f"WITH {BASE_SQL} SELECT k AS doc_id, '9' || lpad(CAST(k AS VARCHAR), 19, '0') AS invoice_no, buyer_tax_id, buyer_name, seller_tax_id, seller_name, CASE WHEN tax_c > 0 THEN {cents_sql('amount_c')} ELSE '' END AS amount, CASE WHEN tax_c > 0 THEN {cents_sql('tax_c')} ELSE '' END AS tax, {cents_sql('total_c')} AS total, drawer FROM base"
 )
 def pdf_tail_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = render.facts(spark, sf_dir).where("tax_c > 0")
+    f = render.facts(spark, sf_dir)
     long = F.concat(F.lit("9"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
     parts = [F.lit("购买方信息"), F.lit("开票人:"), long, F.col("f_buyer_id"), F.col("f_buyer"), F.col("f_seller_id"), F.col("f_seller"), T.money(F.col("amount_c")), T.money(F.col("tax_c")), F.lit("壹佰圆整"), F.concat(F.lit("¥"), T.money(F.col("total_c"))), F.col("f_drawer")]
     blank = f.select("doc_id", F.concat_ws("\n", *parts).alias("text")).withColumns({c: F.lit("") for c in V.FIELDS})
@@ -175,9 +176,9 @@ def pdf_tail_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "invoice_no", "buyer_tax_id", "buyer_name", "seller_tax_id", "seller_name", "amount", "tax", "total", "drawer")
 
 
-@query(f"WITH {BASE_SQL} SELECT k AS doc_id, seller_tax_id, seller_name FROM base WHERE r = 3")
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN r = 3 THEN seller_tax_id ELSE '' END AS seller_tax_id, CASE WHEN r = 3 THEN seller_name ELSE '' END AS seller_name FROM base")
 def agent_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = render.texts(spark, sf_dir).where("r = 3")
+    t = render.texts(spark, sf_dir)
     return t.select("doc_id", X.agent_tax(T.normalize(F.col("text"))).alias("seller_tax_id"), X.agent_name(F.col("text")).alias("seller_name"))
 
 
@@ -187,9 +188,9 @@ def buyer_seller_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "buyer_tax_id", X.seller_tax(F.col("text"), F.col("buyer_tax_id")).alias("seller_tax_id"))
 
 
-@query(f"WITH {BASE_SQL} SELECT k AS doc_id, buyer_name, seller_name FROM base WHERE r <> 3")
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, buyer_name, CASE WHEN r = 3 THEN '某市税务局' ELSE seller_name END AS seller_name FROM base")
 def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = render.texts(spark, sf_dir).where("r <> 3").withColumn("buyer_name", X.buyer_name(F.col("text")))
+    t = render.texts(spark, sf_dir).withColumn("buyer_name", X.buyer_name(F.col("text")))
     # the block before 货物 holds the buyer alone
     return t.select("doc_id", "buyer_name", X.seller_name(F.col("text"), F.col("buyer_name")).alias("seller_name"))
 
@@ -204,8 +205,8 @@ def drawer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def routing_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    long = F.char_length(F.regexp_replace("text", "\\s+", "")) >= 30
-    out = docs.where(long).withColumn("route", F.lit("text")).unionByName(docs.where(~long).withColumn("route", F.lit("ocr")))
+    plain, rest = engines.route(docs)
+    out = plain.withColumn("route", F.lit("text")).unionByName(rest.withColumn("route", F.lit("ocr")))
     return out.select("doc_id", "route", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
@@ -278,22 +279,21 @@ def below_column_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered texts as lines, forty pixels apart, amount and tax on one row."""
-    t = render.texts(spark, sf_dir).where("r <> 5").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    t = render.texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     tax_row = F.contains("text", F.lit("税额"))
     y = (F.when(tax_row, F.col("line_no") - 1).otherwise(F.col("line_no")) * 40).cast("double")
     x = F.when(tax_row, 500.0).otherwise(100.0)
     return t.select("doc_id", "line_no", "text", (90 + F.col("doc_id") % 10).cast("double").alias("score"), x.alias("x1"), y.alias("y1"), (x + 200).alias("x2"), (y + 20).alias("y2"))
 
 
-@query(f"WITH {BASE_SQL} SELECT k AS doc_id, amount_c AS amount, tax_c AS tax, total_c AS total FROM base WHERE r NOT IN (2, 5) AND tax_c > 0")
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN tax_c > 0 THEN {cents_sql('amount_c')} END AS amount, CASE WHEN tax_c > 0 THEN {cents_sql('tax_c')} END AS tax, {TOTAL_SQL} AS total FROM base")
 def amount_tax_total_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = boxed_lines(spark, sf_dir)
-    full = render.facts(spark, sf_dir).where("r not in (2, 5) and tax_c > 0").select("doc_id")
-    return layout.amount_tax_total(lines.join(full, "doc_id", "left_semi"), 640.0, 800.0)
+    found = layout.amount_tax_total(boxed_lines(spark, sf_dir), 640.0, 800.0)
+    return found.select("doc_id", *[T.money(F.col(c)).alias(c) for c in ("amount", "tax", "total")])
 
 
 @query(
-    f"""WITH {BASE_SQL}, g AS (SELECT k AS doc_id, 200.0 AS buyer, CASE WHEN r = 4 THEN 240.0 ELSE 280.0 END AS stop, CASE WHEN r = 4 THEN 360.0 ELSE 400.0 END AS total FROM base WHERE r <> 5)
+    f"""WITH {BASE_SQL}, g AS (SELECT k AS doc_id, 200.0 AS buyer, CASE WHEN r = 4 THEN 240.0 ELSE 280.0 END AS stop, CASE WHEN r = 4 THEN 360.0 ELSE 400.0 END AS total FROM base)
   SELECT doc_id, CAST(buyer - 12.8 AS VARCHAR) AS buyer_start, CAST(CAST(stop AS BIGINT) AS VARCHAR) AS buyer_end, CAST(CAST(least(371.2, total) * 10 AS BIGINT) AS VARCHAR) AS seller_start FROM g"""
 )
 def region_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,14 +301,71 @@ def region_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.round("buyer_start", 1).cast("string").alias("buyer_start"), F.col("buyer_end").cast("bigint").cast("string").alias("buyer_end"), F.round(F.col("seller_start") * 10).cast("bigint").cast("string").alias("seller_start"))
 
 
-@query(f"WITH {BASE_SQL} SELECT k AS doc_id, buyer_name, seller_name, drawer, {cents_sql('total_c')} AS total FROM base WHERE r IN (0, 2, 4)")
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, buyer_name, CASE WHEN r = 3 THEN '代开企业名称:' || seller_name ELSE seller_name END AS seller_name, drawer, {TOTAL_SQL} AS total FROM base")
 def layout_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = render.facts(spark, sf_dir).where("r in (0, 2, 4)").select("doc_id")
-    rec = records(spark, sf_dir).join(keep, "doc_id", "left_semi")
-    out = layout.refine(rec, boxed_lines(spark, sf_dir).join(keep, "doc_id", "left_semi"), 640.0, 800.0)
+    out = layout.refine(records(spark, sf_dir), boxed_lines(spark, sf_dir), 640.0, 800.0)
     return out.select("doc_id", "buyer_name", "seller_name", "drawer", "total")
 
 
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, 'buyer' AS role, buyer_tax_id AS value FROM base WHERE r <> 4 UNION ALL SELECT k, 'seller', seller_tax_id FROM base")
+def layout_tax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = boxed_lines(spark, sf_dir)
+    r = layout.regions(lines, 640.0)
+    buyer = layout.choose_tax_id(lines, r.select("doc_id", F.col("buyer_start").alias("start"), F.col("buyer_end").alias("end")))
+    seller = layout.choose_tax_id(lines, r.select("doc_id", F.col("seller_start").alias("start"), F.lit(640.0).alias("end")))
+    return buyer.select("doc_id", F.lit("buyer").alias("role"), "value").unionByName(seller.select("doc_id", F.lit("seller").alias("role"), "value"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN r = 4 THEN lpad(invoice_no, 20, '7') ELSE substr(buyer_tax_id, 1, 17) END AS value FROM base")
+def layout_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest digit run of the label's window wins, as runs of one window score alike."""
+    return layout.choose_checksum(boxed_lines(spark, sf_dir), 640.0)
+
+
+@query(
+    f"""WITH {BASE_SQL} SELECT k AS doc_id, x.class AS class, CAST(x.line_no AS BIGINT) AS line_no FROM (SELECT k, unnest([{{'class': 'invoice_type', 'line_no': 0}}, {{'class': 'buyer_name', 'line_no': 5}}, {{'class': 'buyer_tax_id', 'line_no': 4}},
+  {{'class': 'checksum', 'line_no': CASE WHEN r = 4 THEN 1 ELSE 6 END}}, {{'class': 'total', 'line_no': CASE WHEN r = 4 THEN 9 ELSE 10 END}}, {{'class': 'seller_tax_id', 'line_no': CASE WHEN r = 4 THEN 11 ELSE 12 END}},
+  {{'class': 'seller_name', 'line_no': CASE r WHEN 4 THEN 10 WHEN 3 THEN 13 ELSE 11 END}}]) AS x FROM base)"""
+)
+def auto_labels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic labels of the classes whose line follows from the regime alone."""
+    placed = ("invoice_type", "buyer_name", "buyer_tax_id", "checksum", "total", "seller_tax_id", "seller_name")
+    found = autolabel.auto_labels(boxed_lines(spark, sf_dir), 800.0, 640.0)
+    return found.where(F.col("class").isin(*placed)).select("doc_id", "class", F.col("line_no").cast("bigint"))
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '未识别到足够表头文本，使用普通 OCR' WHEN 1 THEN '电子发票/数电票，使用普通 OCR 或 PDF 文本直读'
+  WHEN 2 THEN '识别为扫描/拍照版增值税普通发票，启用 YOLO 辅助定位' ELSE '非 YOLO 训练主类型，使用普通 OCR' END AS reason FROM orders"""
+)
+def detector_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.array(*map(F.lit, ("", "电子 发票（普通发票）", "北京增值税普通发票 发票代码", "收据")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return o.select("doc_id", engines.decision(F.get(heads, (F.col("doc_id") % 4).cast("int"))).alias("reason"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, k % 3 = 0 AS has_id, k % 3 = 0 AS has_checksum, k % 3 = 2 AS noisy, k % 3 = 0 AS labels_id FROM base")
+def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    text = F.get(F.array(F.concat(F.lit("税号 "), F.col("f_buyer_id")), F.col("f_no"), F.lit("收 款 人：王小明")), (F.col("doc_id") % 3).cast("int"))
+    t = f.select("doc_id", text.alias("t"))
+    return t.select("doc_id", detections.has_tax_id(F.col("t")).alias("has_id"), T.has_checksum(F.col("t")).alias("has_checksum"), detections.noisy_seller(F.col("t")).alias("noisy"), autolabel.has_tax_id(F.col("t")).alias("labels_id"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, invoice_no || chr(10) || buyer_name AS text FROM base")
+def crop_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    text = F.concat_ws("\n", F.concat(F.lit(" :"), F.col("f_no"), F.lit("；")), F.lit(" | "), F.lit(""), F.concat(F.col("f_buyer"), F.lit("，")))
+    return f.select("doc_id", T.clean_crop(text).alias("text"))
+
+
+@query(f"WITH {BASE_SQL} SELECT k AS doc_id, {cents_sql('total_c')} AS total FROM base")
+def total_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = render.facts(spark, sf_dir)
+    norm = T.normalize(F.concat_ws("\n", F.lit("1234567.8"), F.concat(F.lit("￥"), T.money(F.col("tax_c"))), T.money(F.col("total_c")), T.money(F.col("amount_c"))))
+    return f.select("doc_id", X.fallback_total(norm).alias("total"))
+
+
 # ---- detections ----
 
 CROPS_SQL = """crops AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1 AS det_no,
@@ -340,6 +397,32 @@ def detector_best_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.best_per_field(crops(spark, sf_dir)).select("doc_id", "field", F.col("det_no").cast("bigint"))
 
 
+@query(f"WITH {CROPS_SQL} SELECT doc_id, CAST(det_no AS BIGINT) AS det_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, det_no) AS n FROM crops) WHERE n > 1")
+def unused_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = crops(spark, sf_dir)
+    return detections.leftovers(c, detections.best_per_field(c)).select("doc_id", F.col("det_no").cast("bigint"))
+
+
+@query(
+    f"""WITH {CROPS_SQL} SELECT doc_id, string_agg(field || ':' || {cents_sql("cents")}, chr(10) ORDER BY field) AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, det_no) AS n FROM crops) WHERE n = 1 GROUP BY doc_id"""
+)
+def detected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections.detected_text(detections.best_per_field(crops(spark, sf_dir)))
+
+
+@query(f"WITH {CROPS_SQL} SELECT doc_id, CAST(13 - count(DISTINCT field) AS BIGINT) AS n_missing FROM crops GROUP BY doc_id")
+def missing_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present = crops(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("field").alias("present"))
+    return present.select("doc_id", F.size(dataset.missing_classes(F.col("present"))).cast("bigint").alias("n_missing"))
+
+
+@query(f"WITH {CROPS_SQL} SELECT count(DISTINCT doc_id) AS images, count(*) AS boxes, string_agg(DISTINCT field, ',' ORDER BY field) AS classes FROM crops")
+def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = dataset.totals(crops(spark, sf_dir), "doc_id", "field")
+    return t.select("images", "boxes", F.array_join("classes", ",").alias("classes"))
+
+
 @query(
     f"""WITH {CROPS_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence + 15 + 4.5 + (y1 + 15) / 1000.0 * 35 + 25 DESC, det_no) AS n FROM crops WHERE field = 'total') WHERE n = 1)
   SELECT doc_id, CAST(det_no AS BIGINT) AS det_no FROM t"""
@@ -394,10 +477,10 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice_date' ELSE 'total' END AS class, CAST(o_custkey AS VARCHAR) AS text FROM orders WHERE o_orderkey % 3 <> 0"""
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice_date' ELSE 'total' END AS class, CAST(o_custkey AS VARCHAR) AS text FROM orders"""
 )
 def kie_link_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     pts = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((10, 10), (60, 10), (60, 30), (10, 30))])
     no_links = F.array().cast("array<array<int>>")
@@ -443,6 +526,29 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("class", F.col("class_id").cast("bigint"), "images")
 
 
+@query(
+    """SELECT count(*) FILTER (p_partkey % 5 < 2) AS images, count(*) FILTER (p_partkey % 5 IN (2, 3)) AS labels, count(*) FILTER (p_partkey % 5 = 4) AS bad_files,
+  count(*) FILTER (p_partkey % 5 < 2) = count(*) FILTER (p_partkey % 5 IN (2, 3)) AND count(*) FILTER (p_partkey % 5 = 4) = 0 AS ok FROM part"""
+)
+def dataset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    kinds = F.array(F.concat(F.lit("images/train/"), k, F.lit(".JPG")), F.concat(F.lit("images/val/"), k, F.lit(".png")), F.concat(F.lit("labels/train/"), k, F.lit(".txt")), F.concat(F.lit("labels/val/"), k, F.lit(".txt")), F.concat(F.lit("labels/"), k, F.lit("/classes.txt")))
+    paths = table(spark, sf_dir, "part").select(F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("path"))
+    return dataset.gate(paths, "path")
+
+
+@query(
+    """SELECT name, CAST(row_number() OVER (ORDER BY name LIKE 'b\\_%' ESCAPE '\\' DESC, name) AS BIGINT) AS place FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a_' ELSE 'b_' END || p_partkey || '.jpg' AS name, p_partkey FROM part)
+  WHERE name NOT IN (SELECT 'a_' || s_suppkey || '.jpg' FROM supplier) ORDER BY place LIMIT 50""".replace("\\\\", "\\")
+)
+def sample_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 images to copy into a dataset: the preferred prefix first, none that is there."""
+    name = lambda k, p: F.concat(p, F.col(k).cast("string"), F.lit(".jpg")).alias("name")
+    files = table(spark, sf_dir, "part").select(name("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "a_").otherwise("b_")))
+    there = table(spark, sf_dir, "supplier").select(name("s_suppkey", F.lit("a_")))
+    return dataset.choose_samples(files, there, "b", 50)
+
+
 @query("SELECT event_type AS run, CAST(max(m) AS BIGINT) AS metric, min(event_id) FILTER (m = best) AS epoch FROM (SELECT event_type, event_id, floor(value) AS m, max(floor(value)) OVER (PARTITION BY event_type) AS best FROM events) GROUP BY event_type")
 def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("epoch"), F.floor("value").alias("metrics/mAP50-95(B)"))
@@ -450,15 +556,37 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("run", F.col("metric").cast("bigint"), "epoch")
 
 
+def windows_of(parts: str, n: int, gap: str, width: int) -> Column:
+    """Hashes of all runs of n parts of an array."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - n + 1))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(n)), gap), F.lit(width)))
+
+
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text whole: joined on hashes of its first words, then compared."""
-    lead = lambda ws: F.xxhash64(F.array_join(ws, " "))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    b = b.withColumn("key", lead(F.slice(F.split("item", "[ \n]+"), 2, 5)))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", F.split("text", "[ \n]+"))
-    spots = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: lead(F.slice("w", i, 5)))).alias("key"))
-    found = spots.join(b.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark text whole: joined on a key of it, then compared.
+
+    The key is up to five of the words between the first and the last, which
+    may be parts of words in a document; an item without such words has its
+    first characters, three at most, as its key.
+    """
+    gap = "[ \n]+"
+    ws = F.split("item", gap)
+    inner = F.least(F.lit(5), F.size(ws) - 2)
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("item"))
+    words = F.xxhash64(F.array_join(F.slice(ws, F.lit(2), F.greatest(inner, F.lit(0))), " "), inner)
+    chars = F.least(F.lit(3), F.char_length("item"))
+    b = b.withColumns({"width": F.when(inner > 0, inner).otherwise(-chars), "key": F.when(inner > 0, words).otherwise(F.xxhash64(F.substring(F.col("item"), F.lit(1), chars), -chars))})
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    spots = []
+    for (width,) in b.select("width").distinct().collect():  # eight widths at most
+        split = d.withColumn("w", F.split("text", gap) if width > 0 else F.split("text", ""))
+        n = abs(width)
+        at = windows_of("w", n, " " if width > 0 else "", width) if n else F.array(F.xxhash64(F.lit(""), F.lit(0)))
+        spots.append(split.select("doc_id", F.explode(F.array_distinct(at)).alias("key")))
+    if not spots:
+        return d.join(b, F.lit(False)).select("item_id", "doc_id")
+    found = reduce(DataFrame.unionAll, spots).join(b.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
     return found.join(d, "doc_id").join(b.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
 
 
@@ -491,6 +619,7 @@ def morph_sql(steps: tuple[str, str]) -> str:
 
 
 pixel_query("invert_8x8", f"WITH {PX_SQL} SELECT img, r, c, 255 - v AS v FROM px", raster.invert)
+pixel_query("gamma_8x8", f"WITH {PX_SQL} SELECT img, r, c, CAST(floor(least(255.0, pow(v / 255.0, 0.6) * 255)) AS INT) AS v FROM px", raster.gamma)
 pixel_query("linear_stretch_8x8", f"WITH {PX_SQL} SELECT img, r, c, CAST(CASE WHEN hi = lo THEN v ELSE ((v - lo) * 255) // (hi - lo) END AS INT) AS v FROM (SELECT *, min(v) OVER (PARTITION BY img) AS lo, max(v) OVER (PARTITION BY img) AS hi FROM px)", raster.stretch)
 pixel_query(
     "hist_equalize_8x8",
