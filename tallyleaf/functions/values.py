@@ -78,10 +78,7 @@ PRIMARY = {
 ORG_SUFFIX = "公司|税务局|合作社|商店|中心|厂|部|研究所|研究院|科学院|学院|大学|学校|医院|委员会|管理局|银行|酒店|宾馆|饭店|集团|事务所|经营部|商行"
 NAME_NOISE = ("销售方", "购买方", "收款人", "复核", "开票人", "备注", "名称", "纳税", "识别", "开户", "账号", "地址", "电话", "专用章", "专用", "爱票", "票专", "发票", "凭证", "合计", "税额", "金额", "单位", "数量", "单价")
 ACCOUNT_NAMES = ("管理员", "开票员", "财务", "会计", "系统")
-COMPOUND_SURNAMES = (
-    "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 "
-    "司徒 鲜于 司空 闾丘 子车 亓官 司寇 巫马 公西 颛孙 壤驷 公良 漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生"
-).split()
+COMPOUND_SURNAMES = ("欧阳", "太史", "端木", "上官", "司马", "东方", "独孤", "南宫", "万俟", "闻人", "夏侯", "诸葛", "尉迟", "公羊", "赫连", "澹台", "皇甫", "宗政", "濮阳", "公冶", "太叔", "申屠", "公孙", "慕容", "仲孙", "钟离", "长孙", "宇文", "司徒", "鲜于", "司空", "闾丘", "子车", "亓官", "司寇", "巫马", "公西", "颛孙", "壤驷", "公良", "漆雕", "乐正", "宰父", "谷梁", "拓跋", "夹谷", "轩辕", "令狐", "段干", "百里", "呼延", "东郭", "南门", "羊舌", "微生")
 SURNAMES = (
     "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜"
     "戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳鲍史唐费"
@@ -109,6 +106,7 @@ AGENT_STOPS = ("纳税人识别号", "地址", "电话", "开户行", "账号",
 AGENT_SKIPS = ("销售方", "购买方", "备注", "备", "注", "代开机关")
 PREFERRED_SELLERS = ("税务局", "代开", "有限公司")
 REGION_NAME_NOISE = ("开票单位", "开票人", "收款人", "复核", "开户行", "银行", "账号", "发票专用章", "专用章", "印制有限公司", "印刷有限公司", "安全印刷", "税总函", "国家税务总局", "监制")
-CJK = "\\u4e00-\\u9fa5"
+# The range of characters in names, sums and tax numbers in running text.
+CJK = "一-龥"
 MONEY_FIND = r"(?<![0-9.])[¥￥]?\s*([0-9]{1,12}(?:,[0-9]{3})*(?:\.[0-9]{2}))(?![0-9])"
 ID_FIND = r"(?<![0-9A-Z])(?=[0-9A-Z]*[A-Z])(?=[0-9A-Z]*[0-9])[0-9A-Z]{15,20}(?![0-9A-Z])"
