@@ -96,14 +96,19 @@ class Shingler:
                 yield mixed(h[lo:hi], n) if n else np.empty(0, dtype=np.uint64)
 
 
-def mixed(h: np.ndarray, width: int) -> np.ndarray:
+def folded(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of so many words."""
     key = np.full(len(h) - width + 1, width, dtype=np.uint64)
     for k in range(width):
         key = key * P1 + h[k : len(h) - width + 1 + k]
     key ^= key >> np.uint64(32)
     key *= P2
     key ^= key >> np.uint64(29)
-    return key >> np.uint64(16)
+    return key
+
+
+def mixed(h: np.ndarray, width: int) -> np.ndarray:
+    return folded(h, width) >> np.uint64(16)
 
 
 def signature(ids: np.ndarray) -> int:
