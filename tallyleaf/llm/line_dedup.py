@@ -297,12 +297,16 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     speaker = F.min(F.struct("at", "n", "reach", "prefix")).alias("s")
     lead = described.groupBy("a", "b").agg(speaker, F.count(F.lit(1)).cast("int").alias("copies"))
     lead = scratch.keep(lead.select("a", "b", "copies", F.col("s.at").alias("first"), "s.n", "s.reach", "s.prefix"))
+    # prefixes are large: tables that are needed to the end go on without them
+    places = scratch.keep(described.select("at", "a", "b"))
+    scratch.drop(described)
     twice = scratch.keep(lead.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1"))
     repeated = Marks(twice.select(F.xxhash64("token").alias("key")), scratch)
     line = F.struct("first", line_id("first").alias("id"), "n", "reach", F.size("prefix").alias("own")).alias("line")
     posting = lead.select(line, "copies", F.explode("prefix").alias("token")).where(repeated.hold(F.xxhash64("token")))
     posting = scratch.keep(posting.join(twice, "token"))
-    scratch.drop(twice, repeated.table)
+    leads = scratch.keep(lead.select("a", "b", "first", "copies"))
+    scratch.drop(lead, twice, repeated.table)
     lines = scratch.keep(posting.groupBy("line.id", "line.first").agg(F.max("len").alias("len")))
     sets = sets_of(docs, lines, scratch)
 
@@ -337,9 +341,9 @@ def similar_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(posting_open, pairs, busy, state, sets, more, facts, among, every, rest, tried, matched, again, late)
 
     # a class goes whole if its first line has a match before it, else but for that line
-    gone = lead.select("a", "b", "first", "copies", line_id("first").alias("id")).join(hits, "id", "left").where("hit or copies > 1")
-    out = scratch.keep(described.select("a", "b", "at").join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct())
-    scratch.drop(described, lead, hits)
+    gone = leads.select("a", "b", "first", "copies", line_id("first").alias("id")).join(hits, "id", "left").where("hit or copies > 1")
+    out = scratch.keep(places.select("a", "b", "at").join(gone, ["a", "b"]).where("hit or at > first").select("at.doc", "at.part", "at.place").distinct())
+    scratch.drop(places, leads, hits)
     return out
 
 
