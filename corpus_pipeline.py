@@ -55,7 +55,7 @@ STAGES = [
     ("SentencePiece encoding", encoding),
 ]
 
-#: Stages of trained scores and of model files have no SQL; tests hold each against a brute-force version.
+#: Stages of trained scores and of model files have no SQL; tests hold operators against brute-force versions, the classifier by held-out accuracy.
 ORACLE_SQL = None
 
 
