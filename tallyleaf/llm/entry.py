@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, licences, line_dedup, ngram_join, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from tallyleaf.llm import decontaminate, fill_middle, importance, licences, line_dedup, ngram_join, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -57,6 +57,14 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n_removed_lines").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(documents(spark, sf_dir))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -69,8 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_join": op9_join,
         "op10_lines": op10_lines,
+        "op11_middle": op11_middle,
+        "op13_resample": op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licences": licences.oracle()}
+    return {"op3_licences": licences.oracle(), "op11_middle": fill_middle.oracle(), "op13_resample": importance.oracle()}
