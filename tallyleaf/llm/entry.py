@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.llm import decontaminate, fill_middle, importance, licences, line_dedup, ngram_join, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from tallyleaf.llm import decontaminate, fill_middle, importance, licences, line_dedup, ngram_join, pieces, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, toxicity
 from tallyleaf.llm.common import documents, fold_of, table
 
 
@@ -61,6 +61,10 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(documents(spark, sf_dir))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_join": op9_join,
         "op10_lines": op10_lines,
         "op11_middle": op11_middle,
+        "op12_substrings": op12_substrings,
         "op13_resample": op13_resample,
     }
 
