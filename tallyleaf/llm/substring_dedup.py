@@ -1,12 +1,12 @@
 """Substring dedup: words in a run of ``width`` words that occurs before are removed; found by recompression.
 
 A text starts as its words, each named by a hash of 128 bits.  Rounds then
-name runs of equal symbols and pairs of neighbours (one name of the left half
-of all names, the next of the right half, a split anew in each round), so each
-symbol becomes one of a longer phrase.  Names depend on nothing but what they
-stand for and equal words get equal names in all texts, but for those at the
-edges of what is equal.  Stages of rounds end at phrases of up to 8, 32, 128
-and more words.
+name pairs of neighbours (one of the left half of all names, the next of the
+right half, a split anew in each round) and, from the second stage, runs of
+equal symbols, so symbols come to stand for longer phrases.  Names depend on
+nothing but what they stand for, and equal words get equal names in all texts,
+but for those at the edges of what is equal.  Stages of rounds end at phrases
+of up to 8, 32, 128 and more words.
 
 Spark counts the names of the first stage over all texts and finds the first
 place (by doc_id, then place) of every longer name.  Then
@@ -40,8 +40,9 @@ from tallyleaf.llm.ngram_join import P1, P2
 from tallyleaf.llm.state import Scratch
 
 WIDTH = 20
-#: Longest phrase of the first stage, in words, and rounds of it; later stages allow four times as much each.
-FIRST, FIRST_ROUNDS = 8, 7
+#: Longest phrase of the first stage, in words, rounds of it, and the shortest one that is counted; later stages allow
+#: four times the length each.  More rounds make longer phrases, but they depend on more words around them.
+FIRST, FIRST_ROUNDS, LEAST = 8, 4, 3
 GROWTH, LATER_ROUNDS, MOST_STAGES = 4, 6, 20
 #: Bytes of text that are parsed at a time (a longer text is a group of its own).
 GROUP = 1 << 20
@@ -105,18 +106,11 @@ class Phrases:
         return Phrases(*(getattr(self, f)[keep] for f in self.__dataclass_fields__))
 
 
-def with_runs(p: Phrases, most: int, dependent: bool) -> Phrases:
+def with_runs(p: Phrases, most: int) -> Phrases:
     """Runs of equal phrases become one, where they are short enough."""
-    together = p.of[1:] == p.of[:-1]
-    same = together & (p.a[1:] == p.a[:-1]) & (p.b[1:] == p.b[:-1])
+    same = (p.of[1:] == p.of[:-1]) & (p.a[1:] == p.a[:-1]) & (p.b[1:] == p.b[:-1])
     head = np.flatnonzero(np.r_[True, ~same])
     k = np.diff(np.r_[head, len(p.a)])
-    if dependent:
-        # whether a phrase stands alone depends on both of its neighbours; beyond the text lies what no window holds
-        before, after = np.r_[p.lo[0] - 1, np.where(together, p.lo[:-1], p.lo[1:] - 1)], np.r_[np.where(together, p.hi[1:], p.hi[:-1] + 1), p.hi[-1] + 1]
-        last = head + k - 1
-        whole_lo, whole_hi = np.repeat(before[head], k), np.repeat(after[last], k)
-        p.lo, p.hi = np.minimum(p.lo, whole_lo), np.maximum(p.hi, whole_hi)
     join = (k > 1) & (k * p.n[head] <= most)
     if not join.any():
         return p
@@ -153,21 +147,19 @@ def with_pairs(p: Phrases, most: int, turn: int, dependent: bool) -> Phrases:
 
 
 def stages(a: np.ndarray, b: np.ndarray, of: np.ndarray, width: int) -> Iterator[tuple[int, Phrases]]:
-    """(stage, phrases): all phrases of the first stage, then those of each later one that are new and at least a window long."""
+    """(stage, phrases): those of the first stage that can rule windows out, then those of each later one that are new and at least a window long."""
     if not len(a):
         return
     at = np.arange(len(a))
     p = Phrases(a.copy(), b.copy(), at, np.ones(len(a), dtype=np.int64), of, at.copy(), at + 1, np.ones(len(a), dtype=bool))
-    p = with_runs(p, FIRST, True)
     for turn in range(FIRST_ROUNDS):
         p = with_pairs(p, FIRST, turn, True)
-    yield 0, p
-    p.fresh[:] = True
+    yield 0, p.kept((p.n >= min(LEAST, width)) & (p.hi - p.lo <= width))
     most, turn = FIRST, FIRST_ROUNDS
     for stage in range(1, MOST_STAGES):
         most *= GROWTH
         for _ in range(LATER_ROUNDS):
-            p = with_pairs(with_runs(p, most, False), most, turn, False)
+            p = with_pairs(with_runs(p, most), most, turn, False)
             turn += 1
         found = p.fresh & (p.n >= width)
         if found.any():
