@@ -32,6 +32,8 @@ class Packed:
         return np.frombuffer(zlib.decompress(self.data), dtype=np.uint8)
 
 
+#: The session setting by which Spark removes shuffle files as soon as the query that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Plans as text, which the driver keeps for each query, are cut at this length unless the session says otherwise.
 PLAN_TEXT = 20_000
 
@@ -48,9 +50,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.at}/{self.made}"
-        df.write.parquet(path)
-        # shuffle files of what was just written are removed once the driver's garbage is collected
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
