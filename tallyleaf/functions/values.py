@@ -33,14 +33,8 @@ CLASSES = (
 )
 REQUIRED = ("invoice_no", "invoice_type", "invoice_date", "buyer_name", "seller_name", "seller_tax_id", "total")
 
-# Detector labels to fields.
-ALIASES = {
-    "invoice_number": "invoice_no",
-    "date": "invoice_date",
-    "check_code": "checksum",
-    "tax_amount": "tax",
-    "total_amount": "total",
-    "issuer": "drawer",
+# How a text names each field.
+LABELS = {
     "发票类型": "invoice_type",
     "发票代码": "invoice_code",
     "发票号码": "invoice_no",
@@ -55,6 +49,16 @@ ALIASES = {
     "价税合计": "total",
     "开票人": "drawer",
 }
+# Words of detectors for fields, besides those.
+ALIASES = {
+    "invoice_number": "invoice_no",
+    "date": "invoice_date",
+    "check_code": "checksum",
+    "tax_amount": "tax",
+    "total_amount": "total",
+    "issuer": "drawer",
+    **LABELS,
+}
 
 # Primary patterns by field, tried in order on normalised text.
 MONEY = r"([0-9]{1,12}(?:,[0-9]{3})*(?:\.[0-9]{1,2})?)"
@@ -101,12 +105,20 @@ TAX_LABELS = ("纳税人识别号", "税号", "统一社会信用代码")
 TAX_NOISE = ("规格型号", "开户行", "账号", "HHE")
 BUYER_STOPS = ("销售方", "销售信息", "货物或应税劳务", "项目名称", "价税合计", "合计")
 TOTAL_MARKS = ("价税合计", "小写")
+NO_MONEY = ("发票代码", "发票号码", "纳税人识别号", "账号")
 BANK_NOISE = ("银行", "支行", "分行", "印制")
 AGENT_STOPS = ("纳税人识别号", "地址", "电话", "开户行", "账号", "开票人", "复核", "收款人", "完税凭证")
 AGENT_SKIPS = ("销售方", "购买方", "备注", "备", "注", "代开机关")
 PREFERRED_SELLERS = ("税务局", "代开", "有限公司")
+SELLER_NOISE = ("开票单位", "开票人", "收款人", "复核", "开户行", "银行", "账号", "发票专用章", "专用章", "印制有限公司", "税总函")
 REGION_NAME_NOISE = ("开票单位", "开票人", "收款人", "复核", "开户行", "银行", "账号", "发票专用章", "专用章", "印制有限公司", "印刷有限公司", "安全印刷", "税总函", "国家税务总局", "监制")
-# The range of characters in names, sums and tax numbers in running text.
+# Fixed value: the range of characters in names.
 CJK = "一-龥"
+# Fixed value: sums in running text.
 MONEY_FIND = r"(?<![0-9.])[¥￥]?\s*([0-9]{1,12}(?:,[0-9]{3})*(?:\.[0-9]{2}))(?![0-9])"
+# Fixed value: tax numbers in running text.
 ID_FIND = r"(?<![0-9A-Z])(?=[0-9A-Z]*[A-Z])(?=[0-9A-Z]*[0-9])[0-9A-Z]{15,20}(?![0-9A-Z])"
+
+# How a result says which way it was made.
+MODE_OFF, MODE_PDF, MODE_FORCED = "未启用 YOLO", "PDF 已抽取到可用文本，跳过 YOLO", "手动启用 {0} 辅助定位"
+MODE_USED, MODE_FELL_BACK = "{0}，使用 {1}", "{0}；{1} 不可用，已回退普通 OCR：{2}"

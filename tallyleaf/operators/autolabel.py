@@ -1,15 +1,18 @@
-"""Automatic labels: which line of a page is which class, by words and place."""
+"""Automatic labels: which line of a page is which class, by words and place.
 
-from __future__ import annotations
+What a rule asks of a line's text is found once for each line, before the page
+is collected; the thirteen rules are choices from the page's array, each of
+which sees the lines that earlier ones took.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
-from tallyleaf.operators import layout
+from tallyleaf.operators import layout, pages
 
 # Organisation suffixes of this step, and lines that are no company.
 COMPANY = f"[{V.CJK}A-Za-z0-9（）()]{{2,}}(?:公司|研究所|研究院|税务局|酒店|宾馆|银行|学校|大学|医院|中心|集团|厂|商行|合作社)"
@@ -32,23 +35,117 @@ def value_cents(c: Column) -> Column:
     return F.when((v > 0) & (v < 100_000_000_000), v)
 
 
-def first_by(df: DataFrame, *keys: Column) -> DataFrame:
-    """(doc_id, line_no): the first row of each document by the keys, the least line of equals."""
-    w = Window.partitionBy("doc_id").orderBy(*keys, "line_no")
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("doc_id", "line_no")
-
-
-def in_order(*choices: DataFrame) -> DataFrame:
-    """The first choice that a document has."""
-    ranked = [c.select("doc_id", "line_no", F.lit(k).alias("_rank")) for k, c in enumerate(choices)]
-    every = reduce(DataFrame.unionByName, ranked)
-    return every.groupBy("doc_id").agg(F.min(F.struct("_rank", "line_no"))["line_no"].alias("line_no"))
-
-
-def without(df: DataFrame, *taken: DataFrame) -> DataFrame:
-    for t in taken:
-        df = df.join(t.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    return df
+def traits(text: Column, t: Column) -> dict[str, Column]:
+    """What the rules ask of a line: of its text and of its normalised text."""
+    has = lambda *words: T.contains_any(text, words)
+    money = t.rlike("\\A[¥￥]?(?U:\\s)*[0-9]{1,10}(?:\\.[0-9]{2})?\\z") | text.rlike("[¥￥](?U:\\s)*[0-9]")
+    return {
+        "titled": has("发票") & (F.char_length(text) >= 4),
+        "code_word": has("发票代码", "代码"),
+        "code": t.rlike("\\A[0-9]{10,12}\\z"),
+        "year": t.startswith("20"),
+        "inline_no": text.rlike("(?:NO|No|no)(?U:\\s)*[0-9]{8,20}"),
+        "no_word": has("发票号码", "号码", "NO", "No"),
+        "no": t.rlike("\\A[0-9]{8,20}\\z"),
+        "eight": t.rlike("\\A[0-9]{8}\\z"),
+        "dated": text.rlike("20[0-9]{2}[年\\-/\\.]?[0-9]{1,2}[月\\-/\\.]?[0-9]{1,2}"),
+        "check_word": has("校验码"),
+        "digits": t.rlike("[0-9]{12,30}"),
+        "seller_word": has("销售方", "销售信息"),
+        "id_word": has("购买方", *V.TAX_LABELS),
+        "token": t.rlike(TAX_TOKEN),
+        "id": has_tax_id(text),
+        "firm": text.rlike(COMPANY) & ~has(*NO_COMPANY),
+        "total_word": has(*V.TOTAL_MARKS),
+        "cents": t.rlike(CENTS),
+        "paid": F.when(money, value_cents(text)),
+        "amount_word": has("金额") & ~has("价税合计"),
+        "tax_word": has("税额"),
+        "drawer_word": has("开票人"),
+        "name": t.rlike(f"\\A[{V.CJK}]{{2,4}}\\z"),
+    }
+
+
+def label_pages(lines: DataFrame) -> DataFrame:
+    """(doc_id, items): pages of lines with their traits, in the order of the lines."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    known = layout.with_geometry(lines).withColumns({"text": text, "t": norm(text)})
+    known = known.withColumns(traits(F.col("text"), F.col("t")))
+    columns = ("line_no", "cx", "cy", *traits(F.col("text"), F.col("t")))
+    return pages.collected(known, columns, "items")
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two chosen lines are one; a missing one is none."""
+    return F.coalesce(a["line_no"] == b["line_no"], F.lit(False))
+
+
+def unless(a: Column, *others: Column) -> Column:
+    out = a
+    for b in others:
+        out = F.when(~same(a, b), out)
+    return out
+
+
+def chosen(df: DataFrame, width: float, height: float, markers_first: bool = False) -> DataFrame:
+    """Adds a column for each class: the line of the page that it labels, as a struct, or null."""
+    items = F.col("items")
+    some = lambda rule: pages.where(items, rule)
+    top = lambda i: [i["cy"], i["cx"]]
+    first = lambda rule, keys: pages.first_by(some(rule), keys)
+    near = lambda label, value, y=80.0: pages.nearest(some(lambda i: i[label]), some(lambda i: i[value]), *pages.beside(y))
+    under = lambda label: pages.nearest(some(lambda i: i[label]), some(lambda i: i["cents"]), *pages.in_column(height))
+
+    df = df.withColumns(
+        {
+            "invoice_type": first(lambda i: i["titled"] & (i["cy"] < 0.22 * height), lambda i: [i["cy"], F.abs(i["cx"] - width / 2)]),
+            "invoice_code": F.coalesce(near("code_word", "code"), first(lambda i: i["code"] & (i["cy"] < 0.28 * height) & ~i["year"], top)),
+            "invoice_date": first(lambda i: i["dated"], top),
+            "checksum": near("check_word", "digits", 120.0),
+            "drawer": near("drawer_word", "name"),
+            "_marker": F.array_min(F.transform(some(lambda i: i["seller_word"]), lambda i: i["cy"])),
+            "_ids": some(lambda i: i["id"]),
+            "_firms": some(lambda i: i["firm"]),
+            "_paid": some(lambda i: i["paid"].isNotNull()),
+            "_labelled_id": near("id_word", "token", 110.0),
+        }
+    )
+    right = lambda i: [i["cy"], -i["cx"]]
+    code, marker, ids, firms, paid = (F.col(c) for c in ("invoice_code", "_marker", "_ids", "_firms", "_paid"))
+    y = lambda i: [i["cy"]]
+    low = lambda a, bound: pages.where(a, lambda i: i["cy"] >= bound)
+    lowest = F.when(F.size(firms) > 1, pages.last_by(firms, y))
+    by_marker = pages.first_by(low(firms, marker - 40), top)
+    lone = pages.last_by(low(firms, 0.50 * height), y)
+    lower = pages.where(paid, lambda i: i["cy"] > 0.35 * height)
+    df = df.withColumns(
+        {
+            "invoice_no": F.coalesce(
+                first(lambda i: i["inline_no"], right),
+                near("no_word", "no"),
+                pages.first_by(some(lambda i: i["eight"] & (i["cy"] < 0.30 * height) & ~F.coalesce(i["line_no"] == code["line_no"], F.lit(False))), right),
+            ),
+            "buyer_tax_id": F.when(F.size(ids) > 0, F.coalesce(F.when(F.col("_labelled_id")["cy"] < 0.55 * height, F.col("_labelled_id")), pages.first_by(pages.where(ids, lambda i: i["cy"] < 0.55 * height), y))),
+            "seller_tax_id": F.coalesce(pages.last_by(low(ids, marker - 40), top), pages.last_by(low(ids, 0.55 * height), y), F.when(F.size(ids) > 1, pages.last_by(ids, y))),
+            "buyer_name": pages.first_by(pages.where(firms, lambda i: (i["cy"] > 0.18 * height) & (i["cy"] < 0.55 * height)), y),
+            "seller_name": F.coalesce(by_marker, lowest, lone) if markers_first else F.coalesce(lowest, by_marker, lone),
+            "total": F.coalesce(
+                first(lambda i: i["total_word"] & i["cents"], lambda i: [-i["cy"], -i["cx"]]),
+                near("total_word", "cents", 120.0),
+                pages.first_by(paid, lambda i: [-i["paid"]]),
+            ),
+            "_amount": under("amount_word"),
+            "_tax": under("tax_word"),
+            "_lower": lower,
+        }
+    )
+    # a column's value must not be the total's line; the fallbacks take the largest and the least of the lower values
+    lower, total = F.col("_lower"), F.col("total")
+    df = df.withColumn("_amount", unless(F.col("_amount"), total))
+    df = df.withColumn("_tax", unless(F.col("_tax"), total, F.col("_amount")))
+    largest = F.when(F.size("_paid") > 1, pages.first_by(lower, lambda i: [-i["paid"], *top(i)]))
+    least = F.when(F.size(lower) > 1, pages.first_by(lower, lambda i: [i["paid"], *top(i)]))
+    return df.withColumns({"amount": F.coalesce("_amount", unless(largest, total)), "tax": F.coalesce("_tax", unless(least, total))})
 
 
 def auto_labels(lines: DataFrame, width: float, height: float, markers_first: bool = False) -> DataFrame:
@@ -56,50 +153,9 @@ def auto_labels(lines: DataFrame, width: float, height: float, markers_first: bo
 
     A seller's name by its marker gives way to the lowest of several
     companies, as the original rule order has it, unless ``markers_first``.
+    A null text reads as empty.
     """
-    o = layout.with_geometry(lines).withColumn("t", norm(F.col("text")))
-    cx, cy, text, t = F.col("cx"), F.col("cy"), F.col("text"), F.col("t")
-    near = lambda words, pattern, y=80.0: layout.nearest_value(lines, T.contains_any(F.col("l_text"), words), norm(F.col("v_text")).rlike(pattern), y).select("doc_id", "line_no")
-
-    out = {"invoice_type": first_by(o.where(F.contains(text, F.lit("发票")) & (cy < 0.22 * height) & (F.char_length(text) >= 4)), cy, F.abs(cx - width / 2))}
-    code = in_order(near(("发票代码", "代码"), "\\A[0-9]{10,12}\\z"), first_by(o.where(t.rlike("\\A[0-9]{10,12}\\z") & (cy < 0.28 * height) & ~t.startswith("20")), cy, cx))
-    out["invoice_code"] = code
-    out["invoice_no"] = in_order(
-        first_by(o.where(text.rlike("(?:NO|No|no)(?U:\\s)*[0-9]{8,20}")), cy, -cx),
-        near(("发票号码", "号码", "NO", "No"), "\\A[0-9]{8,20}\\z"),
-        first_by(without(o.where(t.rlike("\\A[0-9]{8}\\z") & (cy < 0.30 * height)), code), cy, -cx),
-    )
-    out["invoice_date"] = first_by(o.where(text.rlike("20[0-9]{2}[年\\-/\\.]?[0-9]{1,2}[月\\-/\\.]?[0-9]{1,2}")), cy, cx)
-    out["checksum"] = near(("校验码",), "[0-9]{12,30}", 120.0)
-
-    marker = o.where(T.contains_any(text, ("销售方", "销售信息"))).groupBy("doc_id").agg(F.min("cy").alias("marker"))
-    ids = o.where(has_tax_id(text))
-    upper = lambda df: df.where(cy < 0.55 * height)
-    labelled = near(("购买方", *V.TAX_LABELS), TAX_TOKEN, 110.0).join(upper(o).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-    some = ids.select("doc_id").distinct()
-    out["buyer_tax_id"] = in_order(labelled.join(some, "doc_id", "left_semi"), first_by(upper(ids), cy))
-    many = ids.groupBy("doc_id").count().where("count > 1")
-    out["seller_tax_id"] = in_order(
-        first_by(ids.join(marker, "doc_id").where("cy >= marker - 40"), -cy, -cx),
-        first_by(ids.where(cy >= 0.55 * height), -cy),
-        first_by(ids.join(many, "doc_id", "left_semi"), -cy),
-    )
-    firms = o.where(text.rlike(COMPANY) & ~T.contains_any(text, NO_COMPANY))
-    out["buyer_name"] = first_by(firms.where((cy > 0.18 * height) & (cy < 0.55 * height)), cy)
-    several = firms.groupBy("doc_id").count().where("count > 1")
-    by_marker = first_by(firms.join(marker, "doc_id").where("cy >= marker - 40"), cy, cx)
-    lowest = first_by(firms.join(several, "doc_id", "left_semi"), -cy)
-    lone = first_by(firms.where(cy >= 0.50 * height), -cy)
-    out["seller_name"] = in_order(by_marker, lowest, lone) if markers_first else in_order(lowest, by_marker, lone)
-
-    paid = o.withColumn("c", value_cents(text)).where(F.col("c").isNotNull() & (t.rlike("\\A[¥￥]?(?U:\\s)*[0-9]{1,10}(?:\\.[0-9]{2})?\\z") | text.rlike("[¥￥](?U:\\s)*[0-9]")))
-    total = in_order(first_by(o.where(T.contains_any(text, V.TOTAL_MARKS) & t.rlike(CENTS)), -cy, -cx), near(V.TOTAL_MARKS, CENTS, 120.0), first_by(paid, F.desc("c")))
-    under = lambda label: layout.column_value(lines, label, norm(F.col("v_text")).rlike(CENTS), height).select("doc_id", "line_no")
-    lower = paid.where(cy > 0.35 * height)
-    two = paid.groupBy("doc_id").count().where("count > 1")
-    low_two = lower.groupBy("doc_id").count().where("count > 1")
-    l_text = F.col("l_text")
-    amount = in_order(without(under(F.contains(l_text, F.lit("金额")) & ~F.contains(l_text, F.lit("价税合计"))), total), without(first_by(lower.join(two, "doc_id", "left_semi"), F.desc("c")), total))
-    tax = in_order(without(under(F.contains(l_text, F.lit("税额"))), total, amount), without(first_by(lower.join(low_two, "doc_id", "left_semi"), F.asc("c")), total))
-    out |= {"total": total, "amount": amount, "tax": tax, "drawer": near(("开票人",), f"\\A[{V.CJK}]{{2,4}}\\z")}
-    return reduce(DataFrame.unionByName, [df.select("doc_id", F.lit(name).alias("class"), "line_no") for name, df in out.items()])
+    found = chosen(label_pages(lines), width, height, markers_first)
+    rows = F.array(*[F.struct(F.lit(c).alias("class"), F.col(c)["line_no"].alias("line_no")) for c in V.CLASSES])
+    # filtered after the rows are made: a filter on the array would be pushed down, with all thirteen rules in it
+    return found.select("doc_id", F.inline_outer(rows)).where("line_no is not null")

@@ -133,14 +133,18 @@ def totals(df: DataFrame, image: str, cls: str) -> DataFrame:
     return df.agg(F.countDistinct(image).alias("images"), F.count(F.lit(1)).alias("boxes"), F.sort_array(F.collect_set(cls)).alias("classes"))
 
 
-def gate(paths: DataFrame, path: str) -> DataFrame:
-    """One row: images, label files, stray files among the labels, and whether each image has its label and nothing is astray."""
+def gate(paths: DataFrame, path: str, images: int, labels: int, bad_files: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of images, label files and stray files among the labels, and whether they are exactly the expected ones.
+
+    One row, or one for each group of the columns ``by``.  A stray file in
+    labels/train or labels/val is a label file too.  No files at all are 0, 0, 0.
+    """
     p = F.col(path)
     image = p.rlike("(?i)(?:^|/)images/.*\\.(?:jpg|jpeg|png)$")
     stray = p.rlike("(?:^|/)labels/(?:.*/)?(?:label|classes)\\.txt$")
-    label = p.rlike("(?:^|/)labels/(?:train|val)/.*\\.txt$") & ~stray
-    n = paths.agg(F.count_if(image).alias("images"), F.count_if(label).alias("labels"), F.count_if(stray).alias("bad_files"))
-    return n.withColumn("ok", F.expr("images = labels and bad_files = 0"))
+    label = p.rlike("(?:^|/)labels/(?:train|val)/.*\\.txt$")
+    n = paths.groupBy(*by).agg(F.count_if(image).alias("images"), F.count_if(label).alias("labels"), F.count_if(stray).alias("bad_files"))
+    return n.withColumn("ok", (F.col("images") == images) & (F.col("labels") == labels) & (F.col("bad_files") == bad_files))
 
 
 def choose_samples(files: DataFrame, there: DataFrame, prefer: str, limit: int, offset: int = 0) -> DataFrame:

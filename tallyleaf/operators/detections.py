@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
+from tallyleaf.operators import pages
 
 #: Superset of the keys that external detectors use.
 ITEM = "struct<label:string,class:string,name:string,category:string,class_id:string,confidence:double,score:double,conf:double,box:array<double>,bbox:array<double>,xyxy:array<double>,bbox_format:string>"
@@ -60,16 +61,6 @@ def with_centres(crops: DataFrame) -> DataFrame:
     return crops.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "h": F.col("y2") - F.col("y1"), "base": base})
 
 
-def argmax(df: DataFrame, score: Column, *strict: Column) -> DataFrame:
-    """The row of each document with the best score; the first wins ties.
-
-    Rows that meet ``strict`` come before all others, which is how a filter
-    falls back to the rows it left out.
-    """
-    w = Window.partitionBy("doc_id").orderBy(*[F.desc(s.cast("int")) for s in strict], F.desc(score), "det_no")
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def best_per_field(crops: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "field").orderBy(F.desc("base"), "det_no")
     return with_centres(crops).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -80,57 +71,142 @@ def has_tax_id(c: Column) -> Column:
 
 
 def noisy_seller(c: Column) -> Column:
-    return T.contains_any(T.squeeze(c), ("开票单位", "开票人", "收款人", "复核", "开户行", "银行", "账号", "发票专用章", "专用章", "印制有限公司", "税总函"))
+    return T.contains_any(T.squeeze(c), V.SELLER_NOISE)
+
+
+#: What a page's crops hold: number, field, confidence, box, text and the score of its OCR.
+CROP = ("det_no", "field", "confidence", "x1", "y1", "x2", "y2", "text", "ocr_confidence")
+
+
+def crop_facts(x: Column) -> Column:
+    """A crop with its text cleaned, and what the choices ask of it."""
+    return T.let(
+        T.clean_crop(x["text"]),
+        lambda text: F.struct(
+            x["det_no"].alias("det_no"),
+            x["field"].alias("field"),
+            x["confidence"].alias("confidence"),
+            *[x[c].alias(c) for c in ("x1", "y1", "x2", "y2")],
+            text.alias("text"),
+            F.coalesce(x["ocr_confidence"], F.lit(0.0)).alias("ocr_confidence"),
+            ((x["x1"] + x["x2"]) / 2).alias("cx"),
+            ((x["y1"] + x["y2"]) / 2).alias("cy"),
+            (x["y2"] - x["y1"]).alias("h"),
+            (x["confidence"] + F.when(text != "", 15).otherwise(0) + 0.05 * F.coalesce(x["ocr_confidence"], F.lit(0.0))).alias("base"),
+            T.has_money(text).alias("money"),
+            has_tax_id(text).alias("id"),
+            T.has_checksum(text).alias("check"),
+            noisy_seller(text).alias("noisy"),
+        ),
+    )
+
+
+def best_crop(items: Column, score: pages.Rule, strict: pages.Rule | None = None) -> Column:
+    """The crop of the best score, the first of equals.
+
+    Crops that meet ``strict`` come before all others, which is how a filter
+    falls back to the crops it left out.
+    """
+    rest = (lambda x: F.when(F.coalesce(strict(x), F.lit(False)), 0).otherwise(1)) if strict else (lambda x: F.lit(0))
+    return pages.first_by(items, lambda x: [rest(x), -score(x), x["det_no"]])
 
 
-def resolve(crops: DataFrame, height: float) -> DataFrame:
-    """(doc_id, field, det_no, text): the crop chosen for each field, amount and tax put right if crossed."""
-    c = with_centres(crops)
-    of = lambda f: c.where(F.col("field") == f)
-    upper, lower = 20 * (1 - F.col("cy") / height), 20 * F.col("cy") / height
-    out = [argmax(of(f), F.col("base") + (upper if f != "drawer" else 0)) for f in ("invoice_type", "invoice_code", "invoice_no", "invoice_date", "drawer")]
-    out.append(argmax(of("checksum"), F.col("base")).where(T.has_checksum(F.col("text"))))
-    paid = F.when(T.has_money(F.coalesce("text", F.lit(""))), 1).otherwise(0)
-    total = argmax(of("total"), F.col("base") + 35 * F.col("cy") / height + 25 * paid)
-    anchor = total.select("doc_id", F.col("cy").alias("total_y"), F.col("h").alias("total_h"))
-
-    def money(f: str) -> DataFrame:
-        near = of(f).join(anchor, "doc_id", "left").withColumn("total_y", F.coalesce("total_y", F.lit(0.75 * height)))
-        gap = F.greatest(F.lit(0.0), 30 - F.abs(F.col("total_y") - F.col("cy")) / height * 100)
-        return argmax(near, F.col("base") + gap + F.when(F.col("cy") < F.col("total_y"), 20).otherwise(-25) + 20 * paid + 10 * F.col("cy") / height)
-
-    short = lambda df, p: df.select("doc_id", *[F.col(x).alias(f"{p}_{x}") for x in ("det_no", "text", "cx", "cy", "h")])
-    both = short(money("amount"), "a").join(short(money("tax"), "x"), "doc_id", "full_outer")
-    crossed = (F.abs(F.col("a_cy") - F.col("x_cy")) <= 1.5 * F.greatest("a_h", "x_h")) & (F.col("a_cx") > F.col("x_cx"))
-    crossed = F.coalesce(crossed, F.lit(False))
-    pick = lambda f, own, other: both.select("doc_id", F.lit(f).alias("field"), *[F.when(crossed, F.col(f"{other}_{x}")).otherwise(F.col(f"{own}_{x}")).alias(x) for x in ("det_no", "text")]).where("det_no is not null")
-
-    b_id = argmax(of("buyer_tax_id"), F.col("base") + upper + F.when(has_tax_id(F.col("text")), 30).otherwise(0), has_tax_id(F.col("text")))
-    b_at = b_id.select("doc_id", (F.col("cy") + 0.2 * F.col("h")).alias("limit"))
-    b_name = argmax(of("buyer_name").join(b_at, "doc_id", "left"), F.col("base") + upper, F.coalesce(F.col("cy") < F.col("limit"), F.lit(True)))
-    under = anchor.select("doc_id", (F.col("total_y") - 0.2 * F.col("total_h")).alias("limit"))
-    s_name = argmax(of("seller_name").where(~noisy_seller(F.col("text"))).join(under, "doc_id", "left"), F.col("base") + lower, F.coalesce(F.col("cy") > F.col("limit"), F.lit(True)))
-    s_at = s_name.select("doc_id", (F.col("cy") - 0.2 * F.col("h")).alias("own"))
-    limits = under.join(s_at, "doc_id", "full_outer").select("doc_id", F.coalesce("own", "limit").alias("limit"))
-    low = F.coalesce(F.col("cy") > F.col("limit"), F.lit(True)) & has_tax_id(F.col("text"))
-    s_id = argmax(of("seller_tax_id").join(limits, "doc_id", "left"), F.col("base") + lower + F.when(has_tax_id(F.col("text")), 30).otherwise(0), low)
-    cols = ("doc_id", "field", "det_no", "text")
-    done = pick("amount", "a", "x").select(*cols).unionByName(pick("tax", "x", "a").select(*cols))
-    for part in [*out, total, b_id, b_name, s_name, s_id]:
-        done = done.unionByName(part.select(*cols))
-    return done.where(F.coalesce("text", F.lit("")) != "")
+def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFrame:
+    """Adds ``resolved``: the crops of a page as fields, in the order in which a parser should read them.
 
+    First the crop chosen for each field, amount and tax put right if crossed,
+    in the order of the classes; then all other crops with text from top to
+    bottom.  Each is (field, det_no, source, confidence, box, text, chosen),
+    where source is the field that the detector named.  Crops without text are
+    left out; a page without crops, or with null for them, has none.
+    """
+    keep = df.columns
+    df = df.withColumn("_c", F.coalesce(F.transform(crops, crop_facts), F.array()))
+    of = lambda f: pages.where(F.col("_c"), lambda x: x["field"] == f)
+    upper, lower = (lambda x: 20 * (1 - x["cy"] / height)), (lambda x: 20 * x["cy"] / height)
+    base = lambda x: x["base"]
+    with_upper = lambda x: x["base"] + upper(x)
+    paid = lambda x: F.when(x["money"], 1).otherwise(0)
+    checksum = best_crop(of("checksum"), base)
+    df = df.withColumns(
+        {
+            **{f"_{f}": best_crop(of(f), with_upper) for f in ("invoice_type", "invoice_code", "invoice_no", "invoice_date")},
+            "_drawer": best_crop(of("drawer"), base),
+            "_checksum": checksum,
+            "_total": best_crop(of("total"), lambda x: x["base"] + 35 * x["cy"] / height + 25 * paid(x)),
+            "_buyer_tax_id": best_crop(of("buyer_tax_id"), lambda x: with_upper(x) + F.when(x["id"], 30).otherwise(0), lambda x: x["id"]),
+        }
+    )
+    total_y = F.coalesce(F.col("_total")["cy"], F.lit(0.75 * height))
+
+    def money(f: str) -> Column:
+        gap = lambda x: F.greatest(F.lit(0.0), 30 - F.abs(total_y - x["cy"]) / height * 100)
+        return best_crop(of(f), lambda x: x["base"] + gap(x) + F.when(x["cy"] < total_y, 20).otherwise(-25) + 20 * paid(x) + 10 * x["cy"] / height)
+
+    over = F.col("_buyer_tax_id")["cy"] + 0.2 * F.col("_buyer_tax_id")["h"]
+    below = lambda c: F.col(c)["cy"] - 0.2 * F.col(c)["h"]
+    quiet = pages.where(of("seller_name"), lambda x: ~x["noisy"])
+    df = df.withColumns(
+        {
+            "_checksum": F.when(F.col("_checksum")["check"], F.col("_checksum")),
+            "_a": money("amount"),
+            "_x": money("tax"),
+            "_buyer_name": best_crop(of("buyer_name"), with_upper, lambda x: F.coalesce(x["cy"] < over, F.lit(True))),
+            "_seller_name": best_crop(quiet, lambda x: x["base"] + lower(x), lambda x: F.coalesce(x["cy"] > below("_total"), F.lit(True))),
+        }
+    )
+    bound = F.coalesce(below("_seller_name"), below("_total"))
+    low = lambda x: F.coalesce(x["cy"] > bound, F.lit(True)) & x["id"]
+    a, x = F.col("_a"), F.col("_x")
+    crossed = F.coalesce((F.abs(a["cy"] - x["cy"]) <= 1.5 * F.greatest(a["h"], x["h"])) & (a["cx"] > x["cx"]), F.lit(False))
+    df = df.withColumns(
+        {
+            "_seller_tax_id": best_crop(of("seller_tax_id"), lambda x: x["base"] + lower(x) + F.when(x["id"], 30).otherwise(0), low),
+            "_amount": F.when(crossed, x).otherwise(a),
+            "_tax": F.when(crossed, a).otherwise(x),
+        }
+    )
+    row = lambda x, field, chosen: F.struct(field.alias("field"), x["det_no"].alias("det_no"), x["field"].alias("source"), x["confidence"].alias("confidence"), *[x[c].alias(c) for c in ("x1", "y1", "x2", "y2")], x["text"].alias("text"), chosen.alias("chosen"))
+    taken = F.array(*[F.when(F.col(f"_{f}")["text"] != "", row(F.col(f"_{f}"), F.lit(f), F.lit(True))) for f in V.CLASSES])
+    df = df.withColumn("_taken", F.filter(taken, lambda x: x.isNotNull()))
+    numbers = F.transform("_taken", lambda x: x["det_no"])
+    rest = pages.where(F.col("_c"), lambda x: (x["text"] != "") & ~F.array_contains(numbers, x["det_no"]))
+    rest = F.array_sort(F.transform(rest, lambda x: F.struct(x["y1"], x["x1"], -x["confidence"], x["det_no"], row(x, x["field"], F.lit(False)).alias("row"))))
+    return df.withColumn("resolved", F.concat("_taken", F.transform(rest, lambda x: x["row"]))).select(*keep, "resolved")
+
+
+def crop_pages(crops: DataFrame) -> DataFrame:
+    return pages.collected(crops, CROP, "crops")
 
-def leftovers(crops: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Crops with text that no field took."""
-    return crops.where("text <> ''").join(chosen.select("doc_id", "det_no"), ["doc_id", "det_no"], "left_anti")
 
+def resolve(crops: DataFrame, height: float) -> DataFrame:
+    """(doc_id, field, det_no, text): the crop chosen for each field."""
+    # with inline a filter on the array's size would be pushed down, with all that makes the array in it
+    rows = resolve_pages(crop_pages(crops), height).select("doc_id", F.inline_outer("resolved"))
+    return rows.where("chosen").select("doc_id", "field", "det_no", "text")
 
-def detected_text(chosen: DataFrame) -> DataFrame:
-    """(doc_id, text): 'field:text' lines, in the order of the fields."""
-    order = F.array_position(F.array(*map(F.lit, V.CLASSES)), F.col("field"))
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat("field", F.lit(":"), "text").alias("line"))))
-    return chosen.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+
+def leftovers(crops: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Crops with text that no field took, with their ``place`` from top to bottom."""
+    rest = crops.where(T.clean_crop(F.col("text")) != "").join(chosen.select("doc_id", "det_no"), ["doc_id", "det_no"], "left_anti")
+    down = Window.partitionBy("doc_id").orderBy("y1", "x1", F.desc("confidence"), "det_no")
+    return rest.withColumn("place", F.row_number().over(down) - 1)
+
+
+def field_label(field: Column) -> Column:
+    """The words by which a text names a field; other names stay."""
+    table = F.create_map(*[F.lit(x) for label, f in V.LABELS.items() for x in (f, label)])
+    return F.coalesce(F.try_element_at(table, field), field)
+
+
+def detected_text(resolved: Column, base_text: Column | None = None) -> Column:
+    """What a parser reads: a line 'label:text' for each resolved crop with text, then the text of the whole page."""
+    lines = F.transform(resolved, lambda x: T.let(T.clean_crop(x["text"]), lambda t: F.when(t != "", F.concat(field_label(x["field"]), F.lit(":"), t))))
+    lines = F.filter(lines, lambda x: x.isNotNull())
+    if base_text is not None:
+        given = F.coalesce(base_text, F.lit(""))
+        lines = F.concat(lines, F.when(given != "", F.array(F.lit("OCR全文:"), given)).otherwise(F.array().cast("array<string>")))
+    return F.array_join(lines, "\n")
 
 
 def best_variant(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
+from tallyleaf.operators import pages
 
 #: A lines table has doc_id, line_no, text, score, x1, y1, x2, y2.
 
@@ -28,20 +29,53 @@ def joined_text(lines: DataFrame) -> DataFrame:
     return reading_order(lines).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
-def regions(lines: DataFrame, height: float) -> DataFrame:
-    """(doc_id, buyer_start, buyer_end, seller_start) from the first anchor lines of a page."""
-    o = reading_order(lines).withColumn("t", T.squeeze(F.col("text")))
-    first = lambda words: F.min_by("y1", F.when(T.contains_any(F.col("t"), words), F.col("place")))
-    a = o.groupBy("doc_id").agg(first(("购买方", "买方")).alias("buyer"), first(V.BUYER_STOPS).alias("stop"), first(V.TOTAL_MARKS).alias("total"), first(("销售方", "销售信息")).alias("seller"))
-    start = F.coalesce("buyer", F.lit(0.18 * height))
-    return a.select(
-        "doc_id",
+#: What a page's lines hold: place, number, text and score.
+LINE = ("y1", "x1", "line_no", "text", "score", "x2", "y2")
+
+
+def line_facts(x: Column) -> Column:
+    text = F.coalesce(x["text"], F.lit(""))
+    return F.struct(
+        *[x[c].alias(c) for c in ("y1", "x1", "line_no")],
+        text.alias("text"),
+        x["score"].alias("score"),
+        ((x["x1"] + x["x2"]) / 2).alias("cx"),
+        ((x["y1"] + x["y2"]) / 2).alias("cy"),
+        F.greatest(F.lit(1.0), x["y2"] - x["y1"]).alias("height"),
+        T.squeeze(text).alias("t"),
+        T.clean(text).alias("c"),
+    )
+
+
+def with_items(df: DataFrame, lines: str = "lines") -> DataFrame:
+    """Adds ``_l``: the lines of a page that are not blank, in reading order, with what the rules ask of them."""
+    made = F.filter(F.transform(lines, line_facts), lambda x: x["c"] != "")
+    return df.withColumn("_l", F.coalesce(F.array_sort(made), F.array()))
+
+
+def line_pages(lines: DataFrame) -> DataFrame:
+    """(doc_id, lines): pages of lines."""
+    return pages.collected(lines, LINE, "lines")
+
+
+def region_bounds(items: Column, height: float) -> Column:
+    """(buyer_start, buyer_end, seller_start) from the first anchor lines of a page."""
+    first = lambda words: F.get(pages.where(items, lambda x: T.contains_any(x["t"], words)), F.lit(0))["y1"]
+    start = F.coalesce(first(("购买方", "买方")), F.lit(0.18 * height))
+    stop = first(V.BUYER_STOPS)
+    return F.struct(
         F.greatest(F.lit(0.0), start - 0.02 * height).alias("buyer_start"),
-        F.least(F.lit(float(height)), F.when(F.col("stop") > start, F.col("stop")).otherwise(0.5 * height)).alias("buyer_end"),
-        F.least(F.lit(0.58 * height), "total", "seller").alias("seller_start"),
+        F.least(F.lit(float(height)), F.when(stop > start, stop).otherwise(0.5 * height)).alias("buyer_end"),
+        F.least(F.lit(0.58 * height), first(V.TOTAL_MARKS), first(("销售方", "销售信息"))).alias("seller_start"),
     )
 
 
+def regions(lines: DataFrame, height: float) -> DataFrame:
+    """(doc_id, buyer_start, buyer_end, seller_start) of pages with text."""
+    found = with_items(line_pages(lines)).where(F.size("_l") > 0)
+    return found.select("doc_id", region_bounds(F.col("_l"), height).alias("r")).select("doc_id", "r.*")
+
+
 def pairs_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     g = with_geometry(lines)
     cols = ("doc_id", "line_no", "text", "cx", "cy")
@@ -80,12 +114,26 @@ def column_value(lines: DataFrame, label: Column, value: Column, height: float)
 def money_lines(lines: DataFrame, height: float) -> DataFrame:
     """Money values with their lines: the lower part of the page, without lines of codes and accounts."""
     g = with_geometry(lines).where(F.col("y1") + F.col("y2") >= 0.7 * height).withColumn("t", T.squeeze(F.col("text")))
-    g = g.where(~T.contains_any(F.col("t"), ("发票代码", "发票号码", "纳税人识别号", "账号")))
+    g = g.where(~T.contains_any(F.col("t"), V.NO_MONEY))
     found = F.filter(F.transform(T.find_all(F.col("text"), V.MONEY_FIND, 1), lambda v: T.cents(F.replace(v, F.lit(","), F.lit("")))), lambda c: (c > 0) & (c < 100_000_000_000))
     named = T.contains_any(F.col("t"), V.TOTAL_MARKS)
     return g.select("doc_id", "line_no", "cx", "cy", "height", "score", named.alias("named"), F.posexplode(found).alias("cand_no", "cents"))
 
 
+def triple_score(t, a, x, height: float, width: float) -> Column:
+    """How well total, amount and tax (anything that gives columns by name) sit on the page."""
+    row = F.abs(a["cy"] - x["cy"]) <= 2.2 * F.greatest(a["height"], x["height"])
+    left = (a["cx"] <= x["cx"]) | (F.abs(a["cx"] - x["cx"]) < 0.05 * width)
+    return (
+        100.0
+        + F.when(row, 40).otherwise(-40)
+        + F.when(left, 35).otherwise(-35)
+        + F.when(t["named"], 25).otherwise(0)
+        + F.least(F.lit(30.0), (t["cy"] - a["cy"]) / height * 120)
+        + F.least(F.lit(300.0), t["score"] + a["score"] + x["score"]) * 0.05
+    )
+
+
 def amount_tax_total(lines: DataFrame, height: float, width: float) -> DataFrame:
     """(doc_id, amount, tax, total) in cents: the triple that adds up and sits best.
 
@@ -100,16 +148,8 @@ def amount_tax_total(lines: DataFrame, height: float, width: float) -> DataFrame
     met = ta.join(role("x"), (F.col("x_doc_id") == F.col("t_doc_id")) & (F.col("x_cents") == F.col("band")) & (F.col("x_cy") < F.col("t_cy")))
     apart = (F.col("x_line_no") != F.col("a_line_no")) | (F.col("x_cand_no") != F.col("a_cand_no"))
     met = met.where(apart & (F.col("a_cents") >= F.col("x_cents")))
-    row = F.abs(F.col("a_cy") - F.col("x_cy")) <= 2.2 * F.greatest("a_height", "x_height")
-    left = (F.col("a_cx") <= F.col("x_cx")) | (F.abs(F.col("a_cx") - F.col("x_cx")) < 0.05 * width)
-    score = (
-        100.0
-        + F.when(row, 40).otherwise(-40)
-        + F.when(left, 35).otherwise(-35)
-        + F.when(F.col("t_named"), 25).otherwise(0)
-        + F.least(F.lit(30.0), (F.col("t_cy") - F.col("a_cy")) / height * 120)
-        + F.least(F.lit(300.0), F.col("t_score") + F.col("a_score") + F.col("x_score")) * 0.05
-    )
+    role_of = lambda p: {f: F.col(f"{p}_{f}") for f in ("cx", "cy", "height", "score", "named")}
+    score = triple_score(role_of("t"), role_of("a"), role_of("x"), height, width)
     order = [F.desc("s"), "t_line_no", "t_cand_no", "a_line_no", "a_cand_no", "x_line_no", "x_cand_no"]
     w = Window.partitionBy("t_doc_id").orderBy(*order)
     best = met.withColumn("s", score).withColumn("n", F.row_number().over(w)).where("n = 1")
@@ -118,77 +158,126 @@ def amount_tax_total(lines: DataFrame, height: float, width: float) -> DataFrame
     return alone.join(best, "doc_id", "left").select("doc_id", "amount", "tax", F.coalesce("total", "last").alias("total"))
 
 
-def windows(lines: DataFrame, ahead: int) -> DataFrame:
-    """Adds ``window``: the squeezed text of a line and of those after it, in reading order."""
-    o = reading_order(lines).withColumn("t", T.squeeze(F.col("text")))
-    w = Window.partitionBy("doc_id").orderBy("place").rowsBetween(0, ahead)
-    return o.withColumn("window", F.array_join(F.collect_list("t").over(w), ""))
+def windows(items: Column, ahead: int, make) -> Column:
+    """``make`` of each line and of the squeezed text of it and the lines after it."""
+    text = lambda own, k: F.array_join(F.transform(F.slice(own, k + 1, F.lit(ahead + 1)), lambda x: x["t"]), "")
+    # bound by let, or the array would be made anew for each line
+    return T.let(items, lambda own: F.transform(own, lambda x, k: make(x, text(own, k))))
+
+
+def inside(items: Column, start: Column, end: Column) -> Column:
+    """Lines whose centre lies between two heights."""
+    return T.let(F.struct(start.alias("start"), end.alias("end")), lambda r: pages.where(items, lambda x: x["cy"].between(r["start"], r["end"])))
+
 
+def tax_id_of(items: Column, exclude: Column | None = None) -> Column:
+    """The best tax id of the lines and of the three after each."""
+    good = lambda w: T.first(F.filter(T.find_all(w, "(?i)(?<![0-9A-Z])[0-9A-Z]{12,20}(?![0-9A-Z])"), T.is_tax_number))
+    score = lambda x: x["score"] + F.when(T.contains_any(x["t"], V.TAX_LABELS), 40).otherwise(0) - F.when(T.contains_any(x["t"], ("开户行", "账号", "规格型号")), 60).otherwise(0)
+    found = windows(items, 3, lambda x, w: F.struct(score(x).alias("s"), (-x["cy"]).alias("y"), good(w).alias("value")))
+    found = F.filter(found, lambda v: (v["value"] != "") if exclude is None else (v["value"] != "") & (v["value"] != exclude))
+    return F.array_max(found)["value"]
 
-def choose_tax_id(lines: DataFrame, scope: DataFrame, exclude: Column | None = None) -> DataFrame:
+
+def company_of(items: Column, reject_banks: bool = False) -> Column:
+    """The best company name of the lines."""
+    firms = pages.where(items, lambda x: ~T.contains_any(x["c"], V.REGION_NAME_NOISE) & T.is_company(x["c"]))
+
+    def scored(x: Column) -> Column:
+        c = x["c"]
+        score = x["score"] + F.when(F.contains(c, F.lit("称")), 20).otherwise(0) + F.when(F.contains(c, F.lit("公司")), 15).otherwise(0)
+        if reject_banks:
+            score = score - F.when(T.contains_any(c, ("银行", "支行", "分行", "开户行", "账号")), 60).otherwise(0)
+        return F.struct(score.alias("s"), T.clean(F.regexp_replace(c, "^(名称|名(?U:\\s)*称|称)[:：]?", "")).alias("value"))
+
+    return F.array_max(F.transform(firms, scored))["value"]
+
+
+def checksum_of(items: Column, height: float) -> Column:
+    """The best digit run of the label's line and the three after it; of one line's runs the greatest."""
+    runs = lambda w: F.filter(T.find_all(w, "[0-9][0-9]{10,35}[0-9]"), lambda v: F.char_length(v).between(12, 30))
+    of = lambda x, w: F.when(F.contains(x["t"], F.lit("校验码")), F.transform(runs(w), lambda v: F.struct((x["score"] + 20 * (1 - x["cy"] / height)).alias("s"), v.alias("value"))))
+    return F.array_max(F.flatten(F.filter(windows(items, 3, of), lambda a: a.isNotNull())))["value"]
+
+
+def drawer_of(items: Column, height: float) -> Column:
+    """The name on the drawer's label line, in the four lines after it, or alone at the foot."""
+    inline = lambda x: F.regexp_extract(x["t"], f"开票人[:：]?([{V.CJK}]{{2,4}})", 1)
+    scored = lambda s, names: F.transform(names, lambda v: F.struct(s.alias("s"), v.alias("value")))
+    people = lambda c, pattern: F.filter(T.find_all(c, pattern), T.is_person)
+
+    def after(own: Column, x: Column, k: Column) -> Column:
+        later = F.slice(own, k + 2, F.lit(4))
+        return F.flatten(F.transform(later, lambda y, d: scored(x["score"] + 65 - 5 * d, people(y["t"], f"[{V.CJK}]{{2,4}}"))))
+
+    def of(own: Column, x: Column, k: Column) -> Column:
+        name = inline(x)
+        good = (name != "") & T.is_person(name)
+        foot = F.when(x["cy"] > 0.82 * height, scored(x["score"].cast("double"), people(x["t"], f"(?<![{V.CJK}])[{V.CJK}]{{2,4}}(?![{V.CJK}])")))
+        label = F.when(F.contains(x["t"], F.lit("开票人")), after(own, x, k))
+        none = F.array().cast("array<struct<s:double,value:string>>")
+        return F.when(good, scored((x["score"] + 80).cast("double"), F.array(name))).otherwise(F.concat(F.coalesce(label, none), F.coalesce(foot, none)))
+
+    return F.array_max(T.let(items, lambda own: F.flatten(F.transform(own, lambda x, k: of(own, x, k)))))["value"]
+
+
+def amounts_of(items: Column, height: float, width: float) -> Column:
+    """(amount, tax, total) in cents, by the rules of ``amount_tax_total``; null without any sum on the page.
+
+    Totals and amounts are paired first, as far as the amount can be the
+    larger part of the total, and taxes are looked for under such pairs only.
+    """
+    low = pages.where(items, lambda x: (x["cy"] >= 0.35 * height) & ~T.contains_any(x["t"], V.NO_MONEY))
+    sums = lambda x: F.filter(F.transform(T.find_all(x["text"], V.MONEY_FIND, 1), lambda v: T.cents(F.replace(v, F.lit(","), F.lit("")))), lambda c: (c > 0) & (c < 100_000_000_000))
+    named = lambda x: T.contains_any(x["t"], V.TOTAL_MARKS)
+    cands = F.flatten(F.transform(low, lambda x: F.transform(sums(x), lambda c, n: F.struct(x["line_no"].alias("line_no"), n.alias("cand_no"), c.alias("cents"), *[x[f].alias(f) for f in ("cx", "cy", "height", "score")], named(x).alias("named")))))
+
+    def best(money: Column) -> Column:
+        fits = lambda t, a: (a["cy"] < t["cy"]) & (a["cents"] <= t["cents"] + 3) & (2 * a["cents"] >= t["cents"] - 3)
+        sums_to = lambda p, x: (F.abs(p["t"]["cents"] - p["a"]["cents"] - x["cents"]) <= 3) & (x["cy"] < p["t"]["cy"]) & (p["a"]["cents"] >= x["cents"]) & ((x["line_no"] != p["a"]["line_no"]) | (x["cand_no"] != p["a"]["cand_no"]))
+        two = pages.pairs(pages.where(money, lambda t: t["cy"] >= 0.55 * height), money, fits, lambda t, a: F.struct(t.alias("t"), a.alias("a")))
+        at = lambda x: [x["line_no"], x["cand_no"]]
+        score = lambda p, x: triple_score(p["t"], p["a"], x, height, width)
+        three = pages.pairs(two, money, sums_to, lambda p, x: F.struct((-score(p, x)).alias("s"), F.struct(*at(p["t"]), *at(p["a"]), *at(x)).alias("at"), p["a"]["cents"].alias("amount"), x["cents"].alias("tax"), p["t"]["cents"].alias("total")))
+        last = F.array_max(F.transform(money, lambda x: F.struct(x["named"], x["cy"], x["cents"].alias("cents"))))["cents"]
+        return T.let(F.array_min(three), lambda b: F.when(F.size(money) > 0, F.struct(b["amount"].alias("amount"), b["tax"].alias("tax"), F.coalesce(b["total"], last).alias("total"))))
+
+    return T.let(cands, best)
+
+
+def choose_tax_id(lines: DataFrame, scope: DataFrame) -> DataFrame:
     """(doc_id, value): the best tax id among lines whose centre lies in scope (doc_id, start, end)."""
-    inside = with_geometry(lines).join(scope, "doc_id").where("cy between start and end")
-    o = with_geometry(windows(inside, 3))
-    value = T.first(F.filter(T.find_all(F.col("window"), "(?i)(?<![0-9A-Z])[0-9A-Z]{12,20}(?![0-9A-Z])"), T.is_tax_number))
-    score = F.col("score") + F.when(T.contains_any(F.col("t"), V.TAX_LABELS), 40).otherwise(0) - F.when(T.contains_any(F.col("t"), ("开户行", "账号", "规格型号")), 60).otherwise(0)
-    found = o.withColumn("value", value).where("value <> ''")
-    if exclude is not None:
-        found = found.where(F.col("value") != exclude)
-    return found.groupBy("doc_id").agg(F.max(F.struct(score.alias("s"), (-F.col("cy")).alias("y"), "value"))["value"].alias("value"))
-
-
-def choose_company(lines: DataFrame, scope: DataFrame, reject_banks: bool = False) -> DataFrame:
-    """(doc_id, value): the best company name in scope."""
-    o = with_geometry(lines).join(scope, "doc_id").where("cy between start and end").withColumn("t", T.clean(F.col("text")))
-    o = o.where(~T.contains_any(F.col("t"), V.REGION_NAME_NOISE) & T.is_company(F.col("t")))
-    score = F.col("score") + F.when(F.contains("t", F.lit("称")), 20).otherwise(0) + F.when(F.contains("t", F.lit("公司")), 15).otherwise(0)
-    if reject_banks:
-        score = score - F.when(T.contains_any(F.col("t"), ("银行", "支行", "分行", "开户行", "账号")), 60).otherwise(0)
-    value = T.clean(F.regexp_replace("t", "^(名称|名(?U:\\s)*称|称)[:：]?", ""))
-    return o.groupBy("doc_id").agg(F.max(F.struct(score.alias("s"), value.alias("value")))["value"].alias("value"))
+    found = with_items(line_pages(lines)).join(scope, "doc_id")
+    return found.select("doc_id", tax_id_of(inside(F.col("_l"), F.col("start"), F.col("end"))).alias("value")).where("value is not null")
 
 
 def choose_checksum(lines: DataFrame, height: float) -> DataFrame:
-    o = with_geometry(windows(lines, 3)).where(F.contains("t", F.lit("校验码")))
-    found = o.select("doc_id", (F.col("score") + 20 * (1 - F.col("cy") / height)).alias("s"), F.explode(T.find_all(F.col("window"), "[0-9][0-9]{10,35}[0-9]")).alias("value"))
-    return found.where(F.char_length("value").between(12, 30)).groupBy("doc_id").agg(F.max(F.struct("s", "value"))["value"].alias("value"))
-
-
-def choose_drawer(lines: DataFrame, height: float) -> DataFrame:
-    """(doc_id, value): the name on the drawer's label line, in the four lines after it, or alone at the foot."""
-    o = with_geometry(reading_order(lines)).withColumn("t", T.squeeze(F.col("text")))
-    inline = F.regexp_extract("t", f"开票人[:：]?([{V.CJK}]{{2,4}})", 1)
-    labels = o.where(F.contains("t", F.lit("开票人"))).withColumn("inline", inline)
-    good = (F.col("inline") != "") & T.is_person(F.col("inline"))
-    named = labels.where(good).select("doc_id", (F.col("score") + 80).alias("s"), F.col("inline").alias("value"))
-    names = lambda c: F.filter(T.find_all(c, f"[{V.CJK}]{{2,4}}"), T.is_person)
-    after = labels.where(~good).select("doc_id", F.col("place").alias("at"))
-    later = after.join(o, "doc_id").where("place - at between 1 and 4")
-    later = later.select("doc_id", (F.col("score") + 70 - 5 * (F.col("place") - F.col("at"))).alias("s"), F.explode(names(F.col("t"))).alias("value"))
-    alone = F.filter(T.find_all(F.col("t"), f"(?<![{V.CJK}])[{V.CJK}]{{2,4}}(?![{V.CJK}])"), T.is_person)
-    foot = o.where(f"cy > {0.82 * height}").where(~(inline != "") | ~T.is_person(inline)).select("doc_id", F.col("score").alias("s"), F.explode(alone).alias("value"))
-    return named.unionByName(later).unionByName(foot).groupBy("doc_id").agg(F.max(F.struct("s", "value"))["value"].alias("value"))
+    found = with_items(line_pages(lines))
+    return found.select("doc_id", checksum_of(F.col("_l"), height).alias("value")).where("value is not null")
 
 
-def refine(records: DataFrame, lines: DataFrame, height: float, width: float) -> DataFrame:
-    """Records corrected by what lies where on the page; what is not found stays."""
-    r = regions(lines, height)
-    buyer = r.select("doc_id", F.col("buyer_start").alias("start"), F.col("buyer_end").alias("end"))
-    seller = r.select("doc_id", F.col("seller_start").alias("start"), F.lit(float(height)).alias("end"))
-    named = lambda df, name: df.withColumnRenamed("value", name)
-    b_id = named(choose_tax_id(lines, buyer), "_b_id")
-    known = records.select("doc_id", F.col("buyer_tax_id").alias("_known")).join(b_id, "doc_id", "left").select("doc_id", F.coalesce("_b_id", "_known", F.lit("")).alias("_not"))
-    out = records
-    for part in (
-        b_id,
-        named(choose_tax_id(lines.join(known, "doc_id"), seller, F.col("_not")), "_s_id"),
-        named(choose_company(lines, buyer), "_b"),
-        named(choose_company(lines, seller, True), "_s"),
-        named(choose_checksum(lines, height), "_check"),
-        named(choose_drawer(lines, height), "_drawer"),
-        amount_tax_total(lines, height, width).select("doc_id", F.col("amount").alias("_a"), F.col("tax").alias("_x"), F.col("total").alias("_t")),
-    ):
-        out = out.join(part, "doc_id", "left")
+def refine_pages(df: DataFrame, height: float, width: float) -> DataFrame:
+    """Records with a page's ``lines`` corrected by what lies where on it; what is not found stays.
+
+    No row moves: all choices are made from the array of lines.  A page without lines, or with null for them, keeps its record.
+    """
+    keep = df.columns
+    out = with_items(df)
+    out = out.withColumn("_r", region_bounds(F.col("_l"), height))
+    r = F.col("_r")
+    out = out.withColumns({"_upper": inside(F.col("_l"), r["buyer_start"], r["buyer_end"]), "_lower": inside(F.col("_l"), r["seller_start"], F.lit(float(height)))})
+    out = out.withColumn("_b_id", tax_id_of(F.col("_upper")))
+    out = out.withColumns(
+        {
+            "_s_id": tax_id_of(F.col("_lower"), F.coalesce("_b_id", "buyer_tax_id", F.lit(""))),
+            "_b": company_of(F.col("_upper")),
+            "_s": company_of(F.col("_lower"), True),
+            "_check": checksum_of(F.col("_l"), height),
+            "_drawer": drawer_of(F.col("_l"), height),
+            "_sums": amounts_of(F.col("_l"), height, width),
+        }
+    )
+    sums = F.col("_sums")
     out = out.withColumns(
         {
             "buyer_tax_id": F.coalesce("_b_id", "buyer_tax_id"),
@@ -197,15 +286,20 @@ def refine(records: DataFrame, lines: DataFrame, height: float, width: float) ->
             "seller_name": F.coalesce(F.when(F.col("_b").isNull() | ~F.contains("_s", F.col("_b")), F.col("_s")), "seller_name"),
             "checksum": F.coalesce("_check", "checksum"),
             "drawer": F.coalesce("_drawer", "drawer"),
-            "amount": F.coalesce(F.when(F.col("_x").isNotNull(), T.money(F.col("_a"))), "amount"),
-            "tax": F.coalesce(T.money(F.col("_x")), "tax"),
-            "total": F.coalesce(T.money(F.col("_t")), "total"),
+            "amount": F.coalesce(F.when(sums["tax"].isNotNull(), T.money(sums["amount"])), "amount"),
+            "tax": F.coalesce(T.money(sums["tax"]), "tax"),
+            "total": F.coalesce(T.money(sums["total"]), "total"),
         }
     )
     plain = F.contains("invoice_type", F.lit("普通发票"))
-    out = out.withColumn("buyer_tax_id", F.when((F.col("buyer_tax_id") == F.col("seller_tax_id")) & plain | (F.col("buyer_tax_id") == F.col("_check")), "").otherwise(F.col("buyer_tax_id")))
-    out = out.withColumn("seller_tax_id", F.when(F.col("seller_tax_id") == F.col("_check"), "").otherwise(F.col("seller_tax_id")))
-    out = out.withColumn("buyer_name", F.when(F.col("buyer_name") == F.col("seller_name"), "").otherwise(F.col("buyer_name")))
-    return out.select(*records.columns)
+    is_check = lambda c: F.coalesce(F.col(c) == F.col("_check"), F.lit(False))
+    some = F.size("_l") > 0
+    out = out.withColumn("buyer_tax_id", F.when(some & ((F.col("buyer_tax_id") == F.col("seller_tax_id")) & plain | is_check("buyer_tax_id")), "").otherwise(F.col("buyer_tax_id")))
+    out = out.withColumn("seller_tax_id", F.when(is_check("seller_tax_id"), "").otherwise(F.col("seller_tax_id")))
+    out = out.withColumn("buyer_name", F.when(some & (F.col("buyer_name") == F.col("seller_name")), "").otherwise(F.col("buyer_name")))
+    return out.select(*keep)
 
 
+def refine(records: DataFrame, lines: DataFrame, height: float, width: float) -> DataFrame:
+    """Records of pages whose lines are rows of their own, which are collected once."""
+    return refine_pages(records.join(line_pages(lines), "doc_id", "left"), height, width).select(*records.columns)

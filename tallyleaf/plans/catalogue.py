@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyleaf.functions import extract as X
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
-from tallyleaf.operators import autolabel, dataset, detections, engines, fusion, layout, raster, validate
+from tallyleaf.operators import autolabel, dataset, detections, engines, fusion, layout, pages, raster, validate
 from tallyleaf.plans import render
 from tallyleaf.plans.render import BASE_SQL, MONEY_SQL, table
 
@@ -279,11 +279,8 @@ def below_column_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered texts as lines, forty pixels apart, amount and tax on one row."""
-    t = render.texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    tax_row = F.contains("text", F.lit("税额"))
-    y = (F.when(tax_row, F.col("line_no") - 1).otherwise(F.col("line_no")) * 40).cast("double")
-    x = F.when(tax_row, 500.0).otherwise(100.0)
-    return t.select("doc_id", "line_no", "text", (90 + F.col("doc_id") % 10).cast("double").alias("score"), x.alias("x1"), y.alias("y1"), (x + 200).alias("x2"), (y + 20).alias("y2"))
+    t = render.texts(spark, sf_dir).select("doc_id", F.inline(render.page_lines(F.col("text"), F.col("doc_id"))))
+    return t.select("doc_id", "line_no", "text", "score", "x1", "y1", "x2", "y2")
 
 
 @query(f"WITH {BASE_SQL} SELECT k AS doc_id, CASE WHEN tax_c > 0 THEN {cents_sql('amount_c')} END AS amount, CASE WHEN tax_c > 0 THEN {cents_sql('tax_c')} END AS tax, {TOTAL_SQL} AS total FROM base")
@@ -322,18 +319,6 @@ def layout_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.choose_checksum(boxed_lines(spark, sf_dir), 640.0)
 
 
-@query(
-    f"""WITH {BASE_SQL} SELECT k AS doc_id, x.class AS class, CAST(x.line_no AS BIGINT) AS line_no FROM (SELECT k, unnest([{{'class': 'invoice_type', 'line_no': 0}}, {{'class': 'buyer_name', 'line_no': 5}}, {{'class': 'buyer_tax_id', 'line_no': 4}},
-  {{'class': 'checksum', 'line_no': CASE WHEN r = 4 THEN 1 ELSE 6 END}}, {{'class': 'total', 'line_no': CASE WHEN r = 4 THEN 9 ELSE 10 END}}, {{'class': 'seller_tax_id', 'line_no': CASE WHEN r = 4 THEN 11 ELSE 12 END}},
-  {{'class': 'seller_name', 'line_no': CASE r WHEN 4 THEN 10 WHEN 3 THEN 13 ELSE 11 END}}]) AS x FROM base)"""
-)
-def auto_labels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Automatic labels of the classes whose line follows from the regime alone."""
-    placed = ("invoice_type", "buyer_name", "buyer_tax_id", "checksum", "total", "seller_tax_id", "seller_name")
-    found = autolabel.auto_labels(boxed_lines(spark, sf_dir), 800.0, 640.0)
-    return found.where(F.col("class").isin(*placed)).select("doc_id", "class", F.col("line_no").cast("bigint"))
-
-
 @query(
     """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '未识别到足够表头文本，使用普通 OCR' WHEN 1 THEN '电子发票/数电票，使用普通 OCR 或 PDF 文本直读'
   WHEN 2 THEN '识别为扫描/拍照版增值税普通发票，启用 YOLO 辅助定位' ELSE '非 YOLO 训练主类型，使用普通 OCR' END AS reason FROM orders"""
@@ -408,7 +393,8 @@ def unused_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, det_no) AS n FROM crops) WHERE n = 1 GROUP BY doc_id"""
 )
 def detected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections.detected_text(detections.best_per_field(crops(spark, sf_dir)))
+    best = pages.collected(detections.best_per_field(crops(spark, sf_dir)), ("field", "text"), "best")
+    return best.select("doc_id", detections.detected_text(F.col("best")).alias("text"))
 
 
 @query(f"WITH {CROPS_SQL} SELECT doc_id, CAST(13 - count(DISTINCT field) AS BIGINT) AS n_missing FROM crops GROUP BY doc_id")
@@ -432,11 +418,6 @@ def crop_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("field = 'total'").select("doc_id", F.col("det_no").cast("bigint"))
 
 
-@query()
-def crop_resolve_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections.resolve(crops(spark, sf_dir), 1000.0).select("doc_id", "field", F.col("det_no").cast("bigint"), "text")
-
-
 @query(
     """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'invoice_no' ELSE 'total' END AS field, CAST(CASE WHEN p_size <= 1 THEN p_size * 100 ELSE p_size END AS BIGINT) AS confidence,
   CAST(least(799, p_size * 10) AS BIGINT) AS x1, CAST(least(800, CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 + 50 ELSE p_size * 20 END) AS BIGINT) AS x2 FROM part"""
@@ -527,14 +508,16 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) FILTER (p_partkey % 5 < 2) AS images, count(*) FILTER (p_partkey % 5 IN (2, 3)) AS labels, count(*) FILTER (p_partkey % 5 = 4) AS bad_files,
-  count(*) FILTER (p_partkey % 5 < 2) = count(*) FILTER (p_partkey % 5 IN (2, 3)) AND count(*) FILTER (p_partkey % 5 = 4) = 0 AS ok FROM part"""
+    """SELECT brand, images, labels, bad_files, images = 1 AND labels = 1 AND bad_files = 0 AS ok FROM (SELECT p_brand || p_size AS brand, count(*) FILTER (p_partkey % 6 < 2) AS images,
+  count(*) FILTER (p_partkey % 6 IN (2, 3, 5)) AS labels, count(*) FILTER (p_partkey % 6 > 3) AS bad_files FROM part GROUP BY 1)"""
 )
 def dataset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small dataset for each brand and size, expected to hold one image and its label."""
     k = F.col("p_partkey").cast("string")
-    kinds = F.array(F.concat(F.lit("images/train/"), k, F.lit(".JPG")), F.concat(F.lit("images/val/"), k, F.lit(".png")), F.concat(F.lit("labels/train/"), k, F.lit(".txt")), F.concat(F.lit("labels/val/"), k, F.lit(".txt")), F.concat(F.lit("labels/"), k, F.lit("/classes.txt")))
-    paths = table(spark, sf_dir, "part").select(F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("path"))
-    return dataset.gate(paths, "path")
+    named = lambda before, after: F.concat(F.lit(before), k, F.lit(after))
+    kinds = F.array(named("images/train/", ".JPG"), named("images/val/", ".png"), named("labels/train/", ".txt"), named("labels/val/", ".txt"), named("labels/", "/classes.txt"), named("labels/val/", "/label.txt"))
+    paths = table(spark, sf_dir, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("brand"), F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("path"))
+    return dataset.gate(paths, "path", 1, 1, by=("brand",))
 
 
 @query(
@@ -653,9 +636,16 @@ def iterative_threshold_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.iterative_threshold(pixels(spark, sf_dir))
 
 
+def registered() -> None:
+    """Queries over whole pages are in a module of their own, which registers them here."""
+    from tallyleaf.plans import page_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    registered()
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    registered()
+    return SQL

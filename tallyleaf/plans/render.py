@@ -6,7 +6,7 @@ labels; 3 issued by an agent; 4 no buyer id; 5 total off by three cents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import text as T
@@ -56,9 +56,22 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, since parsing costs far more than reading.
+
+    By doc_id itself the deal would equal the partitioning of the join before,
+    be left out, and the join's small output be made one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, r, text)"""
-    f = facts(spark, sf_dir)
+    return dealt(facts(spark, sf_dir)).select("doc_id", "r", invoice_text().alias("text"))
+
+
+def invoice_text() -> Column:
+    """The text of an invoice from its facts."""
     r = F.col("r")
     amount, tax = T.money(F.col("amount_c")), T.money(F.col("tax_c"))
     total = T.money(F.when(r == 5, F.col("total_c") + 3).otherwise(F.col("total_c")))
@@ -82,7 +95,66 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     text = F.concat_ws("\n", *rows)
     wide = F.translate(F.replace(text, F.lit(":"), F.lit(": ")), ":¥", "：￥")
-    # parsing costs far more than reading: the texts are dealt out evenly; by doc_id itself the deal
-    # would equal the join's partitioning, be left out, and the join's small output be made one task
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return f.repartition(parts, F.xxhash64("doc_id")).select("doc_id", "r", F.when(r == 1, wide).otherwise(text).alias("text"))
+    return F.when(r == 1, wide).otherwise(text)
+
+
+def page_lines(text: Column, doc_id: Column) -> Column:
+    """A text as an array of lines with boxes, forty pixels apart, amount and tax on one row."""
+
+    def line(t: Column, k: Column) -> Column:
+        tax_row = F.contains(t, F.lit("税额"))
+        y = (F.when(tax_row, k - 1).otherwise(k) * 40).cast("double")
+        x = F.when(tax_row, 500.0).otherwise(100.0)
+        return F.struct(y.alias("y1"), x.alias("x1"), k.alias("line_no"), t.alias("text"), (90 + doc_id % 10).cast("double").alias("score"), (x + 200).alias("x2"), (y + 20).alias("y2"))
+
+    return F.transform(F.split(text, "\n"), line)
+
+
+def page_crops() -> Column:
+    """A detector's crops of an invoice: every field, decoys, a stamp, a crop without text and one of no field.
+
+    On every seventh invoice the detector takes amount and tax for each other.
+    """
+    k = F.col("doc_id")
+    swapped = k % 7 == 0
+    amount, tax = (F.concat(F.lit(" :¥"), T.money(F.col(c)), F.lit("；")) for c in ("amount_c", "tax_c"))
+    made = [
+        ("invoice_type", 90, 100, 10, F.when(F.col("r") == 1, "增值税专用发票").otherwise("增值税普通发票")),
+        ("invoice_code", 90, 100, 40, F.col("f_code")),
+        ("invoice_no", 90, 500, 40, F.col("f_no")),
+        ("invoice_date", 90, 500, 80, F.col("f_date")),
+        ("checksum", 90, 100, 80, F.lpad(F.col("f_no"), 20, "7")),
+        ("buyer_name", 90, 100, 120, F.col("f_buyer")),
+        ("buyer_tax_id", 90, 100, 160, F.col("f_buyer_id")),
+        ("amount", 99, 300, 200, F.lit("¥1.00")),
+        (F.when(swapped, "tax").otherwise("amount"), 80, 300, 440, amount),
+        (F.when(swapped, "amount").otherwise("tax"), 80, 500, 440, tax),
+        ("total", 90, 300, 480, F.concat(F.lit("¥"), T.money(F.col("total_c")))),
+        ("seller_name", 99, 100, 540, F.lit("某某发票专用章")),
+        ("seller_name", 70, 100, 520, F.col("f_seller")),
+        ("seller_tax_id", 99, 100, 500, F.lit("账号")),
+        ("seller_tax_id", 70, 100, 560, F.col("f_seller_id")),
+        ("drawer", 90, 100, 600, F.col("f_drawer")),
+        ("remark", 90, 600, 600, F.lit(" ：|")),
+        ("stamp", 90, 600, 20, F.lit("样张，")),
+    ]
+    crop = lambda n, field, confidence, x, y, text: F.struct(F.lit(n).alias("det_no"), (F.lit(field) if isinstance(field, str) else field).alias("field"), F.lit(float(confidence)).alias("confidence"), F.lit(x).alias("x1"), F.lit(y).alias("y1"), F.lit(x + 150).alias("x2"), F.lit(y + 24).alias("y2"), text.alias("text"), F.lit(80.0 + n % 3).alias("ocr_confidence"))
+    return F.array(*[crop(n, *m) for n, m in enumerate(made)])
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ``recognise`` takes them, with r; every way that a page can go."""
+    f = dealt(facts(spark, sf_dir)).withColumn("text", invoice_text())
+    k = F.col("doc_id")
+    nth = F.floor(k / 6) % 6
+    return f.select(
+        "doc_id",
+        "r",
+        F.when(nth == 0, "off").when(nth.isin(1, 3), "auto").when(nth.isin(2, 5), "force").alias("mode"),
+        F.when(nth == 4, F.col("text")).alias("pdf_text"),
+        F.col("text").alias("ocr_text"),
+        F.lit(88.5).alias("ocr_confidence"),
+        F.when((nth == 3) | ((nth == 5) & (k % 5 == 0)), "no model").alias("detector_error"),
+        page_lines(F.col("text"), k).alias("lines"),
+        page_crops().alias("crops"),
+    )

@@ -20,5 +20,15 @@ def test_crop_text_of_null_and_signs(spark):
 
 
 def test_gate_of_no_files(spark):
-    row = dataset.gate(spark.createDataFrame([], "path string"), "path").first()
-    assert (row.images, row.labels, row.bad_files, row.ok) == (0, 0, 0, True)
+    row = dataset.gate(spark.createDataFrame([], "path string"), "path", 100, 100).first()
+    assert (row.images, row.labels, row.bad_files, row.ok) == (0, 0, 0, False)
+
+
+def test_gate_counts(spark):
+    good = [(f"d/images/train/{k}.jpg",) for k in range(3)] + [(f"d/labels/val/{k}.txt",) for k in range(3)]
+    gate = lambda rows: tuple(dataset.gate(spark.createDataFrame(rows, "path string"), "path", 3, 3).first())
+    assert gate(good) == (3, 3, 0, True)
+    assert gate(good[1:]) == (2, 3, 0, False)
+    assert gate([*good, ("d/labels/classes.txt",)]) == (3, 3, 1, False)
+    # a stray file among the labels is counted as both
+    assert gate([*good, ("d/labels/train/label.txt",)]) == (3, 4, 1, False)
