@@ -174,17 +174,3 @@ def augment(samples: DataFrame, seed: int = 20260615) -> DataFrame:
     out = samples.mapInPandas(run, "sample long, height int, width int, n_channels int, data binary, boxes array<struct<cls:int,x1:double,y1:double,x2:double,y2:double>>")
     line = lambda b: dataset.clipped_line(b["cls"], b["x1"], b["y1"], b["x2"], b["y2"], F.col("width").cast("double"), F.col("height").cast("double"))
     return out.withColumn("lines", F.filter(F.transform("boxes", line), lambda x: x.isNotNull())).drop("boxes")
-
-
-def flatten_ocr(df: DataFrame, texts: str, scores: str, boxes: str) -> DataFrame:
-    """(doc_id, line_no, text, score, x1..y2) of parallel arrays: as many lines as the shorter of texts and scores, boxes where there are any.
-
-    A box is four numbers or a polygon given as an array of points.
-    """
-    n = F.least(F.size(texts), F.size(scores))
-    rows = df.where(n > 0).select("doc_id", texts, scores, boxes, F.explode(F.sequence(F.lit(0), n - 1)).alias("line_no"))
-    score = F.get(F.col(scores), F.col("line_no"))
-    box = F.get(F.col(boxes), F.col("line_no"))
-    side = lambda k, f: f(F.transform(box, lambda p: F.get(p, F.lit(k))))
-    xy = [side(0, F.array_min), side(1, F.array_min), side(0, F.array_max), side(1, F.array_max)]
-    return rows.select("doc_id", "line_no", F.get(F.col(texts), F.col("line_no")).alias("text"), F.when(score <= 1, score * 100).otherwise(score).alias("score"), *[v.alias(x) for v, x in zip(xy, ("x1", "y1", "x2", "y2"), strict=True)])

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as V
-from tallyleaf.operators import autolabel, detections, fusion, recognise
+from tallyleaf.operators import autolabel, detections, fusion, ocr_output, pages, recognise
 from tallyleaf.plans import render
-from tallyleaf.plans.catalogue import CROPS_SQL, TOTAL_SQL, boxed_lines, cents_sql, crops, query
+from tallyleaf.plans.catalogue import CROPS_SQL, POINTS_SQL, TOTAL_SQL, boxed_lines, cents_sql, crops, points, query
 from tallyleaf.plans.render import BASE_SQL
 
 # ---- automatic labels ----
@@ -244,3 +244,32 @@ def recognise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("resolved", lambda x: x["det_no"].cast("string")), ",").alias("crops"),
         "reason",
     )
+
+
+# ---- output of text engines ----
+
+
+@query(
+    f"""WITH {POINTS_SQL} SELECT doc_id, line_no, text, CAST(CASE WHEN bare THEN 0 ELSE (90 + doc_id % 10) * 100 END AS BIGINT) AS score,
+    {", ".join(f"CASE WHEN NOT bare THEN CAST({c} AS BIGINT) END AS {c}" for c in ("x1", "y1", "x2", "y2"))}
+  FROM (SELECT *, CASE WHEN flag = 'R' THEN '税额 ' ELSE '' END || {cents_sql("cents")} AS text, doc_id % 4 = 3 AND line_no = 0 AS bare FROM p)"""
+)
+def ocr_output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from the output of four engines: one dictionary, a list of pages, lists of items in a list, and items of strings."""
+    lines = pages.collected(points(spark, sf_dir), ("line_no", "text", "score", "x1", "y1", "x2", "y2"), "l")
+    each = lambda f, a="l": F.transform(a, f)
+    corners = lambda x: F.array(F.array(x["x1"], x["y1"]), F.array(x["x2"], x["y1"]), F.array(x["x2"], x["y2"]), F.array(x["x1"], x["y2"]))
+    box = lambda x: F.array(x["x2"], x["y2"], x["x1"], x["y1"])
+    text = lambda x: F.regexp_replace(F.to_json(F.array(F.concat(F.lit(" "), x["text"]))), "^.|.$", "")
+    share = lambda x: x["score"] / 100
+    listed = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    one = F.to_json(F.struct(each(lambda x: x["text"]).alias("rec_texts"), each(lambda x: x["score"]).alias("rec_scores"), each(box).alias("rec_boxes")))
+    half = F.ceil(F.size("l") / 2).cast("int")
+    page = lambda a: F.struct(each(lambda x: x["text"], a).alias("texts"), each(share, a).alias("scores"), each(corners, a).alias("dt_polys"))
+    several = F.to_json(F.array(page(F.slice("l", F.lit(1), half)), page(F.slice("l", half + 1, F.size("l")))))
+    items = listed(each(lambda x: F.concat(F.lit("["), F.to_json(corners(x)), F.lit(",["), text(x), F.lit(","), share(x).cast("string"), F.lit("]]"))))
+    words = listed(F.transform("l", lambda x, k: F.when(k == 0, F.concat(F.lit("[[],["), text(x), F.lit("]]"))).otherwise(F.concat(F.lit("["), F.to_json(box(x)), F.lit(",["), text(x), F.lit(',"'), share(x).cast("string"), F.lit('"]]')))))
+    payload = F.get(F.array(one, several, F.concat(F.lit("["), items, F.lit("]")), words), (F.col("doc_id") % 4).cast("int"))
+    found = ocr_output.read_output(lines.select("doc_id", payload.alias("payload")), "payload")
+    whole = lambda c: F.col(c).cast("bigint").alias(c)
+    return found.select("doc_id", whole("line_no"), "text", F.round(F.col("score") * 100).cast("bigint").alias("score"), *map(whole, ("x1", "y1", "x2", "y2")))

@@ -84,10 +84,7 @@ def test_augment_depends_on_seed_and_sample_alone(spark):
     assert a == b and len({v[0] for v in a.values()}) == 3 and all(v[1][0].startswith("3 ") for v in a.values())
 
 
-def test_flatten_and_scale(spark):
-    df = spark.createDataFrame([("d", ["a", "b", "c"], [0.5, 90.0], [[[1.0, 2.0], [5.0, 9.0]]])], "doc_id string, t array<string>, s array<double>, b array<array<array<double>>>")
-    got = augment.flatten_ocr(df, "t", "s", "b").orderBy("line_no").collect()
-    assert [(r.text, r.score, r.x2) for r in got] == [("a", 50.0, 5.0), ("b", 90.0, None)]
+def test_scale(spark):
     scale = spark.createDataFrame([(1000, 500), (1800, 10), (5200, 10)], "h int, w int").select(augment.scale_for_ocr(F.col("h"), F.col("w")).alias("s")).collect()
     assert [r.s for r in scale] == [2.0, 1.0, 0.5]
 
