@@ -7,6 +7,7 @@ median, which repeats it, and morphology, which ignores what lies outside.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -144,6 +145,38 @@ def morph_gradient(px: DataFrame, size: int, reach: int = 2) -> DataFrame:
     return hi.join(lo, ["img", "r", "c"]).select("img", "r", "c", (F.col("v") - F.col("lo")).alias("v"))
 
 
+def gaussian_taps(size: int) -> list[float]:
+    """Weights of a Gaussian of so many pixels, whose spread follows from the size."""
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    w = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
+    return [x / math.fsum(w) for x in w]
+
+
+def blurred_lines(px: DataFrame, line: str, along: str, value: str, size: int) -> DataFrame:
+    """Pixels with ``value`` blurred along the rows or the columns; the edge pixel is repeated beyond the border.
+
+    A line of an image is one array, so each value is a fold over its neighbours in place.
+    """
+    lines = px.groupBy("img", line).agg(F.array_sort(F.collect_list(F.struct(along, value, "v"))).alias("l"))
+    taps = F.lit(gaussian_taps(size))
+    at = lambda k: F.get("l", F.greatest(F.lit(0), F.least(F.size("l") - 1, k)))[value]
+    fold = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda a, d: a + F.get(taps, d) * at(k + d - size // 2))
+    made = F.transform("l", lambda x, k: F.struct(x[along].alias(along), x["v"].alias("v"), fold(k).alias(value)))
+    return lines.select("img", line, F.inline_outer(made))
+
+
+def adaptive_threshold(px: DataFrame, block: int = 35, less: int = 11) -> DataFrame:
+    """White where a pixel is above its Gaussian mean less a constant; the mean is a whole number, halves to even.
+
+    An even block grows by one, and one below 3 is 3.  Images may be of any size, rows of an image of one length.
+    """
+    size = max(3, block) + (max(3, block) + 1) % 2
+    across = blurred_lines(px.withColumn("m", F.col("v").cast("double")), "r", "c", "m", size)
+    both = blurred_lines(across, "c", "r", "m", size)
+    mean = F.bround(F.col("m")).cast("int")
+    return both.select("img", "r", "c", F.when(F.col("v") - mean > -less, 255).otherwise(0).alias("v"))
+
+
 # ---- array forms, for images of any size ----
 
 

@@ -628,10 +628,33 @@ pixel_query(
 )
 pixel_query("morph_open_8x8", morph_sql(("min", "max")), lambda px: raster.morph_open(px, 8))
 pixel_query("morph_close_8x8", morph_sql(("max", "min")), lambda px: raster.morph_close(px, 8))
-pixel_query("morph_gradient_8x8", None, lambda px: raster.morph_gradient(px, 8))
+pixel_query(
+    "morph_gradient_8x8",
+    f"WITH {PX_SQL}, {OTSU_SQL} SELECT a.img, a.r, a.c, max(b.v) - min(b.v) AS v FROM bin a JOIN bin b ON b.img = a.img AND abs(b.r - a.r) <= 2 AND abs(b.c - a.c) <= 2 GROUP BY ALL",
+    lambda px: raster.morph_gradient(px, 8),
+)
+
+
+def blur_sql(name: str, source: str, value: str, along: str) -> str:
+    """Pixels of ``source`` with the mean m of ``value`` along an axis, by the weights of 35 taps."""
+    other = "c" if along == "r" else "r"
+    return f"{name} AS (SELECT a.img, a.r, a.c, a.v, sum(w * b.{value}) AS m FROM {source} a, taps, {source} b WHERE b.img = a.img AND b.{other} = a.{other} AND b.{along} = greatest(0, least(7, a.{along} + d)) GROUP BY ALL)"
+
+
+TAPS_SQL = "raw AS (SELECT d, exp(-d * d / (2 * 5.6 * 5.6)) AS w FROM range(-17, 18) t(d)), taps AS (SELECT d, w / (SELECT sum(w) FROM raw) AS w FROM raw)"
+pixel_query(
+    "adaptive_threshold_8x8",
+    f"WITH {PX_SQL}, {TAPS_SQL}, {blur_sql('across', 'px', 'v', 'c')}, {blur_sql('both_ways', 'across', 'm', 'r')} SELECT img, r, c, CASE WHEN v - CAST(round_even(m, 0) AS INT) > -11 THEN 255 ELSE 0 END AS v FROM both_ways",
+    raster.adaptive_threshold,
+)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PX_SQL}, steps(img, t, n, done) AS (SELECT img, avg(v), 0, false FROM px GROUP BY img
+  UNION ALL SELECT img, coalesce((lo + hi) / 2, t), n + 1, abs(coalesce((lo + hi) / 2, t) - t) <= 0.1
+    FROM (SELECT s.img, s.t, s.n, avg(v) FILTER (v <= s.t) AS lo, avg(v) FILTER (v > s.t) AS hi FROM steps s JOIN px ON px.img = s.img WHERE NOT s.done AND s.n < 64 GROUP BY s.img, s.t, s.n))
+  SELECT img, max_by(t, n) AS t FROM steps GROUP BY img"""
+)
 def iterative_threshold_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.iterative_threshold(pixels(spark, sf_dir))
 

@@ -34,6 +34,15 @@ def test_array_and_relational_forms_agree(spark):
     assert (back(raster.morph_open(px, 8)) == raster.PROCESSORS["morph_open"](a)).all()
 
 
+def test_adaptive_threshold(spark):
+    a = np.random.default_rng(4).integers(0, 256, (13, 21), dtype=np.uint8)
+    px = spark.createDataFrame([(0, r, c, int(a[r, c])) for r in range(13) for c in range(21)], "img int, r int, c int, v int")
+    for block, less in ((35, 11), (4, 3), (1, 0)):
+        got = np.array([x.v for x in raster.adaptive_threshold(px, block, less).orderBy("r", "c").collect()]).reshape(13, 21)
+        assert (got == raster._adaptive(a, max(3, block), less)).all()
+    assert raster.adaptive_threshold(px.limit(0)).count() == 0
+
+
 def images(spark, n=2):
     return spark.createDataFrame([(str(k), 40, 60, 3, bytearray(image(seed=k).tobytes())) for k in range(n)], "doc_id string, height int, width int, n_channels int, data binary")
 
