@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as V
-from tallyleaf.operators import autolabel, detections, fusion, ocr_output, pages, recognise
+from tallyleaf.operators import autolabel, detections, fusion, ocr_output, pages, recognise, regions
 from tallyleaf.plans import render
-from tallyleaf.plans.catalogue import CROPS_SQL, POINTS_SQL, TOTAL_SQL, boxed_lines, cents_sql, crops, points, query
+from tallyleaf.plans.catalogue import CROPS_SQL, OTSU_SQL, POINTS_SQL, PX_SQL, TOTAL_SQL, boxed_lines, cents_sql, crops, pixels, points, query
 from tallyleaf.plans.render import BASE_SQL
 
 # ---- automatic labels ----
@@ -273,3 +273,22 @@ def ocr_output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ocr_output.read_output(lines.select("doc_id", payload.alias("payload")), "payload")
     whole = lambda c: F.col(c).cast("bigint").alias(c)
     return found.select("doc_id", whole("line_no"), "text", F.round(F.col("score") * 100).cast("bigint").alias("score"), *map(whole, ("x1", "y1", "x2", "y2")))
+
+
+# ---- regions of ink ----
+
+
+@query(
+    f"""WITH RECURSIVE {PX_SQL}, {OTSU_SQL}, ink AS (SELECT DISTINCT img, r, c + d AS c FROM bin, range(0, 2) t(d) WHERE v = 0 AND c + d < 8),
+  reach(img, r, c, label) AS (SELECT img, r, c, r * 8 + c FROM ink UNION SELECT i.img, i.r, i.c, label FROM reach p JOIN ink i ON i.img = p.img AND abs(i.r - p.r) <= 1 AND abs(i.c - p.c) <= 1),
+  part AS (SELECT img, r, c, min(label) AS label FROM reach GROUP BY ALL),
+  free AS (SELECT img, a.r, b.c FROM (SELECT DISTINCT img FROM px) p, range(-1, 9) a(r), range(-1, 9) b(c) WHERE NOT EXISTS (FROM ink i WHERE i.img = p.img AND i.r = a.r AND i.c = b.c)),
+  out(img, r, c) AS (SELECT img, -1, -1 FROM (SELECT DISTINCT img FROM px) UNION SELECT f.img, f.r, f.c FROM out o JOIN free f ON f.img = o.img AND abs(f.r - o.r) + abs(f.c - o.c) = 1),
+  boxed AS (SELECT img, label, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h FROM part GROUP BY ALL),
+  large AS (SELECT * FROM boxed b WHERE w * h > 2 AND w > 1 AND h > 1 AND EXISTS (FROM part p JOIN out o ON o.img = p.img AND abs(o.r - p.r) + abs(o.c - p.c) = 1 WHERE p.img = b.img AND p.label = b.label))
+  SELECT img, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, place FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY w * h DESC, y, x) - 1 AS place FROM large) WHERE place < 10"""
+)
+def text_regions_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of ink in small images, the ten largest of each."""
+    found = regions.largest(regions.text_regions(pixels(spark, sf_dir), kernel=(2, 1), times=1, area=2, wide=1, high=1))
+    return found.select("img", *[F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h", "place")])
