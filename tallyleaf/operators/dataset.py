@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as V
+from tallyleaf.operators.shared import kept
 
 # Question texts (with their misreadings) to classes.
 QUESTIONS = {
@@ -101,8 +102,12 @@ def split_by_place(df: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``place`` (from 0) in the order of a key that is unique."""
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    """Adds ``place`` (from 0) in the order of a key that is unique.
+
+    Which range a row falls in rests on a sample, so it is written down once,
+    before rows are counted by range and numbered.
+    """
+    ranged = kept(df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p").orderBy(key)
     inside = ranged.withColumn("_k", F.row_number().over(w))
     sizes = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"), F.min(key).alias("_low"))

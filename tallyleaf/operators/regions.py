@@ -7,28 +7,17 @@ a join on the row, and components follow from their links.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyleaf.operators import raster
+from tallyleaf.operators.shared import kept
 
 RUN = ("img", "r", "lo", "hi")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage, in spark.checkpoint.dir; where that is unset, a temporary folder in local mode."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyleaf-"))
-    return df.checkpoint()
-
-
 def merged(runs: DataFrame, gap: int = 1) -> DataFrame:
     """Runs (img, r, lo, hi) of a row that overlap, or lie less than ``gap`` + 1 apart, as one."""
     w = Window.partitionBy("img", "r").orderBy("lo", "hi")

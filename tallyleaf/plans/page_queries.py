@@ -190,6 +190,18 @@ def crop_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", F.col("x.det_no").cast("bigint").alias("det_no"), F.col("place").cast("bigint").alias("place"))
 
 
+@query(
+    f"""WITH {CROPS_SQL}, {RESOLVE_SQL}, named AS (SELECT doc_id, field, cents, 0 AS part, 0 AS y1, 0 AS x1, 0.0 AS sure, det_no FROM picked
+    UNION ALL SELECT c.doc_id, c.field, c.cents, 1, c.y1, c.x1, -c.confidence, c.det_no FROM crops c ANTI JOIN picked p ON c.doc_id = p.doc_id AND c.det_no = p.det_no)
+  SELECT doc_id, string_agg(CASE field WHEN 'amount' THEN '金额' WHEN 'tax' THEN '税额' ELSE '价税合计' END || ':' || {cents_sql("cents")}, chr(10)
+    ORDER BY part, y1, x1, sure, CASE WHEN part = 0 THEN CASE field WHEN 'amount' THEN 0 WHEN 'tax' THEN 1 ELSE 2 END ELSE det_no END) AS text FROM named GROUP BY doc_id"""
+)
+def detected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parser reads of a page's crops: chosen ones by field, then the others from top to bottom."""
+    found = detections.resolve_pages(detections.crop_pages(crops(spark, sf_dir)), 1000.0)
+    return found.select("doc_id", detections.detected_text(F.col("resolved")).alias("text"))
+
+
 #: What a detector's crops of a whole invoice say: every field, the buyer's id even where the text has none.
 SEEN_SQL = f"""SELECT k AS doc_id, CASE WHEN r = 1 THEN '增值税专用发票' ELSE '增值税普通发票' END AS invoice_type, invoice_code, invoice_no, invoice_date, buyer_name, buyer_tax_id, seller_name, seller_tax_id,
   {cents_sql("total_c")} AS total, {cents_sql("amount_c")} AS amount, {cents_sql("tax_c")} AS tax, lpad(invoice_no, 20, '7') AS checksum, drawer FROM base"""
