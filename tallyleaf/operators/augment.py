@@ -67,7 +67,7 @@ def prepare(a: np.ndarray) -> np.ndarray:
     g = raster.to_gray(a)
     side = max(g.shape)
     scale = min(2.0 if side < 1800 else 1.0, 2600 / side)
-    g = raster.clahe(g if scale == 1 else resize(g, scale))
+    g = raster.tiled(g if scale == 1 else resize(g, scale))
     return np.stack([g] * 3, axis=2)
 
 
@@ -79,7 +79,7 @@ def variants(images: DataFrame) -> DataFrame:
             rows = []
             for _, r in pdf.iterrows():
                 g = raster.to_gray(image_of(r))
-                c = raster.clahe(g)
+                c = raster.tiled(g)
                 made = [("gray", g), *([("upscaled", resize(g, 2.0))] if max(g.shape) < 1800 else []), ("clahe", c), ("clahe_otsu", raster.binary(c)), ("adaptive", raster.PROCESSORS["adaptive"](c))]
                 rows += [(str(r["doc_id"]), k, n, *x.shape, 1, x.tobytes()) for k, (n, x) in enumerate(made)]
             yield pd.DataFrame(rows, columns=["doc_id", "variant_no", "variant", "height", "width", "n_channels", "data"])

@@ -177,6 +177,47 @@ def adaptive_threshold(px: DataFrame, block: int = 35, less: int = 11) -> DataFr
     return both.select("img", "r", "c", F.when(F.col("v") - mean > -less, 255).otherwise(0).alias("v"))
 
 
+def tile_tables(px: DataFrame, size: DataFrame, clip: float) -> DataFrame:
+    """(img, ti, tj, v, to): for each tile what its cut histogram makes of every value.
+
+    Counts above the limit are dealt out again: an equal share to each value,
+    the rest one by one at even steps.  An image that tiles don't divide is
+    continued by its mirror image, as is one that they divide one way only.
+    """
+    again = lambda c, n, full: F.explode(F.filter(F.array_distinct(F.array(F.col(c), 2 * (F.col(n) - 1) - F.col(c))), lambda x: (x == F.col(c)) | ((x >= F.col(n)) & (x < F.col(full)))))
+    shown = px.join(size, "img").withColumn("rr", again("r", "h", "fh")).withColumn("cc", again("c", "w", "fw"))
+    tile = ("img", "ti", "tj", "th", "tw")
+    counts = shown.withColumns({"ti": F.expr("rr div th").cast("int"), "tj": F.expr("cc div tw").cast("int")}).groupBy(*tile, "v").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.greatest(F.lit(1), F.floor(clip * F.col("th") * F.col("tw") / 256)).cast("bigint")
+    held = counts.withColumn("limit", limit).groupBy(*tile, "limit").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("by"), F.sum(F.greatest(F.lit(0), F.col("n") - F.col("limit"))).alias("over"))
+    every = held.select(*tile, "limit", "by", "over", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
+    rest = F.expr("over % 256")
+    step = F.greatest(F.lit(1), F.expr("256 div greatest(over % 256, 1)"))
+    extra = F.when((F.col("v") % step == 0) & (F.floor(F.col("v") / step) < rest), 1).otherwise(0)
+    n = F.least(F.coalesce(F.try_element_at("by", F.col("v")), F.lit(0)), F.col("limit")) + F.expr("over div 256") + extra
+    upto = F.sum("n").over(Window.partitionBy("img", "ti", "tj").orderBy("v"))
+    to = F.least(F.lit(255), F.bround(upto * 255 / (F.col("th") * F.col("tw"))).cast("int"))
+    return every.withColumn("n", n).select("img", "ti", "tj", "v", to.alias("to"))
+
+
+def clahe(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
+    """Contrast evened out tile by tile; a pixel mixes what the four tiles around it make of its value."""
+    size = px.groupBy("img").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    whole = (F.col("h") % tiles == 0) & (F.col("w") % tiles == 0)
+    full = lambda n: F.when(whole, F.col(n)).otherwise(F.col(n) + tiles - F.col(n) % tiles)
+    size = size.withColumns({"fh": full("h"), "fw": full("w")}).withColumns({"th": F.expr(f"fh div {tiles}"), "tw": F.expr(f"fw div {tiles}")})
+    table = tile_tables(px, size, clip)
+    own = px.join(size.select("img", "th", "tw"), "img").withColumns({"y": F.col("r") / F.col("th") - 0.5, "x": F.col("c") / F.col("tw") - 0.5})
+    own = own.withColumns({"fy": F.col("y") - F.floor("y"), "fx": F.col("x") - F.floor("x")})
+    within = lambda t: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), t)).cast("int")
+    weight = lambda d, f: F.col(f) if d else 1 - F.col(f)
+    four = [F.struct(within(F.floor("y") + d).alias("ti"), within(F.floor("x") + e).alias("tj"), (weight(d, "fy") * weight(e, "fx")).alias("share")) for d in (0, 1) for e in (0, 1)]
+    parts = own.select("img", "r", "c", "v", F.inline(F.array(*four)))
+    mixed = parts.join(table, ["img", "ti", "tj", "v"]).groupBy("img", "r", "c").agg(F.sum(F.col("share") * F.col("to")).alias("m"))
+    # sums of four shares differ in their last bits by the order in which rows come
+    return mixed.select("img", "r", "c", F.bround(F.round("m", 6)).cast("int").alias("v"))
+
+
 # ---- array forms, for images of any size ----
 
 
@@ -230,7 +271,7 @@ def binary(g: np.ndarray) -> np.ndarray:
     return np.where(g > otsu_level(g), 255, 0).astype(np.uint8)
 
 
-def clahe(g: np.ndarray, clip_limit: float = 2.0, tiles: int = 8) -> np.ndarray:
+def tiled(g: np.ndarray, clip_limit: float = 2.0, tiles: int = 8) -> np.ndarray:
     """Equalisation in tiles with a cut histogram, blended between tiles."""
     h, w = g.shape
     th, tw = -(-h // tiles), -(-w // tiles)
@@ -323,7 +364,7 @@ def _sobel(g: np.ndarray) -> np.ndarray:
 
 
 def _auto(g: np.ndarray) -> np.ndarray:
-    return binary(cut(convolve(clahe(pick(g, 3, np.median, "edge")), LAPLACIAN)))
+    return binary(cut(convolve(tiled(pick(g, 3, np.median, "edge")), LAPLACIAN)))
 
 
 def order_points(points: np.ndarray) -> np.ndarray:
@@ -425,7 +466,7 @@ PROCESSORS: dict[str, Callable[..., np.ndarray]] = {
     "otsu": _gray(binary),
     "iter_threshold": _gray(lambda g, tolerance=0.1: np.where(g > _mean_level(g, float(tolerance)), 255, 0).astype(np.uint8)),
     "adaptive": _gray(_adaptive),
-    "enhance": _gray(lambda g, clip_limit=2.0: clahe(g, float(clip_limit))),
+    "enhance": _gray(lambda g, clip_limit=2.0: tiled(g, float(clip_limit))),
     "edges": _gray(lambda g, low=60, high=180: _edges(g, float(low), float(high))),
     "sobel": _gray(_sobel),
     "laplacian": _gray(lambda g: cut(convolve(g, LAPLACIAN))),

@@ -640,6 +640,18 @@ pixel_query(
 )
 
 
+#: Tiles of 4 by 4 pixels, at most two of a value.
+CLAHE_SQL = """counts AS (SELECT img, r // 4 AS ti, c // 4 AS tj, v, count(*) AS n FROM px GROUP BY ALL), over AS (SELECT img, ti, tj, CAST(sum(greatest(0, n - 2)) AS BIGINT) AS o FROM counts GROUP BY ALL),
+  spread AS (SELECT img, ti, tj, o, CAST(x AS INT) AS v, greatest(1, 256 // greatest(1, o % 256)) AS step FROM over, range(256) t(x)),
+  dealt AS (SELECT s.img, s.ti, s.tj, s.v, least(coalesce(k.n, 0), 2) + o // 256 + CASE WHEN s.v % step = 0 AND s.v // step < o % 256 THEN 1 ELSE 0 END AS n
+    FROM spread s LEFT JOIN counts k ON k.img = s.img AND k.ti = s.ti AND k.tj = s.tj AND k.v = s.v),
+  tables AS (SELECT img, ti, tj, v, least(255, round_even(sum(n) OVER (PARTITION BY img, ti, tj ORDER BY v) * 255 / 16.0, 0)) AS target FROM dealt),
+  places AS (SELECT *, floor(r / 4.0 - 0.5) AS y0, floor(c / 4.0 - 0.5) AS x0, r / 4.0 - 0.5 - floor(r / 4.0 - 0.5) AS fy, c / 4.0 - 0.5 - floor(c / 4.0 - 0.5) AS fx FROM px),
+  mixed AS (SELECT p.img, p.r, p.c, sum(CASE WHEN d = 1 THEN fy ELSE 1 - fy END * CASE WHEN e = 1 THEN fx ELSE 1 - fx END * target) AS m
+    FROM places p, range(2) a(d), range(2) b(e), tables t WHERE t.img = p.img AND t.v = p.v AND t.ti = greatest(0, least(1, y0 + d)) AND t.tj = greatest(0, least(1, x0 + e)) GROUP BY ALL)"""
+pixel_query("clahe_8x8", f"WITH {PX_SQL}, {CLAHE_SQL} SELECT img, r, c, CAST(round_even(round(CAST(m AS DOUBLE), 6), 0) AS INT) AS v FROM mixed", lambda px: raster.clahe(px, 40.0, 2))
+
+
 @query(
     f"""WITH RECURSIVE {PX_SQL}, steps(img, t, n, done) AS (SELECT img, avg(v), 0, false FROM px GROUP BY img
   UNION ALL SELECT img, coalesce((lo + hi) / 2, t), n + 1, abs(coalesce((lo + hi) / 2, t) - t) <= 0.1

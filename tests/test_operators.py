@@ -1,6 +1,7 @@
 """Raster array forms, engines, sources, sinks, dataset helpers, streaming."""
 
 import io
+import math
 import struct
 import zipfile
 
@@ -43,6 +44,45 @@ def test_adaptive_threshold(spark):
     assert raster.adaptive_threshold(px.limit(0)).count() == 0
 
 
+def clahe(a, clip, tiles):
+    """Pixel by pixel, as the docstring of the relational form says."""
+    (h, w), whole = a.shape, a.shape[0] % tiles == 0 and a.shape[1] % tiles == 0
+    fh, fw = (n if whole else n + tiles - n % tiles for n in (h, w))
+    at = lambda k, n: k if k < n else 2 * (n - 1) - k
+    th, tw = fh // tiles, fw // tiles
+    limit, table = max(1, int(clip * th * tw / 256)), {}
+    for i in range(tiles):
+        for j in range(tiles):
+            n = [0] * 256
+            for r in range(i * th, (i + 1) * th):
+                for c in range(j * tw, (j + 1) * tw):
+                    n[a[at(r, h), at(c, w)]] += 1
+            over = sum(max(0, x - limit) for x in n)
+            n = [min(x, limit) + over // 256 for x in n]
+            left, k = over % 256, 0
+            step = max(1, 256 // max(1, left))
+            while k < 256 and left:
+                n[k], left, k = n[k] + 1, left - 1, k + step
+            table[i, j] = [min(255, round(x * 255 / (th * tw))) for x in np.cumsum(n).tolist()]
+    out = np.zeros_like(a)
+    for r in range(h):
+        for c in range(w):
+            y, x = r / th - 0.5, c / tw - 0.5
+            i, j = math.floor(y), math.floor(x)
+            to = lambda i, j: table[min(max(i, 0), tiles - 1), min(max(j, 0), tiles - 1)][a[r, c]]  # noqa: B023, E731
+            fy, fx = y - i, x - j
+            out[r, c] = round(round((1 - fy) * ((1 - fx) * to(i, j) + fx * to(i, j + 1)) + fy * ((1 - fx) * to(i + 1, j) + fx * to(i + 1, j + 1)), 6))
+    return out
+
+
+@pytest.mark.parametrize(("h", "w", "clip", "tiles"), [(16, 24, 2.0, 8), (13, 22, 40.0, 4), (9, 8, 900.0, 2)])
+def test_clahe(spark, h, w, clip, tiles):
+    a = np.random.default_rng(h).integers(0, 256, (h, w), dtype=np.uint8) // 9 * 9
+    px = spark.createDataFrame([(0, r, c, int(a[r, c])) for r in range(h) for c in range(w)], "img int, r int, c int, v int")
+    got = np.array([x.v for x in raster.clahe(px, clip, tiles).orderBy("r", "c").collect()]).reshape(h, w)
+    assert (got == clahe(a, clip, tiles)).all()
+
+
 def images(spark, n=2):
     return spark.createDataFrame([(str(k), 40, 60, 3, bytearray(image(seed=k).tobytes())) for k in range(n)], "doc_id string, height int, width int, n_channels int, data binary")
 
