@@ -46,7 +46,9 @@ def clipped_line(class_id: Column, x1: Column, y1: Column, x2: Column, y2: Colum
 
 def box_of(points: Column) -> list[Column]:
     """x1, y1, x2, y2 around a polygon."""
-    xs, ys = (F.transform(points, lambda p, k=k: F.get(p, F.lit(k))) for k in (0, 1))
+    # a second parameter of the lambda would be the point's number
+    side = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
+    xs, ys = side(0), side(1)
     return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
 
 
@@ -83,7 +85,10 @@ def linked_pairs(nodes: DataFrame) -> DataFrame:
 def convert(nodes: DataFrame, width: Column, height: Column) -> DataFrame:
     """(image, class, text, line): the first answer of each class as a label line."""
     table = F.create_map(*[F.lit(x) for pair in QUESTIONS.items() for x in pair])
-    pairs = linked_pairs(nodes).withColumn("class", F.try_element_at(table, F.trim("question.transcription"))).where("class is not null")
+    size = [c for c in ("width", "height") if c in nodes.columns]
+    pairs = linked_pairs(nodes)
+    pairs = pairs.join(nodes.select("image", *size), "image") if size else pairs
+    pairs = pairs.withColumn("class", F.try_element_at(table, F.trim("question.transcription"))).where("class is not null")
     w = Window.partitionBy("image", "class").orderBy("node_no", "link_no")
     one = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     cls = F.array_position(F.array(*map(F.lit, V.CLASSES)), F.col("class")).cast("int") - 1

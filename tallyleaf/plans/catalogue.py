@@ -449,7 +449,8 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice_date' ELSE 'total' END AS class, CAST(o_custkey AS VARCHAR) AS text FROM orders"""
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice_date' ELSE 'total' END AS class, CAST(o_custkey AS VARCHAR) AS text,
+  CASE WHEN o_orderkey % 2 = 0 THEN '3' ELSE '11' END || ' 0.043750 0.033333 0.062500 0.033333' AS line FROM orders"""
 )
 def kie_link_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
@@ -462,7 +463,7 @@ def kie_link_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = node(3, F.lit("other"), "header", no_links)
     lines = o.select(F.concat(k.cast("string"), F.lit("\t"), F.to_json(F.array(q, a, h))).alias("value"))
     out = dataset.convert(dataset.parse_annotations(lines), F.lit(800.0), F.lit(600.0))
-    return out.select(F.col("image").cast("bigint").alias("doc_id"), "class", "text")
+    return out.select(F.col("image").cast("bigint").alias("doc_id"), "class", "text", "line")
 
 
 @query("""SELECT p_partkey AS doc_id, CAST(p_partkey % 13 AS BIGINT) AS cls, CAST(p_size AS BIGINT) AS x1, CAST(p_size + 40 AS BIGINT) AS x2 FROM part""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as V
-from tallyleaf.operators import autolabel, detections, fusion, ocr_output, pages, recognise, regions
+from tallyleaf.operators import autolabel, detections, fusion, labelling, ocr_output, pages, recognise, regions
 from tallyleaf.plans import render
 from tallyleaf.plans.catalogue import CROPS_SQL, OTSU_SQL, POINTS_SQL, PX_SQL, TOTAL_SQL, boxed_lines, cents_sql, crops, pixels, points, query
 from tallyleaf.plans.render import BASE_SQL
@@ -304,3 +304,65 @@ def text_regions_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of ink in small images, the ten largest of each."""
     found = regions.largest(regions.text_regions(pixels(spark, sf_dir), kernel=(2, 1), times=1, area=2, wide=1, high=1))
     return found.select("img", *[F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h", "place")])
+
+
+# ---- labelled datasets ----
+
+CLASS_SQL = "[" + ", ".join(f"'{c}'" for c in V.CLASSES) + "]"
+FOUND_SQL = f"""files AS (SELECT p_partkey AS image, p_partkey % 7 <> 0 AS readable, CASE WHEN row_number() OVER (ORDER BY p_partkey) - 1 >= floor((SELECT count(*) FROM part) * 0.8) THEN 'val' ELSE 'train' END AS split FROM part),
+  boxes AS (SELECT l_partkey AS image, l_orderkey, l_linenumber, l_suppkey % 15 AS cls, l_quantity * 10 AS x1, l_quantity * 10 + round(l_discount * 100) * 20 - 60 AS x2, CAST(l_linenumber * 50 AS DOUBLE) AS y1, l_tax FROM lineitem),
+  good AS (SELECT *, least(799, greatest(0, x1)) AS a, least(799, greatest(0, x2)) AS b FROM boxes WHERE cls < 13 AND x2 > x1),
+  told AS (SELECT image, count(*) AS detections, list_sort(list_distinct(list({CLASS_SQL}[cls + 1]))) AS classes,
+    string_agg(printf('%d %.6f %.6f %.6f %.6f', cls, (a + b) / 2 / 800, (y1 + y1 + 20) / 2 / 500, (b - a) / 800, 20 / 500.0) || chr(10), '' ORDER BY l_orderkey, l_linenumber, cls, x1, x2) AS label FROM good GROUP BY image)"""
+
+
+def found_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as images, some of which can't be read, and line items as what a detector found on them."""
+    images = render.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), *[F.when(F.col("p_partkey") % 7 != 0, n).alias(c) for c, n in (("width", 800), ("height", 500))])
+    x1, wide = F.col("l_quantity") * 10, F.round(F.col("l_discount") * 100) * 20 - 60
+    y1 = (F.col("l_linenumber") * 50).cast("double")
+    boxes = render.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("image"),
+        F.struct("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 15).cast("int").alias("cls"), x1.alias("x1"), (x1 + wide).alias("x2")).alias("det_no"),
+        (F.col("l_suppkey") % 15).cast("int").alias("class_id"),
+        F.lit(0.5).alias("confidence"),
+        x1.alias("x1"),
+        y1.alias("y1"),
+        (x1 + wide).alias("x2"),
+        (y1 + 20).alias("y2"),
+    )
+    return images, boxes
+
+
+@query(
+    f"""WITH {FOUND_SQL} SELECT image, split, CASE WHEN NOT readable THEN 'image can''t be read' END AS error, CASE WHEN readable THEN CAST(coalesce(detections, 0) AS BIGINT) END AS detections,
+  CASE WHEN readable THEN coalesce(array_to_string(classes, ','), '') END AS classes, CASE WHEN readable THEN coalesce(label, '') END AS label FROM files LEFT JOIN told USING (image)"""
+)
+def detected_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files from a detector's boxes, with the split of each image."""
+    out = labelling.detected_labels(*found_boxes(spark, sf_dir))
+    return out.select("image", "split", "error", F.col("detections").cast("bigint").alias("detections"), F.array_join("classes", ",").alias("classes"), "label")
+
+
+@query(
+    f"""WITH {FOUND_SQL}, every AS (SELECT split, CASE WHEN readable THEN detections END AS detections, CASE WHEN readable THEN classes END AS classes FROM files LEFT JOIN told USING (image)),
+  sums AS (SELECT count(*) AS images, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, CAST(coalesce(sum(detections), 0) AS BIGINT) AS boxes FROM every)
+  SELECT sums.*, class, (SELECT count(*) FROM every WHERE list_contains(classes, class)) AS n FROM sums, (SELECT unnest({CLASS_SQL}) AS class)"""
+)
+def label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images by split and by class, and boxes, of a labelled dataset."""
+    one = labelling.report(labelling.detected_labels(*found_boxes(spark, sf_dir)))
+    return one.select("images", "train", "val", "boxes", F.explode("class_counts").alias("class", "n"))
+
+
+@query(
+    """SELECT 's/' || p_partkey AS source, 'images/' || CASE WHEN p_size % 5 = 0 THEN 'val' ELSE 'train' END || '/' || p_brand || '/' || p_partkey || '.v1.jpg' AS image,
+  'labels/' || CASE WHEN p_size % 5 = 0 THEN 'val' ELSE 'train' END || '/' || p_partkey || '.v1.txt' AS label_file, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END AS label FROM part"""
+)
+def original_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the originals of a dataset and their labels go."""
+    p = render.table(spark, sf_dir, "part").withColumn("split", F.when(F.col("p_size") % 5 == 0, "val").otherwise("train"))
+    k = F.col("p_partkey").cast("string")
+    images = p.select("split", F.concat("p_brand", F.lit("/"), k, F.lit(".v1.jpg")).alias("path"), F.concat(F.lit("s/"), k).alias("source"))
+    labels = p.where("p_partkey % 3 = 0").select("split", F.concat(k, F.lit(".v1")).alias("stem"), F.col("p_name").alias("text"))
+    return labelling.originals(images, labels)
