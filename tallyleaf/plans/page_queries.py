@@ -263,11 +263,11 @@ def recognise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {POINTS_SQL} SELECT doc_id, line_no, text, CAST(CASE WHEN bare THEN 0 ELSE (90 + doc_id % 10) * 100 END AS BIGINT) AS score,
-    {", ".join(f"CASE WHEN NOT bare THEN CAST({c} AS BIGINT) END AS {c}" for c in ("x1", "y1", "x2", "y2"))}
+    {", ".join(f"CASE WHEN bare THEN -1 ELSE CAST({c} AS BIGINT) END AS {c}" for c in ("x1", "y1", "x2", "y2"))}
   FROM (SELECT *, CASE WHEN flag = 'R' THEN '税额 ' ELSE '' END || {cents_sql("cents")} AS text, doc_id % 4 = 3 AND line_no = 0 AS bare FROM p)"""
 )
 def ocr_output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines from the output of four engines: one dictionary, a list of pages, lists of items in a list, and items of strings."""
+    """Lines from the output of four engines: one dictionary, a list of pages, lists of items in a list, and items of strings; -1 stands for no box."""
     lines = pages.collected(points(spark, sf_dir), ("line_no", "text", "score", "x1", "y1", "x2", "y2"), "l")
     each = lambda f, a="l": F.transform(a, f)
     corners = lambda x: F.array(F.array(x["x1"], x["y1"]), F.array(x["x2"], x["y1"]), F.array(x["x2"], x["y2"]), F.array(x["x1"], x["y2"]))
@@ -283,7 +283,7 @@ def ocr_output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = listed(F.transform("l", lambda x, k: F.when(k == 0, F.concat(F.lit("[[],["), text(x), F.lit("]]"))).otherwise(F.concat(F.lit("["), F.to_json(box(x)), F.lit(",["), text(x), F.lit(',"'), share(x).cast("string"), F.lit('"]]')))))
     payload = F.get(F.array(one, several, F.concat(F.lit("["), items, F.lit("]")), words), (F.col("doc_id") % 4).cast("int"))
     found = ocr_output.read_output(lines.select("doc_id", payload.alias("payload")), "payload")
-    whole = lambda c: F.col(c).cast("bigint").alias(c)
+    whole = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c)
     return found.select("doc_id", whole("line_no"), "text", F.round(F.col("score") * 100).cast("bigint").alias("score"), *map(whole, ("x1", "y1", "x2", "y2")))
 
 
@@ -335,13 +335,13 @@ def found_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 @query(
-    f"""WITH {FOUND_SQL} SELECT image, split, CASE WHEN NOT readable THEN 'image can''t be read' END AS error, CASE WHEN readable THEN CAST(coalesce(detections, 0) AS BIGINT) END AS detections,
+    f"""WITH {FOUND_SQL} SELECT image, split, CASE WHEN NOT readable THEN 'image can''t be read' END AS error, CASE WHEN readable THEN CAST(coalesce(detections, 0) AS BIGINT) ELSE -1 END AS detections,
   CASE WHEN readable THEN coalesce(array_to_string(classes, ','), '') END AS classes, CASE WHEN readable THEN coalesce(label, '') END AS label FROM files LEFT JOIN told USING (image)"""
 )
 def detected_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label files from a detector's boxes, with the split of each image."""
     out = labelling.detected_labels(*found_boxes(spark, sf_dir))
-    return out.select("image", "split", "error", F.col("detections").cast("bigint").alias("detections"), F.array_join("classes", ",").alias("classes"), "label")
+    return out.select("image", "split", "error", F.coalesce(F.col("detections").cast("bigint"), F.lit(-1)).alias("detections"), F.array_join("classes", ",").alias("classes"), "label")
 
 
 @query(
