@@ -58,14 +58,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts are plain with n 0, equal rows give equal rows."""
     return fill_middle.digest(documents(spark, sf_dir))
 
 
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; texts of fewer than 20 words (null: none) lose nothing, equal rows are one document."""
     return substring_dedup.digest(documents(spark, sf_dir))
 
 
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; without words n_features and weight are 0, ties of the score go to the smaller doc_id."""
     return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
