@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyleaf.functions import extract as X
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
-from tallyleaf.operators import autolabel, dataset, detections, engines, fusion, layout, raster, validate
+from tallyleaf.operators import autolabel, dataset, detections, edges, engines, fusion, layout, raster, validate
 from tallyleaf.plans import render
 from tallyleaf.plans.render import BASE_SQL, MONEY_SQL, table
 
@@ -663,6 +663,45 @@ def iterative_threshold_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.iterative_threshold(pixels(spark, sf_dir))
 
 
+#: Blurred by fives (in 1/256), gradients with the edge repeated, and pixels that are largest across the edge.
+BLUR_SQL = """five(d, w) AS (VALUES (-2, 16), (-1, 64), (0, 96), (1, 64), (2, 16)),
+  blurred AS (SELECT a.img, a.r, a.c, CAST((sum(x.w * y.w * b.v) + 32768) // 65536 AS INT) AS v FROM px a, five y, five x, px b WHERE b.img = a.img
+    AND b.r = CASE WHEN a.r + y.d < 0 THEN -a.r - y.d WHEN a.r + y.d > 7 THEN 14 - a.r - y.d ELSE a.r + y.d END AND b.c = CASE WHEN a.c + x.d < 0 THEN -a.c - x.d WHEN a.c + x.d > 7 THEN 14 - a.c - x.d ELSE a.c + x.d END GROUP BY ALL)"""
+EDGES_SQL = """slopes AS (SELECT a.img, a.r, a.c, CAST(sum(dc * (2 - abs(dr)) * b.v) AS BIGINT) AS gx, CAST(sum(dr * (2 - abs(dc)) * b.v) AS BIGINT) AS gy
+    FROM blurred a, range(-1, 2) t1(dr), range(-1, 2) t2(dc), blurred b WHERE b.img = a.img AND b.r = greatest(0, least(7, a.r + dr)) AND b.c = greatest(0, least(7, a.c + dc)) GROUP BY ALL),
+  steep AS (SELECT *, abs(gx) + abs(gy) AS m, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN 0 WHEN abs(gy) * 32768 > abs(gx) * 79109 THEN 1 WHEN (gx < 0) = (gy < 0) THEN 2 ELSE 3 END AS way FROM slopes),
+  sides(way, r1, c1, r2, c2) AS (VALUES (0, 0, -1, 0, 1), (1, -1, 0, 1, 0), (2, -1, -1, 1, 1), (3, -1, 1, 1, -1)),
+  thin AS (SELECT a.img, a.r, a.c, a.m FROM steep a JOIN sides s USING (way) LEFT JOIN steep p ON p.img = a.img AND p.r = a.r + r1 AND p.c = a.c + c1 LEFT JOIN steep q ON q.img = a.img AND q.r = a.r + r2 AND q.c = a.c + c2
+    WHERE a.m > 60 AND a.m > coalesce(p.m, 0) AND (a.m > coalesce(q.m, 0) OR (way < 2 AND a.m = coalesce(q.m, 0)))),
+  edge(img, r, c) AS (SELECT img, r, c FROM thin WHERE m > 180 UNION SELECT t.img, t.r, t.c FROM edge e JOIN thin t ON t.img = e.img AND abs(t.r - e.r) <= 1 AND abs(t.c - e.c) <= 1)"""
+pixel_query("gaussian_8x8", f"WITH {PX_SQL}, {BLUR_SQL} SELECT img, r, c, v FROM blurred", edges.gaussian)
+pixel_query("edges_8x8", f"WITH RECURSIVE {PX_SQL}, {BLUR_SQL}, {EDGES_SQL} SELECT px.img, px.r, px.c, CASE WHEN e.img IS NULL THEN 0 ELSE 255 END AS v FROM px LEFT JOIN edge e ON e.img = px.img AND e.r = px.r AND e.c = px.c", edges.edges)
+
+#: Sides of the hull are pairs of points with all others to one side.
+SKEW_SQL = (
+    OTSU_SQL
+    + """, ends AS (SELECT img, r, min(c) AS c FROM bin WHERE v = 0 GROUP BY ALL UNION SELECT img, r, max(c) FROM bin WHERE v = 0 GROUP BY ALL),
+  hull AS (SELECT p.img, q.r - p.r AS dr, q.c - p.c AS dc, max(s.r * (q.r - p.r) + s.c * (q.c - p.c)) - min(s.r * (q.r - p.r) + s.c * (q.c - p.c)) AS along, max(s.r * (q.c - p.c) - s.c * (q.r - p.r)) - min(s.r * (q.c - p.c) - s.c * (q.r - p.r)) AS across
+    FROM ends p JOIN ends q ON q.img = p.img AND (q.r <> p.r OR q.c <> p.c) JOIN ends s ON s.img = p.img GROUP BY p.img, p.r, p.c, q.r, q.c HAVING min((q.r - p.r) * (s.c - p.c) - (q.c - p.c) * (s.r - p.r)) >= 0),
+  slopes AS (SELECT img, CAST(along AS DOUBLE) * across / (dr * dr + dc * dc) AS area, CASE WHEN abs(dr) > abs(dc) THEN -dc / dr WHEN abs(dr) < abs(dc) THEN dr / dc ELSE 1.0 END AS slope FROM hull),
+  level AS (SELECT img, slope FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY area, abs(slope), slope) AS n FROM slopes) WHERE n = 1),
+  dark AS (SELECT img, count(*) FILTER (v = 0) AS points FROM bin GROUP BY img),
+  skew AS (SELECT img, points, CASE WHEN points >= 10 THEN round(degrees(atan(slope)), 9) + 0.0 ELSE 0.0 END AS angle FROM dark LEFT JOIN level USING (img))"""
+)
+TURN_SQL = """spot AS (SELECT px.img, r, c, floor(round((cos(radians(angle)) * (c - 4) - sin(radians(angle)) * (r - 4) + 4) * 32, 6) + 0.5) / 32 AS sx, floor(round((sin(radians(angle)) * (c - 4) + cos(radians(angle)) * (r - 4) + 4) * 32, 6) + 0.5) / 32 AS sy FROM px JOIN skew ON skew.img = px.img),
+  far AS (SELECT img, r, c, floor(sy) + d AS y, floor(sx) + e AS x, abs(sy - floor(sy) - d) AS fy, abs(sx - floor(sx) - e) AS fx FROM spot, range(-1, 3) a(d), range(-1, 3) b(e)),
+  taps AS (SELECT img, r, c, greatest(0, least(7, y)) AS y, greatest(0, least(7, x)) AS x,
+    CASE WHEN fy <= 1 THEN (1.25 * fy - 2.25) * fy * fy + 1 WHEN fy < 2 THEN ((-0.75 * fy + 3.75) * fy - 6) * fy + 3 ELSE 0 END * CASE WHEN fx <= 1 THEN (1.25 * fx - 2.25) * fx * fx + 1 WHEN fx < 2 THEN ((-0.75 * fx + 3.75) * fx - 6) * fx + 3 ELSE 0 END AS w FROM far),
+  turned AS (SELECT t.img, t.r, t.c, sum(w * px.v) AS m FROM taps t JOIN px ON px.img = t.img AND px.r = t.y AND px.c = t.x GROUP BY ALL)"""
+pixel_query("deskew_8x8", f"WITH {PX_SQL}, {SKEW_SQL}, {TURN_SQL} SELECT img, r, c, CAST(greatest(0, least(255, round_even(round(CAST(m AS DOUBLE), 6), 0))) AS INT) AS v FROM turned", edges.deskew)
+
+
+@query(f"WITH {PX_SQL}, {SKEW_SQL} SELECT img, points, angle FROM skew")
+def skew_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle of the smallest rectangle around the ink of each small image."""
+    return edges.skew(pixels(spark, sf_dir))
+
+
 def registered() -> None:
     """Queries over whole pages are in a module of their own, which registers them here."""
     from tallyleaf.plans import page_queries  # noqa: F401
