@@ -181,27 +181,53 @@ def cubic(far: Column) -> Column:
     return F.when(t <= 1, near).when(t < 2, ((CUBIC * t - 5 * CUBIC) * t + 8 * CUBIC) * t - 4 * CUBIC).otherwise(0.0)
 
 
+def linear(far: Column) -> Column:
+    """Weight of a pixel at a distance up to 1."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(far))
+
+
+def at_32nds(place: Column) -> Column:
+    """Places as whole 1/32 pixels, halves up; far ones are cut off well outside of any image."""
+    return F.floor(F.round(F.greatest(F.lit(-1e7), F.least(F.lit(1e7), place)) * 32, 6) + 0.5) / 32
+
+
+def sampled(px: DataFrame, places: DataFrame, taps: range, weight: Callable[[Column], Column], zero: bool) -> DataFrame:
+    """(img, r, c, m): weighted sums of the pixels around (sx, sy) of places (img, r, c, sx, sy).
+
+    Beyond its border an image is zero, or goes on with its edge.  A target
+    pixel meets each row it needs as an array, not its pixels one by one.
+    """
+    rows = F.transform(F.sequence(F.lit(taps[0]), F.lit(taps[-1])), lambda d: F.floor("sy") + d)
+    some = places.select("*", F.explode(rows).alias("at"))
+    if zero:
+        some = some.withColumn("row", F.col("at").cast("int"))
+    else:
+        some = some.join(px.groupBy("img").agg(F.max("r").alias("last")), "img").withColumn("row", F.greatest(F.lit(0), F.least(F.col("last"), F.col("at"))).cast("int"))
+    source = lines(px, "r", "c", "v").withColumnRenamed("r", "row")
+    place = lambda d: (F.floor("sx") + d).cast("int")
+    pixel = lambda d: beyond(place(d), "v") if zero else repeated(place(d))["v"]
+    values = [weight(F.col("sx") - F.floor("sx") - d) * pixel(d) for d in taps]
+    part = weight(F.col("sy") - F.col("at")) * sum(values[1:], values[0])
+    mixed = some.join(source, ["img", "row"], "left").groupBy("img", "r", "c").agg(F.sum(F.when(F.col("l").isNull(), 0.0).otherwise(part)).alias("m"))
+    # sums differ in their last bits by the order in which rows come
+    return mixed.withColumn("m", F.round("m", 6))
+
+
+def grey(px: DataFrame, m: Column) -> DataFrame:
+    return px.select("img", "r", "c", F.greatest(F.lit(0), F.least(F.lit(255), m)).cast("int").alias("v"))
+
+
 def rotate(px: DataFrame, angles: DataFrame) -> DataFrame:
     """Images turned by (img, angle) about their middle, anticlockwise, of the same size.
 
-    Values are cubic mixes of four by four pixels at whole 1/32 pixels of the
-    source, whose edge goes on beyond the border.  A target pixel meets the four
-    rows it needs as arrays, not sixteen pixels one by one.
+    Values are cubic mixes of four by four pixels; the edge goes on beyond the border.
     """
     size = px.groupBy("img").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")).join(angles.select("img", F.radians("angle").alias("a")), "img")
     places = px.select("img", "r", "c").join(size, "img").withColumns({"x": F.col("c") - F.expr("w div 2"), "y": F.col("r") - F.expr("h div 2")})
-    whole = lambda v: F.floor(F.round(v * 32, 6) + 0.5) / 32
-    sx = whole(F.cos("a") * F.col("x") - F.sin("a") * F.col("y") + F.expr("w div 2"))
-    sy = whole(F.sin("a") * F.col("x") + F.cos("a") * F.col("y") + F.expr("h div 2"))
-    places = places.select("img", "r", "c", "h", "w", sx.alias("sx"), sy.alias("sy"))
-    taps = F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda d: F.floor("sy") + d)
-    four = places.select("*", F.explode(taps).alias("at")).withColumn("row", F.greatest(F.lit(0), F.least(F.col("h") - 1, F.col("at"))).cast("int"))
-    source = lines(px, "r", "c", "v").withColumnRenamed("r", "row")
-    value = lambda d: cubic(F.col("sx") - F.floor("sx") - d) * repeated((F.floor("sx") + d).cast("int"))["v"]
-    part = cubic(F.col("sy") - F.col("at")) * sum((value(d) for d in (0, 1, 2)), value(-1))
-    mixed = four.join(source, ["img", "row"]).groupBy("img", "r", "c").agg(F.sum(part).alias("m"))
-    # sums differ in their last bits by the order in which rows come
-    return mixed.select("img", "r", "c", F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.round("m", 6)))).cast("int").alias("v"))
+    sx = F.cos("a") * F.col("x") - F.sin("a") * F.col("y") + F.expr("w div 2")
+    sy = F.sin("a") * F.col("x") + F.cos("a") * F.col("y") + F.expr("h div 2")
+    places = places.select("img", "r", "c", at_32nds(sx).alias("sx"), at_32nds(sy).alias("sy"))
+    return grey(sampled(px, places, range(-1, 3), cubic, zero=False), F.bround("m"))
 
 
 def deskew(px: DataFrame) -> DataFrame:

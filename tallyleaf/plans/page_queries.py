@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import values as V
-from tallyleaf.operators import autolabel, detections, fusion, labelling, ocr_output, pages, recognise, regions
+from tallyleaf.operators import autolabel, detections, fusion, labelling, ocr_output, pages, recognise, regions, views
 from tallyleaf.plans import render
 from tallyleaf.plans.catalogue import CROPS_SQL, OTSU_SQL, POINTS_SQL, PX_SQL, TOTAL_SQL, boxed_lines, cents_sql, crops, pixels, points, query
 from tallyleaf.plans.render import BASE_SQL
@@ -306,6 +306,61 @@ def text_regions_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("img", *[F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h", "place")])
 
 
+# ---- changes of view ----
+
+#: A square of side 1 to a quadrangle of corners 0 to 3: its nine numbers in closed form.
+SQUARE_SQL = """sides AS (SELECT *, x1 - x2 AS ax, x3 - x2 AS bx, x0 - x1 + x2 - x3 AS cx, y1 - y2 AS ay, y3 - y2 AS by_, y0 - y1 + y2 - y3 AS cy FROM quad),
+  tilt AS (SELECT *, (cx * by_ - bx * cy) / (ax * by_ - bx * ay) AS g, (ax * cy - cx * ay) / (ax * by_ - bx * ay) AS q FROM sides),
+  view AS (SELECT *, x1 - x0 + g * x1 AS m0, x3 - x0 + q * x3 AS m1, x0 AS m2, y1 - y0 + g * y1 AS m3, y3 - y0 + q * y3 AS m4, y0 AS m5 FROM tilt)"""
+
+
+@query(
+    f"""WITH {PX_SQL}, o AS (SELECT img, list(v % 3 ORDER BY c)::DOUBLE[] AS o FROM px WHERE r = 0 GROUP BY img),
+  quad AS (SELECT img, o[1] AS x0, o[2] AS y0, 7 - o[3] AS x1, o[4] AS y1, 7 - o[5] AS x2, 7 - o[6] AS y2, o[7] AS x3, 7 - o[8] AS y3 FROM o), {SQUARE_SQL},
+  sized AS (SELECT *, CAST(floor(sqrt(greatest((x2 - x3) ** 2 + (y2 - y3) ** 2, (x1 - x0) ** 2 + (y1 - y0) ** 2))) AS INT) AS w, CAST(floor(sqrt(greatest((x1 - x2) ** 2 + (y1 - y2) ** 2, (x0 - x3) ** 2 + (y0 - y3) ** 2))) AS INT) AS h FROM view),
+  cells AS (SELECT *, unnest(range(h)) AS r FROM sized), spots AS (SELECT *, unnest(range(w)) AS c FROM cells), part AS (SELECT *, c / (w - 1) AS u, r / (h - 1) AS t FROM spots),
+  source AS (SELECT img, r, c, floor(round((m0 * u + m1 * t + m2) / (g * u + q * t + 1) * 32, 6) + 0.5) / 32 AS sx, floor(round((m3 * u + m4 * t + m5) / (g * u + q * t + 1) * 32, 6) + 0.5) / 32 AS sy FROM part)
+  SELECT s.img, CAST(s.r AS INT) AS r, CAST(s.c AS INT) AS c, CAST(floor(sum((1 - abs(s.sx - px.c)) * (1 - abs(s.sy - px.r)) * px.v) + 0.5) AS INT) AS v
+  FROM source s JOIN px ON px.img = s.img AND abs(s.sx - px.c) < 1 AND abs(s.sy - px.r) < 1 GROUP BY s.img, s.r, s.c"""
+)
+def rectified_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadrangles in small images, whose corners follow from the first row, as upright pictures."""
+    px = pixels(spark, sf_dir)
+    o = px.where("r = 0").groupBy("img").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("l")).select("img", F.transform("l", lambda x: x["v"] % 3).alias("o"))
+    at = lambda k: F.get("o", F.lit(k))
+    corners = F.array(views.point(7 - at(4), 7 - at(5)), views.point(at(0), at(1)), views.point(at(6), 7 - at(7)), views.point(7 - at(2), at(3)))
+    return views.rectified(px, o.select("img", corners.alias("corners")))
+
+
+DRAW_SQL = "CAST('0x' || substr(sha256('20260615:' || p_partkey || ':' || {}), 1, 8) AS BIGINT) / 4294967296"
+
+
+def draw_sql(k: int, low: float, high: float) -> str:
+    return f"({low} + ({high} - {low})::DOUBLE * ({DRAW_SQL.format(k)}))"
+
+
+CORNERS_SQL = ", ".join(f"{'799 - ' if k in (1, 2) else ''}{draw_sql(2 + 2 * k, 0, 1)} * dx AS x{k}, {'499 - ' if k > 1 else ''}{draw_sql(3 + 2 * k, 0, 1)} * dy AS y{k}" for k in range(4))
+
+
+@query(
+    f"""WITH shift AS (SELECT p_partkey, 800 * {draw_sql(0, 0.015, 0.055)} AS dx, 500 * {draw_sql(1, 0.015, 0.055)} AS dy FROM part), quad AS (SELECT p_partkey, {CORNERS_SQL} FROM shift), {SQUARE_SQL},
+  turned AS (SELECT *, {draw_sql(11, 0.965, 1.035)} * cos(radians({draw_sql(10, -2.5, 2.5)})) AS a, {draw_sql(11, 0.965, 1.035)} * sin(radians({draw_sql(10, -2.5, 2.5)})) AS b FROM view),
+  boxes AS (SELECT row_number() OVER () AS id, l_partkey, l_orderkey, l_linenumber, l_suppkey % 15 AS cls, CAST(l_quantity * 10 AS DOUBLE) AS bx1, CAST(l_quantity * 10 + round(l_discount * 100) * 20 - 60 AS DOUBLE) AS bx2, CAST(l_linenumber * 50 AS DOUBLE) AS by1 FROM lineitem),
+  ends AS (SELECT t.*, id, l_orderkey, l_linenumber, cls, CASE WHEN e % 2 = 0 THEN bx1 ELSE bx2 END / 799 AS u, CASE WHEN e < 2 THEN by1 ELSE by1 + 20 END / 499 AS t FROM boxes JOIN turned t ON p_partkey = l_partkey, range(4) k(e)),
+  tilted AS (SELECT *, (m0 * u + m1 * t + m2) / (g * u + q * t + 1) AS px, (m3 * u + m4 * t + m5) / (g * u + q * t + 1) AS py FROM ends),
+  moved AS (SELECT id, p_partkey, l_orderkey, l_linenumber, cls, a * px + b * py + (1 - a) * 400 - b * 250 AS x, -b * px + a * py + b * 400 + (1 - a) * 250 AS y FROM tilted),
+  held AS (SELECT id, p_partkey, l_orderkey, l_linenumber, cls, greatest(0.0, least(799.0, min(x))) AS xa, greatest(0.0, least(799.0, max(x))) AS xb, greatest(0.0, least(499.0, min(y))) AS ya, greatest(0.0, least(499.0, max(y))) AS yb FROM moved GROUP BY ALL)
+  SELECT p_partkey AS image, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN xb - xa >= 2 AND yb - ya >= 2 THEN printf('%d %.6f %.6f %.6f %.6f', cls, (xa + xb) / 2 / 800, (ya + yb) / 2 / 500, (xb - xa) / 800, (yb - ya) / 500) ELSE '' END AS line FROM held"""
+)
+def augmented_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines of boxes under the random view of their image."""
+    images = render.table(spark, sf_dir, "part").select("p_partkey", views.random_view(F.col("p_partkey"), F.lit(800), F.lit(500)).alias("view"))
+    _, boxes = found_boxes(spark, sf_dir)
+    both = boxes.join(images, F.col("image") == F.col("p_partkey"))
+    line = views.moved_line(F.col("view"), F.col("class_id"), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.lit(800), F.lit(500))
+    return both.select("image", "det_no.l_orderkey", F.col("det_no.l_linenumber").cast("bigint").alias("l_linenumber"), F.coalesce(line, F.lit("")).alias("line"))
+
+
 # ---- labelled datasets ----
 
 CLASS_SQL = "[" + ", ".join(f"'{c}'" for c in V.CLASSES) + "]"

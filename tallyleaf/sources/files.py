@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -107,21 +105,6 @@ def pdf_text(pages: DataFrame, page: int = 1, most: int = 3) -> DataFrame:
     return good.groupBy("path", "page_count").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text")).select("path", "text", "page_count")
 
 
-def zip_images(df: DataFrame, prefer: str = "") -> DataFrame:
-    """(path, name, size, preferred) of image entries below dataset/images in zip contents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    rows += [(path, e.filename, e.file_size, bool(prefer) and prefer in e.filename) for e in z.infolist() if "/dataset/images/" in f"/{e.filename}"]
-            yield pd.DataFrame(rows, columns=["path", "name", "size", "preferred"])
-
-    found = df.select("path", "content").mapInPandas(run, "path string, name string, size long, preferred boolean")
-    return found.where(is_image_path(F.col("name"))).orderBy(F.desc("preferred"), "name")
-
-
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes of label files: (stem, cls, cx, cy, w, h)."""
     lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(stem(F.input_file_name()).alias("stem"), "value")

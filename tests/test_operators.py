@@ -1,9 +1,7 @@
 """Raster array forms, engines, sources, sinks, dataset helpers, streaming."""
 
-import io
 import math
 import struct
-import zipfile
 
 import numpy as np
 import pytest
@@ -145,12 +143,6 @@ def test_sources(spark, tmp_path):
     found = files.with_jpeg_size(files.image_files(spark, str(tmp_path))).select("width", "height", files.split_of(F.col("path")).alias("s")).collect()
     assert [tuple(r) for r in found] == [(64, 32, "train")]
     assert files.jpeg_size(b"nope") is None
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for n in ("r/dataset/images/b.png", "r/dataset/images/a.png", "r/other/c.png"):
-            z.writestr(n, b"1")
-    zips = spark.createDataFrame([("z", bytearray(buf.getvalue()))], "path string, content binary")
-    assert [r.name[-5:] for r in files.zip_images(zips, "b.png").collect()] == ["b.png", "a.png"]
 
 
 def test_pdf_pages(spark):
