@@ -26,7 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -35,6 +35,7 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 UNKNOWN_PENALTY = 10.0
 LEXICON_WORDS = 50_000
 LEXICON_CHARS = 24
+TOP_GROUPS = 64
 
 
 class Pieces:
@@ -203,11 +204,18 @@ def fold_merges(grouped: DataFrame, first_byte: int) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
-    """The ``most`` most frequent words of at most LEXICON_CHARS characters over all texts, with their space."""
+    """The ``most`` most frequent words of at most LEXICON_CHARS characters over all texts, with their space.
+
+    Each partition's first words meet those of some others in one of TOP_GROUPS
+    groups, whose first words meet in one task: that task takes at most
+    TOP_GROUPS times ``most`` words, however many partitions there are.
+    """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", " ")
     words = docs.select(F.explode(F.split(text, " ")).alias("word")).where(f"word <> '' and char_length(word) < {LEXICON_CHARS} and not contains(word, '{SPACE}')")
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counted.orderBy(F.desc("n"), "word").limit(most).select(F.concat(F.lit(SPACE), "word").alias("word"))
+    w = Window.partitionBy("_group").orderBy(F.desc("n"), "word")
+    first = counted.withColumn("_group", F.spark_partition_id() % TOP_GROUPS).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most)
+    return first.orderBy(F.desc("n"), "word").limit(most).select(F.concat(F.lit(SPACE), "word").alias("word"))
 
 
 class Memory(dict):

@@ -65,3 +65,22 @@ def test_encode_decode_tables(spark):
     digest = P.encode_digest(df, P.model_path(), most=10).collect()
     assert all(r.round_trip for r in digest) and len(digest) == 5
     assert P.encode_digest(df.limit(0), P.model_path()).count() == 0
+
+
+def test_frequent_words_over_many_partitions(spark):
+    from collections import Counter
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(60)) for _ in range(90)]
+    n = Counter(w for t in texts for w in t.split(" "))
+    want = sorted((w for w in n if n[w] > 1), key=lambda w: (-n[w], w))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        for most in (7, 120, 1000):
+            got = [r.word[1:] for r in P.frequent_words(docs, most).collect()]
+            assert sorted(got) == sorted(want[:most])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
