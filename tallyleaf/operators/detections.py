@@ -123,7 +123,7 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
     keep = df.columns
     df = df.withColumn("_c", F.coalesce(F.transform(crops, crop_facts), F.array()))
     of = lambda f: pages.where(F.col("_c"), lambda x: x["field"] == f)
-    upper, lower = (lambda x: 20 * (1 - x["cy"] / height)), (lambda x: 20 * x["cy"] / height)
+    upper, lower = (lambda x: 20 * (1 - x["cy"] / height)), (lambda x: x["cy"] / height * 20)
     base = lambda x: x["base"]
     with_upper = lambda x: x["base"] + upper(x)
     paid = lambda x: F.when(x["money"], 1).otherwise(0)
@@ -133,7 +133,7 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
             **{f"_{f}": best_crop(of(f), with_upper) for f in ("invoice_type", "invoice_code", "invoice_no", "invoice_date")},
             "_drawer": best_crop(of("drawer"), base),
             "_checksum": checksum,
-            "_total": best_crop(of("total"), lambda x: x["base"] + 35 * x["cy"] / height + 25 * paid(x)),
+            "_total": best_crop(of("total"), lambda x: x["base"] + x["cy"] / height * 35 + 25 * paid(x)),
             "_buyer_tax_id": best_crop(of("buyer_tax_id"), lambda x: with_upper(x) + F.when(x["id"], 30).otherwise(0), lambda x: x["id"]),
         }
     )
@@ -141,7 +141,7 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
 
     def money(f: str) -> Column:
         gap = lambda x: F.greatest(F.lit(0.0), 30 - F.abs(total_y - x["cy"]) / height * 100)
-        return best_crop(of(f), lambda x: x["base"] + gap(x) + F.when(x["cy"] < total_y, 20).otherwise(-25) + 20 * paid(x) + 10 * x["cy"] / height)
+        return best_crop(of(f), lambda x: x["base"] + gap(x) + F.when(x["cy"] < total_y, 20).otherwise(-25) + 20 * paid(x) + x["cy"] / height * 10)
 
     over = F.col("_buyer_tax_id")["cy"] + 0.2 * F.col("_buyer_tax_id")["h"]
     below = lambda c: F.col(c)["cy"] - 0.2 * F.col(c)["h"]

@@ -28,6 +28,13 @@ def test_ties_go_to_the_first_crop(spark):
     assert resolved(spark, crop(2, "drawer", "甲"), crop(0, "drawer", "乙"), crop(1, "drawer", "丙"))[0] == ("drawer", 0, "乙", True)
 
 
+def test_near_ties_are_decided_by_the_order_of_arithmetic(spark):
+    # 1 + 15 + 4.5 + 418 / 1000 * 35 + 25 is one bit under 15 + 15 + 4.5 + 18 / 1000 * 35 + 25
+    assert resolved(spark, crop(0, "total", "¥1.00", y=408, confidence=1.0, ocr=90.0), crop(1, "total", "¥2.00", y=8, confidence=15.0, ocr=90.0))[0][1] == 1
+    # equal with 887 / 1000 * 10 and 17 / 1000 * 10, not with 8870 / 1000 and 170 / 1000
+    assert resolved(spark, crop(0, "amount", "¥1.00", y=877, confidence=21.0, ocr=90.0), crop(1, "amount", "¥2.00", y=7, confidence=1.0, ocr=90.0))[0][1] == 0
+
+
 def test_leftovers_come_from_top_to_bottom(spark):
     rows = [crop(0, "drawer", "王小明", confidence=90.0), crop(1, "x", "low", y=300), crop(2, "y", "right", x=50, y=20), crop(3, "z", "left", x=10, y=20), crop(4, "w", "sure", x=10, y=20, confidence=70.0)]
     assert [r[1] for r in resolved(spark, *rows)] == [0, 4, 3, 2, 1]
