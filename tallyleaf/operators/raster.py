@@ -68,7 +68,8 @@ def otsu_threshold(px: DataFrame) -> DataFrame:
 
 
 def binarize(px: DataFrame) -> DataFrame:
-    return px.join(otsu_threshold(px), "img").select("img", "r", "c", F.when(F.col("v") > F.col("t"), 255).otherwise(0).alias("v"))
+    # pixels and thresholds meet by image: as rows of arrays pixels look small enough to be broadcast, which they aren't
+    return px.join(otsu_threshold(px).hint("shuffle_hash"), "img").select("img", "r", "c", F.when(F.col("v") > F.col("t"), 255).otherwise(0).alias("v"))
 
 
 def iterative_threshold(px: DataFrame, steps: int = 64, tolerance: float = 0.1) -> DataFrame:
@@ -93,56 +94,81 @@ def reflect(c: Column, size: int) -> Column:
     return F.when(c < 0, -c).when(c >= size, 2 * (size - 1) - c).otherwise(c)
 
 
-def neighbours(px: DataFrame, size: int, reach: int, border: str = "reflect") -> DataFrame:
-    """(img, r, c, dr, dc, v): each pixel with those around it, by an equality join on shifted places."""
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    at = px.select("img", "r", "c", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
-    fix = {"reflect": lambda c: reflect(c, size), "repeat": lambda c: F.least(F.lit(size - 1), F.greatest(F.lit(0), c)), "none": lambda c: c}[border]
-    at = at.withColumn("nr", fix(F.col("r") + F.col("dr"))).withColumn("nc", fix(F.col("c") + F.col("dc")))
-    src = px.select("img", F.col("r").alias("nr"), F.col("c").alias("nc"), "v")
-    return at.join(src, ["img", "nr", "nc"])
+def seen_from(px: DataFrame, along: str, size: int, reach: int, fix: Callable[[Column], Column]) -> DataFrame:
+    """Rows of ``px`` for each place along an axis that sees them at an offset d<along>; fixed places lie within reach."""
+    steps = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(d).alias("d")) for e in range(-reach, reach + 1) for d in range(-reach, reach + 1)])
+    rows = px.withColumn("_s", F.explode(steps)).withColumns({"_at": F.col(along) + F.col("_s.e"), f"d{along}": F.col("_s.d")})
+    rows = rows.where(F.col("_at").between(0, size - 1) & (fix(F.col("_at") + F.col(f"d{along}")) == F.col(along)))
+    return rows.withColumn(along, F.col("_at")).drop("_s", "_at")
+
+
+def gathered(px: DataFrame, size: int, reach: int, values: list[Column], border: str = "reflect") -> DataFrame:
+    """(img, r, c, n and the values): aggregates over dr, dc and v of each pixel and those around it.
+
+    Pixels go to the places that see them, so nothing is joined: the size of a
+    table of pixels is unknown to the planner, which took it for small and sent
+    it through the driver.  n counts the rows of the place itself.
+    """
+    fix = {"reflect": lambda c: reflect(c, size), "repeat": lambda c: F.least(F.lit(size - 1), F.greatest(F.lit(0), c))}[border]
+    at = seen_from(seen_from(px.select("img", "r", "c", "v"), "r", size, reach, fix), "c", size, reach, fix)
+    own = F.count_if((F.col("dr") == 0) & (F.col("dc") == 0))
+    return at.groupBy("img", "r", "c").agg(own.alias("n"), *values).where("n > 0")
 
 
 def box_mean(px: DataFrame, size: int, reach: int = 1) -> DataFrame:
-    n = (2 * reach + 1) ** 2
-    return neighbours(px, size, reach).groupBy("img", "r", "c").agg(F.expr(f"(2 * sum(v) + {n}) div {2 * n}").cast("int").alias("v"))
+    k = (2 * reach + 1) ** 2
+    return gathered(px, size, reach, [F.sum("v").alias("s")]).select("img", "r", "c", F.expr(f"(2 * s * n + {k}) div {2 * k}").cast("int").alias("v"))
 
 
 def median(px: DataFrame, size: int, reach: int = 1) -> DataFrame:
     mid = ((2 * reach + 1) ** 2) // 2
-    return neighbours(px, size, reach, "repeat").groupBy("img", "r", "c").agg(F.get(F.sort_array(F.collect_list("v")), F.lit(mid)).alias("v"))
+    near = gathered(px, size, reach, [F.sort_array(F.collect_list("v")).alias("l")], "repeat")
+    return near.select("img", "r", "c", F.get("l", F.expr(f"{mid} div n").cast("int")).alias("v"))
 
 
 def sobel(px: DataFrame, size: int) -> DataFrame:
     """Sum of the absolute 3x3 gradients, halved and cut at 255."""
     weight = lambda a, b: F.expr(f"{a} * (2 - abs({b}))")
-    s = neighbours(px, size, 1).groupBy("img", "r", "c").agg(F.sum(weight("dc", "dr") * F.col("v")).alias("gx"), F.sum(weight("dr", "dc") * F.col("v")).alias("gy"))
-    return s.select("img", "r", "c", F.expr("least(255, (least(255, abs(gx)) + least(255, abs(gy))) div 2)").cast("int").alias("v"))
+    s = gathered(px, size, 1, [F.sum(weight("dc", "dr") * F.col("v")).alias("gx"), F.sum(weight("dr", "dc") * F.col("v")).alias("gy")])
+    return s.select("img", "r", "c", F.expr("least(255, (least(255, abs(gx * n)) + least(255, abs(gy * n))) div 2)").cast("int").alias("v"))
 
 
 def laplacian(px: DataFrame, size: int) -> DataFrame:
     k = F.when((F.col("dr") == 0) & (F.col("dc") == 0), 5).when(F.abs("dr") + F.abs("dc") == 1, -1).otherwise(0)
-    s = neighbours(px, size, 1).groupBy("img", "r", "c").agg(F.sum(k * F.col("v")).alias("s"))
-    return s.select("img", "r", "c", F.greatest(F.lit(0), F.least(F.lit(255), F.col("s"))).cast("int").alias("v"))
+    s = gathered(px, size, 1, [F.sum(k * F.col("v")).alias("s")])
+    return s.select("img", "r", "c", F.greatest(F.lit(0), F.least(F.lit(255), F.col("s") * F.col("n"))).cast("int").alias("v"))
+
+
+def extremes(px: DataFrame, reach: int, **aggs: Callable[[str], Column]) -> DataFrame:
+    """(img, r, c, names): the least or greatest v in the square around each pixel, along rows and then along columns.
+
+    Pixels go to the places within reach, also to those that the image lacks,
+    so that rows with gaps lose nothing; such places are left out at the end.
+    """
+    step = F.explode(F.lit(list(range(-reach, reach + 1)))).alias("d")
+    own = F.bool_or(F.col("own") & (F.col("d") == 0)).alias("own")
+    at = px.select("img", "r", "c", *[F.col("v").alias(n) for n in aggs], F.lit(True).alias("own"))
+    for along, other in (("c", "r"), ("r", "c")):
+        moved = at.select("img", other, along, *aggs, "own", step).withColumn(along, F.col(along) + F.col("d"))
+        at = moved.groupBy("img", "r", "c").agg(*[f(n).alias(n) for n, f in aggs.items()], own)
+    return at.where("own").drop("own")
 
 
-def morph(px: DataFrame, size: int, how: str, reach: int = 2) -> DataFrame:
-    agg = F.min("v") if how == "erode" else F.max("v")
-    return neighbours(px, size, reach, "none").groupBy("img", "r", "c").agg(agg.alias("v"))
+def morph(px: DataFrame, how: str, reach: int = 2) -> DataFrame:
+    return extremes(px, reach, v=F.min if how == "erode" else F.max)
 
 
 def morph_open(px: DataFrame, size: int, reach: int = 2) -> DataFrame:
-    return morph(morph(binarize(px), size, "erode", reach), size, "dilate", reach)
+    return morph(morph(binarize(px), "erode", reach), "dilate", reach)
 
 
 def morph_close(px: DataFrame, size: int, reach: int = 2) -> DataFrame:
-    return morph(morph(binarize(px), size, "dilate", reach), size, "erode", reach)
+    return morph(morph(binarize(px), "dilate", reach), "erode", reach)
 
 
 def morph_gradient(px: DataFrame, size: int, reach: int = 2) -> DataFrame:
-    b = binarize(px)
-    hi, lo = morph(b, size, "dilate", reach), morph(b, size, "erode", reach).withColumnRenamed("v", "lo")
-    return hi.join(lo, ["img", "r", "c"]).select("img", "r", "c", (F.col("v") - F.col("lo")).alias("v"))
+    both = extremes(binarize(px), reach, hi=F.max, lo=F.min)
+    return both.select("img", "r", "c", (F.col("hi") - F.col("lo")).alias("v"))
 
 
 def gaussian_taps(size: int) -> list[float]:
@@ -177,43 +203,39 @@ def adaptive_threshold(px: DataFrame, block: int = 35, less: int = 11) -> DataFr
     return both.select("img", "r", "c", F.when(F.col("v") - mean > -less, 255).otherwise(0).alias("v"))
 
 
-def tile_tables(px: DataFrame, size: DataFrame, clip: float) -> DataFrame:
-    """(img, ti, tj, v, to): for each tile what its cut histogram makes of every value.
+def clahe(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
+    """Contrast evened out tile by tile; a pixel mixes what the four tiles around it make of its value.
 
     Counts above the limit are dealt out again: an equal share to each value,
     the rest one by one at even steps.  An image that tiles don't divide is
     continued by its mirror image, as is one that they divide one way only.
+    A pixel goes to the tiles that count it and to the four that it asks; by
+    tile and value they meet in one row, so that no tile's table of all values
+    is made or joined.
     """
-    again = lambda c, n, full: F.explode(F.filter(F.array_distinct(F.array(F.col(c), 2 * (F.col(n) - 1) - F.col(c))), lambda x: (x == F.col(c)) | ((x >= F.col(n)) & (x < F.col(full)))))
-    shown = px.join(size, "img").withColumn("rr", again("r", "h", "fh")).withColumn("cc", again("c", "w", "fw"))
-    tile = ("img", "ti", "tj", "th", "tw")
-    counts = shown.withColumns({"ti": F.expr("rr div th").cast("int"), "tj": F.expr("cc div tw").cast("int")}).groupBy(*tile, "v").agg(F.count(F.lit(1)).alias("n"))
-    limit = F.greatest(F.lit(1), F.floor(clip * F.col("th") * F.col("tw") / 256)).cast("bigint")
-    held = counts.withColumn("limit", limit).groupBy(*tile, "limit").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("by"), F.sum(F.greatest(F.lit(0), F.col("n") - F.col("limit"))).alias("over"))
-    every = held.select(*tile, "limit", "by", "over", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
-    rest = F.expr("over % 256")
-    step = F.greatest(F.lit(1), F.expr("256 div greatest(over % 256, 1)"))
-    extra = F.when((F.col("v") % step == 0) & (F.floor(F.col("v") / step) < rest), 1).otherwise(0)
-    n = F.least(F.coalesce(F.try_element_at("by", F.col("v")), F.lit(0)), F.col("limit")) + F.expr("over div 256") + extra
-    upto = F.sum("n").over(Window.partitionBy("img", "ti", "tj").orderBy("v"))
-    to = F.least(F.lit(255), F.bround(upto * 255 / (F.col("th") * F.col("tw"))).cast("int"))
-    return every.withColumn("n", n).select("img", "ti", "tj", "v", to.alias("to"))
-
-
-def clahe(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
-    """Contrast evened out tile by tile; a pixel mixes what the four tiles around it make of its value."""
-    size = px.groupBy("img").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    image = Window.partitionBy("img")
+    size = px.select("img", "r", "c", "v").withColumns({"h": F.max("r").over(image) + 1, "w": F.max("c").over(image) + 1})
     whole = (F.col("h") % tiles == 0) & (F.col("w") % tiles == 0)
     full = lambda n: F.when(whole, F.col(n)).otherwise(F.col(n) + tiles - F.col(n) % tiles)
-    size = size.withColumns({"fh": full("h"), "fw": full("w")}).withColumns({"th": F.expr(f"fh div {tiles}"), "tw": F.expr(f"fw div {tiles}")})
-    table = tile_tables(px, size, clip)
-    own = px.join(size.select("img", "th", "tw"), "img").withColumns({"y": F.col("r") / F.col("th") - 0.5, "x": F.col("c") / F.col("tw") - 0.5})
-    own = own.withColumns({"fy": F.col("y") - F.floor("y"), "fx": F.col("x") - F.floor("x")})
-    within = lambda t: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), t)).cast("int")
+    size = size.withColumns({"fh": full("h"), "fw": full("w")}).withColumns({"th": F.expr(f"fh div {tiles}").cast("int"), "tw": F.expr(f"fw div {tiles}").cast("int")})
+    size = size.withColumns({"y": F.col("r") / F.col("th") - 0.5, "x": F.col("c") / F.col("tw") - 0.5})
+    size = size.withColumns({"fy": F.col("y") - F.floor("y"), "fx": F.col("x") - F.floor("x")})
+    again = lambda c, n, f: F.filter(F.array_distinct(F.array(F.col(c), 2 * (F.col(n) - 1) - F.col(c))), lambda x: (x == F.col(c)) | ((x >= F.col(n)) & (x < F.col(f))))
+    role = lambda ti, tj, share: F.struct(ti.cast("int").alias("ti"), tj.cast("int").alias("tj"), share.alias("share"))
+    counted = F.flatten(F.transform(again("r", "h", "fh"), lambda y: F.transform(again("c", "w", "fw"), lambda x: role(F.floor(y / F.col("th")), F.floor(x / F.col("tw")), F.lit(None).cast("double")))))
+    within = lambda t: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), t))
     weight = lambda d, f: F.col(f) if d else 1 - F.col(f)
-    four = [F.struct(within(F.floor("y") + d).alias("ti"), within(F.floor("x") + e).alias("tj"), (weight(d, "fy") * weight(e, "fx")).alias("share")) for d in (0, 1) for e in (0, 1)]
-    parts = own.select("img", "r", "c", "v", F.inline(F.array(*four)))
-    mixed = parts.join(table, ["img", "ti", "tj", "v"]).groupBy("img", "r", "c").agg(F.sum(F.col("share") * F.col("to")).alias("m"))
+    asked = F.array(*[role(within(F.floor("y") + d), within(F.floor("x") + e), weight(d, "fy") * weight(e, "fx")) for d in (0, 1) for e in (0, 1)])
+    rows = size.select("img", "r", "c", "v", "th", "tw", F.inline(F.concat(counted, asked)))
+    met = rows.groupBy("img", "ti", "tj", "th", "tw", "v").agg(F.count_if(F.col("share").isNull()).alias("n"), F.collect_list(F.when(F.col("share").isNotNull(), F.struct("r", "c", "share"))).alias("parts"))
+    tile = Window.partitionBy("img", "ti", "tj")
+    limit = F.greatest(F.lit(1), F.floor(clip * F.col("th") * F.col("tw") / 256)).cast("bigint")
+    met = met.withColumn("limit", limit).withColumns({"over": F.sum(F.greatest(F.lit(0), F.col("n") - F.col("limit"))).over(tile), "all": F.sum("n").over(tile), "upto": F.sum(F.least("n", "limit")).over(tile.orderBy("v"))})
+    upto = F.expr("upto + (v + 1) * (over div 256) + least(v div greatest(1, 256 div greatest(over % 256, 1)) + 1, over % 256)")
+    to = F.least(F.lit(255), F.bround(upto * 255 / (F.col("th") * F.col("tw"))).cast("int"))
+    # tiles beyond an image that is smaller than its mirror image have no pixels to count
+    parts = met.where("all > 0").select("img", to.alias("to"), F.inline("parts"))
+    mixed = parts.groupBy("img", "r", "c").agg(F.sum(F.col("share") * F.col("to")).alias("m"))
     # sums of four shares differ in their last bits by the order in which rows come
     return mixed.select("img", "r", "c", F.bround(F.round("m", 6)).cast("int").alias("v"))
 
