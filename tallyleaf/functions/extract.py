@@ -14,13 +14,12 @@ from tallyleaf.functions import values as V
 
 
 def first_match(norm: Column, patterns) -> Column:
-    """Group 1 of the first pattern that matches, even if it cleans to ''."""
-    chain = None
-    for p in patterns:
-        java = "(?is)" + p.replace("\\d", "[0-9]").replace("\\s", "(?U:\\s)")
-        value = T.clean(F.get(F.split(F.regexp_extract(norm, java, 1), "\n", 2), F.lit(0)))
-        chain = F.when(norm.rlike(java), value) if chain is None else chain.when(norm.rlike(java), value)
-    return F.lit("") if chain is None else chain.otherwise("")
+    """Group 1, never empty, of the first pattern that matches, even if it cleans to ''."""
+    if not patterns:
+        return F.lit("")
+    java = ["(?is)" + p.replace("\\d", "[0-9]").replace("\\s", "(?U:\\s)") for p in patterns]
+    found = F.coalesce(*[F.nullif(F.regexp_extract(norm, p, 1), F.lit("")) for p in java], F.lit(""))
+    return T.clean(F.substring_index(found, "\n", 1))
 
 
 def number_candidates(norm: Column) -> Column:
@@ -57,30 +56,41 @@ def _tax_in(scope: Column) -> Column:
     return T.first(F.filter(F.concat(near, alone), T.is_tax_number))
 
 
+def items(raw: Column) -> Column:
+    """The lines that don't clean to nothing: (norm, clean, firm), normalised, cleaned, and the company in it.
+
+    Most extractors look at lines; who asks several of them makes this array once.
+    """
+    made = F.transform(T.lines(raw), lambda x: F.struct(T.normalize(x).alias("norm"), T.clean(x).alias("clean")))
+    return F.transform(F.filter(made, lambda x: x["clean"] != ""), lambda x: F.struct(x["norm"].alias("norm"), x["clean"].alias("clean"), company(x["clean"]).alias("firm")))
+
+
 def kept_lines(raw: Column) -> Column:
     """Normalised lines without those that clean to nothing."""
     return F.transform(F.filter(T.lines(raw), lambda x: T.clean(x) != ""), T.normalize)
 
 
 def buyer_tax(raw: Column) -> Column:
-    def body(ls: Column) -> Column:
-        def block(x: Column, k: Column) -> Column:
-            ahead = F.slice(ls, k + 2, F.lit(29))
-            stop = F.array_min(F.filter(F.transform(ahead, lambda y, i: F.when(T.contains_any(y, V.BUYER_STOPS), i + 1)), lambda i: i.isNotNull()))
-            return F.when(x.rlike("购买方|买方"), tax_in(F.slice(ls, k + 1, F.coalesce(stop, F.lit(16))))).otherwise("")
+    return T.let(kept_lines(raw), buyer_tax_of)
 
-        return T.first(F.filter(F.transform(ls, block), lambda v: v != ""))
 
-    return T.let(kept_lines(raw), body)
+def buyer_tax_of(ls: Column) -> Column:
+    def block(x: Column, k: Column) -> Column:
+        ahead = F.slice(ls, k + 2, F.lit(29))
+        stop = F.array_min(F.filter(F.transform(ahead, lambda y, i: F.when(T.contains_any(y, V.BUYER_STOPS), i + 1)), lambda i: i.isNotNull()))
+        return F.when(F.contains(x, F.lit("买方")) | F.contains(x, F.lit("购买方")), tax_in(F.slice(ls, k + 1, F.coalesce(stop, F.lit(16))))).otherwise("")
+
+    return T.first(F.filter(F.transform(ls, block), lambda v: v != ""))
 
 
 def seller_tax(raw: Column, buyer: Column) -> Column:
-    def body(ls: Column) -> Column:
-        start = F.coalesce(F.array_min(F.filter(F.transform(ls, lambda x, k: F.when(T.contains_any(x, V.TOTAL_MARKS), k)), lambda k: k.isNotNull())), F.lit(0))
-        below = F.filter(F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1))), lambda x: ~T.contains_any(x, V.TAX_NOISE))
-        return T.first(F.filter(F.flatten(F.transform(below, lambda x: T.find_all(x, V.ID_FIND))), lambda v: v != buyer))
+    return T.let(kept_lines(raw), lambda ls: seller_tax_of(ls, buyer))
+
 
-    return T.let(kept_lines(raw), body)
+def seller_tax_of(ls: Column, buyer: Column) -> Column:
+    start = F.coalesce(F.array_min(F.filter(F.transform(ls, lambda x, k: F.when(T.contains_any(x, V.TOTAL_MARKS), k)), lambda k: k.isNotNull())), F.lit(0))
+    below = F.filter(F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1))), lambda x: ~T.contains_any(x, V.TAX_NOISE))
+    return T.first(F.filter(F.flatten(F.transform(below, lambda x: T.find_all(x, V.ID_FIND))), lambda v: v != buyer))
 
 
 def checksum(norm: Column) -> Column:
@@ -98,10 +108,10 @@ def labelled_seller_tax(norm: Column) -> Column:
 def agent_name(raw: Column) -> Column:
     """Name after 代开企业名称, pieced together over up to seven later lines."""
     # texts without the label, nearly all, are done at once
-    return F.when(F.contains(raw, F.lit("代开企业名称")), T.let(T.nonempty(raw), _agent_name)).otherwise("")
+    return F.when(F.contains(raw, F.lit("代开企业名称")), T.let(T.nonempty(raw), agent_name_of)).otherwise("")
 
 
-def _agent_name(ls: Column) -> Column:
+def agent_name_of(ls: Column) -> Column:
     keep = f"[^{V.CJK}A-Za-z0-9（）()]"
     start_state = lambda piece: F.struct(piece.alias("name"), F.char_length(piece).alias("size"), F.lit(False).alias("done"))
 
@@ -139,8 +149,12 @@ def company(c: Column) -> Column:
 
 
 def companies(raw: Column) -> Column:
-    found = F.transform(F.filter(F.transform(T.lines(raw), T.clean), lambda x: ~T.is_stamp(x)), company)
-    return F.array_distinct(F.filter(found, lambda v: v != ""))
+    return T.let(items(raw), companies_of)
+
+
+def companies_of(found: Column) -> Column:
+    firms = F.transform(F.filter(found, lambda x: (x["firm"] != "") & ~T.is_stamp(x["clean"])), lambda x: x["firm"])
+    return F.array_distinct(firms)
 
 
 def nonblank(arr: Column) -> Column:
@@ -153,36 +167,38 @@ def with_companies(raw: Column, body) -> Column:
 
 
 def buyer_name(raw: Column) -> Column:
-    def body(ls: Column, firms: Column) -> Column:
-        def at(x: Column, k: Column) -> Column:
-            lo = F.greatest(F.lit(0), k - 6)
-            scope = F.slice(ls, lo + 1, k + 12 - lo)
-            stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(y.rlike("销售方|货物或应税劳务|价税合计"), i)), lambda i: i.isNotNull()))
-            size = F.coalesce(stop, F.size(scope))
-            win = F.slice(ls, lo + 1, size)
-            return F.when(F.contains(x, F.lit("购买方")), T.first(nonblank(F.concat(F.array(company(F.array_join(win, ""))), F.slice(firms, lo + 1, size))))).otherwise("")
+    return with_companies(raw, buyer_name_of)
+
 
-        return T.first(nonblank(F.transform(ls, at)))
+def buyer_name_of(ls: Column, firms: Column) -> Column:
+    def at(x: Column, k: Column) -> Column:
+        lo = F.greatest(F.lit(0), k - 6)
+        scope = F.slice(ls, lo + 1, k + 12 - lo)
+        stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(y.rlike("销售方|货物或应税劳务|价税合计"), i)), lambda i: i.isNotNull()))
+        size = F.coalesce(stop, F.size(scope))
+        win = F.slice(ls, lo + 1, size)
+        return F.when(F.contains(x, F.lit("购买方")), T.first(nonblank(F.concat(F.array(company(F.array_join(win, ""))), F.slice(firms, lo + 1, size))))).otherwise("")
 
-    return with_companies(raw, body)
+    return T.first(nonblank(F.transform(ls, at)))
 
 
 def seller_name(raw: Column, buyer: Column) -> Column:
-    def body(ls: Column, firms: Column) -> Column:
-        def near_total(x: Column, k: Column) -> Column:
-            found = F.filter(F.slice(firms, k + 1, F.lit(35)), lambda v: (v != "") & (v != buyer) & ~T.contains_any(v, V.BANK_NOISE))
-            return F.when(T.contains_any(x, V.TOTAL_MARKS), T.first(found)).otherwise("")
+    return with_companies(raw, lambda ls, firms: seller_name_of(ls, firms, buyer))
 
-        def near_label(x: Column, k: Column) -> Column:
-            lo = F.greatest(F.lit(0), k - 5)
-            named = T.let(T.clean(F.regexp_extract(F.array_join(F.slice(ls, lo + 1, k + 8 - lo), ""), NAMED_COMPANY, 1)), lambda v: F.when(T.is_company(v), v).otherwise(""))
-            found = F.filter(F.concat(F.array(named), F.slice(firms, lo + 1, k + 8 - lo)), lambda v: (v != "") & (v != buyer))
-            return F.when(F.contains(x, F.lit("销售方")), T.first(found)).otherwise("")
 
-        by_total = T.first(nonblank(F.transform(ls, near_total)))
-        return T.let(by_total, lambda v: F.when(v != "", v).otherwise(T.first(nonblank(F.transform(ls, near_label)))))
+def seller_name_of(ls: Column, firms: Column, buyer: Column) -> Column:
+    def near_total(x: Column, k: Column) -> Column:
+        found = F.filter(F.slice(firms, k + 1, F.lit(35)), lambda v: (v != "") & (v != buyer) & ~T.contains_any(v, V.BANK_NOISE))
+        return F.when(T.contains_any(x, V.TOTAL_MARKS), T.first(found)).otherwise("")
 
-    return with_companies(raw, body)
+    def near_label(x: Column, k: Column) -> Column:
+        lo = F.greatest(F.lit(0), k - 5)
+        named = T.let(T.clean(F.regexp_extract(F.array_join(F.slice(ls, lo + 1, k + 8 - lo), ""), NAMED_COMPANY, 1)), lambda v: F.when(T.is_company(v), v).otherwise(""))
+        found = F.filter(F.concat(F.array(named), F.slice(firms, lo + 1, k + 8 - lo)), lambda v: (v != "") & (v != buyer))
+        return F.when(F.contains(x, F.lit("销售方")), T.first(found)).otherwise("")
+
+    by_total = T.first(nonblank(F.transform(ls, near_total)))
+    return T.let(by_total, lambda v: F.when(v != "", v).otherwise(T.first(nonblank(F.transform(ls, near_label)))))
 
 
 def fallback_code(norm: Column) -> Column:
@@ -250,16 +266,17 @@ def _split_of(norm: Column, t: Column, all_cents: Column) -> Column:
 
 
 def drawer_near_label(raw: Column) -> Column:
-    def body(ls: Column) -> Column:
-        last = F.array_max(F.filter(F.transform(ls, lambda x, k: F.when(F.contains(x, F.lit("开票人")), k)), lambda k: k.isNotNull()))
-        return F.when(last.isNull(), "").otherwise(T.let(F.slice(ls, F.coalesce(last, F.lit(0)) + 1, F.lit(5)), named))
+    return T.let(T.nonempty(raw), drawer_near_label_of)
+
 
+def drawer_near_label_of(ls: Column) -> Column:
     def named(win: Column) -> Column:
         inline = F.regexp_extract(T.normalize(F.get(win, F.lit(0))), f"开票人[:：]?(?U:\\s)*([{V.CJK}]{{2,4}})", 1)
         short = F.filter(F.transform(F.slice(win, F.lit(2), F.lit(4)), T.cjk_only), lambda x: (F.char_length(x) <= 4) & T.is_person(x))
         return T.let(inline, lambda v: F.when((v != "") & T.is_person(v), v).otherwise(T.first(short)))
 
-    return T.let(T.nonempty(raw), body)
+    last = F.array_max(F.filter(F.transform(ls, lambda x, k: F.when(F.contains(x, F.lit("开票人")), k)), lambda k: k.isNotNull()))
+    return F.when(last.isNull(), "").otherwise(T.let(F.slice(ls, F.coalesce(last, F.lit(0)) + 1, F.lit(5)), named))
 
 
 def is_day(c: Column) -> Column:

@@ -9,6 +9,8 @@ from tallyleaf.functions import values as V
 
 BLANK = "(?U)[\\s\\x1c-\\x1f]"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The same characters, one by one.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TRIM = " :：,，;；|[]()（）"
 
 def alternatives(words) -> str:
@@ -29,10 +31,12 @@ def normalize(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    v = F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
-    v = F.get(F.split(v, "[|#<>]{2,}", 2), F.lit(0))
-    v = F.replace(F.regexp_replace(v, "^(名称|名(?U)\\s*称)[:：]?", ""), F.lit(","), F.lit(""))
-    return F.btrim(v, F.lit(TRIM))
+    """A line without blanks and signs around it, cut at rows of signs, without the label of a name."""
+    # few lines have signs or a label, so most go without a regex
+    signs = lambda v: F.contains(v, F.lit("|")) | F.contains(v, F.lit("#")) | F.contains(v, F.lit("<")) | F.contains(v, F.lit(">"))
+    cut = lambda v: F.when(signs(v), F.get(F.split(v, "[|#<>]{2,}", 2), F.lit(0))).otherwise(v)
+    bare = lambda v: F.when(F.startswith(v, F.lit("名")), F.regexp_replace(v, "^(名称|名(?U)\\s*称)[:：]?", "")).otherwise(v)
+    return F.btrim(F.replace(let(let(F.btrim(c, F.lit(BLANKS)), cut), bare), F.lit(","), F.lit("")), F.lit(TRIM))
 
 
 def squeeze(c: Column) -> Column:

@@ -25,10 +25,12 @@ def primary(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("invoice_type", X.invoice_type(F.col("invoice_type"), F.col("norm")))
 
 
-def tail_values(df: DataFrame, text: str = "text") -> DataFrame:
-    """Fills fields from the values that follow the last 开票人 label (texts of electronic invoices)."""
-    ls = T.nonempty(F.col(text))
-    df = df.withColumn("_lines", ls)
+def tail_values(df: DataFrame, text: str = "text", lines: Column | None = None) -> DataFrame:
+    """Fills fields from the values that follow the last 开票人 label (texts of electronic invoices).
+
+    ``lines`` are the text's cleaned lines, where they have been made before.
+    """
+    df = df.withColumn("_lines", T.nonempty(F.col(text)) if lines is None else lines)
     last = F.array_max(F.transform(F.col("_lines"), lambda x, k: F.when(F.contains(x, F.lit("开票人")), k + 1).otherwise(0)))
     df = df.withColumn("_last", F.coalesce(last, F.lit(0)))
     df = df.withColumn("_tail", F.when(F.col("_last") > 0, F.transform(F.slice("_lines", F.col("_last") + 1, F.greatest(F.size("_lines"), F.lit(1))), T.normalize)).otherwise(F.array().cast("array<string>")))
@@ -39,7 +41,7 @@ def tail_values(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "_ids": F.filter(t, is_id),
-            "_firms": F.filter(t, lambda x: x.rlike("(?:公司|税务局|合作社|商店|中心|厂|部)$")),
+            "_last_firms": F.filter(t, lambda x: x.rlike("(?:公司|税务局|合作社|商店|中心|厂|部)$")),
             "_days": F.transform(F.filter(t, X.is_day), lambda x: F.when(x.rlike("\\A20[0-9]{6}\\z"), solid(x)).otherwise(x)),
             "_numbers": F.filter(t, lambda x: x.rlike("\\A[0-9]{16,20}\\z")),
             "_people": F.filter(t, lambda x: T.is_person(x) & ~x.rlike("客车|不征税")),
@@ -53,7 +55,7 @@ def tail_values(df: DataFrame, text: str = "text") -> DataFrame:
         near = F.transform(t, lambda x, i: F.when(x == own, T.first(F.filter(F.slice(t, i + 2, F.lit(3)), T.is_company))).otherwise(""))
         return F.when((F.lit(k) == 0) | (own != F.get("_ids", F.lit(0))), T.first(X.nonblank(near))).otherwise("")
 
-    ids, firms, c = F.col("_ids"), F.col("_firms"), F.col("_cents")
+    ids, firms, c = F.col("_ids"), F.col("_last_firms"), F.col("_cents")
     df = df.withColumns(
         {
             "buyer_tax_id": fill(F.col("buyer_tax_id"), F.get(ids, F.lit(0))),
@@ -78,26 +80,29 @@ def tail_values(df: DataFrame, text: str = "text") -> DataFrame:
             "drawer": F.when(F.col("_drawer") != "", F.col("_drawer")).otherwise(fill(F.col("drawer"), F.get("_people", F.lit(0)))),
         }
     )
-    return df.drop("_lines", "_last", "_tail", "_ids", "_firms", "_days", "_numbers", "_people", "_cents", "_drawer", "_sum", "_untaxed", "_most")
+    return df.drop("_lines", "_last", "_tail", "_ids", "_last_firms", "_days", "_numbers", "_people", "_cents", "_drawer", "_sum", "_untaxed", "_most")
 
 
 def parse(df: DataFrame, text: str = "text") -> DataFrame:
     """The record of every row: all columns of ``df`` and the 13 fields ('' where missing)."""
     keep = [c for c in df.columns if c not in V.FIELDS]
     raw, norm = F.col(text), F.col("norm")
-    df = tail_values(primary(df.select(*keep), text), text)
+    df = primary(df.select(*keep), text).withColumn("_items", X.items(raw))
+    each = F.col("_items")
+    df = df.withColumns({"_clean": each["clean"], "_kept": each["norm"], "_found": each["firm"], "_firms": X.companies_of(each)}).drop("_items")
+    df = tail_values(df, text, F.col("_clean"))
     df = df.withColumns(
         {
             "invoice_code": fill(F.col("invoice_code"), X.fallback_code(norm)),
             "invoice_no": fill(F.col("invoice_no"), X.fallback_number(norm)),
             "invoice_date": fill(F.col("invoice_date"), X.fallback_date(norm)),
             "total": fill(F.col("total"), X.fallback_total(norm)),
-            "_buyer_id": X.buyer_tax(raw),
+            "_buyer_id": X.buyer_tax_of(F.col("_kept")),
             "_check": X.checksum(norm),
         }
     )
     df = df.withColumn("buyer_tax_id", F.when(F.col("_buyer_id") != "", F.col("_buyer_id")).otherwise(F.col("buyer_tax_id")))
-    df = df.withColumn("_seller_id", X.seller_tax(raw, F.col("buyer_tax_id")))
+    df = df.withColumn("_seller_id", X.seller_tax_of(F.col("_kept"), F.col("buyer_tax_id")))
     others = F.filter(X.tax_candidates_from_lines(raw), lambda v: (v != F.col("_check")) & (v != F.col("buyer_tax_id")))
     cleared = lambda c: F.when(c == F.col("_check"), "").otherwise(c)
     df = df.withColumn("seller_tax_id", F.when(F.col("_seller_id") != "", F.col("_seller_id")).otherwise(cleared(F.col("seller_tax_id"))))
@@ -107,17 +112,17 @@ def parse(df: DataFrame, text: str = "text") -> DataFrame:
     lose_buyer = F.contains("invoice_type", F.lit("普通发票")) | (F.col("_buyer_id") == "")
     df = df.withColumns({"buyer_tax_id": F.when(same & lose_buyer, "").otherwise(F.col("buyer_tax_id")), "seller_tax_id": F.when(same & ~lose_buyer, "").otherwise(F.col("seller_tax_id"))})
 
-    df = df.withColumn("_firms", X.companies(raw))
-    df = df.withColumn("buyer_name", F.when(T.is_company(F.col("buyer_name")), F.col("buyer_name")).otherwise(X.buyer_name(raw)))
+    df = df.withColumn("buyer_name", F.when(T.is_company(F.col("buyer_name")), F.col("buyer_name")).otherwise(X.buyer_name_of(F.col("_clean"), F.col("_found"))))
     df = df.withColumn("buyer_name", fill(F.col("buyer_name"), F.get("_firms", F.lit(0))))
-    df = df.withColumn("_seller", X.seller_name(raw, F.col("buyer_name")))
+    df = df.withColumn("_seller", X.seller_name_of(F.col("_clean"), F.col("_found"), F.col("buyer_name")))
     df = df.withColumn("seller_name", F.when(F.col("_seller") != "", F.col("_seller")).otherwise(F.col("seller_name")))
     bad = T.is_stamp(F.col("seller_name")) | (F.char_length("seller_name") < 2)
     liked = F.filter("_firms", lambda v: (v != F.col("buyer_name")) & T.contains_any(v, V.PREFERRED_SELLERS))
     second = F.when(F.size("_firms") > 1, F.coalesce(F.get(liked, F.size(liked) - 1), F.get("_firms", F.lit(1))))
     df = df.withColumn("seller_name", fill(F.when(bad, F.col("_seller")).otherwise(F.col("seller_name")), second))
 
-    agent_id, agent = X.agent_tax(norm), X.agent_name(raw)
+    agent_id = X.agent_tax(norm)
+    agent = F.when(F.contains(raw, F.lit("代开企业名称")), X.agent_name_of(F.col("_clean"))).otherwise("")
     df = df.withColumns({"seller_tax_id": F.when(agent_id != "", agent_id).otherwise(F.col("seller_tax_id")), "seller_name": F.when(agent != "", agent).otherwise(F.col("seller_name"))})
 
     df = df.withColumn("_split", X.infer_amount_tax(norm, F.col("total")))
@@ -131,7 +136,7 @@ def parse(df: DataFrame, text: str = "text") -> DataFrame:
     )
     lone = (F.col("amount") == "") & (F.col("total") != "") & F.contains("invoice_type", F.lit("普通发票")) & (F.col("tax") == "")
     df = df.withColumn("amount", F.when(lone, F.col("total")).otherwise(F.col("amount")))
-    near = X.drawer_near_label(raw)
+    near = X.drawer_near_label_of(F.col("_clean"))
     df = df.withColumn("drawer", F.when(near != "", near).when((F.col("drawer") != "") & ~T.is_person(F.col("drawer")), "").otherwise(F.col("drawer")))
     return df.select(*[c for c in keep], *V.FIELDS)
 
