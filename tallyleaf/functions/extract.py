@@ -117,7 +117,7 @@ def agent_name_of(ls: Column) -> Column:
 
     def at(x: Column, k: Column) -> Column:
         inline = T.clean(F.regexp_replace(x, "^.*?代开企业名称[:：]?", ""))
-        lead = F.when((inline != "") & ~T.contains_any(inline, V.AGENT_SKIPS + V.AGENT_STOPS), F.regexp_replace(inline, keep, "")).otherwise("")
+        lead = T.let(inline, lambda v: F.when((v != "") & ~T.contains_any(v, V.AGENT_SKIPS + V.AGENT_STOPS), F.regexp_replace(v, keep, "")).otherwise(""))
         later = F.transform(F.slice(ls, k + 2, F.lit(7)), lambda y: F.regexp_replace(y, keep, ""))
 
         def fold(acc: Column, y: Column) -> Column:
@@ -145,7 +145,7 @@ def company(c: Column) -> Column:
         return T.let(T.clean(F.regexp_extract(c, pattern, 1)), lambda v: F.when(T.is_company(v), v).otherwise(other))
 
     # most lines hold no organisation suffix at all
-    return F.when(c.rlike(V.ORG_SUFFIX), F.when(c.rlike(NAMED_COMPANY), checked(NAMED_COMPANY, checked(COMPANY, F.lit("")))).otherwise(checked(COMPANY, F.lit("")))).otherwise("")
+    return F.when(T.has_suffix(c), F.when(c.rlike(NAMED_COMPANY), checked(NAMED_COMPANY, checked(COMPANY, F.lit("")))).otherwise(checked(COMPANY, F.lit("")))).otherwise("")
 
 
 def companies(raw: Column) -> Column:
@@ -174,7 +174,7 @@ def buyer_name_of(ls: Column, firms: Column) -> Column:
     def at(x: Column, k: Column) -> Column:
         lo = F.greatest(F.lit(0), k - 6)
         scope = F.slice(ls, lo + 1, k + 12 - lo)
-        stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(y.rlike("销售方|货物或应税劳务|价税合计"), i)), lambda i: i.isNotNull()))
+        stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(T.contains_any(y, ("销售方", "货物或应税劳务", "价税合计")), i)), lambda i: i.isNotNull()))
         size = F.coalesce(stop, F.size(scope))
         win = F.slice(ls, lo + 1, size)
         return F.when(F.contains(x, F.lit("购买方")), T.first(nonblank(F.concat(F.array(company(F.array_join(win, ""))), F.slice(firms, lo + 1, size))))).otherwise("")
