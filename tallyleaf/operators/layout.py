@@ -72,8 +72,15 @@ def region_bounds(items: Column, height: float) -> Column:
 
 def regions(lines: DataFrame, height: float) -> DataFrame:
     """(doc_id, buyer_start, buyer_end, seller_start) of pages with text."""
-    found = with_items(line_pages(lines)).where(F.size("_l") > 0)
-    return found.select("doc_id", region_bounds(F.col("_l"), height).alias("r")).select("doc_id", "r.*")
+    return page_regions(line_pages(lines), height)
+
+
+def page_regions(pages: DataFrame, height: float) -> DataFrame:
+    """As ``regions``, of pages (doc_id, lines) whose lines come as arrays."""
+    found = with_items(pages)
+    # rows come from an array, as a filter on what was found would be pushed down with all of its making
+    r = F.when(F.size("_l") > 0, F.array(region_bounds(F.col("_l"), height)))
+    return found.select("doc_id", F.inline_outer(r)).where("buyer_start is not null")
 
 
 def pairs_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,15 +118,6 @@ def column_value(lines: DataFrame, label: Column, value: Column, height: float)
     return best_pair(a.where(label).join(b.where(value), (F.col("l_doc_id") == F.col("v_doc_id")) & near), 2 * dx + F.abs(dy))
 
 
-def money_lines(lines: DataFrame, height: float) -> DataFrame:
-    """Money values with their lines: the lower part of the page, without lines of codes and accounts."""
-    g = with_geometry(lines).where(F.col("y1") + F.col("y2") >= 0.7 * height).withColumn("t", T.squeeze(F.col("text")))
-    g = g.where(~T.contains_any(F.col("t"), V.NO_MONEY))
-    found = F.filter(F.transform(T.find_all(F.col("text"), V.MONEY_FIND, 1), lambda v: T.cents(F.replace(v, F.lit(","), F.lit("")))), lambda c: (c > 0) & (c < 100_000_000_000))
-    named = T.contains_any(F.col("t"), V.TOTAL_MARKS)
-    return g.select("doc_id", "line_no", "cx", "cy", "height", "score", named.alias("named"), F.posexplode(found).alias("cand_no", "cents"))
-
-
 def triple_score(t, a, x, height: float, width: float) -> Column:
     """How well total, amount and tax (anything that gives columns by name) sit on the page."""
     row = F.abs(a["cy"] - x["cy"]) <= 2.2 * F.greatest(a["height"], x["height"])
@@ -135,27 +133,16 @@ def triple_score(t, a, x, height: float, width: float) -> Column:
 
 
 def amount_tax_total(lines: DataFrame, height: float, width: float) -> DataFrame:
-    """(doc_id, amount, tax, total) in cents: the triple that adds up and sits best.
+    """(doc_id, amount, tax, total) in cents: the triple that adds up and sits best, else the last sum of the page alone."""
+    return page_sums(line_pages(lines), height, width)
 
-    Tax and total meet on the cents band around total - amount (three cents
-    to either side), so the third role is an equality join.
-    """
-    c = money_lines(lines, height)
-    role = lambda p: c.select(*[F.col(x).alias(f"{p}_{x}") for x in c.columns])
-    total, amount = role("t").where(f"t_cy >= {0.55 * height}"), role("a")
-    ta = total.join(amount, (F.col("t_doc_id") == F.col("a_doc_id")) & (F.col("a_cy") < F.col("t_cy")))
-    ta = ta.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: F.col("t_cents") - F.col("a_cents") + d)))
-    met = ta.join(role("x"), (F.col("x_doc_id") == F.col("t_doc_id")) & (F.col("x_cents") == F.col("band")) & (F.col("x_cy") < F.col("t_cy")))
-    apart = (F.col("x_line_no") != F.col("a_line_no")) | (F.col("x_cand_no") != F.col("a_cand_no"))
-    met = met.where(apart & (F.col("a_cents") >= F.col("x_cents")))
-    role_of = lambda p: {f: F.col(f"{p}_{f}") for f in ("cx", "cy", "height", "score", "named")}
-    score = triple_score(role_of("t"), role_of("a"), role_of("x"), height, width)
-    order = [F.desc("s"), "t_line_no", "t_cand_no", "a_line_no", "a_cand_no", "x_line_no", "x_cand_no"]
-    w = Window.partitionBy("t_doc_id").orderBy(*order)
-    best = met.withColumn("s", score).withColumn("n", F.row_number().over(w)).where("n = 1")
-    best = best.select(F.col("t_doc_id").alias("doc_id"), F.col("a_cents").alias("amount"), F.col("x_cents").alias("tax"), F.col("t_cents").alias("total"))
-    alone = c.groupBy("doc_id").agg(F.max(F.struct("named", "cy", "cents"))["cents"].alias("last"))
-    return alone.join(best, "doc_id", "left").select("doc_id", "amount", "tax", F.coalesce("total", "last").alias("total"))
+
+def page_sums(pages: DataFrame, height: float, width: float) -> DataFrame:
+    """As ``amount_tax_total``, of pages (doc_id, lines) whose lines come as arrays."""
+    low = F.filter("lines", lambda x: x["y1"] + x["y2"] >= 0.7 * height)
+    sums = sums_of(F.transform(low, line_facts_of_sums), height, width)
+    found = pages.select("doc_id", F.inline_outer(F.array(sums)))
+    return found.where("total is not null")
 
 
 def windows(items: Column, ahead: int, make) -> Column:
@@ -227,7 +214,19 @@ def amounts_of(items: Column, height: float, width: float) -> Column:
     Totals and amounts are paired first, as far as the amount can be the
     larger part of the total, and taxes are looked for under such pairs only.
     """
-    low = pages.where(items, lambda x: (x["cy"] >= 0.35 * height) & ~T.contains_any(x["t"], V.NO_MONEY))
+    return sums_of(pages.where(items, lambda x: x["cy"] >= 0.35 * height), height, width)
+
+
+def line_facts_of_sums(x: Column) -> Column:
+    """What sums ask of a line, be it blank or not."""
+    text = F.coalesce(x["text"], F.lit(""))
+    centre = lambda a, b: (x[a] + x[b]) / 2
+    return F.struct(x["line_no"].alias("line_no"), text.alias("text"), x["score"].alias("score"), centre("x1", "x2").alias("cx"), centre("y1", "y2").alias("cy"), F.greatest(F.lit(1.0), x["y2"] - x["y1"]).alias("height"), T.squeeze(text).alias("t"))
+
+
+def sums_of(lower: Column, height: float, width: float) -> Column:
+    """As ``amounts_of``, of the lines in the lower part of the page."""
+    low = pages.where(lower, lambda x: ~T.contains_any(x["t"], V.NO_MONEY))
     sums = lambda x: F.filter(F.transform(T.find_all(x["text"], V.MONEY_FIND, 1), lambda v: T.cents(F.replace(v, F.lit(","), F.lit("")))), lambda c: (c > 0) & (c < 100_000_000_000))
     named = lambda x: T.contains_any(x["t"], V.TOTAL_MARKS)
     cands = F.flatten(F.transform(low, lambda x: F.transform(sums(x), lambda c, n: F.struct(x["line_no"].alias("line_no"), n.alias("cand_no"), c.alias("cents"), *[x[f].alias(f) for f in ("cx", "cy", "height", "score")], named(x).alias("named")))))
@@ -245,15 +244,32 @@ def amounts_of(items: Column, height: float, width: float) -> Column:
     return T.let(cands, best)
 
 
+def valued(df: DataFrame, value: Column) -> DataFrame:
+    """(doc_id, value) where there is one; as rows of an array, or the filter would be pushed down with all of its making."""
+    return df.select("doc_id", F.explode_outer(F.array(value)).alias("value")).where("value is not null")
+
+
 def choose_tax_id(lines: DataFrame, scope: DataFrame) -> DataFrame:
     """(doc_id, value): the best tax id among lines whose centre lies in scope (doc_id, start, end)."""
     found = with_items(line_pages(lines)).join(scope, "doc_id")
-    return found.select("doc_id", tax_id_of(inside(F.col("_l"), F.col("start"), F.col("end"))).alias("value")).where("value is not null")
+    return valued(found, tax_id_of(inside(F.col("_l"), F.col("start"), F.col("end"))))
+
+
+def page_tax_ids(pages: DataFrame, height: float) -> DataFrame:
+    """(doc_id, role, value): the best tax ids of the buyer's and of the seller's region of pages (doc_id, lines)."""
+    found = with_items(pages).withColumn("_r", region_bounds(F.col("_l"), height))
+    scopes = {"buyer": ("buyer_start", F.col("_r")["buyer_end"]), "seller": ("seller_start", F.lit(float(height)))}
+    best = [F.struct(F.lit(role).alias("role"), tax_id_of(inside(F.col("_l"), F.col("_r")[start], end)).alias("value")) for role, (start, end) in scopes.items()]
+    return found.select("doc_id", F.inline(F.array(*best))).where("value is not null")
 
 
 def choose_checksum(lines: DataFrame, height: float) -> DataFrame:
-    found = with_items(line_pages(lines))
-    return found.select("doc_id", checksum_of(F.col("_l"), height).alias("value")).where("value is not null")
+    return page_checksum(line_pages(lines), height)
+
+
+def page_checksum(pages: DataFrame, height: float) -> DataFrame:
+    """(doc_id, value) of pages (doc_id, lines) whose lines come as arrays."""
+    return valued(with_items(pages), checksum_of(F.col("_l"), height))
 
 
 def refine_pages(df: DataFrame, height: float, width: float) -> DataFrame:
