@@ -144,3 +144,20 @@ def moved_line(m: Column, class_id: Column, box: tuple[Column, Column, Column, C
         return dataset.clipped_line(class_id, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), width.cast("double"), height.cast("double"))
 
     return let(four, line)
+
+
+def moved_lines(boxes: DataFrame, view: str, class_id: str, box: tuple[str, str, str, str], width: int, height: int) -> DataFrame:
+    """Adds ``line``: the label line of the upright box around a moved box, cut to the image; null if a side is under two pixels.
+
+    The moved corners are columns of their own, so each is worked out once and in compiled code.
+    """
+    at = lambda k: F.get(view, F.lit(k))
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in box)
+    corners = ((x1, y1), (x2, y1), (x2, y2), (x1, y2))
+    row = lambda k, x, y: at(k) * x + at(k + 1) * y + at(k + 2)
+    # what goes to infinity goes to the origin
+    out = boxes.withColumns({f"_z{i}": F.coalesce(F.try_divide(F.lit(1.0), row(6, x, y)), F.lit(0.0)) for i, (x, y) in enumerate(corners)})
+    side = lambda k, pick: pick(*[row(k, x, y) * F.col(f"_z{i}") for i, (x, y) in enumerate(corners)])
+    out = out.withColumns({"_left": side(0, F.least), "_top": side(3, F.least), "_right": side(0, F.greatest), "_low": side(3, F.greatest)})
+    line = dataset.clipped_line(F.col(class_id), *(F.col(c) for c in ("_left", "_top", "_right", "_low")), F.lit(float(width)), F.lit(float(height)))
+    return out.withColumn("line", line).drop(*[f"_z{i}" for i in range(4)], "_left", "_top", "_right", "_low")
