@@ -73,13 +73,24 @@ def parse_annotations(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def linked_pairs(nodes: DataFrame) -> DataFrame:
-    """Question and answer nodes that a question links: (image, pair_no, question, answer)."""
-    rows = nodes.select("image", F.posexplode("nodes").alias("node_no", "n"))
-    link = rows.where("n.label = 'question'").select("image", "node_no", "n", F.posexplode("n.linking").alias("link_no", "link"))
-    link = link.where(F.size("link") == 2).where(F.get("link", F.lit(0)) == F.col("n.id")).withColumn("right", F.get("link", F.lit(1)))
-    answers = rows.where("n.label = 'answer'").groupBy("image", F.col("n.id").alias("right")).agg(F.max_by("n", "node_no").alias("answer"))
-    met = link.join(answers, ["image", "right"])
-    return met.select("image", "node_no", "link_no", F.col("n").alias("question"), "answer")
+    """Question and answer nodes that a question links: (image, node_no, link_no, question, answer).
+
+    The nodes of an image, even of several lines, come together once; links are followed in the row.
+    """
+    rows = nodes.where("image is not null").select("image", F.posexplode("nodes").alias("node_no", "n")).where("n.label in ('question', 'answer')")
+    own = rows.groupBy("image").agg(F.collect_list(F.struct("node_no", "n")).alias("own"))
+    labelled = lambda label: F.filter("own", lambda x: x["n"]["label"] == label)
+    own = own.select("image", labelled("question").alias("questions"), labelled("answer").alias("answers"))
+    # of several answers with the number that a link names the last one counts
+    named = lambda k: F.array_max(F.transform(F.filter("answers", lambda a: a["n"]["id"] == k), lambda a: F.struct(a["node_no"].alias("node_no"), a["n"].alias("n"))))["n"]
+
+    def links(q: Column) -> Column:
+        met = lambda link: F.when((F.size(link) == 2) & (F.get(link, F.lit(0)) == q["n"]["id"]), named(F.get(link, F.lit(1))))
+        made = F.transform(q["n"]["linking"], lambda link, k: F.struct(q["node_no"].alias("node_no"), k.alias("link_no"), q["n"].alias("question"), met(link).alias("answer")))
+        return F.filter(made, lambda m: m["answer"].isNotNull())
+
+    met = F.filter(F.transform("questions", links), lambda m: m.isNotNull())
+    return own.select("image", F.inline(F.flatten(met)))
 
 
 def convert(nodes: DataFrame, width: Column, height: Column) -> DataFrame:
