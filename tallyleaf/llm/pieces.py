@@ -22,16 +22,22 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+import struct
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyleaf.llm.common import STEP
+
 SPACE = "▁"
-#: Units never span these cuts, and no piece does: a space run begins a unit, a line feed is one.
-UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Units never span these cuts, and no piece does: a space run begins a unit, a line feed is one (and keeps a word that follows at once).
+UNIT = re.compile(" +[^ \n]*|\n[^ \n]*")
+NO_PIECE = -1e30
 UNKNOWN_PENALTY = 10.0
 LEXICON_WORDS = 50_000
 LEXICON_CHARS = 24
@@ -54,9 +60,23 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.normal[text] = (i, sp.get_score(i))
         self.longest = max(map(len, self.normal))
+        self.scores = {t: s for t, (_, s) in self.normal.items()}
         ranks = [s for _, s in sorted(self.normal.values()) if s > -1e8]
         self.by_merges = all(s <= 0 and s == int(s) for s in ranks) and all(a > b for a, b in zip(ranks, ranks[1:], strict=False))
         self.unknown = min(s for _, s in self.normal.values() if s > -1e8) - UNKNOWN_PENALTY
+        self.symbols, self.pairs = self.merges() if self.by_merges else ({}, ())
+
+    def merges(self) -> tuple[dict[str, int], tuple[np.ndarray, ...]]:
+        """Symbols of single characters, and (pair, piece, rank) of all pairs of symbols that are a piece, in order of pairs."""
+        symbols = {t: i for t, (i, _) in self.normal.items()}
+        # characters that are in pieces only get symbols of their own
+        for c in sorted(set("".join(symbols))):
+            symbols.setdefault(c, len(symbols) + len(self.texts))
+        rank = {s: k for k, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        cuts = ((t[:k], t[k:], i, rank[s]) for t, (i, s) in self.normal.items() for k in range(1, len(t)))
+        found = sorted(((symbols[a] + 1 << 32) | symbols[b] + 1, i, r) for a, b, i, r in cuts if a in symbols and b in symbols)
+        keys, made, ranks = (np.array([x[k] for x in found], dtype=t) for k, t in enumerate((np.int64, np.int32, np.int32)))
+        return {t: i for t, i in symbols.items() if len(t) == 1}, (keys, made, ranks)
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(t, i, float(s)) for t, (i, s) in self.normal.items()]
@@ -64,7 +84,14 @@ class Pieces:
 
 
 def units_of(text: str) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """The units of a text, U+2581 read as a space: each without the first of its spaces, or a line feed and the word right after it."""
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    spread = text.replace("\n", " \n")
+    if "  " in spread or spread[0] == " " or spread[-1] == " ":
+        return [u[1:] if u[0] == " " else u for u in UNIT.findall(" " + text)]
+    return spread.split(" ")
 
 
 def viterbi(word: str, pieces: Pieces) -> tuple[int, ...]:
@@ -97,19 +124,19 @@ def merged(word: str, pieces: Pieces) -> tuple[int, ...]:
     normal = pieces.normal
     parts: list[str | None] = list(word)
     if len(parts) <= 24:
-        low = (0, -1e30)
-        ranks = [normal.get(x + y, low)[1] for x, y in zip(parts, parts[1:], strict=False)]
+        score = pieces.scores.get
+        ranks = list(map(score, map(add, word, word[1:]), repeat(NO_PIECE)))
         while ranks:
             best = max(ranks)
-            if best == -1e30:
+            if best == NO_PIECE:
                 break
             at = ranks.index(best)
-            parts[at] += parts.pop(at + 1)
             del ranks[at]
+            parts[at] = both = parts[at] + parts.pop(at + 1)
             if at:
-                ranks[at - 1] = normal.get(parts[at - 1] + parts[at], low)[1]
+                ranks[at - 1] = score(parts[at - 1] + both, NO_PIECE)
             if at < len(ranks):
-                ranks[at] = normal.get(parts[at] + parts[at + 1], low)[1]
+                ranks[at] = score(both + parts[at + 1], NO_PIECE)
     else:
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -142,6 +169,85 @@ def segment(word: str, pieces: Pieces) -> tuple[int, ...]:
     return merged(word, pieces) if pieces.by_merges else viterbi(word, pieces)
 
 
+class Merger:
+    """``merged`` for many words at a time: each round joins the best pair of every word."""
+
+    CHARS, WORDS = 24, 4096
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, pieces: Pieces):
+        self.known = len(pieces.texts)
+        self.keys, self.made, self.ranks = pieces.pairs
+        self.of = np.full(0x110000, -1, dtype=np.int32)
+        self.of[[ord(t) for t in pieces.symbols]] = list(pieces.symbols.values())
+        # pairs are found by a table of their hashes, on a clash by a search
+        self.slots = np.full(1 << 20, -1, dtype=np.int32)
+        self.slots[self.slot(self.keys)] = np.arange(len(self.keys))
+        self.clash = np.zeros(1 << 20, dtype=bool)
+        lost = self.slots[self.slot(self.keys)] != np.arange(len(self.keys))
+        self.clash[self.slot(self.keys[lost])] = True
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(STEP)) >> np.uint64(44)).astype(np.int64)
+
+    def pair(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, rank) of neighbours, NONE where they are none."""
+        if not len(self.keys):
+            return np.full(len(x), -1, dtype=np.int32), np.full(len(x), self.NONE, dtype=np.int32)
+        keys = (x.astype(np.int64) + 1 << 32) | (y.astype(np.int64) + 1)
+        slot = self.slot(keys)
+        at = self.slots[slot]
+        odd = np.flatnonzero(self.clash[slot])
+        at[odd] = np.minimum(np.searchsorted(self.keys, keys[odd]), len(self.keys) - 1)
+        fits = self.keys[at] == keys
+        return np.where(fits, self.made[at], -1), np.where(fits, self.ranks[at], self.NONE)
+
+    def chunk(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left of each word, one word after the other, and their numbers."""
+        n, wide = len(words), int(sizes[-1]) + 1
+        place = np.arange(wide)
+        real = place < sizes[:, None]
+        flat = np.full((n, wide), -2, dtype=np.int32)
+        flat[real] = self.of[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
+        # the last column stands for the end, at which nothing is joined
+        after = np.minimum(np.tile(place + 1, (n, 1)), wide - 1)
+        before = np.tile(place - 1, (n, 1))
+        made = np.full((n, wide), -1, dtype=np.int32)
+        rank = np.full((n, wide), self.NONE, dtype=np.int32)
+        both = real[:, 1:] & real[:, :-1]
+        made[:, :-1][both], rank[:, :-1][both] = self.pair(flat[:, :-1][both], flat[:, 1:][both])
+        alive, row = real, np.arange(n)
+        while len(row):
+            at = rank[row].argmin(axis=1) if len(row) < n else rank.argmin(axis=1)
+            some = rank[row, at] != self.NONE
+            row, at = row[some], at[some]
+            gone = after[row, at]
+            flat[row, at] = made[row, at]
+            alive[row, gone] = False
+            rank[row, gone] = self.NONE
+            after[row, at] = then = after[row, gone]
+            before[row, then] = at
+            made[row, at], rank[row, at] = self.pair(flat[row, at], flat[row, then])
+            inner = np.flatnonzero(before[row, at] >= 0)
+            r, left = row[inner], before[row[inner], at[inner]]
+            made[r, left], rank[r, left] = self.pair(flat[r, left], flat[r, at[inner]])
+        return flat[alive], alive.sum(axis=1)
+
+    def __call__(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Words and their packed ids, without those that are long or hold a character that is no piece."""
+        words = sorted((w for w in words if 0 < len(w) <= self.CHARS), key=len)
+        for lo in range(0, len(words), self.WORDS):
+            some = words[lo : lo + self.WORDS]
+            ids, n = self.chunk(some, np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
+            ends = np.cumsum(n)
+            bad = np.add.reduceat((ids < 0) | (ids >= self.known), ends - n) > 0
+            data = ids.astype("<i4").tobytes()
+            for word, a, b, odd in zip(some, (4 * (ends - n)).tolist(), (4 * ends).tolist(), bad.tolist(), strict=True):
+                if not odd:
+                    yield word, data[a:b]
+
+
 def lexicon(words: DataFrame, table: DataFrame, longest: int, unknown: float, first_byte: int, by_merges: bool = False) -> DataFrame:
     """(word, ids) of distinct words, by a relational lattice.
 
@@ -218,19 +324,42 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
     return first.orderBy(F.desc("n"), "word").limit(most).select(F.concat(F.lit(SPACE), "word").alias("word"))
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    ids = tuple(ids)
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Memory(dict):
-    """Words to ids: the lexicon, then what was met lately (two generations)."""
+    """Units to packed ids: the lexicon, then what was met lately (two generations)."""
 
     ROOM = 280_000
 
-    def __init__(self, lexicon: dict[str, tuple[int, ...]], pieces: Pieces):
+    def __init__(self, lexicon: dict[str, bytes], pieces: Pieces):
         super().__init__()
         self.lexicon, self.pieces, self.old = lexicon, pieces, {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
+        self.merger = Merger(pieces) if pieces.by_merges else None
+
+    def learn(self, units: Iterable[list[str]]) -> None:
+        """Takes up the units of some texts that are not known yet, together."""
+        if not self.merger:
+            return
+        fresh = set().union(*units).difference(self, self.lexicon, self.old)
+        if len(self) + len(fresh) > self.ROOM:
+            self.old = dict(self)
+            self.clear()
+        plain = (SPACE + u.replace(" ", SPACE) for u in fresh if not u.startswith("\n"))
+        self.update((w[1:].replace(SPACE, " "), ids) for w, ids in self.merger(plain))
+
+    def found(self, word: str) -> bytes:
+        if not word.startswith("\n"):
+            return packed(segment(SPACE + word.replace(" ", SPACE), self.pieces))
+        return packed(segment("\n", self.pieces)) + packed(segment(word[1:], self.pieces))
+
+    def __missing__(self, word: str) -> bytes:
         found = self.lexicon.get(word) or self.old.get(word)
         if found is None:
-            found = segment(word, self.pieces)
+            found = self.found(word)
         if len(word) <= 64:
             if len(self) >= self.ROOM:
                 self.old = dict(self)
@@ -239,33 +368,43 @@ class Memory(dict):
         return found
 
 
-def decode_ids(ids: list[int], texts: list[str], byte_of: dict[int, int]) -> str:
+class Decoder:
     """Text of a sequence of ids; runs of byte pieces are read as UTF-8."""
-    odd = byte_of.keys() & set(ids)
-    if all(byte_of[i] < 128 for i in odd):  # each byte piece is a character
-        own = {i: chr(byte_of[i]) for i in odd}
-        text = "".join([texts[i] for i in ids] if not own else [own.get(i) or texts[i] for i in ids]).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-    out, held = [], bytearray()
-    for i in ids:
-        b = byte_of.get(i)
-        if b is not None:
-            held.append(b)
-            continue
+
+    def __init__(self, texts: list[str], byte_of: dict[int, int]):
+        self.texts, self.byte_of = texts, byte_of
+        # each byte below 128 is a character by itself
+        self.plain = [t.replace(SPACE, " ") if byte_of.get(i, 128) > 127 else chr(byte_of[i]) for i, t in enumerate(texts)]
+        self.high = np.array([byte_of.get(i, 0) > 127 for i in range(len(texts))])
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if not self.high[ids].any():
+            text = "".join(map(self.plain.__getitem__, ids.tolist()))
+            return text[1:] if text.startswith(" ") else text
+        out, held = [], bytearray()
+        for i in ids.tolist():
+            b = self.byte_of.get(i)
+            if b is not None:
+                held.append(b)
+                continue
+            if held:
+                out.append(held.decode("utf-8", "replace"))
+                held.clear()
+            out.append(self.texts[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(texts[i])
-    if held:
-        out.append(held.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+        text = "".join(out).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
+
+def decode_ids(ids: list[int], texts: list[str], byte_of: dict[int, int]) -> str:
+    return Decoder(texts, byte_of)(np.array(ids, dtype=np.int32))
 
 
-def broadcast_lexicon(docs: DataFrame, pieces: Pieces, most: int) -> dict[str, tuple[int, ...]]:
+def broadcast_lexicon(docs: DataFrame, pieces: Pieces, most: int) -> dict[str, bytes]:
     table = pieces.table(docs.sparkSession)
     found = lexicon(frequent_words(docs, most), table, pieces.longest, pieces.unknown, pieces.bytes[0], pieces.by_merges)
-    return {r.word: tuple(r.ids) for r in found.toLocalIterator()}
+    return {r.word.removeprefix(SPACE): packed(r.ids) for r in found.toLocalIterator()}
 
 
 def _mapped(docs: DataFrame, extra: list, work) -> DataFrame:
@@ -311,7 +450,9 @@ def encode(docs: DataFrame, model_file: str, most: int = LEXICON_WORDS) -> DataF
 
 
 def encoded(text: str | None, memory: Memory) -> list[int]:
-    return list(chain.from_iterable(map(memory.__getitem__, units_of(text or ""))))
+    units = units_of(text or "")
+    memory.learn([units])
+    return np.frombuffer(b"".join(map(memory.__getitem__, units)), dtype="<i4").tolist()
 
 
 def decode(coded: DataFrame, model_file: str) -> DataFrame:
@@ -326,7 +467,8 @@ def decode(coded: DataFrame, model_file: str) -> DataFrame:
     texts, byte_of = pieces.texts, {i: b for b, i in pieces.bytes.items()}
 
     def work():
-        return lambda _, ids: ([decode_ids(x or [], texts, byte_of) for x in ids],)
+        decoder = Decoder(texts, byte_of)
+        return lambda _, ids: ([decoder(np.array(x or [], dtype=np.int32)) for x in ids],)
 
     return _mapped(coded, [StructField("decoded", StringType())], work)
 
@@ -344,15 +486,18 @@ def encode_digest(docs: DataFrame, model_file: str, most: int = LEXICON_WORDS) -
     byte_of = {i: b for b, i in pieces.bytes.items()}
 
     def work():
-        memory = Memory(words, pieces)
+        memory, decoder = Memory(words, pieces), Decoder(pieces.texts, byte_of)
 
         def rows(texts, _):
             sizes, shas, trips = [], [], []
-            for text in texts:
-                ids = encoded(text, memory)
+            units = [units_of(t or "") for t in texts]
+            memory.learn(units)
+            for text, parts in zip(texts, units, strict=True):
+                data = b"".join(map(memory.__getitem__, parts))
+                ids = np.frombuffer(data, dtype="<i4")
                 sizes.append(len(ids))
-                shas.append(sha_of(ids))
-                trips.append(decode_ids(ids, pieces.texts, byte_of) == (text or "").replace(SPACE, " "))
+                shas.append(hashlib.sha256(data).hexdigest())
+                trips.append(decoder(ids) == (text or "").replace(SPACE, " "))
             return sizes, shas, trips
 
         return rows
@@ -365,7 +510,3 @@ def model_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
-
-
-def sha_of(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()

@@ -57,6 +57,19 @@ def test_relational_lattice_equals_the_local_one(spark, table):
         assert got == {w: local(w, table) for w in words}
 
 
+def test_words_of_a_batch_merge_together(table):
+    rng = random.Random(6)
+    words = {"▁" * rng.randrange(2) + "".join(rng.choice("theoanrs▁xé12ñ—字") for _ in range(rng.randrange(1, 23))) for _ in range(5000)}
+    got = dict(P.Merger(table)(words | {"", "\U000F1234", "▁a\U000F1234b", "a" * 30}))
+    assert got.keys() == {w for w in words if len(P.merged(w, table)) and not set(P.merged(w, table)) & set(table.bytes.values())}
+    assert all(ids == P.packed(P.merged(w, table)) for w, ids in got.items())
+    # so no word of a usual text is taken by itself
+    memory = P.Memory({}, table)
+    memory.found = None
+    text = " ".join(w.replace("▁", "x") for w in got if len(w) < 20)
+    assert P.encoded(text, memory)
+
+
 def test_encode_decode_tables(spark):
     rows = [(1, None, "c"), (2, "", "c"), (None, "a b", "c"), (4, "word\nTwo  é", "c"), (4, "word\nTwo  é", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
