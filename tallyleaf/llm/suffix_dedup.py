@@ -210,11 +210,9 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
 def block_ranks(t: np.ndarray) -> np.ndarray:
     """Dense ranks of the 8 bytes at every position (zeros follow the end)."""
     n = len(t)
-    padded = np.zeros(n + 8, dtype=np.uint64)
+    padded = np.zeros(n + 8, dtype=np.uint8)
     padded[:n] = t
-    block = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        block = (block << np.uint64(8)) | padded[k : k + n]
+    block = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
     order = np.argsort(block)
     ordered = block[order]
     rank = np.empty(n + LENGTH + 8, dtype=np.int64)
@@ -227,23 +225,19 @@ def sort_directly(at: np.ndarray, rank: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes at ``at`` in the order of their first ``depth`` bytes."""
     order = at[np.argsort(rank[at])]
     low = rank[order]
-    group = np.cumsum(np.append(0, low[1:] != low[:-1]))
+    slots, starts = np.arange(len(order)), np.append(True, low[1:] != low[:-1])[: len(order)]
     for off in range(8, depth, 8):
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
+        # those that stand alone have found their place
+        tied = np.flatnonzero(~(starts & np.append(starts[1:], True)))
         if not len(tied):
             break
-        pos = order[tied]
-        # groups are numbered afresh so that a key holds group and rank
-        g = np.cumsum(np.append(0, np.diff(group[tied]) != 0))
-        key = (g << 32) | (rank[pos + off] + 1)
+        slots = slots[tied]
+        pos = order[slots]
+        key = (np.cumsum(starts)[tied] << 32) | (rank[pos + off] + 1)
         by = np.argsort(key)
-        order[tied] = pos[by]
+        order[slots] = pos[by]
         key = key[by]
-        fresh = np.zeros(len(order), dtype=np.int64)
-        fresh[1:] = group[1:] != group[:-1]
-        fresh[tied[1:]] |= key[1:] != key[:-1]
-        group = np.cumsum(fresh)
+        starts = np.append(True, key[1:] != key[:-1])
     return order
 
 
@@ -265,17 +259,16 @@ def two_stage(t: np.ndarray, rank: np.ndarray, depth: int = LENGTH) -> np.ndarra
             c = t[before]
             order = np.argsort(c, kind="stable")
             before, c = before[order], c[order]
-            cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-            for part in np.split(before, cuts):
-                waiting[t[part[0]]].append(part)
+            cuts = np.append(0, np.flatnonzero(c[1:] != c[:-1]) + 1)
+            for byte, lo, hi in zip(c[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(c)], strict=True):
+                waiting[byte].append(before[lo:hi])
 
     for c in range(256):
-        k = 0
-        while k < len(waiting[c]):  # grows while runs of one byte are induced
-            out.append(waiting[c][k])
-            induce(waiting[c][k])
-            k += 1
-        waiting[c] = []
+        while waiting[c]:  # fills again while runs of one byte are induced
+            found = np.concatenate(waiting[c])
+            waiting[c] = []
+            out.append(found)
+            induce(found)
         if edges[c] < edges[c + 1]:
             own = direct[edges[c] : edges[c + 1]]
             out.append(own)
@@ -326,10 +319,10 @@ def resolve(table: pa.Table) -> pa.Table:
     # maximal runs of starts within a piece
     runs = np.flatnonzero(twice & ~np.append(False, twice[:-1])), np.flatnonzero(twice & ~np.append(twice[1:], False))
     lo, hi = np.searchsorted(runs[0], begin), np.searchsorted(runs[0], begin + sizes)
-    spans = [np.stack([runs[0][a:b] - s, runs[1][a:b] - s + LENGTH], axis=1) for a, b, s in zip(lo, hi, begin, strict=True)]
+    pairs = np.stack([runs[0], runs[1] + LENGTH], axis=1).astype(np.int64)
     sigs, firsts = table.column("sig").to_pylist(), table.column("first").to_numpy()
-    out = {(sigs[k], firsts[k]): of[k] for k in range(len(of)) if len(spans[of[k]])}
-    rows = [(sig, (spans[p] + first).astype(np.int64).tobytes(), None, 0) for (sig, first), p in out.items()]
+    out = {(sigs[k], firsts[k]): of[k] for k in np.flatnonzero((hi > lo)[of]).tolist()}
+    rows = [(sig, (pairs[lo[p] : hi[p]] + (first - begin[p])).tobytes(), None, 0) for (sig, first), p in out.items()]
     if hot.any():
         rows += open_cases(t, sa, group, n, hot, owner, begin, of, sigs, firsts)
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4

@@ -56,3 +56,12 @@ def test_two_stage_order(seed):
 def test_empty_table_and_extra_columns(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert S.remove_repeats(spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, sig string")).first().n_removed == 0
+
+
+def test_a_byte_is_induced_at_once(monkeypatch):
+    """Not each part of a byte's suffixes by itself."""
+    t = np.append(np.random.default_rng(7).integers(40, 100, 30_000), 255).astype(np.uint8)
+    rank, sort, calls = S.block_ranks(t), np.argsort, []
+    monkeypatch.setattr(S.np, "argsort", lambda *a, **k: calls.append(len(a[0])) or sort(*a, **k))
+    S.two_stage(t, rank)
+    assert len(calls) < 500
