@@ -8,6 +8,8 @@ lists are unfolded in the row, level by level.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def at(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def once(made: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is looked at."""
+    return F.get(F.transform(F.array(made), use), F.lit(0))
+
+
 def elements(v: Column) -> Column:
     """The elements of a list, null for anything else."""
     return at(v, "$", "array<variant>")
@@ -29,8 +36,8 @@ def elements(v: Column) -> Column:
 
 def first_present(v: Column, keys: tuple[str, ...], kind: str) -> Column:
     """The first of the lists that is there and not empty."""
-    found = [at(v, f"$.{k}", f"array<{kind}>") for k in keys]
-    return F.coalesce(*[F.when(F.size(a) > 0, a) for a in found], F.array().cast(f"array<{kind}>"))
+    found = F.array(*[at(v, f"$.{k}", f"array<{kind}>") for k in keys])
+    return F.coalesce(F.get(F.filter(found, lambda a: F.size(a) > 0), F.lit(0)), F.array().cast(f"array<{kind}>"))
 
 
 def confidence(text: Column) -> Column:
@@ -41,7 +48,10 @@ def confidence(text: Column) -> Column:
 
 def box_of(v: Column) -> Column:
     """(x1, y1, x2, y2) of four numbers or of at least two points; null for anything else."""
-    flat, points = at(v, "$", "array<double>"), at(v, "$", "array<array<double>>")
+    return once(F.struct(at(v, "$", "array<double>").alias("flat"), at(v, "$", "array<array<double>>").alias("points")), lambda x: box_in(x["flat"], x["points"]))
+
+
+def box_in(flat: Column, points: Column) -> Column:
     n = lambda k: F.get(flat, F.lit(k))
     side = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
     made = lambda x1, y1, x2, y2: F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
@@ -58,22 +68,22 @@ def line(text: Column, score: Column, box: Column) -> Column:
 
 def of_dictionary(v: Column) -> Column:
     """Lines of parallel lists, as many as the shorter of texts and scores, then that of a single text."""
-    rows = F.arrays_zip(first_present(v, TEXTS, "string").alias("t"), first_present(v, SCORES, "string").alias("s"))
-    texts, scores, boxes = first_present(v, TEXTS, "string"), first_present(v, SCORES, "string"), first_present(v, BOXES, "variant")
-    numbered = F.transform(rows, lambda x, k: F.when(k < F.least(F.size(texts), F.size(scores)), line(F.get(texts, k), F.get(scores, k), F.get(boxes, k))))
+    lists = F.struct(first_present(v, TEXTS, "string").alias("t"), first_present(v, SCORES, "string").alias("s"), first_present(v, BOXES, "variant").alias("b"))
+    both = lambda x, k: k < F.least(F.size(x["t"]), F.size(x["s"]))
+    numbered = once(lists, lambda x: F.transform(x["t"], lambda text, k: F.when(both(x, k), line(text, F.get(x["s"], k), F.get(x["b"], k)))))
     one = at(v, "$.text", "string")
     single = F.when(one != "", F.array(line(one, F.coalesce(at(v, "$.score", "string"), F.lit("0")), at(v, "$.box", "variant"))))
     return F.concat(F.coalesce(numbered, F.array().cast(f"array<{LINE}>")), F.coalesce(single, F.array().cast(f"array<{LINE}>")))
 
 
-def is_item(v: Column) -> Column:
-    """Whether a list is [box, [text, ...]]."""
-    return (F.size(elements(v)) == 2) & F.coalesce(F.schema_of_variant(at(v, "$[1][0]", "variant")) == "STRING", F.lit(False))
+def is_item(v: Column, parts: Column) -> Column:
+    """Whether a list, of these elements, is [box, [text, ...]]."""
+    return (F.size(parts) == 2) & F.coalesce(F.schema_of_variant(at(v, "$[1][0]", "variant")) == "STRING", F.lit(False))
 
 
 def unfolded(nodes: Column) -> Column:
     """Lists that are no item give way to their elements."""
-    return F.flatten(F.transform(nodes, lambda v: F.when(elements(v).isNotNull() & ~is_item(v), elements(v)).otherwise(F.array(v))))
+    return F.flatten(F.transform(nodes, lambda v: once(elements(v), lambda e: F.when(e.isNotNull() & ~is_item(v, e), e).otherwise(F.array(v)))))
 
 
 def lines_in(v: Column) -> Column:
@@ -83,7 +93,7 @@ def lines_in(v: Column) -> Column:
         nodes = unfolded(nodes)
     item = lambda x: F.array(line(at(x, "$[1][0]", "string"), F.coalesce(at(x, "$[1][1]", "string"), F.lit("0")), at(x, "$[0]", "variant")))
     deeper = F.raise_error(F.lit(f"output nested deeper than {DEPTH} lists")).cast(f"array<{LINE}>")
-    read = lambda x: F.when(is_item(x), item(x)).when(elements(x).isNotNull(), deeper).otherwise(of_dictionary(x))
+    read = lambda x: once(elements(x), lambda e: F.when(is_item(x, e), item(x)).when(e.isNotNull(), deeper).otherwise(of_dictionary(x)))
     return F.flatten(F.transform(nodes, read))
 
 

@@ -48,3 +48,9 @@ def test_deeper_output_is_refused(spark):
     df = spark.createDataFrame([("d", "[" * 9 + '{"text":"x"}' + "]" * 9)], "doc_id string, p string")
     with pytest.raises(Exception, match="nested deeper"):
         ocr_output.read_output(df, "p").collect()
+
+
+def test_lists_of_a_page_are_made_once(spark):
+    """Not again for each line, which made a page of n lines cost n times n."""
+    made = ocr_output.of_dictionary(F.col("v"))._jc.toString()
+    assert made.count("$.rec_texts") == made.count("$.rec_scores") == made.count("$.rec_boxes") == 1
