@@ -7,13 +7,14 @@ of any size, rows of an image of one length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyleaf.operators import raster, regions
-from tallyleaf.operators.shared import kept
 
 #: Weights of small Gaussian kernels by their size, in 1/256.
 SMALL_GAUSSIANS = {1: (256,), 3: (64, 128, 64), 5: (16, 64, 96, 64, 16), 7: (8, 28, 56, 72, 56, 28, 8)}
@@ -70,50 +71,102 @@ def gaussian(px: DataFrame, size: int = 5) -> DataFrame:
     return blurred_columns(px, size).select("img", "c", F.inline("l")).select("img", "r", "c", "v")
 
 
-def ridges(px: DataFrame, low: int, high: int) -> DataFrame:
-    """(img, r, c, strong): where the gradient is over ``low`` and largest across the edge; strong ones are over ``high``.
+class Along:
+    """Lines of pixels in order, many at once: the items before and behind each item of its line."""
+
+    def __init__(self, *keys: np.ndarray):
+        fresh = np.ones(len(keys[0]), bool)
+        fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        start = np.flatnonzero(fresh)
+        n = np.diff(np.r_[start, len(fresh)])
+        self.start, self.n = np.repeat(start, n), np.repeat(n, n)
+        self.k = np.arange(len(fresh)) - self.start
+
+    def mirrored(self, v: np.ndarray, d: int) -> np.ndarray:
+        period = np.maximum(1, 2 * (self.n - 1))
+        at = (self.k + d) % period
+        return v[self.start + np.minimum(at, period - at)]
+
+    def repeated(self, v: np.ndarray, d: int) -> np.ndarray:
+        return v[self.start + np.clip(self.k + d, 0, self.n - 1)]
+
+    def beyond(self, v: np.ndarray, d: int) -> np.ndarray:
+        """The value there, zero outside."""
+        at = self.k + d
+        return np.where((at >= 0) & (at < self.n), self.repeated(v, d), 0)
+
+
+def ridges(img: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For pixels in order of rows: 1 where the gradient is over ``low`` and largest across the edge, 2 if it is over ``high`` too, else 0.
 
     Lengths of gradients are sums of absolute values.  Along a row or column the
     first of two equal ones is the ridge, on diagonals neither is.
     """
-    columns = blurred_columns(px, 5)
-    columns = put(columns, "r", lambda x, k: {"s": repeated(k - 1)["v"] + 2 * x["v"] + repeated(k + 1)["v"], "d": repeated(k + 1)["v"] - repeated(k - 1)["v"]})
-    rows = lines(columns.select("img", "c", F.inline("l")), "r", "c", "s", "d")
-    rows = put(rows, "c", lambda x, k: {"gx": repeated(k + 1)["s"] - repeated(k - 1)["s"], "gy": repeated(k - 1)["d"] + 2 * x["d"] + repeated(k + 1)["d"]})
-    rows = put(rows, "c", lambda x, k: {"gx": x["gx"], "gy": x["gy"], "m": F.abs(x["gx"]) + F.abs(x["gy"])})
-    rows = put(rows, "c", lambda x, k: {"gx": x["gx"], "gy": x["gy"], "m": x["m"], "left": beyond(k - 1, "m"), "right": beyond(k + 1, "m")})
-    columns = lines(rows.select("img", "r", F.inline("l")), "c", "r", "gx", "gy", "m", "left", "right")
-
-    def ridge(x: Column, k: Column) -> Column:
-        gx, gy, m = x["gx"], x["gy"], x["m"]
-        wide, high_ = F.abs(gx).cast("bigint"), F.abs(gy).cast("bigint") * 32768
-        rising = (gx < 0) != (gy < 0)
-        before = F.when(rising, beyond(k - 1, "right")).otherwise(beyond(k - 1, "left"))
-        after = F.when(rising, beyond(k + 1, "left")).otherwise(beyond(k + 1, "right"))
-        flat = (m > x["left"]) & (m >= x["right"])
-        steep = (m > beyond(k - 1, "m")) & (m >= beyond(k + 1, "m"))
-        return F.when(high_ < wide * TAN_22, flat).when(high_ > wide * (TAN_22 + 65536), steep).otherwise((m > before) & (m > after))
-
+    turned = np.lexsort((r, c, img))
+    back = np.empty_like(turned)
+    back[turned] = np.arange(len(turned))
+    rows, columns = Along(img, r), Along(img[turned], c[turned])
+    taps = [(d - 2, w) for d, w in enumerate(SMALL_GAUSSIANS[5])]
+    v = sum(w * rows.mirrored(v, d) for d, w in taps)[turned]
+    v = sum(w * columns.mirrored(v, d) for d, w in taps) + (1 << 15) >> 16
+    up, down = columns.repeated(v, -1), columns.repeated(v, 1)
+    s, d = (up + 2 * v + down)[back], (down - up)[back]
+    gx, gy = rows.repeated(s, 1) - rows.repeated(s, -1), rows.repeated(d, -1) + 2 * d + rows.repeated(d, 1)
+    m = np.abs(gx) + np.abs(gy)
+    left, right = rows.beyond(m, -1)[turned], rows.beyond(m, 1)[turned]
+    gx, gy, m = gx[turned], gy[turned], m[turned]
+    wide, high_ = np.abs(gx), np.abs(gy) * 32768
+    rising = (gx < 0) != (gy < 0)
+    before = np.where(rising, columns.beyond(right, -1), columns.beyond(left, -1))
+    after = np.where(rising, columns.beyond(left, 1), columns.beyond(right, 1))
+    flat = (m > left) & (m >= right)
+    steep = (m > columns.beyond(m, -1)) & (m >= columns.beyond(m, 1))
+    ridge = np.where(high_ < wide * TAN_22, flat, np.where(high_ > wide * (TAN_22 + 65536), steep, (m > before) & (m > after)))
     low, high = min(low, high), max(low, high)
-    found = put(columns, "r", lambda x, k: {"strong": x["m"] > high, "ridge": (x["m"] > low) & ridge(x, k)})
-    found = found.select("img", "c", F.explode(F.filter("l", lambda x: x["ridge"])).alias("x"))
-    return found.select("img", F.col("x.r").alias("r"), "c", F.col("x.strong").alias("strong"))
+    return np.where(ridge & (m > low), np.where(m > high, 2, 1), 0)[back]
+
+
+def linked(img: np.ndarray, r: np.ndarray, c: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which pixels, in order of rows, are ridges (1, strong ones 2) that neighbours lead to a strong one."""
+    thin = np.flatnonzero(e)
+    img, r, c, strong = img[thin], r[thin], c[thin], e[thin] == 2
+    # rows count on from image to image, with one left out between them
+    fresh = np.r_[True, img[1:] != img[:-1]][: len(img)]
+    last = np.r_[0, r[:-1]][: len(r)]
+    row = r + np.cumsum(np.where(fresh, last + 2, 0))
+    beside = np.flatnonzero((row[1:] == row[:-1]) & (c[1:] - c[:-1] <= 1))
+    a, b = regions.touching(row, c, c, 1)
+    label = regions.connected(len(row), np.r_[a, beside], np.r_[b, beside + 1])
+    sure = np.zeros(len(row), bool)
+    sure[label[strong]] = True
+    out = np.zeros(len(e), bool)
+    out[thin] = sure[label]
+    return out
 
 
 def edges(px: DataFrame, low: int = 60, high: int = 180) -> DataFrame:
     """255 on edges: ridges of the blurred image that are strong or linked with strong ones; 0 elsewhere.
 
-    Ridges are linked as runs of rows, so the rounds of ``components`` follow
-    whole runs; they end at the fixed point.  Flat images have no edge, an
-    empty table gives none.
+    The pixels of an image meet in its row; some hundred thousand are looked at
+    at once, a larger image by itself.  Flat images have no edge, an empty table
+    gives none.
     """
-    thin = kept(ridges(px, low, high))
-    runs = kept(regions.merged(thin.select("img", "r", F.col("c").alias("lo"), F.col("c").alias("hi"))))
-    labels = regions.components(runs, regions.touching(runs, runs, 1))
-    cells = runs.withColumn("node", regions.node()).join(labels, "node").select("img", "r", F.explode(F.sequence("lo", "hi")).alias("c"), "label")
-    sure = cells.join(thin.where("strong"), ["img", "r", "c"]).select("label").distinct()
-    edge = cells.join(sure, "label", "left_semi").select("img", "r", "c", F.lit(255).alias("e"))
-    return px.join(edge, ["img", "r", "c"], "left").select("img", "r", "c", F.coalesce("e", F.lit(0)).alias("v"))
+    whole = regions.dealt(px.select("img", "r", "c", "v")).groupBy("img").agg(F.collect_list(F.struct("r", "c", "v")).alias("l"))
+    kind = whole.schema["img"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in regions.portions(batches, 1):
+            flat, n = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy()
+            img = np.repeat(np.arange(len(n)), n)
+            r, c, v = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+            order = np.lexsort((c, r, img))
+            r, c, v = r[order], c[order], v[order]
+            # as by joins, there is no edge in an image without a name
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            e = linked(img, r, c, ridges(img, r, c, v, low, high)) & named[img]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(img)), *(pa.array(x.astype(np.int32)) for x in (r, c, np.where(e, 255, 0)))], names=["img", "r", "c", "v"])
+
+    return whole.mapInArrow(find, f"img {kind}, r int, c int, v int")
 
 
 # ---- skew ----

@@ -1,21 +1,25 @@
 """Regions of ink: runs of pixels by row, linked across rows, as boxes.
 
 An image of many pixels has few runs, so everything after the first step works
-on intervals: dilation widens them, what touches in the next row is linked by
-a join on the row, and components follow from their links.
+on intervals: dilation widens them, then the runs of an image meet in one row,
+where what touches in the next row is linked and components follow from their
+links, for all images of a batch at once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyleaf.operators import raster
-from tallyleaf.operators.shared import kept
 
 RUN = ("img", "r", "lo", "hi")
+#: So many pixels or runs of several images are looked at together.
+PORTION = 1 << 18
 
 
 def merged(runs: DataFrame, gap: int = 1) -> DataFrame:
@@ -43,56 +47,106 @@ def dilated(runs: DataFrame, size: DataFrame, wide: int, high: int, times: int)
     return merged(spread.where("r >= 0 and r < h"))
 
 
-def complement(runs: DataFrame, size: DataFrame) -> DataFrame:
-    """The runs between runs, with a border of one pixel around the image."""
-    edge = size.select("img", F.explode(F.sequence(F.lit(-1), F.col("h"))).alias("r"), F.col("w").alias("lo"), F.col("w").alias("hi"))
-    w = Window.partitionBy("img", "r").orderBy("lo")
-    # each run and the border's right end is preceded by what is free before it
-    stops = runs.select(*RUN).unionByName(edge.withColumn("lo", F.col("lo") + 1).withColumn("hi", F.col("lo")))
-    free = stops.withColumn("from", F.coalesce(F.lag("hi").over(w) + 1, F.lit(-1)))
-    return free.where("from < lo").select("img", "r", F.col("from").alias("lo"), (F.col("lo") - 1).alias("hi"))
-
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of ``n`` nodes reaches by links (a, b): labels meet over links and jump to their own label, until nothing changes."""
+    label = np.arange(n)
+    while True:
+        before, up = label.copy(), label[label]
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(label, label[x], up[y])
+            np.minimum.at(label, x, up[y])
+        label = label[label]
+        if (label == before).all():
+            return label
 
-def node(prefix: str = "") -> Column:
-    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("img", "r", "lo")])
 
+def touching(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): runs, ordered by row and place, of one row and of the next that share a column, or lie ``reach`` columns apart.
 
-def touching(upper: DataFrame, lower: DataFrame, reach: int) -> DataFrame:
-    """(a, b, and both runs' columns): runs of one row and of the next that share a column, or lie ``reach`` columns apart."""
-    a, b = (df.select(*[F.col(c).alias(f"{p}{c}") for c in RUN]) for df, p in ((upper, "a_"), (lower, "b_")))
-    near = (F.col("a_lo") <= F.col("b_hi") + reach) & (F.col("b_lo") <= F.col("a_hi") + reach)
-    return a.join(b, (F.col("a_img") == F.col("b_img")) & (F.col("a_r") + 1 == F.col("b_r")) & near).select(node("a_").alias("a"), node("b_").alias("b"))
+    ``row`` counts on from image to image, with a number left out between them.
+    """
+    wide = int(max(hi.max(initial=0), -lo.min(initial=0))) + reach + 2
+    at = row * (2 * wide)
+    first = np.searchsorted(at + hi, at + 2 * wide + lo - reach)
+    last = np.searchsorted(at + lo, at + 2 * wide + hi + reach, side="right")
+    n = np.maximum(0, last - first)
+    return np.repeat(np.arange(len(row)), n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def components(runs: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): the least node that each run's links lead to.
+def outer_boxes(height: np.ndarray, width: np.ndarray, img: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(img, x, y, w, h) of each component of ink beside the free space around its image, not of those in another's hole.
 
-    In each round a node takes the least label around it and then that
-    label's own label, so the rounds grow with the logarithm of a component's
-    length; they end when a round changes nothing, which no further one would.
+    Free space has a border of one pixel around the image; it is linked by side, ink by corners too.
     """
-    edges = kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = kept(runs.select(node().alias("node")).withColumn("label", F.col("node")))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        seen = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("top"))
-        new = kept(seen.join(jump, "mid", "left").select("node", "old", F.least("mid", "top").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
-
-
-def outer(ink: DataFrame, labels: DataFrame, free: DataFrame) -> DataFrame:
-    """(label): components of ink beside the free space around the image, not those in another's hole."""
-    around = components(free, touching(free, free, 0))
-    ends = around.where("node.r = -1").select(F.col("label")).distinct()
-    outside = around.join(ends, "label").select("node").join(free.withColumn("node", node()), "node").select(*RUN)
-    # neighbours by side: above, below, left and right
-    above, below = (touching(outside, ink, 0).select(F.col("b").alias("node")), touching(ink, outside, 0).select(F.col("a").alias("node")))
-    side = ink.select("img", "r", "lo", "hi", F.explode(F.array(F.struct((F.col("lo") - 1).alias("at"), F.lit(True).alias("ends")), F.struct((F.col("hi") + 1).alias("at"), F.lit(False).alias("ends")))).alias("s"))
-    beside = [side.where("s.ends" if ends_ else "not s.ends").join(outside.select("img", "r", F.col("hi" if ends_ else "lo").alias("_at")), ["img", "r"]).where("s.at = _at").select(node().alias("node")) for ends_ in (True, False)]
-    return reduce(DataFrame.unionByName, [above, below, *beside]).distinct().join(labels, "node").select("label").distinct()
+    base = np.cumsum(height + 3) - (height + 3) + 1
+    # in each row, the border too, the runs of ink and then a stop: each is preceded by what is free before it
+    rows = np.repeat(np.arange(len(height)), height + 2)
+    stops = np.arange(len(rows)) - np.repeat(np.cumsum(height + 2) - (height + 2), height + 2) - 1
+    img, r = np.r_[img, rows], np.r_[r, stops]
+    row = base[img] + r
+    lo, hi = np.r_[lo, width[rows] + 1], np.r_[hi, width[rows] + 1]
+    order = np.lexsort((lo, row))
+    img, row, r, lo, hi = (x[order] for x in (img, row, r, lo, hi))
+    ink, fresh = lo <= width[img], np.r_[True, row[1:] != row[:-1]][: len(row)]
+    start = np.where(fresh, -1, np.r_[0, hi[:-1]][: len(row)] + 1)
+    # all runs of a row in turn: free, ink, free
+    free = np.c_[start < lo, np.zeros(len(lo), bool)].ravel()
+    there = np.c_[start < lo, ink].ravel()
+    img, row, r = (np.repeat(x, 2)[there] for x in (img, row, r))
+    lo, hi, free = np.c_[start, lo].ravel()[there], np.c_[lo - 1, hi].ravel()[there], free[there]
+    near, by_side = touching(row, lo, hi, 1), touching(row, lo, hi, 0)
+    same = [(a[free[a] == free[b]], b[free[a] == free[b]]) for a, b in (near, by_side)]
+    corner = ~free[same[0][0]]
+    side = free[same[1][0]]
+    label = connected(len(lo), np.r_[same[0][0][corner], same[1][0][side]], np.r_[same[0][1][corner], same[1][1][side]])
+    outside = np.zeros(len(lo), bool)
+    outside[label[free & (r == -1)]] = True
+    outside = outside[label] & free
+    # neighbours by side: above and below, left and right
+    along = np.flatnonzero(row[1:] == row[:-1])
+    a, b = np.r_[by_side[0], along], np.r_[by_side[1], along + 1]
+    beside = np.zeros(len(lo), bool)
+    beside[label[b[outside[a] & ~free[b]]]] = True
+    beside[label[a[outside[b] & ~free[a]]]] = True
+    own = np.flatnonzero(beside[label] & ~free)
+    own = own[np.argsort(label[own], kind="stable")]
+    if not len(own):
+        return (own,) * 5
+    at = np.flatnonzero(np.r_[True, label[own][1:] != label[own][:-1]])
+    x, y = np.minimum.reduceat(lo[own], at), np.minimum.reduceat(r[own], at)
+    return img[own][at], x, y, np.maximum.reduceat(hi[own], at) - x + 1, np.maximum.reduceat(r[own], at) - y + 1
+
+
+def dealt(px: DataFrame) -> DataFrame:
+    """Pixels of an image side by side, images dealt over all cores: small as they are, they would end up in few tasks."""
+    spark = px.sparkSession
+    return px.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "img")
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the arrays of a column hold PORTION items at most together, or are a single one."""
+    for batch in batches:
+        ends, lo = np.cumsum(batch.column(column).value_lengths().to_numpy().astype(np.int64)), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def boxes(runs: DataFrame, size: DataFrame) -> DataFrame:
+    """(img, x, y, w, h) of outer components of runs (img, r, lo, hi); the runs of an image meet in its row."""
+    rows = runs.groupBy("img").agg(F.collect_list(F.struct("r", "lo", "hi")).alias("runs")).join(size, "img").select("img", "h", "w", "runs")
+    kind = rows.schema["img"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 3):
+            height, width = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+            flat = batch.column(3).flatten()
+            of = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
+            img, *box = outer_boxes(height, width, of, *(flat.field(k).to_numpy().astype(np.int64) for k in range(3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(img)), *(pa.array(x.astype(np.int32)) for x in box)], names=["img", "x", "y", "w", "h"])
+
+    return rows.mapInArrow(find, f"img {kind}, x int, y int, w int, h int")
 
 
 def text_regions(px: DataFrame, kernel: tuple[int, int] = (18, 4), times: int = 2, area: int = 1000, wide: int = 30, high: int = 8) -> DataFrame:
@@ -100,13 +154,10 @@ def text_regions(px: DataFrame, kernel: tuple[int, int] = (18, 4), times: int =
 
     All three bounds must be passed.  An image without ink has none; an empty table gives none.
     """
-    size = kept(sizes(px))
-    ink = kept(dilated(ink_runs(px), size, *kernel, times))
-    labels = components(ink, touching(ink, ink, 1))
-    boxed = ink.withColumn("node", node()).join(labels, "node").groupBy("label").agg(F.min("lo").alias("x"), F.min("r").alias("y"), (F.max("hi") - F.min("lo") + 1).alias("w"), (F.max("r") - F.min("r") + 1).alias("h"))
-    large = boxed.where(f"w * h > {area} and w > {wide} and h > {high}")
-    found = large.join(outer(ink, labels, kept(complement(ink, size))), "label", "left_semi")
-    return found.select("label.img", "x", "y", "w", "h")
+    px = dealt(px.select("img", "r", "c", "v"))
+    size = sizes(px)
+    boxed = boxes(dilated(ink_runs(px), size, *kernel, times), size)
+    return boxed.where(f"cast(w as bigint) * h > {area} and w > {wide} and h > {high}")
 
 
 def largest(regions: DataFrame, most: int = 10) -> DataFrame:

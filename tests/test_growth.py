@@ -1,12 +1,13 @@
 """Steps that cost too much on large tables: what must be done once, in the row, or on all cores."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
-from tallyleaf.operators import dataset, layout, views
+from tallyleaf.operators import dataset, layout, regions, views
 
 SF = "/root/testdata/sf0.001"
 LINES = "doc_id long, lines array<struct<y1:double,x1:double,line_no:int,text:string,score:double,x2:double,y2:double>>"
@@ -42,6 +43,18 @@ def test_annotations_are_read_once(spark):
     assert plan(entry.queries()["kie_link_join"](spark, SF)).count("Scan parquet") == 1
 
 
+@pytest.mark.parametrize("name", ["edges_8x8", "text_regions_8x8"])
+def test_images_are_dealt_out_and_linked_in_their_row(spark, name):
+    found = plan(entry.queries()[name](spark, SF))
+    assert found.count("MapInArrow") == 1 and "REPARTITION_BY_NUM" in found and "ExistingRDD" not in found
+
+
+def test_few_pixels_at_once(monkeypatch):
+    monkeypatch.setattr(regions, "PORTION", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([[1], [2, 3], [4], [5] * 9, [], [6]])], names=["l"])
+    assert [b.column(0).to_pylist() for b in regions.portions([batch], 0)] == [[[1], [2, 3], [4]], [[5] * 9], [[], [6]]]
+
+
 def test_links_go_across_the_lines_of_an_image(spark):
     node = lambda i, label, links, text="t": (i, text, label, links, [[0.0, 0.0], [9.0, 9.0]])
     rows = [
