@@ -7,6 +7,7 @@ it needs by name, so further columns in the input never clash.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,6 +36,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(lo, rows)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving free memory back to the system at its end: workers wait for further tasks, beside those of other queries, and would hold it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def map_texts(
     docs: DataFrame,
     rows: Callable[[], Callable[[list[str]], Iterable[tuple]]],
@@ -63,7 +76,7 @@ def map_texts(
             new = [pa.array(list(c), type=t) for c, t in zip(made, types[len(keep) :], strict=True)]
             yield pa.RecordBatch.from_arrays(kept + new, names=names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), out)
 
 
 def fold_of(doc_id: str, parts: int):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import map_texts, sliced
+from tallyleaf.llm.common import map_texts, sliced, tidied
 
 WORDS = re.compile(r"\w+")
 N = 3
@@ -236,7 +236,7 @@ def described(benchmark: DataFrame) -> tuple[DataFrame, int, float]:
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["item_id", "text", "copies", "n", "terms"])
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    items = items.mapInArrow(run, "item_id long, text string, copies long, n long, terms array<string>").where(F.col("n") >= N)
+    items = items.mapInArrow(tidied(run), "item_id long, text string, copies long, n long, terms array<string>").where(F.col("n") >= N)
     count, length = items.agg(F.sum("copies"), F.sum(F.col("copies") * (F.col("n") - N + 1))).first()
     single = items.select("item_id", "text", "copies", "n", F.explode("terms").alias("term"))
     df = single.groupBy("term").agg(F.sum("copies").alias("items"))
@@ -280,5 +280,5 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5
 
     schema = docs.schema
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(without(searcher(index, threshold, overlap)), schema)
+        docs = docs.mapInArrow(tidied(without(searcher(index, threshold, overlap))), schema)
     return docs

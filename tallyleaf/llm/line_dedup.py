@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import sliced
+from tallyleaf.llm.common import sliced, tidied
 from tallyleaf.llm.ngram_join import P1, P2, Shingler, folded
 from tallyleaf.llm.state import Scratch
 
@@ -121,7 +121,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
 
-    counts = docs.select(text_column().alias("text")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_column().alias("text")).mapInArrow(tidied(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     n = np.zeros(1 << SLOT_BITS, dtype=np.int64)
     for r in counts.toLocalIterator():
         n[r.slot] = r.n
@@ -163,7 +163,7 @@ def prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own)].astype(np.int32)), pa.array(token[held]))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), prefix], names=names)
 
-    return named(docs).mapInArrow(describe, "doc long, part long, place int, a long, b int, n int, reach long, prefix array<long>")
+    return named(docs).mapInArrow(tidied(describe), "doc long, part long, place int, a long, b int, n int, reach long, prefix array<long>")
 
 
 def token_sets(lines: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def token_sets(lines: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(np.r_[start, len(line)].astype(np.int32)), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + line[start]]), sets], names=["id", "set"])
 
-    return lines.select("id", "line").mapInArrow(cut, "id long, set array<long>")
+    return lines.select("id", "line").mapInArrow(tidied(cut), "id long, set array<long>")
 
 
 class Marks:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import Powers
+from tallyleaf.llm.common import Powers, tidied
 from tallyleaf.llm.state import Packed, Scratch, components
 
 WIDTH = 5
@@ -212,7 +212,7 @@ def list_bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ranges = 16
     while ranges < min(1 << 16, 2 * docs.rdd.getNumPartitions()):
         ranges *= 2
-    made = docs.select("text").mapInArrow(keys_by_range(ranges), "range int, counts binary, low binary").groupBy("range").applyInArrow(measure_lists(ranges), "range int, repeated binary, long binary")
+    made = docs.select("text").mapInArrow(tidied(keys_by_range(ranges)), "range int, counts binary, low binary").groupBy("range").applyInArrow(measure_lists(ranges), "range int, repeated binary, long binary")
     both = np.zeros((2, (1 << KEY_BITS) // 8), dtype=np.uint8)
     step = both.shape[1] // ranges
     for row in made.toLocalIterator():
@@ -407,7 +407,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     found.append(pack(ids))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(found, type=pa.binary())], names=["node", "ids"])
 
-    return docs.select("text").mapInArrow(run, "node long, ids binary")
+    return docs.select("text").mapInArrow(tidied(run), "node long, ids binary")
 
 
 def slot_of(node: int) -> int:
@@ -440,7 +440,7 @@ def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
                 keep.append(linked(int((y[at] == x).sum()), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    found = scratch.keep(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ids_a", "ids_b").mapInArrow(run, "a long, b long"))
+    found = scratch.keep(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ids_a", "ids_b").mapInArrow(tidied(run), "a long, b long"))
     scratch.drop(wanted, sets)
     return found
 
@@ -456,7 +456,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngram-join")
     repeated, long = map(Packed, list_bitmaps(docs))
-    known = scratch.keep(docs.mapInArrow(describer(repeated, long), "doc_id long, node long, n long, odd int, mins array<long>, extra int, longs int, merged binary"))
+    known = scratch.keep(docs.mapInArrow(tidied(describer(repeated, long)), "doc_id long, node long, n long, odd int, mins array<long>, extra int, longs int, merged binary"))
     nodes = known.where("merged is not null").select("node", "n", "odd", "mins", "extra", "longs", "merged")
 
     # first round: each node against the most typical nodes of its sketch's lists
@@ -480,7 +480,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     postings = nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group"), "n", "extra", "longs", "merged")
     total = nodes.agg(F.sum(F.octet_length("merged"))).first()[0] or 0
     buckets = max(2, math.ceil(total / 6 / PER_BUCKET))
-    merged = postings.mapInArrow(spread(buckets), "bucket int, keys binary, refs binary, nodes binary, facts binary").groupBy("bucket").applyInArrow(merger(long), "a long, b long, extra int, n long")
+    merged = postings.mapInArrow(tidied(spread(buckets)), "bucket int, keys binary, refs binary, nodes binary, facts binary").groupBy("bucket").applyInArrow(merger(long), "a long, b long, extra int, n long")
     pairs = merged.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("extra").alias("extra")).where("n > extra").select("a", "b")
     pairs = scratch.keep(pairs.join(stars, ["a", "b"], "left_anti"))
     second = verify(pairs, docs, scratch)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import STEP
+from tallyleaf.llm.common import STEP, tidied
 
 SPACE = "▁"
 #: Units never span these cuts, and no piece does: a space run begins a unit, a line feed is one (and keeps a word that follows at once).
@@ -79,8 +79,9 @@ class Pieces:
         return {t: i for t, i in symbols.items() if len(t) == 1}, (keys, made, ranks)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(t, i, float(s)) for t, (i, s) in self.normal.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """(piece, id, score); as an Arrow table it reaches Spark without Python workers, of which a list of rows starts a second set."""
+        ids, scores = zip(*self.normal.values(), strict=True)
+        return spark.createDataFrame(pa.table({"piece": pa.array(self.normal, pa.string()), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64())}))
 
 
 def units_of(text: str) -> list[str]:
@@ -428,7 +429,7 @@ def _mapped(docs: DataFrame, extra: list, work) -> DataFrame:
                 kept = [batch.column(k).cast(target.field(k).type) for k in range(width)]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, type=target.field(width + k).type) for k, c in enumerate(made))], names=target.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def encode(docs: DataFrame, model_file: str, most: int = LEXICON_WORDS) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyleaf.llm.common import fold_of, map_texts, sliced
+from tallyleaf.llm.common import fold_of, map_texts, sliced, tidied
 from tallyleaf.llm.ftrl import Ftrl
 
 BITS = 18
@@ -120,4 +120,4 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame
             keep = [bool(p) for _, p in rows([t or "" for t in batch.column(at).to_pylist()])]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

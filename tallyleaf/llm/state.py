@@ -34,7 +34,8 @@ class Packed:
 
 #: The session setting by which Spark removes shuffle files as soon as the query that wrote them has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Plans as text, which the driver keeps for each query, are cut at this length unless the session says otherwise.
+#: Plans as text, which the driver keeps for each table written here, are cut at this length unless the session says otherwise.
+PLAN_LENGTH = "spark.sql.maxPlanStringLength"
 PLAN_TEXT = 20_000
 
 
@@ -42,20 +43,23 @@ class Scratch:
     """Writes tables to the shared folder, which cuts their lineage, and drops them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):
-            spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
         self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.at}/{self.made}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {CLEANUP: self.spark.conf.get(CLEANUP, "false"), PLAN_LENGTH: self.spark.conf.get(PLAN_LENGTH)}
+        own = {CLEANUP: "true"}
+        if before[PLAN_LENGTH].startswith("2147483632"):
+            own[PLAN_LENGTH] = str(PLAN_TEXT)
         try:
+            for k, v in own.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
