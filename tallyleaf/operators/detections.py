@@ -67,11 +67,12 @@ def best_per_field(crops: DataFrame) -> DataFrame:
 
 
 def has_tax_id(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike("(?i)(?<![0-9A-Z])[0-9A-Z]{15,20}(?![0-9A-Z])")
+    # most texts are too short for one
+    return F.when(F.char_length(F.coalesce(c, F.lit(""))) < 15, False).otherwise(F.coalesce(c, F.lit("")).rlike("(?i)(?<![0-9A-Z])[0-9A-Z]{15,20}(?![0-9A-Z])"))
 
 
 def noisy_seller(c: Column) -> Column:
-    return T.contains_any(T.squeeze(c), V.SELLER_NOISE)
+    return T.let(T.squeeze(c), lambda t: T.contains_any(t, V.SELLER_NOISE))
 
 
 #: What a page's crops hold: number, field, confidence, box, text and the score of its OCR.
@@ -79,7 +80,7 @@ CROP = ("det_no", "field", "confidence", "x1", "y1", "x2", "y2", "text", "ocr_co
 
 
 def crop_facts(x: Column) -> Column:
-    """A crop with its text cleaned, and what the choices ask of it."""
+    """A crop with its text cleaned and its place; what only some fields ask of a text is found where they are chosen."""
     return T.let(
         T.clean_crop(x["text"]),
         lambda text: F.struct(
@@ -93,10 +94,6 @@ def crop_facts(x: Column) -> Column:
             ((x["y1"] + x["y2"]) / 2).alias("cy"),
             (x["y2"] - x["y1"]).alias("h"),
             (x["confidence"] + F.when(text != "", 15).otherwise(0) + 0.05 * F.coalesce(x["ocr_confidence"], F.lit(0.0))).alias("base"),
-            T.has_money(text).alias("money"),
-            has_tax_id(text).alias("id"),
-            T.has_checksum(text).alias("check"),
-            noisy_seller(text).alias("noisy"),
         ),
     )
 
@@ -126,7 +123,8 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
     upper, lower = (lambda x: 20 * (1 - x["cy"] / height)), (lambda x: x["cy"] / height * 20)
     base = lambda x: x["base"]
     with_upper = lambda x: x["base"] + upper(x)
-    paid = lambda x: F.when(x["money"], 1).otherwise(0)
+    paid = lambda x: F.when(T.has_money(x["text"]), 1).otherwise(0)
+    has_id = lambda x: has_tax_id(x["text"])
     checksum = best_crop(of("checksum"), base)
     df = df.withColumns(
         {
@@ -134,7 +132,7 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
             "_drawer": best_crop(of("drawer"), base),
             "_checksum": checksum,
             "_total": best_crop(of("total"), lambda x: x["base"] + x["cy"] / height * 35 + 25 * paid(x)),
-            "_buyer_tax_id": best_crop(of("buyer_tax_id"), lambda x: with_upper(x) + F.when(x["id"], 30).otherwise(0), lambda x: x["id"]),
+            "_buyer_tax_id": best_crop(of("buyer_tax_id"), lambda x: with_upper(x) + F.when(has_id(x), 30).otherwise(0), has_id),
         }
     )
     total_y = F.coalesce(F.col("_total")["cy"], F.lit(0.75 * height))
@@ -145,10 +143,10 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
 
     over = F.col("_buyer_tax_id")["cy"] + 0.2 * F.col("_buyer_tax_id")["h"]
     below = lambda c: F.col(c)["cy"] - 0.2 * F.col(c)["h"]
-    quiet = pages.where(of("seller_name"), lambda x: ~x["noisy"])
+    quiet = pages.where(of("seller_name"), lambda x: ~noisy_seller(x["text"]))
     df = df.withColumns(
         {
-            "_checksum": F.when(F.col("_checksum")["check"], F.col("_checksum")),
+            "_checksum": F.when(T.has_checksum(F.col("_checksum")["text"]), F.col("_checksum")),
             "_a": money("amount"),
             "_x": money("tax"),
             "_buyer_name": best_crop(of("buyer_name"), with_upper, lambda x: F.coalesce(x["cy"] < over, F.lit(True))),
@@ -156,12 +154,12 @@ def resolve_pages(df: DataFrame, height: float, crops: str = "crops") -> DataFra
         }
     )
     bound = F.coalesce(below("_seller_name"), below("_total"))
-    low = lambda x: F.coalesce(x["cy"] > bound, F.lit(True)) & x["id"]
+    low = lambda x: F.coalesce(x["cy"] > bound, F.lit(True)) & has_id(x)
     a, x = F.col("_a"), F.col("_x")
     crossed = F.coalesce((F.abs(a["cy"] - x["cy"]) <= 1.5 * F.greatest(a["h"], x["h"])) & (a["cx"] > x["cx"]), F.lit(False))
     df = df.withColumns(
         {
-            "_seller_tax_id": best_crop(of("seller_tax_id"), lambda x: x["base"] + lower(x) + F.when(x["id"], 30).otherwise(0), low),
+            "_seller_tax_id": best_crop(of("seller_tax_id"), lambda x: x["base"] + lower(x) + F.when(has_id(x), 30).otherwise(0), low),
             "_amount": F.when(crossed, x).otherwise(a),
             "_tax": F.when(crossed, a).otherwise(x),
         }
