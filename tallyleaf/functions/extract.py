@@ -6,6 +6,8 @@ lines.  An extractor returns '' when it finds nothing.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,23 @@ def first_match(norm: Column, patterns) -> Column:
     """Group 1, never empty, of the first pattern that matches, even if it cleans to ''."""
     if not patterns:
         return F.lit("")
-    java = ["(?is)" + p.replace("\\d", "[0-9]").replace("\\s", "(?U:\\s)") for p in patterns]
-    found = F.coalesce(*[F.nullif(F.regexp_extract(norm, p, 1), F.lit("")) for p in java], F.lit(""))
-    return T.clean(F.substring_index(found, "\n", 1))
+
+    def found(p: str, *others: str) -> Column:
+        one = F.regexp_extract(norm, java(p), 1)
+        return T.let(one, lambda v: F.when(v != "", v).otherwise(found(*others))) if others else one
+
+    return T.let(F.coalesce(F.substring_index(found(*patterns), "\n", 1), F.lit("")), T.clean)
+
+
+def java(pattern: str) -> str:
+    """A primary pattern for Java.
+
+    Letters are the same in both cases and a dot may be a line end, which is said
+    only where it matters: without it a search starts by a plain one for the label.
+    """
+    bare = re.sub(r"\\.", "", pattern)
+    flags = ("i" if re.search("[A-Za-z]", bare) else "") + ("s" if "." in bare else "")
+    return (f"(?{flags})" if flags else "") + pattern.replace("\\d", "[0-9]").replace("\\s", "(?U:\\s)")
 
 
 def number_candidates(norm: Column) -> Column:
@@ -41,7 +57,7 @@ def tax_candidates_from_lines(raw: Column) -> Column:
         found = lambda x, k: F.when(T.contains_any(x, ("纳税人识别号", "税号")), T.find_all(window(ls, k, 3), "[0-9A-Z]{12,20}")).otherwise(none)
         return F.flatten(F.transform(ls, found))
 
-    return F.array_distinct(F.concat(T.let(F.transform(T.lines(raw), T.normalize), near), T.let(T.normalize(raw), tax_candidates)))
+    return F.array_distinct(F.concat(T.let(F.transform(F.split(raw, T.LINE_END), T.normalize), near), T.let(T.normalize(raw), tax_candidates)))
 
 
 def tax_in(block: Column) -> Column:
@@ -50,24 +66,29 @@ def tax_in(block: Column) -> Column:
 
 
 def _tax_in(scope: Column) -> Column:
-    none = F.array().cast("array<string>")
-    near = F.flatten(F.transform(scope, lambda x, k: F.when(T.contains_any(x, V.TAX_LABELS), T.find_all(window(scope, k, 4), "[0-9A-Z]{12,20}")).otherwise(none)))
-    alone = F.flatten(F.transform(scope, lambda x: F.when(T.contains_any(x, V.TAX_NOISE), none).otherwise(T.find_all(x, "(?<![0-9A-Z])[0-9A-Z]{15,20}(?![0-9A-Z])"))))
-    return T.first(F.filter(F.concat(near, alone), T.is_tax_number))
-
+    good = lambda found: T.first(F.filter(found, T.is_tax_number))
+    near = first_of(scope, lambda x, k: F.when(T.contains_any(x, V.TAX_LABELS), good(T.find_all(window(scope, k, 4), "[0-9A-Z]{12,20}"))))
+    alone = first_of(scope, lambda x, k: F.when(~T.contains_any(x, V.TAX_NOISE), good(T.find_all(x, "(?<![0-9A-Z])[0-9A-Z]{15,20}(?![0-9A-Z])"))))
+    return T.let(near, lambda v: F.when(v != "", v).otherwise(alone))
 
-def items(raw: Column) -> Column:
-    """The lines that don't clean to nothing: (norm, clean, firm), normalised, cleaned, and the company in it.
 
-    Most extractors look at lines; who asks several of them makes this array once.
-    """
-    made = F.transform(T.lines(raw), lambda x: F.struct(T.normalize(x).alias("norm"), T.clean(x).alias("clean")))
-    return F.transform(F.filter(made, lambda x: x["clean"] != ""), lambda x: F.struct(x["norm"].alias("norm"), x["clean"].alias("clean"), company(x["clean"]).alias("firm")))
+def first_of(ls: Column, make) -> Column:
+    """The first of ``make(line, number)`` that isn't '' or null, which isn't made for later lines; '' if there is none."""
+    start = F.struct(F.lit(0).alias("k"), F.lit("").alias("v"))
+    step = lambda acc, x: F.when(acc["v"] != "", acc).otherwise(F.struct((acc["k"] + 1).alias("k"), F.coalesce(make(x, acc["k"]), F.lit("")).alias("v")))
+    return F.coalesce(F.aggregate(ls, start, step, lambda acc: acc["v"]), F.lit(""))
 
 
 def kept_lines(raw: Column) -> Column:
     """Normalised lines without those that clean to nothing."""
-    return F.transform(F.filter(T.lines(raw), lambda x: T.clean(x) != ""), T.normalize)
+    return T.let(T.clean_lines(raw), lambda cleaned: kept_of(raw, T.normalize(raw), cleaned))
+
+
+def kept_of(raw: Column, norm: Column, cleaned: Column) -> Column:
+    """As ``kept_lines``, of a text, its normalised form and all of its lines cleaned."""
+    # lines of the normalised text are the normalised lines unless blanks between the parts of a line end have gone
+    own = F.when(F.contains(raw, F.lit("\r")), F.transform(F.split(raw, T.LINE_END), T.normalize)).otherwise(T.lines(norm))
+    return F.filter(own, lambda x, k: F.get(cleaned, k) != "")
 
 
 def buyer_tax(raw: Column) -> Column:
@@ -78,9 +99,9 @@ def buyer_tax_of(ls: Column) -> Column:
     def block(x: Column, k: Column) -> Column:
         ahead = F.slice(ls, k + 2, F.lit(29))
         stop = F.array_min(F.filter(F.transform(ahead, lambda y, i: F.when(T.contains_any(y, V.BUYER_STOPS), i + 1)), lambda i: i.isNotNull()))
-        return F.when(F.contains(x, F.lit("买方")) | F.contains(x, F.lit("购买方")), tax_in(F.slice(ls, k + 1, F.coalesce(stop, F.lit(16))))).otherwise("")
+        return F.when(F.contains(x, F.lit("买方")), tax_in(F.slice(ls, k + 1, F.coalesce(stop, F.lit(16)))))
 
-    return T.first(F.filter(F.transform(ls, block), lambda v: v != ""))
+    return first_of(ls, block)
 
 
 def seller_tax(raw: Column, buyer: Column) -> Column:
@@ -88,9 +109,9 @@ def seller_tax(raw: Column, buyer: Column) -> Column:
 
 
 def seller_tax_of(ls: Column, buyer: Column) -> Column:
-    start = F.coalesce(F.array_min(F.filter(F.transform(ls, lambda x, k: F.when(T.contains_any(x, V.TOTAL_MARKS), k)), lambda k: k.isNotNull())), F.lit(0))
-    below = F.filter(F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1))), lambda x: ~T.contains_any(x, V.TAX_NOISE))
-    return T.first(F.filter(F.flatten(F.transform(below, lambda x: T.find_all(x, V.ID_FIND))), lambda v: v != buyer))
+    start = F.coalesce(F.array_min(F.transform(ls, lambda x, k: F.when(T.contains_any(x, V.TOTAL_MARKS), k))), F.lit(0))
+    below = F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1)))
+    return first_of(below, lambda x, k: F.when(~T.contains_any(x, V.TAX_NOISE), T.first(F.filter(T.find_all(x, V.ID_FIND), lambda v: v != buyer))))
 
 
 def checksum(norm: Column) -> Column:
@@ -98,7 +119,7 @@ def checksum(norm: Column) -> Column:
 
 
 def agent_tax(norm: Column) -> Column:
-    return F.regexp_extract(norm, "(?i)代开企业税号[:：]?\\s*([0-9A-Z]{12,20})", 1)
+    return F.when(~F.contains(norm, F.lit("代开企业税号")), "").otherwise(F.regexp_extract(norm, "代开企业税号[:：]?\\s*((?i:[0-9A-Z]{12,20}))", 1))
 
 
 def labelled_seller_tax(norm: Column) -> Column:
@@ -116,8 +137,8 @@ def agent_name_of(ls: Column) -> Column:
     start_state = lambda piece: F.struct(piece.alias("name"), F.char_length(piece).alias("size"), F.lit(False).alias("done"))
 
     def at(x: Column, k: Column) -> Column:
-        inline = T.clean(F.regexp_replace(x, "^.*?代开企业名称[:：]?", ""))
-        lead = T.let(inline, lambda v: F.when((v != "") & ~T.contains_any(v, V.AGENT_SKIPS + V.AGENT_STOPS), F.regexp_replace(v, keep, "")).otherwise(""))
+        inline = F.regexp_replace(x, "^.*?代开企业名称[:：]?", "")
+        lead = T.let(T.let(inline, T.clean), lambda v: F.when((v != "") & ~T.contains_any(v, V.AGENT_SKIPS + V.AGENT_STOPS), F.regexp_replace(v, keep, "")).otherwise(""))
         later = F.transform(F.slice(ls, k + 2, F.lit(7)), lambda y: F.regexp_replace(y, keep, ""))
 
         def fold(acc: Column, y: Column) -> Column:
@@ -129,9 +150,9 @@ def agent_name_of(ls: Column) -> Column:
             return F.when(acc["done"], acc).when(y == "", acc).when(stop, ended).when(skip, acc).when(T.is_company(y), ended).when(piece, grown).otherwise(acc)
 
         name = F.trim(F.aggregate(later, start_state(lead), fold, lambda acc: acc["name"]))
-        return F.when(F.contains(x, F.lit("代开企业名称")) & F.char_length(name).between(2, 20), name).otherwise("")
+        return F.when(F.contains(x, F.lit("代开企业名称")), T.let(name, lambda v: F.when(F.char_length(v).between(2, 20), v)))
 
-    return T.first(F.filter(F.transform(ls, at), lambda v: v != ""))
+    return first_of(ls, at)
 
 
 COMPANY = f"([{V.CJK}A-Za-z0-9（）()]{{2,}}(?:{V.ORG_SUFFIX}))"
@@ -141,64 +162,76 @@ NAMED_COMPANY = "(?:名称|名(?U:\\s)*称|称)[:：]?(?U:\\s)*" + COMPANY
 def company(c: Column) -> Column:
     """A company name in a line: the labelled one, else any."""
 
-    def checked(pattern: str, other: Column) -> Column:
-        return T.let(T.clean(F.regexp_extract(c, pattern, 1)), lambda v: F.when(T.is_company(v), v).otherwise(other))
+    def checked(found: Column, other: Column) -> Column:
+        return T.let(T.let(found, T.clean), lambda v: F.when(T.is_company(v), v).otherwise(other))
 
-    # most lines hold no organisation suffix at all
-    return F.when(T.has_suffix(c), F.when(c.rlike(NAMED_COMPANY), checked(NAMED_COMPANY, checked(COMPANY, F.lit("")))).otherwise(checked(COMPANY, F.lit("")))).otherwise("")
+    any_ = checked(F.regexp_extract(c, COMPANY, 1), F.lit(""))
+    named = lambda v: F.when(v == "", any_).otherwise(checked(v, any_))
+    # most lines hold no organisation suffix at all, and most that do no label
+    return F.when(T.has_suffix(c), F.when(F.contains(c, F.lit("称")), T.let(F.regexp_extract(c, NAMED_COMPANY, 1), named)).otherwise(any_)).otherwise("")
 
 
 def companies(raw: Column) -> Column:
-    return T.let(items(raw), companies_of)
+    return T.let(T.nonempty(raw), companies_of)
 
 
-def companies_of(found: Column) -> Column:
-    firms = F.transform(F.filter(found, lambda x: (x["firm"] != "") & ~T.is_stamp(x["clean"])), lambda x: x["firm"])
-    return F.array_distinct(firms)
+def companies_of(ls: Column) -> Column:
+    """The companies in cleaned lines, except in those of a stamp."""
+    firms = F.transform(ls, lambda x: F.when(~T.is_stamp(x), company(x)).otherwise(""))
+    return F.array_distinct(nonblank(firms))
 
 
-def nonblank(arr: Column) -> Column:
-    return F.filter(arr, lambda v: v != "")
+def first_company_of(ls: Column) -> Column:
+    """The first of ``companies_of``; '' if there is none."""
+    return first_of(ls, lambda x, k: F.when(~T.is_stamp(x), company(x)))
 
 
-def with_companies(raw: Column, body) -> Column:
-    """``body`` of the cleaned lines and of the company in each, both computed once."""
-    return T.let(T.nonempty(raw), lambda ls: T.let(F.struct(ls.alias("ls"), F.transform(ls, company).alias("firms")), lambda s: body(s["ls"], s["firms"])))
+def nonblank(arr: Column) -> Column:
+    return F.filter(arr, lambda v: v != "")
 
 
 def buyer_name(raw: Column) -> Column:
-    return with_companies(raw, buyer_name_of)
+    return T.let(T.nonempty(raw), buyer_name_of)
 
 
-def buyer_name_of(ls: Column, firms: Column) -> Column:
+def buyer_name_of(ls: Column) -> Column:
+    """The company in the block of lines around 购买方; companies of single lines are looked for only if the block as a whole has none."""
+
     def at(x: Column, k: Column) -> Column:
         lo = F.greatest(F.lit(0), k - 6)
         scope = F.slice(ls, lo + 1, k + 12 - lo)
-        stop = F.array_min(F.filter(F.transform(scope, lambda y, i: F.when(T.contains_any(y, ("销售方", "货物或应税劳务", "价税合计")), i)), lambda i: i.isNotNull()))
-        size = F.coalesce(stop, F.size(scope))
-        win = F.slice(ls, lo + 1, size)
-        return F.when(F.contains(x, F.lit("购买方")), T.first(nonblank(F.concat(F.array(company(F.array_join(win, ""))), F.slice(firms, lo + 1, size))))).otherwise("")
+        stop = F.array_min(F.transform(scope, lambda y, i: F.when(T.contains_any(y, ("销售方", "货物或应税劳务", "价税合计")), i)))
+        win = F.slice(ls, lo + 1, F.coalesce(stop, F.size(scope)))
+        whole = lambda w: T.let(F.array_join(w, ""), company)
+        return F.when(F.contains(x, F.lit("购买方")), T.let(win, lambda w: T.let(whole(w), lambda v: F.when(v != "", v).otherwise(first_of(w, lambda y, i: company(y))))))
 
-    return T.first(nonblank(F.transform(ls, at)))
+    return first_of(ls, at)
 
 
 def seller_name(raw: Column, buyer: Column) -> Column:
-    return with_companies(raw, lambda ls, firms: seller_name_of(ls, firms, buyer))
+    return T.let(T.nonempty(raw), lambda ls: seller_name_of(ls, buyer))
+
 
+def seller_name_of(ls: Column, buyer: Column) -> Column:
+    """The company after a mark of the total, within 35 lines, else one around 销售方; no line is searched once it is found."""
+    # marks come one after the other, so the first company within reach of any is that of the first mark that has one
+    start = F.struct(F.lit(0).alias("left"), F.lit("").alias("v"))
 
-def seller_name_of(ls: Column, firms: Column, buyer: Column) -> Column:
-    def near_total(x: Column, k: Column) -> Column:
-        found = F.filter(F.slice(firms, k + 1, F.lit(35)), lambda v: (v != "") & (v != buyer) & ~T.contains_any(v, V.BANK_NOISE))
-        return F.when(T.contains_any(x, V.TOTAL_MARKS), T.first(found)).otherwise("")
+    def below(acc: Column, x: Column) -> Column:
+        left = F.when(T.contains_any(x, V.TOTAL_MARKS), 35).otherwise(acc["left"])
+        good = T.let(company(x), lambda v: F.when((v != buyer) & ~T.contains_any(v, V.BANK_NOISE), v).otherwise(""))
+        then = T.let(left, lambda n: F.struct(F.greatest(n - 1, F.lit(0)).alias("left"), F.when(n > 0, good).otherwise("").alias("v")))
+        return F.when(acc["v"] != "", acc).otherwise(then)
 
     def near_label(x: Column, k: Column) -> Column:
         lo = F.greatest(F.lit(0), k - 5)
-        named = T.let(T.clean(F.regexp_extract(F.array_join(F.slice(ls, lo + 1, k + 8 - lo), ""), NAMED_COMPANY, 1)), lambda v: F.when(T.is_company(v), v).otherwise(""))
-        found = F.filter(F.concat(F.array(named), F.slice(firms, lo + 1, k + 8 - lo)), lambda v: (v != "") & (v != buyer))
-        return F.when(F.contains(x, F.lit("销售方")), T.first(found)).otherwise("")
+        block = F.slice(ls, lo + 1, k + 8 - lo)
+        named = lambda w: T.let(T.let(F.regexp_extract(F.array_join(w, ""), NAMED_COMPANY, 1), T.clean), lambda v: F.when(T.is_company(v) & (v != buyer), v).otherwise(""))
+        other = lambda w: first_of(w, lambda y, i: T.let(company(y), lambda v: F.when(v != buyer, v)))
+        return F.when(F.contains(x, F.lit("销售方")), T.let(block, lambda w: T.let(named(w), lambda v: F.when(v != "", v).otherwise(other(w)))))
 
-    by_total = T.first(nonblank(F.transform(ls, near_total)))
-    return T.let(by_total, lambda v: F.when(v != "", v).otherwise(T.first(nonblank(F.transform(ls, near_label)))))
+    by_total = F.coalesce(F.aggregate(ls, start, below, lambda acc: acc["v"]), F.lit(""))
+    return T.let(by_total, lambda v: F.when(v != "", v).otherwise(first_of(ls, near_label)))
 
 
 def fallback_code(norm: Column) -> Column:
@@ -242,18 +275,20 @@ def safe(norm: Column, p: str, made) -> Column:
 
 def money_candidates(norm: Column) -> Column:
     found = F.transform(T.find_all(norm, V.MONEY_FIND, 1), lambda v: F.replace(v, F.lit(","), F.lit("")))
-    return F.array_distinct(F.filter(found, lambda v: (T.cents(v) > 0) & (T.cents(v) <= 100_000_000_000)))
+    # all have two decimals
+    fits = lambda v: T.let(F.when(F.char_length(v) <= 18, T.whole_cents(v)), lambda c: (c > 0) & (c <= 100_000_000_000))
+    return F.array_distinct(F.filter(found, fits))
 
 
 def fallback_total(norm: Column) -> Column:
-    c = F.transform(money_candidates(norm), lambda v, k: F.struct(T.cents(v).alias("c"), (-k).alias("k"), v.alias("v")))
+    c = F.transform(money_candidates(norm), lambda v, k: F.struct(T.whole_cents(v).alias("c"), (-k).alias("k"), v.alias("v")))
     return F.coalesce(F.array_max(c)["v"], F.lit(""))
 
 
 def infer_amount_tax(norm: Column, total: Column) -> Column:
     """Struct (amount, tax) in cents: the first pair that adds up, else by the first rate in percent."""
     t = T.cents(total)
-    return T.let(F.transform(money_candidates(norm), T.cents), lambda all_cents: _split_of(norm, t, all_cents))
+    return T.let(F.transform(money_candidates(norm), T.whole_cents), lambda all_cents: _split_of(norm, t, all_cents))
 
 
 def _split_of(norm: Column, t: Column, all_cents: Column) -> Column:

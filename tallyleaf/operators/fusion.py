@@ -87,9 +87,8 @@ def parse(df: DataFrame, text: str = "text") -> DataFrame:
     """The record of every row: all columns of ``df`` and the 13 fields ('' where missing)."""
     keep = [c for c in df.columns if c not in V.FIELDS]
     raw, norm = F.col(text), F.col("norm")
-    df = primary(df.select(*keep), text).withColumn("_items", X.items(raw))
-    each = F.col("_items")
-    df = df.withColumns({"_clean": each["clean"], "_kept": each["norm"], "_found": each["firm"], "_firms": X.companies_of(each)}).drop("_items")
+    df = primary(df.select(*keep), text).withColumn("_all", T.clean_lines(raw))
+    df = df.withColumns({"_clean": X.nonblank(F.col("_all")), "_kept": X.kept_of(raw, norm, F.col("_all"))}).drop("_all")
     df = tail_values(df, text, F.col("_clean"))
     df = df.withColumns(
         {
@@ -112,22 +111,26 @@ def parse(df: DataFrame, text: str = "text") -> DataFrame:
     lose_buyer = F.contains("invoice_type", F.lit("普通发票")) | (F.col("_buyer_id") == "")
     df = df.withColumns({"buyer_tax_id": F.when(same & lose_buyer, "").otherwise(F.col("buyer_tax_id")), "seller_tax_id": F.when(same & ~lose_buyer, "").otherwise(F.col("seller_tax_id"))})
 
-    df = df.withColumn("buyer_name", F.when(T.is_company(F.col("buyer_name")), F.col("buyer_name")).otherwise(X.buyer_name_of(F.col("_clean"), F.col("_found"))))
-    df = df.withColumn("buyer_name", fill(F.col("buyer_name"), F.get("_firms", F.lit(0))))
-    df = df.withColumn("_seller", X.seller_name_of(F.col("_clean"), F.col("_found"), F.col("buyer_name")))
+    df = df.withColumn("buyer_name", F.when(T.is_company(F.col("buyer_name")), F.col("buyer_name")).otherwise(X.buyer_name_of(F.col("_clean"))))
+    df = df.withColumn("buyer_name", fill(F.col("buyer_name"), X.first_company_of(F.col("_clean"))))
+    df = df.withColumn("_seller", X.seller_name_of(F.col("_clean"), F.col("buyer_name")))
     df = df.withColumn("seller_name", F.when(F.col("_seller") != "", F.col("_seller")).otherwise(F.col("seller_name")))
-    bad = T.is_stamp(F.col("seller_name")) | (F.char_length("seller_name") < 2)
+    df = df.withColumn("seller_name", F.when(T.is_stamp(F.col("seller_name")) | (F.char_length("seller_name") < 2), F.col("_seller")).otherwise(F.col("seller_name")))
+    df = df.withColumn("_firms", F.when(F.col("seller_name") == "", X.companies_of(F.col("_clean"))))
     liked = F.filter("_firms", lambda v: (v != F.col("buyer_name")) & T.contains_any(v, V.PREFERRED_SELLERS))
     second = F.when(F.size("_firms") > 1, F.coalesce(F.get(liked, F.size(liked) - 1), F.get("_firms", F.lit(1))))
-    df = df.withColumn("seller_name", fill(F.when(bad, F.col("_seller")).otherwise(F.col("seller_name")), second))
+    df = df.withColumn("seller_name", fill(F.col("seller_name"), second))
 
     agent_id = X.agent_tax(norm)
     agent = F.when(F.contains(raw, F.lit("代开企业名称")), X.agent_name_of(F.col("_clean"))).otherwise("")
     df = df.withColumns({"seller_tax_id": F.when(agent_id != "", agent_id).otherwise(F.col("seller_tax_id")), "seller_name": F.when(agent != "", agent).otherwise(F.col("seller_name"))})
 
-    df = df.withColumn("_split", X.infer_amount_tax(norm, F.col("total")))
+    # a split matters only where something is missing or amount and tax may be crossed
+    cents = lambda f: F.coalesce(T.cents(F.col(f)), F.lit(0))
+    asked = (F.col("amount") == "") | (F.col("tax") == "") | (cents("tax") >= cents("amount"))
+    df = df.withColumn("_split", F.when(asked, X.infer_amount_tax(norm, F.col("total"))))
     df = df.withColumns({"amount": fill(F.col("amount"), T.money(F.col("_split")["amount"])), "tax": fill(F.col("tax"), T.money(F.col("_split")["tax"]))})
-    crossed = F.col("_split").isNotNull() & (F.coalesce(T.cents(F.col("tax")), F.lit(0)) >= F.coalesce(T.cents(F.col("amount")), F.lit(0)))
+    crossed = F.col("_split").isNotNull() & (cents("tax") >= cents("amount"))
     df = df.withColumns(
         {
             "amount": F.when(crossed, T.money(F.col("_split")["amount"])).otherwise(F.col("amount")),

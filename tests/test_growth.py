@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyleaf.functions import extract as X
 from tallyleaf.functions import text as T
 from tallyleaf.functions import values as V
-from tallyleaf.operators import dataset, layout, regions, views
+from tallyleaf.operators import dataset, detections, fusion, layout, regions, views
 
 SF = "/root/testdata/sf0.001"
 LINES = "doc_id long, lines array<struct<y1:double,x1:double,line_no:int,text:string,score:double,x2:double,y2:double>>"
@@ -91,3 +92,38 @@ def test_names_and_blanks(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.is_person(F.col("t")).alias("p"), T.squeeze(F.col("t")).alias("s"), F.regexp_replace(F.coalesce("t", F.lit("")), f"{T.BLANK}+", "").alias("want")).collect()
     assert [bool(r.p) for r in rows] == [True, True, True, False, False, True, False, False, False, False, True, False]
     assert all(r.s == r.want for r in rows)
+
+
+def test_what_is_asked_of_few_crops_is_not_found_for_all(spark):
+    crops = spark.createDataFrame([(1, [(0, "total", 50.0, 0, 0, 9, 9, "¥1.00", 80.0)])], "doc_id long, crops array<struct<det_no:int,field:string,confidence:double,x1:int,y1:int,x2:int,y2:int,text:string,ocr_confidence:double>>")
+    facts = crops.select(F.transform("crops", detections.crop_facts).alias("c")).schema["c"].dataType.elementType
+    assert not {"money", "id", "check", "noisy"} & set(facts.names)
+    texts = ["¥1.00", "1.5", "x.1", "1.", ".5", "12,345.6", "1 .5", "一.二", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.has_money(F.col("t")).alias("got"), F.col("t").rlike("[¥￥]?(?U)\\s*[0-9]{1,12}(?:,[0-9]{3})*\\.[0-9]{1,2}").alias("want")).collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_lines_that_need_no_cleaning_are_left_alone(spark):
+    texts = ["甲\n乙:丙", "甲\n\n乙", " 甲\n乙", "甲：\n乙", "名称:甲\n乙", "甲||乙\n丙", "1,2\n3", "甲\r\n乙", "甲\r \n乙", "甲\u2028乙", "a\x1d", "\n", "", "（甲）\n乙\xa0", "甲＃乙", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T.clean_lines(F.col("t")).alias("got"), F.transform(F.split("t", T.LINE_END), T._clean).alias("want"), X.kept_lines(F.col("t")).alias("kept"), F.transform(F.filter(F.split("t", T.LINE_END), lambda x: T._clean(x) != ""), lambda x: F.translate(x, "￥： ", "¥:")).alias("norm")).collect()
+    assert all(r.got == r.want and r.kept == r.norm for r in rows)
+    assert [r.t.rstrip() for r in df.where(~F.concat(F.lit("\n"), "t", F.lit("\n")).rlike(T.SPOILT_TEXT)).collect()] == ["甲\n乙:丙", "甲＃乙"]
+
+
+def test_cents_as_by_decimals(spark):
+    texts = ["0.00", "94.00", "999999999999999.99", "1234567890123456.00", "1", "1.5", "1.005", "0.0049999", "1,000.00", "x", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.cents(F.col("t")).alias("got"), T._cents(F.col("t")).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and rows[2].got == 99999999999999999
+
+
+def test_companies_are_not_sought_in_lines_that_nobody_asks_for(spark):
+    found = plan(fusion.parse(spark.createDataFrame([(1, "x")], "doc_id long, text string")), "optimizedPlan")
+    # only behind a condition or in a fold that ends, so no column holds the company of each line
+    assert "AS _found" not in found and "AS _firms" in found and "CASE WHEN (seller_name" in found.split("AS _firms")[0].split("Project")[-1]
+
+
+@pytest.mark.parametrize(("text", "want"), [("价税合计\n甲公司", "甲公司"), ("价税合计\n乙公司\n小写\n甲公司", "甲公司"), ("价税合计" + "\n一" * 34 + "\n甲公司", ""), ("价税合计" + "\n一" * 30 + "\n小写" + "\n一" * 20 + "\n甲公司", "甲公司"), ("甲公司", ""), ("销售方\n甲公司", "甲公司"), ("", "")])
+def test_seller_within_reach_of_a_mark(spark, text, want):
+    df = spark.createDataFrame([(text.replace("甲公司", "甲丙有限公司").replace("乙公司", "乙丁有限公司"),)], "t string")
+    assert df.select(X.seller_name(F.col("t"), F.lit("乙丁有限公司")).alias("v")).first().v == want.replace("甲公司", "甲丙有限公司")
